@@ -58,3 +58,52 @@ def slices(batches, rows: int = 512):
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+
+
+_RNG = np.random.default_rng(20240229)
+_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.ones(1, dtype=np.uint64)
+_INVERSE = np.ones(1, dtype=np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base), dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2**64, and of its inverse."""
+    global _POWERS, _INVERSE
+    if len(_POWERS) < n:
+        n = max(n, CHUNK_BYTES + 4096)
+        _POWERS, _INVERSE = _powers(int(_ODD), n), _powers(pow(int(_ODD), -1, 2**64), n)
+    return _POWERS, _INVERSE
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """H with H[j] - H[i], times the inverse base to the power i, a 64-bit hash of data[i:j]."""
+    p, _ = powers(len(data) + 1)
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * p[: len(data)], out=out[1:])
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; equal bytes give equal hashes wherever they stand."""
+    h = prefix_hash(data)
+    return mix64((h[ends] - h[starts]) * powers(len(data) + 1)[1][starts])
+
+
+def words(held: list[bytes], inside: np.ndarray, stem: int = 0) -> tuple[np.ndarray, ...]:
+    """(hash of each word, with `stem` also of its first bytes, number of words in each text): words are runs of bytes marked in `inside`, lower-cased."""
+    data = LOWER[np.frombuffer(b"\x20".join(held) + b"\x20", dtype=np.uint8)]
+    mark = inside[data]
+    edge = np.flatnonzero(mark[1:] != mark[:-1]) + 1
+    if len(mark) and mark[0]:
+        edge = np.concatenate(([0], edge))
+    starts, ends = edge[0::2], edge[1::2]
+    bounds = np.cumsum([len(b) + 1 for b in held])
+    each = (span_hashes(data, starts, ends), span_hashes(data, starts, np.minimum(ends, starts + stem))) if stem else (span_hashes(data, starts, ends),)
+    return *each, np.diff(np.searchsorted(starts, bounds), prepend=0)

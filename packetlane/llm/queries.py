@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetlane.llm import bpe, ogg
+from packetlane.llm import bpe, html_text, langid, ogg, toxicity
+from packetlane.llm.sampling import crc_mod
 
 
 def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -17,6 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.learn(docs, labels, languages=langid.learn(docs, fit_rows=2000))
+    held = (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe.encode_decode(docs, *tokenizer()).drop("text")
@@ -26,5 +35,15 @@ def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_column(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_ogg_media": op6_ogg_media}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_ogg_media": op6_ogg_media, "op8_language_id": op8_language_id, "op10_html_text": op10_html_text}
 SQL: dict[str, str] = {}
