@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlane.llm import bpe, html_text, langid, ogg, toxicity
+from packetlane.llm import bpe, html_text, langid, mixing, ogg, tools, toxicity
 from packetlane.llm.sampling import crc_mod
 
 
@@ -19,6 +19,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.link_tool_calls(*tools.calls_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")), tools.SCHEMAS)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn(docs, labels, languages=langid.learn(docs, fit_rows=2000))
@@ -41,9 +45,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(documents(spark, sf_dir))
+    return out.select("doc_id", "tokens", "topic", F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"), "sampled")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_ogg_media": op6_ogg_media, "op8_language_id": op8_language_id, "op10_html_text": op10_html_text}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_chat_tools": op1_chat_tools, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_ogg_media": op6_ogg_media, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_html_text": op10_html_text}
+SQL: dict[str, str] = {"op1_chat_tools": tools.SQL, "op9_mixing": mixing.sql()}
