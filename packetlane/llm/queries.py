@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlane.llm import bpe, html_text, langid, mixing, ogg, tools, toxicity
+from packetlane.llm import bpe, embeddings, html_text, langid, mixing, ogg, tools, toxicity
 from packetlane.llm.sampling import crc_mod
 
 
@@ -39,6 +39,10 @@ def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_column(documents(spark, sf_dir))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
@@ -54,5 +58,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {"op1_chat_tools": op1_chat_tools, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_ogg_media": op6_ogg_media, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_html_text": op10_html_text}
+QUERIES = {"op1_chat_tools": op1_chat_tools, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_ogg_media": op6_ogg_media, "op7_embedding_dedup": op7_embedding_dedup, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_html_text": op10_html_text}
 SQL: dict[str, str] = {"op1_chat_tools": tools.SQL, "op9_mixing": mixing.sql()}
