@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlane.llm import bpe, embeddings, html_text, langid, minhash, mixing, ogg, tools, toxicity
+from packetlane.llm import bpe, embeddings, html_text, langid, minhash, mixing, ogg, substrings, tools, toxicity
 from packetlane.llm.sampling import crc_mod
 
 
@@ -39,6 +39,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, *tokenizer()).drop("text")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir))
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_column(documents(spark, sf_dir))
 
@@ -62,5 +66,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {"op1_chat_tools": op1_chat_tools, "op2_minhash_dedup": op2_minhash_dedup, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op6_ogg_media": op6_ogg_media, "op7_embedding_dedup": op7_embedding_dedup, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_html_text": op10_html_text}
+QUERIES = {"op1_chat_tools": op1_chat_tools, "op2_minhash_dedup": op2_minhash_dedup, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_ogg_media": op6_ogg_media, "op7_embedding_dedup": op7_embedding_dedup, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_html_text": op10_html_text}
 SQL: dict[str, str] = {"op1_chat_tools": tools.SQL, "op9_mixing": mixing.sql()}
