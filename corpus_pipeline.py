@@ -1,15 +1,62 @@
-"""The corpus pipeline: five stages, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""The corpus pipeline: language ID, near-dedup, substring dedup, mixing, tokens.
+
+Every stage is a function (spark, docs, sf_dir) -> DataFrame over all rows of its input. All but the last
+return the columns of documents (extra columns of the input stay where the stage only filters). Null and
+empty texts are rejected by the first stage; an empty table passes through as an empty table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packetlane.llm import bpe, langid, minhash, mixing, substrings
+from packetlane.llm.queries import tokenizer
+from packetlane.llm.store import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of the tokens that the mixing stage keeps.
+BUDGET = 0.8
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is not recognised with a calibrated score."""
+    return langid.identify(docs, langid.learn(docs)).where("not rejected").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes strings that an earlier document has; documents with nothing left go."""
+    cut = substrings.dedup(docs, keep_text=True, carry=["lang", "source"])
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return cut.where(F.octet_length("kept") > 0).select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents so that sources, languages and topics come near their target shares."""
+    return mixing.mix(docs, budget=BUDGET).where("sampled").select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded bytes."""
+    return bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), *tokenizer()).drop("text")
+
+
+STAGES = [("language_id", language), ("minhash_near_dedup", near_duplicates), ("suffix_dedup", repeated_strings), ("mixing", mix), ("byte_bpe", tokens)]
 
-STAGES: list = []
+#: SQL can't express the trained, hashed and tokenised stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
     return docs
