@@ -52,19 +52,38 @@ def argument_errors(arguments: Column, name: Column, schemas: dict) -> Column:
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """call_id, topo_level. Each round settles the calls whose dependencies are all settled; as many rounds as levels."""
+    """call_id, topo_level: the longest chain of dependencies below each call.
+
+    Chains of calls with one dependency are contracted first by doubling jumps, in as many rounds as the logarithm
+    of their length; then each round settles the calls with several dependencies whose dependencies are settled.
+    """
     edges = written(edges.select("child", "parent").distinct())
-    front = written(calls.select("call_id").join(edges.select(F.col("child").alias("call_id")).distinct(), "call_id", "left_anti"))
-    done, level = front.withColumn("topo_level", F.lit(0)), 0
-    while True:
-        met = edges.join(front.withColumnRenamed("call_id", "parent"), "parent", "left_semi").select("child").distinct()
-        rest = written(edges.join(front.withColumnRenamed("call_id", "parent"), "parent", "left_anti"))
-        front = written(met.join(rest.select("child").distinct(), "child", "left_anti").withColumnRenamed("child", "call_id"))
+    count = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("to"))
+    jumps = written(count.where("n = 1").select(F.col("child").alias("call_id"), "to", F.lit(1).alias("dist")))
+    single = jumps.select("call_id")
+    for _ in range(max(1, jumps.count()).bit_length() + 1):
+        nxt = jumps.select(F.col("call_id").alias("to"), F.col("to").alias("far"), F.col("dist").alias("more"))
+        if jumps.select("to").join(nxt.select("to"), "to", "left_semi").isEmpty():
+            break
+        jumps = written(jumps.join(nxt, "to", "left").select("call_id", F.coalesce("far", "to").alias("to"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")))
+    jumps = jumps.join(single.withColumnRenamed("call_id", "to"), "to", "left_anti")  # what still jumps to a jump runs in a circle
+    settled = calls.select("call_id").join(edges.select(F.col("child").alias("call_id")).distinct(), "call_id", "left_anti").withColumn("topo_level", F.lit(0))
+    several = edges.join(count.where("n > 1").select("child"), "child", "left_semi")
+    own = several.join(jumps.withColumnRenamed("call_id", "parent"), "parent", "left")
+    circular = single.join(jumps.select("call_id"), "call_id", "left_anti").withColumnRenamed("call_id", "parent")
+    waiting = written(own.join(circular.withColumn("lost", F.lit(True)), "parent", "left").select("child", F.when(F.col("lost"), None).otherwise(F.coalesce("to", "parent")).alias("parent"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist"), F.lit(None).cast("int").alias("value")))
+    front = written(settled)
+    settled = front
+    while not waiting.isEmpty():
+        known = waiting.join(front.withColumnRenamed("call_id", "parent"), "parent", "left").select("child", "parent", "dist", F.coalesce("value", F.col("topo_level") + F.col("dist")).alias("value"))
+        known = written(known)
+        front = written(known.groupBy("child").agg(F.max("value").alias("topo_level"), F.count_if(F.col("value").isNull()).alias("open")).where("open = 0").select(F.col("child").alias("call_id"), "topo_level"))
         if front.isEmpty():
-            return done
-        level += 1
-        done = done.unionByName(front.withColumn("topo_level", F.lit(level)))
-        edges = rest
+            break
+        settled = settled.unionByName(front)
+        waiting = written(known.join(front.select(F.col("call_id").alias("child")), "child", "left_anti"))
+    by_jump = jumps.join(settled.withColumnRenamed("call_id", "to"), "to").select("call_id", (F.col("topo_level") + F.col("dist")).alias("topo_level"))
+    return settled.unionByName(by_jump)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
