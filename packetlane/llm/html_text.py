@@ -121,6 +121,18 @@ def threshold(x: np.ndarray) -> float:
     return float(min(t, x.max()))
 
 
+def trimmed(region: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """Runs of the region without the weak lines at their ends, which smoothing drew in from their neighbours."""
+    out = region.copy()
+    for order in (range(len(out)), range(len(out) - 1, -1, -1)):
+        inside = False
+        for k in order:
+            if region[k] and not inside and not strong[k]:
+                out[k] = False
+            inside = bool(region[k] and (inside or strong[k]))
+    return out
+
+
 def extract(html: str | None) -> str:
     if not html:
         return ""
@@ -131,7 +143,8 @@ def extract(html: str | None) -> str:
     if not p.lines:
         return ""
     ratio = smooth(np.array([len(s) / max(1, n) for s, n, _ in p.lines]))
-    content = ratio >= threshold(ratio)
+    cut = threshold(ratio)
+    content = trimmed(ratio >= cut, np.array([len(s) / max(1, n) for s, n, _ in p.lines]) >= cut / 4)
     parts = {part for s, _, part in p.lines if part >= 0}
     if parts:
         chosen = {line[2] for line, c in zip(p.lines, content, strict=True) if c} & parts or parts
