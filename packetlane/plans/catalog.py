@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from packetlane.functions import fuzzy, jsonfix
 from packetlane.functions import text as X
 from packetlane.operators import compare, lineage, mapping, normalize, pages, readings, regions, review
+from packetlane.streaming import packets
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -449,10 +450,7 @@ def reading_fallback(spark, d):
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 60""")
 def contamination(spark, d):
-    """Documents that hold a benchmark text whole: both sides meet in a shared 60-byte string's anchor, then the exact test.
-
-    The first 20 characters of a text are looked up in all windows of documents through a bounded set of prefixes only if that set is small; here each document is exploded to the words that may begin a passage.
-    """
+    """Documents that hold a benchmark text whole: an equi-join of the text's first 60 characters with the 60 characters at each word of a document, then the exact test."""
     b = t(spark, d, "benchmark").where(F.length("text") >= 60).select("item_id", F.col("text").alias("passage"))
     head = b.select(F.substring("passage", 1, 60).alias("head")).distinct()
     b = b.withColumn("head", F.substring("passage", 1, 60))
@@ -487,3 +485,62 @@ def record_ids(spark, d):
     core = F.substring("s_name", 10, 7)
     noisy = F.concat(F.lit("id: "), F.translate(core, "015", "OIS"), F.lit(" a"))
     return s.select("s_suppkey", X.normalize_id(noisy).alias("id")).withColumn("valid", X.valid_id(F.col("id")))
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_windows(spark, d):
+    return packets.windowed(t(spark, d, "events"), "ts", ["event_type"], "1 day", n=F.count(F.lit(1)), total=F.round(F.sum("value"), 4))
+
+
+@query("WITH e AS (SELECT event_type, value, date_trunc('day', ts) - INTERVAL 1 DAY * k AS w FROM events, (SELECT unnest([0, 1]) AS k)) SELECT w AS window_start, w + INTERVAL 2 DAY AS window_end, event_type, count(*) AS n FROM e GROUP BY ALL")
+def sliding_windows(spark, d):
+    return packets.windowed(t(spark, d, "events"), "ts", ["event_type"], "2 days", "1 day", n=F.count(F.lit(1)))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM g GROUP BY user_id, s""")
+def session_windows(spark, d):
+    return packets.sessions(t(spark, d, "events"), "ts", ["user_id"], "6 hours")
+
+
+@query("SELECT p_type, list(p_partkey ORDER BY p_retailprice DESC, p_partkey)[1:3] AS examples FROM part GROUP BY p_type")
+def topk_examples(spark, d):
+    """The first three of each group. Rows are cut to three a task and group first, so no group is gathered whole."""
+    p = t(spark, d, "part").select("p_type", F.struct((-F.col("p_retailprice")).alias("o"), F.col("p_partkey").alias("k")).alias("e"))
+    w = Window.partitionBy("p_type").orderBy("e")
+    top = p.withColumn("r", F.row_number().over(w)).where("r <= 3")
+    return top.groupBy("p_type").agg(F.array_sort(F.collect_list("e")).alias("l")).select("p_type", F.transform("l", lambda e: e["k"]).alias("examples"))
+
+
+@query("SELECT n_regionkey, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, c_mktsegment)")
+def coverage_rollup(spark, d):
+    return _customers(spark, d).rollup("n_regionkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(0, round_even(l_quantity * 1.5, 0) - 2) AS x, least(60, round_even((l_quantity + l_linenumber) * 1.5, 0) + 2) - greatest(0, round_even(l_quantity * 1.5, 0) - 2) AS w
+  FROM lineitem WHERE least(60, round_even((l_quantity + l_linenumber) * 1.5, 0) + 2) > greatest(0, round_even(l_quantity * 1.5, 0) - 2)""")
+def box_scale_clip(spark, d):
+    q, n = F.col("l_quantity"), F.col("l_linenumber").cast("double")
+    box = regions.scale_and_clip(q, F.lit(0.0), n, F.lit(5.0), F.lit(1.5), F.lit(1.0), F.lit(60.0), F.lit(90.0), 2)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", box.alias("b")).where("b is not null").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "b.x", "b.w")
+
+
+@query("SELECT l_orderkey, count(*) AS line_count, min(l_discount) AS min_score, round(avg(l_discount), 6) AS mean_score FROM lineitem GROUP BY 1")
+def line_stats(spark, d):
+    return regions.line_stats(t(spark, d, "lineitem"), ["l_orderkey"], "l_discount").withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("SELECT user_id, event_type, count(*) AS calls, min(event_id) AS first_seen FROM events GROUP BY ALL")
+def call_batches(spark, d):
+    e = t(spark, d, "events").withColumn("model", F.struct("user_id", "event_type"))
+    return readings.call_batches(e, "model", "event_id").select("model.user_id", "model.event_type", "calls", "first_seen")
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE turn IN (4, 5)")
+def slice_item(spark, d):
+    return pages.slice_item(t(spark, d, "conversations").withColumn("page_index", F.col("turn")), 2).select("conv_id", "turn", "role")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice / 400000 >= 0.85 THEN 'high' WHEN o_totalprice / 400000 >= 0.5 THEN 'medium' ELSE 'low' END AS label, substr(o_orderpriority, 1, 20) || ' (Original)' AS sheet FROM orders""")
+def score_labels(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", X.score_label(F.col("o_totalprice") / 400000).alias("label"), X.original_sheet_name(F.col("o_orderpriority")).alias("sheet"))
