@@ -38,6 +38,8 @@ BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
 #: Buckets up to this size are compared pair by pair.
 SMALL = 32
+#: Bits of the bitmap of ids whose sets are wanted: 8 MB.
+FILTER_BITS = 1 << 26
 TILE = 512
 #: Documents compared with one centre in one group.
 FAN = 256
@@ -121,14 +123,29 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 
 def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and set (its hashes as bytes) of the texts named in ids."""
+    """doc_id and set (its hashes as bytes) of the texts named in ids, and of a few others.
+
+    A bitmap of hashed ids, of at most FILTER_BITS bits, goes to the tasks, so that texts need no shuffle; with more
+    ids than it can tell apart, more sets are written than needed, and joins on doc_id drop them.
+    """
+    ids = written(ids.select("doc_id").distinct())
+    bits = min(FILTER_BITS, 1 << max(10, (16 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    marks = ids.select(F.floor(place / 32).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("bit"))
+    bitmap = np.zeros(bits // 32, dtype=np.int64)
+    for r in marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # at most FILTER_BITS / 32 rows
+        bitmap[r["word"]] = r["bits"]
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         for b in slices(batches):
+            p = b.column(2).to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array((shared.value[p // 32] >> (p % 32) & 1).astype(bool)))
             for first, held in chunks(b.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(held)), pa.array([s.tobytes() for s in shingle_sets(held)], pa.binary())], names=["doc_id", "set"])
 
-    return texts.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+    found = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, set binary")
+    return written(found)
 
 
 def similar(common, a: int, b: int):
@@ -140,12 +157,10 @@ def may_be_similar(a: Column, b: Column) -> Column:
     return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (hub, doc_id), those with similar sets, as edges (a, b). A hub's pairs are dealt to groups of about FAN."""
     pairs = written(pairs.distinct())
     fans = pairs.groupBy("hub").agg((F.floor(F.count(F.lit(1)) / FAN) + 1).cast("int").alias("fans"))
-    sets = sets_of(texts, pairs.select("doc_id").unionByName(fans.select(F.col("hub").alias("doc_id"))))
-    sets = written(sets)
     left = pairs.join(fans, "hub").withColumn("fan", F.pmod(F.xxhash64("doc_id"), "fans").cast("int")).select("hub", "fan", "doc_id").join(sets, "doc_id")
     hub_sets = sets.select(F.col("doc_id").alias("hub_id"), F.col("set").alias("hub_set"))
     right = fans.join(hub_sets, fans["hub"] == hub_sets["hub_id"]).select("hub_id", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("hub_fan"), "hub_set")
@@ -164,11 +179,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.groupBy("hub", "fan").cogroup(right.groupBy("hub_id", "hub_fan")).applyInArrow(run, "a long, b long")
 
 
-def tiled(members: DataFrame, texts: DataFrame) -> DataFrame:
+def tiled(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges (a, b) that join what the links inside each cluster join. members: cluster, doc_id, label."""
     members = written(members)
     size = members.groupBy("cluster").agg((F.floor(F.count(F.lit(1)) / TILE) + 1).cast("int").alias("tiles"))
-    rows = members.join(size, "cluster").withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int")).join(sets_of(texts, members), "doc_id")
+    rows = members.join(size, "cluster").withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int")).join(sets, "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     rows = rows.select("cluster", "doc_id", "label", "tile", "set", other).select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc_id", "label", "set")
 
@@ -224,7 +239,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     centre = members.join(degree, "doc_id").groupBy("band").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"))).alias("c")).select("band", "c.hub", "c.hub_n")
     members = written(members.join(centre, "band"))
     star = members.where((F.col("hub") != F.col("doc_id")) & may_be_similar(F.col("n"), F.col("hub_n"))).select("hub", "doc_id")
-    edges = written(confirmed(star, texts))
+    sets = sets_of(texts, members)
+    edges = written(confirmed(star, sets))
     label = components(edges)
     named = members.join(label.select(F.col("id").alias("doc_id"), F.col("component_id").alias("label")), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     named = written(named)
@@ -236,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     many = named.where(F.col("members") > SMALL)
     cluster = components(many.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
     crowd = many.select("doc_id", "label").distinct().join(cluster.select(F.col("id").alias("doc_id"), F.col("component_id").alias("cluster")), "doc_id")
-    more = written(confirmed(pairs, texts).unionByName(tiled(crowd, texts)))
+    more = written(confirmed(pairs, sets).unionByName(tiled(crowd, sets)))
     label = written(components(edges.unionByName(more)))
     joined = classes.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "f1", "f2").join(joined, ["f1", "f2", "n_shingles"], "left")
