@@ -26,8 +26,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def encoded(text: str | None) -> bytes:
-    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+def encoded(text: str | bytes | None) -> bytes:
+    return b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
 
 
 def chunks(texts: list[str | None]):

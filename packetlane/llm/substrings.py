@@ -3,20 +3,21 @@
 Every string of LENGTH bytes has an anchor: the least hash of the GRAM-byte grams inside it. Equal strings
 have equal anchors at equal offsets, so only strings whose anchor stands in two documents can matter:
 
-1. equal texts are one class; of each class the smallest doc_id takes part;
-2. anchors of all texts are dealt by hash to parts (as packed blocks) and kept where two documents share one;
+1. anchors of all texts are dealt by hash to parts (as packed blocks, with a fingerprint of the text); in each part
+   equal texts count as one, with its smallest doc_id, and anchors stay that two different texts share;
+2. texts that a smaller doc_id has too go whole;
 3. the pieces of text around shared anchors are dealt by the same hash; in each part, equal pieces collapse
    to one with its smallest doc_id, and the distinct pieces of anchors that have several go through a
    Burrows-Wheeler transform, whose intervals of common prefixes, expanded breadth-first up to LENGTH, are
    the classes of equal strings;
 4. a string is removed where its class has a smaller doc_id; runs are merged by document.
 
-An anchor with over HOT documents would load one task: its strings are counted one by one in a pre-aggregated
-grouping instead. No string of any text is left out.
+An anchor in over HOT texts would load one task: its pieces are cut into single strings, and these are dealt by
+their own hash. No string of any text is left out.
 
 Cases: null and empty texts have 0 bytes and keep nothing; texts shorter than LENGTH lose nothing; equal texts
-lose all but the smallest doc_id's; rows repeated under one id are rows of their own and don't remove each
-other; an empty table gives an empty result; extra columns are ignored.
+lose all but the smallest doc_id's; rows repeated under one id don't remove each other, and places found in one
+count in the others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,9 @@ GRAM = 20
 WINDOW = LENGTH - GRAM + 1
 HOT = 2000
 #: Bytes of text for one part; its anchors and shared pieces fit in a task's memory several times over.
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 #: Distinct pieces of this many bytes are transformed at once.
-BLOCK = 2 << 20
-EVERY = (1 << WINDOW) - 1
+BLOCK = 1 << 20
 
 
 def anchors(held: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,52 +81,89 @@ def _blocks(parts: np.ndarray, n_parts: int, columns: list[np.ndarray]):
         yield int(p), order[bounds[p] : bounds[p + 1]], [c[bounds[p] : bounds[p + 1]] for c in columns]
 
 
-def _read(t: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(x.as_py(), dtype=kind) for x in t.column(name))])
+def _read(t: pa.Table, name: str, kind, unpack=bytes) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(unpack(x.as_py()), dtype=kind) for x in t.column(name))])
+
+
+def _unpacker():
+    d = zstandard.ZstdDecompressor()
+    return lambda x: d.decompress(x) if x is not None else b""
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """doc_id, h1 (a hash of the text) and the text as compressed bytes, for shuffles."""
+
+    def run(batches):
+        c = zstandard.ZstdCompressor(level=3)
+        for b in slices(batches, 2048):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if t is None else c.compress(encoded(t)) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "h1", "text"])
+
+    return rows.select("doc_id", F.xxhash64("text").alias("h1"), "text").mapInArrow(run, "doc_id long, h1 long, text binary")
+
+
+def _short(a: np.ndarray, n_parts: int) -> np.ndarray:
+    """32 bits of an anchor above its part in the lowest 24."""
+    return (a >> np.uint64(32) << np.uint64(24)) | (a % np.uint64(n_parts))
+
+
+def _record(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def shared_anchors(texts: DataFrame, n_parts: int) -> DataFrame:
-    """doc_id, anchor, hot: anchors that stand in two documents or more."""
+    """doc_id, anchor, hot: anchors that stand in two different texts or more, for the smallest doc_id of each text."""
+    names = ["part", "anchors", "index", "ids", "prints"]
 
     def deal(batches):
         for b in slices(batches, 4096):
             all_ids = b.column(0).to_numpy()
             for first, held in chunks(b.column(1).to_pylist()):
                 _, a, text, _, _ = anchors(held)
-                ids = all_ids[first : first + len(held)]
-                rows = [(p, v.tobytes(), ids[t].astype(np.int64).tobytes()) for p, _, (v, t) in _blocks((a % np.uint64(n_parts)).astype(np.int64), n_parts, [a, text])]
+                ids = all_ids[first : first + len(held)].astype(np.int64)
+                whole = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in held], dtype=np.uint64)
+                rows = []
+                for p, _, (v, t) in _blocks((a % np.uint64(n_parts)).astype(np.int64), n_parts, [(a >> np.uint64(32)).astype(np.uint32), text]):
+                    here, index = np.unique(t, return_inverse=True)
+                    rows.append((p, v.tobytes(), index.astype(np.int32).tobytes(), ids[here].tobytes(), whole[here].tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "anchors", "ids"])
+                    yield _record(rows, names)
 
     def join(t: pa.Table) -> pa.Table:
-        a, d = _read(t, "anchors", np.uint64), _read(t, "ids", np.int64)
-        order = np.lexsort((d, a))
-        a, d = a[order], d[order]
+        part = np.uint64(t.column("part")[0].as_py())
+        d, w = [], []
+        for index, ids, prints in zip(t.column("index"), t.column("ids"), t.column("prints"), strict=True):
+            i = np.frombuffer(index.as_py(), dtype=np.int32)
+            d.append(np.frombuffer(ids.as_py(), dtype=np.int64)[i])
+            w.append(np.frombuffer(prints.as_py(), dtype=np.uint64)[i])
+        a, d, w = _read(t, "anchors", np.uint32), np.concatenate(d), np.concatenate(w)
+        order = np.lexsort((d, w, a))
+        a, d, w = a[order], d[order], w[order]
         new = np.ones(len(a), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
+        new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
         a, d = a[new], d[new]
         cut = np.ones(len(a), dtype=bool)
         cut[1:] = a[1:] != a[:-1]
         n = np.diff(np.append(np.flatnonzero(cut), len(a)))
         n = np.repeat(n, n)
         keep = n > 1
-        return pa.table({"doc_id": d[keep], "anchor": a[keep].view(np.int64), "hot": n[keep] > HOT})
+        key = (a[keep].astype(np.uint64) << np.uint64(24)) | part
+        return pa.table({"doc_id": d[keep], "anchor": key.view(np.int64), "hot": n[keep] > HOT})
 
-    dealt = texts.mapInArrow(deal, "part int, anchors binary, ids binary")
+    dealt = texts.mapInArrow(deal, "part int, anchors binary, index binary, ids binary, prints binary")
     return dealt.groupBy("part").applyInArrow(join, "doc_id long, anchor long, hot boolean")
 
 
-PIECES = "part int, hot boolean, ids binary, anchors binary, starts binary, lengths binary, bytes binary"
-
-
 def pieces(listed: DataFrame, n_parts: int) -> DataFrame:
     """Blocks of the pieces around shared anchors. listed: doc_id, text, found (array of anchor, hot)."""
+    names = ["part", "ids", "anchors", "starts", "lengths", "bytes"]
 
     def run(batches):
-        for b in slices(batches, 2048):
+        unpack, pack = _unpacker(), zstandard.ZstdCompressor(level=1).compress
+        for b in slices(batches, 512):
             all_ids = b.column(0).to_numpy()
             lists = b.column(2)
-            for first, held in chunks(b.column(1).to_pylist()):
+            for first, held in chunks([unpack(x) for x in b.column(1).to_pylist()]):
                 data, a, text, place, length = anchors(held)
                 begin = np.cumsum([0, *map(len, held)])
                 found = lists.slice(first, len(held))
@@ -138,24 +176,31 @@ def pieces(listed: DataFrame, n_parts: int) -> DataFrame:
                 k = tag(owner, known)
                 o = np.argsort(k)
                 k, heat = k[o], heat[o]
-                mine = tag(text, a)
-                at = np.minimum(np.searchsorted(k, mine), max(0, len(k) - 1))
-                hit = np.flatnonzero(k[at] == mine) if len(k) else np.zeros(0, dtype=int)
-                hot = heat[at[hit]] if len(k) else np.zeros(0, dtype=bool)
+                if not len(k):
+                    continue
+                mine = tag(text, _short(a, n_parts))
+                at = np.minimum(np.searchsorted(k, mine), len(k) - 1)
+                hit = np.flatnonzero(k[at] == mine)
+                hot = heat[at[hit]]
                 a, text, place, length = a[hit], text[hit], place[hit], length[hit]
+                if hot.any():  # single strings, dealt by their own hash
+                    n = length[hot]
+                    j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    alone = np.repeat(place[hot], n) + j
+                    own = span_hashes(data, alone, alone + LENGTH)
+                    a, text = np.concatenate([a[~hot], own]), np.concatenate([text[~hot], np.repeat(text[hot], n)])
+                    place, length = np.concatenate([place[~hot], alone]), np.concatenate([length[~hot], np.ones(len(alone), dtype=length.dtype)])
                 size = length + LENGTH - 1
                 rows = []
-                for warm in (False, True):
-                    w = np.flatnonzero(hot == warm)
-                    for p, index, (aa, tt, pp, ll) in _blocks((a[w] % np.uint64(n_parts)).astype(np.int64), n_parts, [a[w], text[w], place[w], length[w]]):
-                        ss = size[w][index]
-                        cells = np.repeat(pp - (np.cumsum(ss) - ss), ss) + np.arange(int(ss.sum()))
-                        rows.append((p, warm, all_ids[first + tt].astype(np.int64).tobytes(), aa.tobytes(), (pp - begin[tt]).astype(np.int64).tobytes(), ll.astype(np.uint8).tobytes(), data[cells].tobytes()))
+                for p, index, (aa, tt, pp, ll) in _blocks((a % np.uint64(n_parts)).astype(np.int64), n_parts, [a, text, place, length]):
+                    ss = size[index]
+                    cells = np.repeat(pp - (np.cumsum(ss) - ss), ss) + np.arange(int(ss.sum()))
+                    columns = (all_ids[first + tt].astype(np.int64), aa, (pp - begin[tt]).astype(np.int64), ll.astype(np.uint8), data[cells])
+                    rows.append((p, *(pack(x.tobytes()) for x in columns)))
                 if rows:
-                    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[f.split()[0] for f in PIECES.split(", ")])
+                    yield _record(rows, names)
 
-    return listed.mapInArrow(run, PIECES)
+    return listed.mapInArrow(run, "part int, ids binary, anchors binary, starts binary, lengths binary, bytes binary")
 
 
 def _removed(ids, starts, masks) -> pa.Table:
@@ -167,8 +212,9 @@ def covered(blocks: DataFrame) -> DataFrame:
     """doc_id, start, mask: bit k of the mask marks the string at start + k for removal."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, a, starts, length = _read(t, "ids", np.int64), _read(t, "anchors", np.uint64), _read(t, "starts", np.int64), _read(t, "lengths", np.uint8).astype(np.int64)
-        data = _read(t, "bytes", np.uint8)
+        unpack = _unpacker()
+        ids, a, starts, length = _read(t, "ids", np.int64, unpack), _read(t, "anchors", np.uint64, unpack), _read(t, "starts", np.int64, unpack), _read(t, "lengths", np.uint8, unpack).astype(np.int64)
+        data = _read(t, "bytes", np.uint8, unpack)
         size = length + LENGTH - 1
         end = np.cumsum(size)
         same = span_hashes(data, end - size, end) ^ mix64(a)
@@ -215,41 +261,22 @@ def covered(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("part").applyInArrow(run, "doc_id long, start long, mask long")
 
 
-def covered_hot(blocks: DataFrame) -> DataFrame:
-    """The same for anchors of very many documents: string by string, the smallest doc_id of each found with map-side sums."""
-
-    def explode(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                t = pa.Table.from_batches([b.slice(k, 1)])
-                ids, starts, length = _read(t, "ids", np.int64), _read(t, "starts", np.int64), _read(t, "lengths", np.uint8).astype(np.int64)
-                data, size = _read(t, "bytes", np.uint8), length + LENGTH - 1
-                j = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-                at = np.repeat(np.cumsum(size) - size, length) + j
-                h = span_hashes(data, at, at + LENGTH)
-                h2 = span_hashes(data, at, at + LENGTH // 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.repeat(ids, length)), pa.array(np.repeat(starts, length) + j)], names=["h", "h2", "doc_id", "start"])
-
-    strings = written(blocks.mapInArrow(explode, "h long, h2 long, doc_id long, start long"))
-    low = strings.groupBy("h", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "h2", "low")
-    return strings.join(low, ["h", "h2"]).where("doc_id > low").select("doc_id", "start", F.lit(1).cast("long").alias("mask"))
-
-
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def cut(texts: DataFrame, keep_text: bool = False) -> DataFrame:
-    """texts: doc_id, text, whole (all removed), found (array of start, mask) and any other columns, which stay."""
+    """texts: doc_id, text (packed), whole (all removed), found (array of start, mask) and any other columns, which stay."""
     rest = [c for c in texts.columns if c not in ("text", "whole", "found")]
     source = texts.select(*rest, "text", "whole", "found")
     schema = ", ".join(f"`{c}` {dict(texts.dtypes)[c]}" for c in rest) + ", " + RESULT + ", kept binary" * keep_text
 
     def run(batches):
+        unpack = _unpacker()
         for b in slices(batches, 1024):
             n = b.num_columns
             out = []
             for text, whole, found in zip(b.column(n - 3), b.column(n - 2).to_pylist(), b.column(n - 1), strict=True):
-                raw = encoded(text.as_py())
+                raw = unpack(text.as_py())
                 if whole:
                     out.append((len(raw), len(raw), 1, b""))
                     continue
@@ -260,6 +287,7 @@ def cut(texts: DataFrame, keep_text: bool = False) -> DataFrame:
                 edge = np.zeros(len(raw) + LENGTH + 64, dtype=np.int32)
                 for k in range(int(mask.max()).bit_length()):
                     at = start[(mask >> k) & 1 == 1] + k
+                    at = at[at < len(raw)]
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + LENGTH, -1)
                 gone = np.cumsum(edge)[: len(raw)] > 0
@@ -272,28 +300,25 @@ def cut(texts: DataFrame, keep_text: bool = False) -> DataFrame:
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the bytes kept, and carried columns) of every row."""
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), *[docs[f"`{c}`"].alias(f"carry_{k}") for k, c in enumerate(carry or [])])
-    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), F.reverse(F.md5("text"))), "size": F.coalesce(F.octet_length("text"), F.lit(0))})
-    long_rows = rows.where((F.col("size") >= LENGTH) & F.col("doc_id").isNotNull())
-    digest = written(long_rows.select("doc_id", "h1", "h2", "size"))
-    classes = written(digest.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
-    total = classes.agg(F.sum("size")).first()[0] or 0
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the bytes kept, and columns that are carried along, of an id's least row) of every row."""
+    every = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
+    bundle = packed(every)
+    rows = every.where("doc_id is not null")
+    prints = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.reverse(F.md5(F.col("text").cast("binary")))).alias("h2"), F.octet_length("text").alias("size")]
+    digest = written(rows.where(F.octet_length("text") >= LENGTH).select("doc_id", *prints))
+    total = digest.agg(F.sum("size")).first()[0] or 0
     n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    copied = classes.where("rep < last").select(F.col("rep"), "h1", "h2")
-    once = long_rows.join(_marked(digest, copied), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text")
-    found = written(shared_anchors(once, n_parts))
-    lists = found.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "hot")).alias("found"))
-    blocks = written(pieces(once.join(lists, "doc_id"), n_parts))
-    marks = covered(blocks.where("not hot")).unionByName(covered_hot(blocks.where("hot")))
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
-    whole = _marked(digest, copied).withColumn("whole", F.lit(True))
-    out = rows.join(whole, ["doc_id", "h1", "h2"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    joined = out.join(marks, "doc_id", "left")
-    done = cut(joined.select("doc_id", *[c for c in rows.columns if c.startswith("carry_")], "text", "whole", "found"), keep_text)
-    return done.withColumnsRenamed({f"carry_{k}": c for k, c in enumerate(carry or [])})
-
-
-def _marked(digest: DataFrame, copied: DataFrame) -> DataFrame:
-    """The rows whose text a smaller doc_id has too."""
-    return digest.join(copied, ["h1", "h2"]).where("doc_id > rep").select("doc_id", "h1", "h2").distinct()
+    lists = shared_anchors(rows, n_parts).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "hot")).alias("found"))
+    marks = covered(pieces(bundle.select("doc_id", "text").join(lists, "doc_id"), n_parts))
+    # a text that a smaller doc_id has too: its hash in place of a mask, at start -1
+    first = digest.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last")
+    whole = digest.join(first.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id > rep").select("doc_id", F.lit(-1).cast("long").alias("start"), F.col("h1").alias("mask")).distinct()
+    found = marks.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("all"))
+    out = bundle.join(found, "doc_id", "left")
+    gone = F.coalesce(F.exists("all", lambda m: (m["start"] < 0) & (m["mask"] == F.col("h1"))), F.lit(False))
+    places = F.filter("all", lambda m: m["start"] >= 0)
+    done = cut(out.select("doc_id", "text", gone.alias("whole"), F.when(F.size(places) > 0, places).alias("found")), keep_text)
+    if not carry:
+        return done
+    more = docs.groupBy(docs[key].cast("long").alias("doc_id")).agg(F.min(F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(carry)])).alias("more"))
+    return done.join(more, "doc_id", "left").select(*done.columns, *[F.col(f"more.c{k}").alias(c) for k, c in enumerate(carry)])
