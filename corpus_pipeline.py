@@ -38,8 +38,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and topics come near their target shares."""
-    return mixing.mix(docs, budget=BUDGET).where("sampled").select(docs.columns)
+    """Samples documents so that sources, languages and topics come near their target shares; no weights are kept, so probabilities are bounded."""
+    return mixing.mix(docs, budget=BUDGET, bounded=True).where("sampled").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

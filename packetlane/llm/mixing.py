@@ -4,7 +4,8 @@ Documents are summed to cells of (source, language, topic). Iterative proportion
 factor for each value of each dimension, so that token weights times factors meet the target share of
 every source, language and topic at once. A document's probability is its cell's factor, scaled so that the
 mean number of tokens kept is BUDGET of all (no probability above 1: what is cut off there goes into
-`weight`), and a document is kept if a hash of its id falls below it.
+`weight`), and a document is kept if a hash of its id falls below it. Callers that keep no weights ask for `bounded`:
+then probabilities of at most 1 meet budget and targets themselves, wherever there are tokens enough (see `bounded_rates`).
 
 Only cells and factors take part in the rounds: sums are pre-aggregated, so a source with any share of the
 rows is no hot group. Cases: a null source, language or topic is a value of its own, NULL_VALUE; null and empty
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from packetlane.llm.store import written
 
 ROUNDS = 8
+#: Rounds with the bound inside, which settle slower.
+BOUNDED_ROUNDS = 12
 #: Target shares are observed shares to this power, made to sum to 1, where the caller names none.
 SMOOTHING = 0.7
 BUDGET = 0.5
@@ -38,8 +41,8 @@ def topic(text: Column, tokens: Column) -> Column:
     return F.when(F.contains(text, F.lit("Licensed under")) | F.contains(text, F.lit("Copyright")), "legal").when(F.contains(text, F.lit("$$$")) | F.contains(text, F.lit("%%%")), "noise").when(tokens >= 1000, "long").when(tokens >= 200, "medium").otherwise("short")
 
 
-def fit(cells: DataFrame, dims: list[str], targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> dict[str, DataFrame]:
-    """A table (value, factor) for each dimension. cells: the dimensions and `tokens`, one row for each cell."""
+def goals(cells: DataFrame, dims: list[str], targets: dict[str, dict[str, float]] | None = None) -> dict[str, DataFrame]:
+    """A table (value, seen, goal) for each dimension: its tokens and the share it shall have."""
     goal = {}
     for d in dims:
         seen = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("seen"))
@@ -50,7 +53,13 @@ def fit(cells: DataFrame, dims: list[str], targets: dict[str, dict[str, float]]
         else:
             seen = seen.withColumn("share", F.pow("seen", SMOOTHING))
         total = seen.agg(F.sum("share").alias("all_shares"))  # one row
-        goal[d] = written(seen.crossJoin(F.broadcast(total)).select(d, (F.col("share") / F.nullif("all_shares", F.lit(0))).alias("goal"), F.lit(1.0).alias(f"f_{d}")))
+        goal[d] = seen.crossJoin(F.broadcast(total)).select(d, "seen", (F.col("share") / F.nullif("all_shares", F.lit(0))).alias("goal"))
+    return goal
+
+
+def fit(cells: DataFrame, dims: list[str], targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> dict[str, DataFrame]:
+    """A table (value, factor) for each dimension. cells: the dimensions and `tokens`, one row for each cell."""
+    goal = {d: written(g.select(d, "goal", F.lit(1.0).alias(f"f_{d}"))) for d, g in goals(cells, dims, targets).items()}
     for _ in range(rounds):
         for d in dims:
             others = reduce(lambda t, o: t.join(goal[o].select(o, f"f_{o}"), o), [o for o in dims if o != d], cells)
@@ -59,13 +68,49 @@ def fit(cells: DataFrame, dims: list[str], targets: dict[str, dict[str, float]]
     return goal
 
 
+def level(rows: DataFrame, cap: Column, want: Column, total: float) -> float:
+    """The factor at which the sum of least(cap, factor * want) is total; rows that reach their cap are held, the others rescaled."""
+    at = 0.0
+    while True:
+        full = want * at >= cap
+        held, free = rows.agg(F.sum(F.when(full, cap).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(want))).first()
+        new = (total - held) / free if free else at
+        if new <= at * (1 + 1e-12):
+            return at
+        at = new
+
+
+def bounded_rates(cells: DataFrame, dims: list[str], targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = BOUNDED_ROUNDS) -> DataFrame:
+    """The dimensions and `probability`, at most 1: raking with the bound inside.
+
+    A value with fewer tokens than its goal asks for is kept whole, and what it lacks goes to the other values of its
+    dimension in proportion to their goals. In each round cells that reached 1 are held and the others of a value are
+    rescaled to what is left of its goal; a cell that reached 1 may come down again. At last the budget is met exactly.
+    """
+    total = budget * (cells.agg(F.sum("tokens")).first()[0] or 0)
+    aim = {}
+    for d, g in goals(cells, dims, targets).items():
+        g = written(g)
+        goal = F.coalesce("goal", F.lit(0.0))
+        aim[d] = written(g.select(d, F.least("seen", goal * level(g, F.col("seen"), goal, total)).alias("aim")))
+    n, rate = F.col("tokens").cast("double"), F.col("rate")
+    rated = cells.select(*dims, "tokens", F.lit(float(budget)).alias("rate"))
+    for _ in range(rounds):
+        for d in dims:
+            has = rated.groupBy(d).agg(F.sum(F.when(rate >= 1, n).otherwise(0.0)).alias("held"), F.sum(F.when(rate < 1, n * rate).otherwise(0.0)).alias("free"))
+            held, free, want = F.col("held"), F.col("free"), F.col("aim")
+            by = F.when((free == 0) & (want >= held * (1 - 1e-9)), 1.0).when((free > 0) & (want > held), (want - held) / free).otherwise(want / (held + free))
+            rated = written(rated.join(has.join(aim[d], d).select(d, by.alias("by")), d).select(*dims, "tokens", (rate * F.col("by")).alias("rate")))
+    return rated.select(*dims, F.least(F.lit(1.0), rate * (level(rated, n, n * rate, total) if total else 1.0)).alias("probability"))
+
+
 def uniform(key: Column) -> Column:
     """A number in [0, 1) from the id: 32 bits of its MD5."""
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topics: Column | None = None, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
-    """Adds tokens, topic, probability, weight and sampled to every row."""
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topics: Column | None = None, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int | None = None, bounded: bool = False) -> DataFrame:
+    """Adds tokens, topic, probability, weight (1 if bounded) and sampled to every row."""
     new = ("tokens", "topic", "probability", "weight", "sampled")
     rest = [c for c in docs.columns if c not in new]
     dims = ["__source", "__lang", "__topic"]
@@ -78,15 +123,18 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     tagged = tagged.withColumn("__topic", F.coalesce(topics, F.lit(NULL_VALUE)) if topics is not None else topic(F.col(f"`{text}`"), F.col("__tokens")))
     cells = written(tagged.groupBy(*dims).agg(F.sum("__tokens").alias("tokens")))
     named = {f"__{k}": v for k, v in targets.items()} if targets else None
-    goal = fit(cells, dims, named, rounds)
-    rated = cells
-    for d in dims:
-        rated = rated.join(goal[d].select(d, f"f_{d}"), d)
-    rated = rated.withColumn("rate", reduce(lambda a, d: a * F.col(f"f_{d}"), dims[1:], F.col(f"f_{dims[0]}")))
-    rated = written(rated.select(*dims, "tokens", "rate"))
-    sums = rated.agg(F.sum("tokens").alias("all_tokens"), F.sum(F.col("tokens") * F.col("rate")).alias("all_rates"))
-    ideal = F.coalesce(F.try_divide(F.col("rate") * budget * F.col("all_tokens"), F.col("all_rates")), F.lit(0.0))
-    rated = rated.crossJoin(F.broadcast(sums)).select(*dims, F.least(F.lit(1.0), ideal).alias("probability"), F.greatest(F.lit(1.0), ideal).alias("weight"))
+    if bounded:
+        rated = bounded_rates(cells, dims, named, budget, rounds or BOUNDED_ROUNDS).withColumn("weight", F.lit(1.0))
+    else:
+        goal = fit(cells, dims, named, rounds or ROUNDS)
+        rated = cells
+        for d in dims:
+            rated = rated.join(goal[d].select(d, f"f_{d}"), d)
+        rated = rated.withColumn("rate", reduce(lambda a, d: a * F.col(f"f_{d}"), dims[1:], F.col(f"f_{dims[0]}")))
+        rated = written(rated.select(*dims, "tokens", "rate"))
+        sums = rated.agg(F.sum("tokens").alias("all_tokens"), F.sum(F.col("tokens") * F.col("rate")).alias("all_rates"))
+        ideal = F.coalesce(F.try_divide(F.col("rate") * budget * F.col("all_tokens"), F.col("all_rates")), F.lit(0.0))
+        rated = rated.crossJoin(F.broadcast(sums)).select(*dims, F.least(F.lit(1.0), ideal).alias("probability"), F.greatest(F.lit(1.0), ideal).alias("weight"))
     out = tagged.join(F.broadcast(written(rated)) if _small(cells) else written(rated), dims, "left")
     return out.select(*rest, F.col("__tokens").alias("tokens"), F.col("__topic").alias("topic"), "probability", "weight", (uniform(F.col(f"`{key}`")) < F.col("probability")).alias("sampled"))
 

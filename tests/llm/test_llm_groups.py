@@ -150,6 +150,26 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_bounded_mixing_meets_budget_and_targets_without_weights(spark):
+    rows = [(i, "w " * 10, "a" if i < 900 else "b", "x" if i % 10 else "y") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    kept = F.sum(F.col("tokens") * F.col("probability"))
+
+    def shares(goal, budget):
+        out = mixing.mix(df, targets=goal, topics=F.lit("t"), budget=budget, bounded=True)
+        assert out.where("probability > 1 or weight != 1").isEmpty() and out.count() == 1000
+        total = out.agg(kept).first()[0]
+        assert abs(total - budget * 10_000) < 1
+        return {d: {r[0]: r[1] / total for r in out.groupBy(d).agg(kept).collect()} for d in ("source", "lang")}
+
+    # the cell (b, y) would need a probability of 2.4: it is held at 1 and the cell (b, x) makes up for it
+    got = shares({"source": {"a": 0.84, "b": 0.16}, "lang": {"x": 0.85, "y": 0.15}}, 0.6)
+    assert abs(got["source"]["b"] - 0.16) < 1e-3 and abs(got["lang"]["y"] - 0.15) < 1e-3
+    # b has a tenth of all tokens, half of what its goal asks for: kept whole, and the budget still holds
+    assert abs(shares({"source": {"a": 0.75, "b": 0.25}}, 0.8)["source"]["b"] - 0.125) < 1e-3
+    assert mixing.mix(df.limit(0), bounded=True).count() == 0
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [(1, 0, "a", "add", '{"y": 2, "x": 1}', []), (1, 2, "b", "add", '{"x": "no"}', ["a", "zz"]), (1, 4, "c", "none", "[1]", ["b", "a"]), (1, 4, "c", "none", "[1]", ["b", "a"]), (2, 0, "p", "add", None, ["q"]), (2, 1, "q", None, "{}", ["p"]), (3, 0, None, "add", "{}", None)],
