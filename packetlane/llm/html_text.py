@@ -31,14 +31,30 @@ MARKED = frozenset(("article", "main"))
 #: Words of class, id and role that mark what is not the article.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus footer hidden masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 _WORD = re.compile(r"[a-z]+")
-#: An end tag closes up to this element only if it is open; these need no end tag.
+#: Start tags that close an open p.
 CLOSES_P = BLOCKS - {"body", "html"}
+#: Elements that hold others and that a stray end tag doesn't close.
+HOLDERS = DROPPED | MARKED
+#: Elements without end tags: a start tag closes the innermost open one of the first set, unless one of the second is open inside it.
+_ITEM_SCOPE = (BLOCKS | HOLDERS) - {"address", "div", "p"} | {"td", "th", "optgroup"}
+_TABLE_SCOPE = frozenset(("table", "template", "html"))
+IMPLIED = {
+    "li": (("li",), _ITEM_SCOPE - {"li"}),
+    "dt": (("dt", "dd"), _ITEM_SCOPE - {"dt", "dd"}),
+    "dd": (("dt", "dd"), _ITEM_SCOPE - {"dt", "dd"}),
+    "option": (("option",), _ITEM_SCOPE),
+    "td": (("td", "th"), _TABLE_SCOPE | {"tr"}),
+    "th": (("td", "th"), _TABLE_SCOPE | {"tr"}),
+    "tr": (("tr",), _TABLE_SCOPE),
+}
 
 
 class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # tag, starts a dropped part, number of its marked part or -1
+        self.places: dict[str, list[int]] = {}  # of each tag in `open`
+        self.holders: list[int] = []  # places of HOLDERS in `open`
         self.dropped = 0
         self.part = [-1]
         self.parts = 0
@@ -53,6 +69,14 @@ class Lines(HTMLParser):
             self.lines.append((s, self.tags, self.part[-1]))
             self.tags = 0
 
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close_to(self, place: int):
+        while len(self.open) > place:
+            self.pop()
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
@@ -63,6 +87,11 @@ class Lines(HTMLParser):
             return
         if tag in CLOSES_P and self.open and self.open[-1][0] == "p":
             self.pop()
+        if tag in IMPLIED:
+            ends, scope = IMPLIED[tag]
+            k = self.last(ends)
+            if k > self.last(scope):
+                self.close_to(k)
         d = dict(attrs)
         named = " ".join(filter(None, (d.get("class"), d.get("id"), d.get("role")))).lower()
         drop = tag in DROPPED or "hidden" in d or d.get("aria-hidden") == "true" or (tag not in ("html", "body") and not ASIDE_WORDS.isdisjoint(_WORD.findall(named)))
@@ -73,6 +102,9 @@ class Lines(HTMLParser):
         if drop and not self.dropped:
             self.end_line()
         self.dropped += drop
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in HOLDERS:
+            self.holders.append(len(self.open))
         self.open.append((tag, drop, part))
 
     def handle_startendtag(self, tag, attrs):
@@ -82,6 +114,9 @@ class Lines(HTMLParser):
 
     def pop(self):
         tag, drop, part = self.open.pop()
+        self.places[tag].pop()
+        if tag in HOLDERS:
+            self.holders.pop()
         if tag in BLOCKS and not self.dropped:
             self.end_line()
         self.dropped -= drop
@@ -90,13 +125,10 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        for k in range(len(self.open) - 1, max(-1, len(self.open) - 64), -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self.pop()
-                return
-            if self.open[k][0] in DROPPED | MARKED and tag not in DROPPED | MARKED | {"body", "html"}:
-                return  # a stray end tag doesn't close what holds it
+        k = self.last((tag,))
+        # a stray end tag doesn't close what holds it
+        if k >= 0 and (tag in HOLDERS or tag in ("body", "html") or not self.holders or k > self.holders[-1]):
+            self.close_to(k)
 
     def handle_data(self, data):
         if not self.dropped:

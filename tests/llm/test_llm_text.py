@@ -140,6 +140,22 @@ def test_html():
     assert html_text.extract("<p>unclosed <b>bold") == "unclosed bold"
 
 
+@pytest.mark.parametrize("n", [3, 70, 5000])
+def test_html_without_end_tags(n):
+    tail = "<p>The text after it is long enough to be the article of this page.</p>"
+    text = "The text after it is long enough to be the article of this page."
+    for head in ("<form><select>" + "<option>x" * n + "</select></form>", "<nav><ul>" + "<li><a>x</a>" * n + "</ul></nav>", "<nav>" + "<b>x" * n + "</nav>"):
+        assert html_text.extract(head + tail) == text
+    items = [f"Item {i} of the article" for i in range(n)]
+    for one in ("<ul><li>", "<dl><dd>", "<table><tr><td>"):
+        start = one[one.rindex("<", 0, -2) if one.count("<") < 3 else one.index("<tr") :]
+        page = "<article>" + one.removesuffix(start) + "".join(start + x for x in items) + f"</article>{tail}"
+        assert html_text.extract(page) == "\n".join(items)
+    # an item that is left out ends where the next one starts, but not where an inner list starts
+    assert html_text.extract('<article><ul><li class="ad">Buy<ul><li>This</ul><li>Kept<dl><dt hidden>No<dd>Yes</dl></ul></article>') == "Kept\nYes"
+    assert html_text.extract("<article><table><tr><td hidden>A<table><tr><td>B</table><td>C<tr hidden><td>D<tr><td>E</table></article>") == "C\nE"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", PAGE), (4, "v", "<p>" + "x" * 200_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.main_text(df).orderBy("page_id").collect()
