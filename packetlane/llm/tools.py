@@ -4,7 +4,8 @@
 dependencies (a call stands after all calls it depends on), checks arguments against schemas and
 serialises every call with its result as canonical JSON (keys sorted, no white space).
 
-Cases: a null identifier links with nothing; calls repeated under one identifier count once, the first by
+Cases: an identifier holds within its conversation; a row whose identifier or conversation is null links with nothing
+and stays as a row of its own, a call without level; calls repeated under one identifier count once, the first by
 (turn, name, arguments) stands, as does the first result by (turn, content); a result without a call is a
 row with status `orphan_result`; a dependency that names no call is left out and listed; calls on a cycle,
 or behind one, have a null level; arguments that are null or no JSON object are invalid; an empty table gives an
@@ -52,7 +53,7 @@ def argument_errors(arguments: Column, name: Column, schemas: dict) -> Column:
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """call_id, topo_level: the longest chain of dependencies below each call.
+    """call_id, topo_level: the longest chain of dependencies below each call. Identifiers may be of any type that compares.
 
     Chains of calls with one dependency are contracted first by doubling jumps, in as many rounds as the logarithm
     of their length; then each round settles the calls with several dependencies whose dependencies are settled.
@@ -88,24 +89,27 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
     """calls: conv_id, turn, call_id, name, arguments (JSON), depends_on (array of call_id); results: conv_id, turn, call_id, content."""
-    one = calls.groupBy("call_id").agg(F.min(F.struct("turn", "name", "arguments", "conv_id", "depends_on")).alias("c"), F.count(F.lit(1)).alias("n_calls"))
-    alone = one.where(F.col("call_id").isNull())
-    one = written(one.where(F.col("call_id").isNotNull()).select("call_id", "c.*", "n_calls"))
-    answers = results.groupBy("call_id").agg(F.min(F.struct("turn", "content", "conv_id")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    wanted = one.select(F.col("call_id").alias("child"), F.explode("depends_on").alias("parent")).where(F.col("parent").isNotNull())
-    edges = wanted.join(one.select(F.col("call_id").alias("parent")), "parent", "left_semi")
-    order = levels(one, edges)
-    linked = one.join(order, "call_id", "left").join(answers.where(F.col("call_id").isNotNull()), "call_id", "full_outer")
-    linked = linked.unionByName(alone.select("call_id", "c.*", "n_calls"), allowMissingColumns=True).unionByName(answers.where(F.col("call_id").isNull()), allowMissingColumns=True)
+    key = F.struct("conv_id", "call_id").alias("key")
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    one = calls.where(known).groupBy(key).agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"), F.count(F.lit(1)).alias("n_calls"))
+    one = written(one.select("key", "c.*", "n_calls"))
+    answers = results.where(known).groupBy(key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
+    wanted = one.select(F.col("key").alias("child"), F.explode("depends_on").alias("on")).where(F.col("on").isNotNull()).select("child", F.struct("child.conv_id", F.col("on").alias("call_id")).alias("parent"))
+    edges = wanted.join(one.select(F.col("key").alias("parent")), "parent", "left_semi")
+    order = levels(one.select(F.col("key").alias("call_id")), edges)
+    linked = one.join(order.withColumnRenamed("call_id", "key"), "key", "left").join(answers, "key", "full_outer")
+    alone = calls.where(~known).select(key, "turn", "name", "arguments", "depends_on", F.lit(1).cast("long").alias("n_calls"))
+    answers_alone = results.where(~known).select(key, F.struct("turn", "content").alias("r"), F.lit(1).cast("long").alias("n_results"))
+    linked = linked.unionByName(alone, allowMissingColumns=True).unionByName(answers_alone, allowMissingColumns=True)
     is_call = F.col("n_calls").isNotNull()
     errors = argument_errors(F.col("arguments"), F.col("name"), schemas)
     args = F.to_json(F.try_parse_json("arguments"))
     text = lambda c: F.coalesce(F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)"), F.lit("null"))
-    body = F.concat(F.lit('{"arguments":'), F.coalesce(args, F.lit("null")), F.lit(',"id":'), text("call_id"), F.lit(',"name":'), text("name"), F.lit(',"result":'), F.when(F.col("n_results").isNull(), F.lit("null")).otherwise(text("r.content")), F.lit("}"))
+    body = F.concat(F.lit('{"arguments":'), F.coalesce(args, F.lit("null")), F.lit(',"id":'), text("key.call_id"), F.lit(',"name":'), text("name"), F.lit(',"result":'), F.when(F.col("n_results").isNull(), F.lit("null")).otherwise(text("r.content")), F.lit("}"))
     return linked.select(
-        F.coalesce("conv_id", "r.conv_id").alias("conv_id"),
+        F.col("key.conv_id").alias("conv_id"),
         F.coalesce("turn", "r.turn").alias("turn"),
-        "call_id",
+        F.col("key.call_id").alias("call_id"),
         "name",
         F.col("topo_level").cast("int").alias("topo_level"),
         F.when(~is_call, "orphan_result").when(F.col("n_results").isNull(), "no_result").otherwise("linked").alias("status"),

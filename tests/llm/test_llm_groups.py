@@ -187,6 +187,23 @@ def test_tool_calls(spark):
     assert tools.link_tool_calls(calls.limit(0), results.limit(0), schema).count() == 0
 
 
+def test_tool_calls_of_several_conversations_and_null_identifiers(spark):
+    calls = spark.createDataFrame(
+        [(1, 0, "call_0", "f", "{}", None), (1, 1, "call_1", "f", "{}", ["call_0"]), (2, 0, "call_0", "f", "{}", ["call_1", "call_9"]), (3, 0, None, "f", "{}", None), (3, 0, None, "f", "{}", None), (4, 5, None, "f", "{}", ["call_0"]), (None, 7, "call_0", "f", "{}", None)],
+        "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>",
+    )
+    results = spark.createDataFrame([(1, 1, "call_0", "one"), (2, 1, "call_0", "two"), (3, 1, None, "x"), (3, 1, None, "x"), (4, 1, None, "y"), (2, 3, "call_1", "z"), (None, 8, "call_0", "n")], "conv_id long, turn long, call_id string, content string")
+    got = [(r.conv_id, r.turn, r.call_id, r.status, r.topo_level, r.n_calls, r.n_results, '"result":null' in r.message_json) for r in tools.link_tool_calls(calls, results, {"f": {}}).collect()]
+    assert sorted(got, key=repr) == sorted(
+        [(1, 0, "call_0", "linked", 0, 1, 1, False), (1, 1, "call_1", "no_result", 1, 1, 0, True), (2, 0, "call_0", "linked", 0, 1, 1, False), (2, 3, "call_1", "orphan_result", None, 0, 1, False)]
+        + [(3, 0, None, "no_result", None, 1, 0, True)] * 2
+        + [(4, 5, None, "no_result", None, 1, 0, True), (None, 7, "call_0", "no_result", None, 1, 0, True)]
+        + [(3, 1, None, "orphan_result", None, 0, 1, False)] * 2
+        + [(4, 1, None, "orphan_result", None, 0, 1, False), (None, 8, "call_0", "orphan_result", None, 0, 1, False)],
+        key=repr,
+    )
+
+
 def test_long_chains_take_few_rounds(spark):
     chain = [(f"n{i}", f"n{i - 1}") for i in range(1, 70)] + [("join", "n69"), ("join", "n3"), ("after", "join")]
     ids = sorted({x for e in chain for x in e})
