@@ -62,3 +62,39 @@ def first_hit(left: DataFrame, right: DataFrame, key: str, order: list[str], col
     """Left join to the first row of each key on the right, and how many rows there are; pre-aggregated, no window."""
     h = right.groupBy(key).agg(F.min(F.struct(*order, *[F.col(c).alias(f"v_{c}") for c in columns])).alias("f"), F.count(F.lit(1)).alias("hits"))
     return left.join(h.select(key, *[F.col(f"f.v_{c}").alias(c) for c in columns], "hits"), key, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
+_SPACE, _OTHER = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+HEAD = 60
+
+
+def _cutter(size: int):
+    return lambda k: F.substring(F.col("text"), k, F.lit(size))
+
+
+def _tagger(by_word: bool):
+    return lambda head: F.struct(F.lit(by_word).alias("by_word"), head.alias("head"))
+
+
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, item_id: documents (doc_id, text) that hold a passage (item_id, text) of any length, wherever it begins.
+
+    Candidates come from an equi-join on heads of at most HEAD characters. A passage with white space inside has its head
+    at its second word, as there any document that holds it has a word start too; the head of any other passage is
+    its beginning, looked for at every character. Then the exact test decides.
+    """
+    inner = F.regexp_extract("text", rf"(?s){_SPACE}({_OTHER}.{{0,{HEAD - 1}}})", 1)
+    heads = passages.where("text is not null").select("item_id", F.col("text").alias("passage"), (inner != "").alias("by_word"), F.when(inner != "", inner).otherwise(F.substring("text", 1, HEAD)).alias("head"))
+    heads = heads.withColumn("size", F.length("head"))
+    docs = docs.select("doc_id", "text")
+    found = [F.array().cast("array<struct<by_word:boolean,head:string>>")]
+    for by_word, size in sorted(tuple(r) for r in heads.select("by_word", "size").distinct().collect()):
+        if by_word:
+            at = F.regexp_extract_all("text", F.lit(rf"(?s)(?<={_SPACE})(?=({_OTHER}.{{{size - 1}}}))"), 1)
+        else:
+            at = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - (size - 1))), _cutter(size))
+        found.append(F.transform(F.array_distinct(at), _tagger(by_word)))
+    starts = docs.select("doc_id", F.explode(F.concat(*found)).alias("s")).select("doc_id", "s.*")
+    starts = starts.join(heads.select("by_word", "head").distinct(), ["by_word", "head"], "left_semi")
+    pairs = starts.join(heads, ["by_word", "head"]).select("doc_id", "item_id", "passage")
+    return pairs.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()

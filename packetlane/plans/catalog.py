@@ -450,13 +450,8 @@ def reading_fallback(spark, d):
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 60""")
 def contamination(spark, d):
-    """Documents that hold a benchmark text whole: an equi-join of the text's first 60 characters with the 60 characters at each word of a document, then the exact test."""
-    b = t(spark, d, "benchmark").where(F.length("text") >= 60).select("item_id", F.col("text").alias("passage"))
-    head = b.select(F.substring("passage", 1, 60).alias("head")).distinct()
-    b = b.withColumn("head", F.substring("passage", 1, 60))
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    starts = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(\b\S.{59}))"), 1))).alias("head")).join(head, "head", "left_semi")
-    return starts.join(b, "head").join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
+    """Documents that hold a benchmark text of any length whole; the SQL says so for texts of 60 characters or more only, as all given ones are."""
+    return compare.containing(t(spark, d, "documents"), t(spark, d, "benchmark"))
 
 
 @query("SELECT name, kind, count(*) AS n FROM (SELECT p_partkey, unnest([(p_size % 9)::VARCHAR, (p_size % 9) || 'a', CASE WHEN p_size % 2 = 0 THEN (p_size % 7) || 'B' ELSE 'id' END]) AS name, unnest([CASE WHEN true THEN 'mcq' END, 'mcq_choice', CASE WHEN p_size % 2 = 0 THEN 'mcq_choice' ELSE 'text' END]) AS kind FROM part) GROUP BY ALL")

@@ -94,3 +94,15 @@ def test_results_do_not_depend_on_partitions(spark):
     v = spark.createDataFrame([("f", f"v{i % 7}") for i in range(100)], "field string, v string")
     got = {str(rows(normalize.dominant(normalize.value_counts(v.repartition(n), ["field"], F.col("v")), ["field"]), "field")) for n in (1, 4, 16)}
     assert len(got) == 1
+
+
+def test_containing_passages_of_any_length_at_any_place(spark):
+    long = "the quick brown fox jumps over the lazy dog, again and again, until the night comes"
+    passages = ["fox", "é b", long, '"' + long, "ick" + long[7:] + " x", "x" * 70, "-", "", None, " lead", "tail ", "a\nb", "😀 z", "éa " + long]
+    texts = [None, "", "a fox", 'He said ("' + long + '") once', "qu" + long, "tr" + "ick" + long[7:] + " x", "y" * 9 + "x" * 70, "é b", "blé bé", "no lead", "  tail  ", "a\nbc", "w😀 zz", "éa " + long, "(éa " + long]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    want = {(i, j) for i, x in enumerate(texts) for j, p in enumerate(passages) if x is not None and p is not None and p in x}
+    got = [(r.doc_id, r.item_id) for r in compare.containing(docs, items).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert compare.containing(docs, items.limit(0)).count() == 0
