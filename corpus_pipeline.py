@@ -2,7 +2,7 @@
 
 Every stage is a function (spark, docs, sf_dir) -> DataFrame over all rows of its input. All but the last
 return the columns of documents (extra columns of the input stay where the stage only filters). Null and
-empty texts are rejected by the first stage; an empty table passes through as an empty table.
+empty texts are rejected by the first stage; rows with a null doc_id are no copies of others and stay; an empty table passes through as an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies."""
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and topics come near their target shares; no weights are kept, so probabilities are bounded."""
-    return mixing.mix(docs, budget=BUDGET, bounded=True).where("sampled").select(docs.columns)
+    """Samples documents so that sources, languages and topics come near their target shares; no weights are kept, so probabilities are bounded. Rows with a null doc_id are drawn by their text."""
+    drawn = F.coalesce("sampled", mixing.uniform(F.col("text")) < F.col("probability"))
+    return mixing.mix(docs, budget=BUDGET, bounded=True).where(drawn).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

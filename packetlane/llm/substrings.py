@@ -91,14 +91,16 @@ def _unpacker():
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """doc_id, h1 (a hash of the text) and the text as compressed bytes, for shuffles."""
+    """doc_id, h1 (a hash of the text), the text as compressed bytes, for shuffles, and any other columns as they are."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    more = "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in rest)
 
     def run(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in slices(batches, 2048):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if t is None else c.compress(encoded(t)) for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "h1", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if t is None else c.compress(encoded(t)) for t in b.column(2).to_pylist()], pa.binary()), *b.columns[3:]], names=["doc_id", "h1", "text", *rest])
 
-    return rows.select("doc_id", F.xxhash64("text").alias("h1"), "text").mapInArrow(run, "doc_id long, h1 long, text binary")
+    return rows.select("doc_id", F.xxhash64("text").alias("h1"), "text", *rest).mapInArrow(run, "doc_id long, h1 long, text binary" + more)
 
 
 def _short(a: np.ndarray, n_parts: int) -> np.ndarray:
@@ -300,10 +302,11 @@ def cut(texts: DataFrame, keep_text: bool = False) -> DataFrame:
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the bytes kept, and columns that are carried along, of an id's least row) of every row."""
-    every = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the bytes kept, and the row's own columns that are carried along) of every row."""
+    more = [F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(carry)]).alias("more")] if carry else []
+    every = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"), *more)
     bundle = packed(every)
-    rows = every.where("doc_id is not null")
+    rows = every.where("doc_id is not null").select("doc_id", "text")
     prints = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.reverse(F.md5(F.col("text").cast("binary")))).alias("h2"), F.octet_length("text").alias("size")]
     digest = written(rows.where(F.octet_length("text") >= LENGTH).select("doc_id", *prints))
     total = digest.agg(F.sum("size")).first()[0] or 0
@@ -317,8 +320,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep_text
     out = bundle.join(found, "doc_id", "left")
     gone = F.coalesce(F.exists("all", lambda m: (m["start"] < 0) & (m["mask"] == F.col("h1"))), F.lit(False))
     places = F.filter("all", lambda m: m["start"] >= 0)
-    done = cut(out.select("doc_id", "text", gone.alias("whole"), F.when(F.size(places) > 0, places).alias("found")), keep_text)
+    done = cut(out.select("doc_id", "text", *["more"] * bool(carry), gone.alias("whole"), F.when(F.size(places) > 0, places).alias("found")), keep_text)
     if not carry:
         return done
-    more = docs.groupBy(docs[key].cast("long").alias("doc_id")).agg(F.min(F.struct(*[docs[f"`{c}`"].alias(f"c{k}") for k, c in enumerate(carry)])).alias("more"))
-    return done.join(more, "doc_id", "left").select(*done.columns, *[F.col(f"more.c{k}").alias(c) for k, c in enumerate(carry)])
+    return done.select(*[c for c in done.columns if c != "more"], *[F.col(f"more.c{k}").alias(c) for k, c in enumerate(carry)])

@@ -17,3 +17,14 @@ def test_stages(spark, data):
             assert {r.doc_id for r in docs.select("doc_id").collect()} == want
     assert names == ["language_id", "minhash_near_dedup", "suffix_dedup", "mixing", "byte_bpe"]
     assert 0 < docs.count() < 200 and docs.where("n_tokens = 0").isEmpty()
+
+
+def test_null_ids_stay(spark):
+    words = [f"word{i}" for i in range(60)]
+    texts = {None: " ".join(words), 1: " ".join(reversed(words)), 2: " ".join(reversed(words))}
+    rows = [(i, x, "en", f"s{i}", len(x)) for i, x in texts.items()] + [(None, "another text " * 9, "fr", "other", 117)]
+    docs = corpus_pipeline.written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    left = [(None, "en", "sNone"), (None, "fr", "other"), (1, "en", "s1")]
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeated_strings):
+        got = stage(spark, docs, "").select("doc_id", "lang", "source").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(left, key=repr)
