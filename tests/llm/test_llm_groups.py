@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packetlane.llm import bwt, embeddings, graph, minhash, mixing, substrings, tools
+from packetlane.llm import bwt, embeddings, graph, minhash, mixing, store, substrings, tools
 
 
 def words_of(t):
@@ -60,12 +60,25 @@ def test_minhash(spark, texts, small, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
-def test_minhash_empty_and_repeated(spark):
-    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "A B")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()) == [(1, 1), (2, 1)]
+def test_minhash_empty_null_and_repeated(spark):
+    one, two = "a b c d e f g", "h i j k l m n"
+    rows = [(1, "a b"), (1, "a b"), (2, "A B"), (None, "a b"), (None, one), (7, one), (7, two), (8, two), (5, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.n_shingles, r.kept) for r in minhash.near_duplicates(df).collect()), key=repr)
+    want = [(1, 1, 1, True)] * 2 + [(2, 1, 1, False), (None, None, 1, True), (None, None, 3, True), (5, 5, 3, True), (8, 5, 3, False)] + [(7, 5, 3, False)] * 2
+    assert got == sorted(want, key=repr)
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_beyond_the_bitmap(spark, texts, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, minhash.near_duplicates(df).collect()))
+    monkeypatch.setattr(minhash, "FILTER_BITS", 16)  # texts and ids are joined
+    monkeypatch.setattr(minhash, "HELD_KEYS", 100)
+    monkeypatch.setattr(minhash, "PART_KEYS", 100)
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == want
+
+
 def test_sketches_fill():
     s = minhash.sketches([np.arange(n, dtype=np.uint64) * 7919 + 1 for n in (1, 3, 50, 2000)])
     assert (s != minhash._NONE).all()
@@ -136,6 +149,19 @@ def test_components(spark):
     assert {k: v for k, v in want.items() if k in got} == got and all(k in got for k, v in want.items() if v != k)
 
 
+@pytest.mark.parametrize("shape", ["path", "zigzag", "star"])
+def test_components_take_few_rounds(spark, shape, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df: tables.append(1) or graph_written(df))
+    graph_written = store.written
+    n = 2000
+    place = {"path": range(n), "zigzag": [i // 2 if i % 2 else n - i // 2 for i in range(n)]}.get(shape)
+    edges = [(n, i) for i in range(n)] if shape == "star" else list(zip(place, list(place)[1:]))
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len({x for e in edges for x in e}) and {x.component_id for x in got} == {min(x for e in edges for x in e)}
+    assert len(tables) < 30
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, "word " * (1 + i % 9), f"s{i % 3}" if i % 5 else None, "ab"[i % 2]) for i in range(600)] + [(1000, None, "s0", "a"), (1001, "", "s0", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"weight": F.lit("clash")})
