@@ -32,9 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings that an earlier document has; documents with nothing left go."""
-    cut = substrings.dedup(docs, keep_text=True, carry=["lang", "source"])
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    return cut.where(F.octet_length("kept") > 0).select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = substrings.dedup(docs, keep_text=True, characters=True, carry=["lang", "source"])
+    return cut.where(F.octet_length("kept") > 0).select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,6 +112,20 @@ def test_substrings(spark, hot, monkeypatch):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
+def test_substrings_null_ids_long_texts_and_whole_characters(spark):
+    r = random.Random(8)
+    long = "".join(r.choices("abcdefghij ", k=3 << 20))  # more than one chunk
+    # 60 equal bytes begin inside the first é and end inside the last one
+    left, right = "\u00e9" + "x" * 58 + "\u00e9", "\u0129" + "x" * 58 + "\u00ea"
+    rows = [(None, long), (None, long), (1, long), (2, "head " + long[1000:2_500_000] + " tail"), (3, None), (4, left), (5, right)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed, x.kept_sha256) for x in substrings.dedup(df).collect()), key=repr)
+    cut = brute_cut([x for x in rows if x[0]])
+    kept = (None, len(long), 0, hashlib.sha256(long.encode()).hexdigest())
+    assert got == sorted([kept, kept] + [(i, c[0], c[1], c[3]) for i, c in cut.items()], key=repr)
+    assert cut[5][1] == 60 and {x.doc_id: bytes(x.kept).decode() for x in substrings.dedup(df.where("doc_id >= 4"), keep_text=True, characters=True).collect()} == {4: left, 5: "\u0129\u00ea"}
+
+
 def test_bwt_classes():
     rng = np.random.default_rng(1)
     for n in (1, 2, 60, 200):
