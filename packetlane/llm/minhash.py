@@ -274,13 +274,8 @@ def tiled(members: DataFrame, sets: DataFrame) -> DataFrame:
             x, y = np.nonzero(link)
             found_a, found_b = rows_a[x], rows_b[y]
         # nodes are labels here: what is joined already needs no second edge
-        k = {}
-        for a, b in zip(found_a.tolist(), found_b.tolist(), strict=True):
-            k.setdefault((int(label[a]), int(label[b])), (a, b))
-        pairs = list(k)
-        kept = set(forest(int(label.max()) + 1 if len(label) else 0, np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)))
-        out = [k[p] for p in pairs if p in kept]
-        return pa.table({"a": pa.array([int(ids[a]) for a, _ in out], pa.int64()), "b": pa.array([int(ids[b]) for _, b in out], pa.int64())})
+        at = forest(np.arange(len(ids)), label[found_a], label[found_b])
+        return pa.table({"a": ids[found_a[at]].astype(np.int64), "b": ids[found_b[at]].astype(np.int64)})
 
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 

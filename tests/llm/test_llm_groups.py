@@ -155,6 +155,36 @@ def test_embeddings(spark, tile):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_null_and_repeated_ids(spark):
+    a, b, c = [1.0, 0.0], [1.0, 0.1], [0.0, 1.0]
+    rows = [(None, a), (None, a), (3, a), (3, a), (3, c), (5, b), (4, c), (9, [2.0, 0.0])]
+    want = [(None, 0, None, True)] * 2 + [(3, 3, 3, True)] * 2 + [(3, 1, 3, True), (4, 1, 3, False), (5, 3, 3, False), (9, 3, 3, False)]
+    for kind in ("float", "double"):
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_tiles_of_alike_vectors_need_little_memory(spark, monkeypatch):
+    n, width = 3000, 48
+    v = np.ones((n, width)) + np.random.default_rng(3).normal(scale=0.01, size=(n, width))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = embeddings.near_duplicates(rows, tile=1500).collect()
+    assert {(r.n_links, r.component_id, r.kept) for r in got if r.vec_id} == {(n - 1, 0, False)} and len(got) == n
+
+
+def test_forest():
+    r = random.Random(3)
+    for n in (1, 2, 30, 200):
+        a, b = (np.array([r.randrange(n) for _ in range(n)]) for _ in range(2))
+        label = np.arange(n)
+        first = embeddings.forest(label, a[: n // 2], b[: n // 2])
+        second = embeddings.forest(label, a[n // 2 :], b[n // 2 :]) + n // 2
+        kept = np.concatenate([first, second])
+        want = closure(range(n), list(zip(a.tolist(), b.tolist(), strict=True)))
+        assert closure(range(n), list(zip(a[kept].tolist(), b[kept].tolist(), strict=True))) == want
+        assert len(kept) == n - len(set(want.values())) and all((label[i] == label[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 520)] + [(5, 5)]
