@@ -1,12 +1,16 @@
 """Operator 10: main text of web pages.
 
 Events of the standard library's streaming parser fill lines, one for each block. A line's text-to-tag
-ratio is the length of its text by the number of tags met since the line before; the ratios are smoothed
-with a Gaussian kernel and split into two clusters at a threshold found from their own means; runs of
-lines above it are content regions. Elements that are never article text (menus, headers, footers, asides,
-forms, scripts, notices, adverts, comments) are left out with all they hold. If the page marks its
-article (article, main), the regions choose which marked parts are meant, and these are kept whole, so that
-short paragraphs between long ones stay; else the regions are the result.
+ratio is the length of its text by the number of tags met since the line before; its score is the logarithm of
+that ratio, raised inside article and main and lowered inside elements whose class, id or role names what is no
+article. Scores are smoothed with a Gaussian kernel and split into two clusters at a threshold found from their
+own means; runs of lines above it, without weak lines at their ends, are content.
+
+Clusters then settle the rest by place: an element that holds lines (article, section, div, cell) is content as a whole
+if enough of its text is (SHARE of it; any of it where article or main is marked), and lines between two runs are
+content if the elements around them meet below the body; under the body itself a run takes the heading before it.
+Lowered lines are never drawn in like this. What is never article text by its tag (menus, forms, scripts, styles, asides,
+footers, headers outside articles) and what is hidden gives no lines.
 
 Cases: null, empty and text-free html give an empty text; html of any length is taken whole; unclosed and
 stray tags are tolerated; equal html gives equal text; an empty table gives an empty result; extra columns
@@ -32,10 +36,18 @@ MARKED = frozenset(("article", "main"))
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus footer hidden masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 _WORD = re.compile(r"[a-z]+")
 #: Start tags that close an open p.
-CLOSES_P = BLOCKS - {"body", "html"}
+CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: Elements that hold others and that a stray end tag doesn't close.
 HOLDERS = DROPPED | MARKED
+#: Elements whose lines are judged together.
+BOXES = frozenset("article body div main section td th".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What a mark adds to the score of a line, and what a name of ASIDE_WORDS takes off.
+RAISED, LOWERED = 3.0, 10.0
+#: Of an element's text, what must be content for the whole of it to be.
+SHARE = 0.4
 #: Elements without end tags: a start tag closes the innermost open one of the first set, unless one of the second is open inside it.
+_SCOPE = (BLOCKS | HOLDERS) - {"p"}
 _ITEM_SCOPE = (BLOCKS | HOLDERS) - {"address", "div", "p"} | {"td", "th", "optgroup"}
 _TABLE_SCOPE = frozenset(("table", "template", "html"))
 IMPLIED = {
@@ -52,21 +64,24 @@ IMPLIED = {
 class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, starts a dropped part, number of its marked part or -1
+        self.open: list[tuple[str, int, int, bool]] = []  # tag, 1 if it starts a dropped part, 1 if a lowered one, whether it is a box
         self.places: dict[str, list[int]] = {}  # of each tag in `open`
         self.holders: list[int] = []  # places of HOLDERS in `open`
-        self.dropped = 0
-        self.part = [-1]
-        self.parts = 0
+        self.scopes: list[int] = []  # and of _SCOPE
+        self.dropped = self.lowered = 0
+        self.boxes: list[tuple[int, bool, bool]] = [(-1, False, True)]  # parent, marked, whether it is the body or the page
+        self.inside = [False]  # whether each box is marked or in a marked one
+        self.box = [0]
         self.text: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []  # text, tags, marked part
+        self.heading = False
+        self.lines: list[tuple[str, int, int, bool, bool]] = []  # text, tags, box, lowered, heading
 
     def end_line(self):
         s = " ".join("".join(self.text).split())
         self.text.clear()
         if s:
-            self.lines.append((s, self.tags, self.part[-1]))
+            self.lines.append((s, self.tags, self.box[-1], self.lowered > 0, self.heading))
             self.tags = 0
 
     def last(self, tags) -> int:
@@ -78,34 +93,44 @@ class Lines(HTMLParser):
             self.pop()
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
+        self.tags += not self.dropped
         if tag == "br":
             self.text.append(" ")
         if tag in BLOCKS and not self.dropped:
             self.end_line()
         if tag in VOID:
             return
-        if tag in CLOSES_P and self.open and self.open[-1][0] == "p":
-            self.pop()
+        if tag in CLOSES_P and self.places.get("p") and self.places["p"][-1] > (self.scopes[-1] if self.scopes else -1):
+            self.close_to(self.places["p"][-1])
         if tag in IMPLIED:
             ends, scope = IMPLIED[tag]
             k = self.last(ends)
             if k > self.last(scope):
                 self.close_to(k)
+        if tag in BLOCKS:
+            self.heading = tag in HEADINGS
         d = dict(attrs)
         named = " ".join(filter(None, (d.get("class"), d.get("id"), d.get("role")))).lower()
-        drop = tag in DROPPED or "hidden" in d or d.get("aria-hidden") == "true" or (tag not in ("html", "body") and not ASIDE_WORDS.isdisjoint(_WORD.findall(named)))
-        part = -1
-        if not self.dropped and not drop and (tag in MARKED or d.get("role") == "main") and self.part[-1] < 0:
-            part, self.parts = self.parts, self.parts + 1
-            self.part.append(part)
+        drop = (tag in DROPPED and not (tag == "header" and self.places.get("article"))) or "hidden" in d or d.get("aria-hidden") == "true"
+        low = tag not in ("html", "body") and bool(named) and not ASIDE_WORDS.isdisjoint(_WORD.findall(named))
         if drop and not self.dropped:
             self.end_line()
         self.dropped += drop
-        self.places.setdefault(tag, []).append(len(self.open))
+        self.lowered += low
+        box = tag in BOXES and not self.dropped
+        if box:
+            parent = self.box[-1]
+            self.box.append(len(self.boxes))
+            marked = tag in MARKED or d.get("role") == "main"
+            self.boxes.append((parent, marked, tag == "body"))
+            self.inside.append(marked or self.inside[parent])
+        place = len(self.open)
+        self.places.setdefault(tag, []).append(place)
         if tag in HOLDERS:
-            self.holders.append(len(self.open))
-        self.open.append((tag, drop, part))
+            self.holders.append(place)
+        if tag in _SCOPE:
+            self.scopes.append(place)
+        self.open.append((tag, int(drop), int(low), box))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -113,18 +138,23 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def pop(self):
-        tag, drop, part = self.open.pop()
+        tag, drop, low, box = self.open.pop()
         self.places[tag].pop()
         if tag in HOLDERS:
             self.holders.pop()
-        if tag in BLOCKS and not self.dropped:
-            self.end_line()
+        if tag in _SCOPE:
+            self.scopes.pop()
+        if tag in BLOCKS:
+            if not self.dropped:
+                self.end_line()
+            self.heading = False
         self.dropped -= drop
-        if part >= 0:
-            self.part.pop()
+        self.lowered -= low
+        if box:
+            self.box.pop()
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.tags += not self.dropped
         k = self.last((tag,))
         # a stray end tag doesn't close what holds it
         if k >= 0 and (tag in HOLDERS or tag in ("body", "html") or not self.holders or k > self.holders[-1]):
@@ -165,6 +195,51 @@ def trimmed(region: np.ndarray, strong: np.ndarray) -> np.ndarray:
     return out
 
 
+def scores(p: Lines) -> np.ndarray:
+    """Of each line, before smoothing."""
+    return np.array([np.log2(1 + len(s) / max(1, n)) + RAISED * p.inside[box] - LOWERED * low for s, n, box, low, _ in p.lines])
+
+
+def content(p: Lines) -> np.ndarray:
+    """Whether each line is part of the main text."""
+    score = scores(p)
+    smoothed = smooth(score)
+    cut = threshold(smoothed)
+    strong = trimmed(smoothed >= cut, score >= cut - 1e-9)
+    box = np.array([line[2] for line in p.lines])
+    low = np.array([line[3] for line in p.lines])
+    low &= not low.all()  # where all is lowered, nothing is
+    size = np.array([len(line[0]) for line in p.lines])
+    total = np.bincount(box, size * ~low, len(p.boxes))
+    held = np.bincount(box, size * strong, len(p.boxes))
+    for k in range(len(p.boxes) - 1, 0, -1):  # marked boxes count what their boxes hold
+        parent = p.boxes[k][0]
+        if not p.boxes[k][1]:
+            held[parent] += held[k] * p.inside[parent]
+    whole = [False]
+    for (parent, marked, outer), h, t in zip(p.boxes[1:], held[1:].tolist(), total[1:].tolist(), strict=True):
+        whole.append(not outer and h > 0 and (marked or h >= SHARE * t) or (p.inside[parent] and not marked and whole[parent]))
+    out = strong | (np.array(whole)[box] & ~low)
+    runs = np.flatnonzero(out)
+    for a, b in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+        if b > a + 1 and (box[a] == box[b] or not p.boxes[meeting(p.boxes, box[a], box[b])][2]):
+            out[a + 1 : b] = ~low[a + 1 : b]
+    for a in runs.tolist():
+        while a and p.boxes[box[a]][2] and p.lines[a - 1][4] and box[a - 1] == box[a] and not out[a - 1]:
+            a -= 1
+            out[a] = ~low[a]
+    return out
+
+
+def meeting(boxes: list, a: int, b: int) -> int:
+    """The innermost box around both."""
+    while a != b:  # a parent has a lower number
+        if a < b:
+            a, b = b, a
+        a = boxes[a][0]
+    return a
+
+
 def extract(html: str | None) -> str:
     if not html:
         return ""
@@ -174,14 +249,7 @@ def extract(html: str | None) -> str:
     p.end_line()
     if not p.lines:
         return ""
-    ratio = smooth(np.array([len(s) / max(1, n) for s, n, _ in p.lines]))
-    cut = threshold(ratio)
-    content = trimmed(ratio >= cut, np.array([len(s) / max(1, n) for s, n, _ in p.lines]) >= cut / 4)
-    parts = {part for s, _, part in p.lines if part >= 0}
-    if parts:
-        chosen = {line[2] for line, c in zip(p.lines, content, strict=True) if c} & parts or parts
-        return "\n".join(s for s, _, part in p.lines if part in chosen)
-    return "\n".join(line[0] for line, c in zip(p.lines, content, strict=True) if c)
+    return "\n".join(line[0] for line, c in zip(p.lines, content(p), strict=True) if c)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

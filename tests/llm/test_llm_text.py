@@ -1,9 +1,14 @@
 """Operators on single texts: exact round trips, held-out accuracy, odd rows."""
 
+import collections
 import hashlib
+import math
+import random
 import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +161,47 @@ def test_html_without_end_tags(n):
     assert html_text.extract("<article><table><tr><td hidden>A<table><tr><td>B</table><td>C<tr hidden><td>D<tr><td>E</table></article>") == "C\nE"
 
 
+def test_smoothing_and_threshold_by_brute_force():
+    r = random.Random(4)
+    for n in (1, 2, 3, 9, 40):
+        x = np.array([r.random() * 10 for _ in range(n)])
+        weight = [math.exp(-0.5 * k * k) for k in range(-3, 4)]
+        want = [sum(w * x[min(max(i + k, 0), n - 1)] for k, w in zip(range(-3, 4), weight, strict=True)) / sum(weight) for i in range(n)]
+        assert np.allclose(html_text.smooth(x), want)
+        cut = html_text.threshold(x)
+        low, high = [v for v in x if v < cut], [v for v in x if v >= cut]
+        assert high and (not low or abs(cut - (sum(low) / len(low) + sum(high) / len(high)) / 2) < 1e-6)
+
+
+@pytest.mark.parametrize("change", [{}, {"article": "div"}, {"article": "section", ' class="ad"': ""}])
+def test_html_regions_decide_without_marks(data, change, monkeypatch):
+    rows = pq.read_table(f"{data}/pages.parquet", columns=["html"]).column(0).to_pylist()
+    kept = wanted = found = 0
+    for h in rows:
+        want = html_text.extract(h)
+        for a, b in change.items():
+            h = h.replace(f"<{a}>", f"<{b}>").replace(f"</{a}>", f"</{b}>").replace(a, b if a.startswith(" ") else a)
+        got = html_text.extract(h)
+        both = sum((collections.Counter(got.split()) & collections.Counter(want.split())).values())
+        kept, wanted, found = kept + len(got.split()), wanted + len(want.split()), found + both
+    assert found >= 0.95 * wanted and found >= 0.95 * kept
+    # the clusters decide: without a threshold nothing is told apart
+    monkeypatch.setattr(html_text, "threshold", lambda x: -100.0)
+    assert "Ad text" in html_text.extract(f"<body><div>Ad text</div><div><p>{'word ' * 80}<p>{'more ' * 90}</div></body>")
+    monkeypatch.undo()
+    assert "Ad text" not in html_text.extract(f"<body><div>Ad text</div><div><p>{'word ' * 80}<p>{'more ' * 90}</div></body>")
+
+
+def test_html_names_weigh_and_do_not_rule():
+    body = "<h1>Title</h1>" + "".join(f"<p>{'text ' * 60}{k}" for k in range(4))
+    plain = html_text.extract(f"<div>{body}</div>")
+    assert html_text.extract(f'<div class="share-page">{body}</div>') == plain != ""  # all is lowered: nothing is
+    assert html_text.extract(f'<article><header>{body}</header></article>') == plain
+    assert html_text.extract(f'<div>{body}</div><div class="comments"><p>{"reply " * 200}</div>') == plain
+    assert html_text.extract(f'<article><div class="ad">Buy now</div>{body}<div class="promo">Offer</div><p>End</article>') == plain + "\nEnd"
+    assert html_text.extract(f"<article>{body}</article><article>{body}</article>") == plain + "\n" + plain
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", PAGE), (4, "v", "<p>" + "x" * 200_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.main_text(df).orderBy("page_id").collect()
