@@ -109,18 +109,21 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topics: Column | None = None, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int | None = None, bounded: bool = False) -> DataFrame:
-    """Adds tokens, topic, probability, weight (1 if bounded) and sampled to every row."""
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topics: Column | None = None, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int | None = None, bounded: bool = False, drop_text: bool = False) -> DataFrame:
+    """Adds tokens, topic, probability, weight (1 if bounded) and sampled to every row. drop_text: without the text, which is then read once only."""
     new = ("tokens", "topic", "probability", "weight", "sampled")
-    rest = [c for c in docs.columns if c not in new]
+    rest = [c for c in docs.columns if c not in new and not (drop_text and c == text)]
     dims = ["__source", "__lang", "__topic"]
     tagged = docs.select(
         *[docs[f"`{c}`"] for c in rest],
+        docs[text].alias("__text"),
         n_tokens(docs[text]).alias("__tokens"),
         F.coalesce(docs[source].cast("string"), F.lit(NULL_VALUE)).alias("__source"),
         F.coalesce(docs[lang].cast("string"), F.lit(NULL_VALUE)).alias("__lang"),
     )
-    tagged = tagged.withColumn("__topic", F.coalesce(topics, F.lit(NULL_VALUE)) if topics is not None else topic(F.col(f"`{text}`"), F.col("__tokens")))
+    tagged = tagged.withColumn("__topic", F.coalesce(topics, F.lit(NULL_VALUE)) if topics is not None else topic(F.col("__text"), F.col("__tokens"))).drop("__text")
+    if drop_text:
+        tagged = written(tagged.select(*rest, "__tokens", *dims))
     cells = written(tagged.groupBy(*dims).agg(F.sum("__tokens").alias("tokens")))
     named = {f"__{k}": v for k, v in targets.items()} if targets else None
     if bounded:
@@ -139,6 +142,16 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     return out.select(*rest, F.col("__tokens").alias("tokens"), F.col("__topic").alias("topic"), "probability", "weight", (uniform(F.col(f"`{key}`")) < F.col("probability")).alias("sampled"))
 
 
+def residuals(mixed: DataFrame, dim: str, targets: dict[str, float] | None = None) -> DataFrame:
+    """value, goal, got, residual of one dimension of what `mix` gave: shares of the expected tokens, with their weights, against targets (else: smoothed observed shares)."""
+    expected = F.sum(F.col("tokens") * F.col("probability") * F.col("weight"))
+    got = mixed.groupBy(F.coalesce(F.col(dim).cast("string"), F.lit(NULL_VALUE)).alias(dim)).agg(F.sum("tokens").alias("tokens"), expected.alias("expected"))
+    total = F.broadcast(got.agg(F.sum("expected").alias("total")))  # one row
+    goal = goals(got, [dim], {dim: targets} if targets else None)[dim]
+    share = F.coalesce(F.try_divide("expected", "total"), F.lit(0.0))
+    return got.crossJoin(total).join(goal, dim).select(F.col(dim).alias("value"), "goal", share.alias("got"), F.abs(share - F.col("goal")).alias("residual"))
+
+
 def _small(cells: DataFrame, most: int = 100_000) -> bool:
     """Whether the table of cells may be broadcast: its rows are counted first; beyond that the join shuffles."""
     return cells.count() <= most

@@ -58,7 +58,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(documents(spark, sf_dir))
+    out = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), drop_text=True)
     return out.select("doc_id", "tokens", "topic", F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"), "sampled")
 
 
