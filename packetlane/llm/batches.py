@@ -30,12 +30,12 @@ def encoded(text: str | bytes | None) -> bytes:
     return b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
 
 
-def chunks(texts: list[str | None]):
-    """(first, list of UTF-8 texts) with about CHUNK_BYTES in each; a longer text has its own."""
+def chunks(texts: list[str | None], most: int = CHUNK_BYTES):
+    """(first, list of UTF-8 texts) with about `most` bytes in each; a longer text has its own."""
     at, held, size = 0, [], 0
     for k, text in enumerate(texts):
         b = encoded(text)
-        if held and size + len(b) > CHUNK_BYTES:
+        if held and size + len(b) > most:
             yield at, held
             at, held, size = k, [], 0
         held.append(b)
@@ -96,6 +96,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((h[ends] - h[starts]) * powers(len(data) + 1)[1][starts])
 
 
+def piece_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hashes of pieces that follow each other, from 0 to ends[0], ends[0] to ends[1] and so on, some of them at a time."""
+    out, first, at = np.empty(len(ends), dtype=np.uint64), 0, 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, at + CHUNK_BYTES // 2, side="right")))
+        e = ends[first:last] - at
+        out[first:last] = span_hashes(data[at : at + e[-1]], np.concatenate(([0], e[:-1])), e)
+        first, at = last, int(ends[last - 1])
+    return out
+
+
 def words(held: list[bytes], inside: np.ndarray, stem: int = 0) -> tuple[np.ndarray, ...]:
     """(hash of each word, with `stem` also of its first bytes, number of words in each text): words are runs of bytes marked in `inside`, lower-cased."""
     data = LOWER[np.frombuffer(b"\x20".join(held) + b"\x20", dtype=np.uint8)]

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlane.llm.batches import chunks, encoded, mix64, powers, prefix_hash, slices, span_hashes
+from packetlane.llm.batches import chunks, encoded, mix64, piece_hashes, powers, prefix_hash, slices, span_hashes
 from packetlane.llm.bwt import equal_classes
 from packetlane.llm.store import dropped, written
 
@@ -45,7 +45,9 @@ HOT = 2000
 #: Groups that the strings of hot anchors are dealt to before equal ones meet.
 SALTS = 16
 #: Bytes of text for one part; its anchors and shared pieces fit in a task's memory several times over.
-PART_BYTES = 12 << 20
+PART_BYTES = 8 << 20
+#: Bytes of text whose anchors are computed at once.
+CHUNK = 1 << 20
 #: Distinct pieces of this many bytes are transformed at once.
 BLOCK = 1 << 20
 
@@ -126,7 +128,7 @@ def shared_anchors(texts: DataFrame, n_parts: int) -> DataFrame:
     def deal(batches):
         for b in slices(batches, 4096):
             all_ids = b.column(0).to_numpy()
-            for first, held in chunks(b.column(1).to_pylist()):
+            for first, held in chunks(b.column(1).to_pylist(), CHUNK):
                 _, a, text, _, _ = anchors(held)
                 ids = all_ids[first : first + len(held)].astype(np.int64)
                 whole = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in held], dtype=np.uint64)
@@ -196,7 +198,7 @@ def pieces(listed: DataFrame, n_parts: int) -> DataFrame:
         for b in slices(batches, 512):
             all_ids = b.column(0).to_numpy()
             lists = b.column(2)
-            for first, held in chunks([unpack(x) for x in b.column(1).to_pylist()]):
+            for first, held in chunks([unpack(x) for x in b.column(1).to_pylist()], CHUNK):
                 data, a, text, place, length = anchors(held)
                 begin = np.cumsum([0, *map(len, held)])
                 found = lists.slice(first, len(held))
@@ -275,7 +277,7 @@ def covered(blocks: DataFrame) -> DataFrame:
         if salt and len(ids):
             end = np.cumsum(length.astype(np.int64) + LENGTH - 1)
             begin = end - (length.astype(np.int64) + LENGTH - 1)
-            gone = _settled(ids, span_hashes(data, begin, end) ^ mix64(a))
+            gone = _settled(ids, piece_hashes(data, end) ^ mix64(a))
             out.append(_marks(part, ids[gone], starts[gone], _full(length[gone])))
             cells = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(x, y) for x, y in zip(begin[~gone].tolist(), end[~gone].tolist(), strict=True))])
             out.append(_table([_block(part, 0, (ids[~gone], a[~gone], starts[~gone], length[~gone], data[cells]))]))
@@ -290,7 +292,7 @@ def removable(ids: np.ndarray, a: np.ndarray, length: np.ndarray, data: np.ndarr
     """For each piece, the mask of its strings that a piece with a smaller doc_id has too."""
     size = length + LENGTH - 1
     end = np.cumsum(size)
-    same = span_hashes(data, end - size, end) ^ mix64(a)
+    same = piece_hashes(data, end) ^ mix64(a)
     order = np.lexsort((ids, same, a))
     cut = np.ones(len(order), dtype=bool)
     cut[1:] = same[order][1:] != same[order][:-1]

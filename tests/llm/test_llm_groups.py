@@ -218,6 +218,16 @@ def test_mixing_meets_targets(spark):
     kept = out.where("sampled").agg(F.sum("tokens")).first()[0] / out.agg(F.sum("tokens")).first()[0]
     assert 0.2 < kept < 0.4
     assert mixing.mix(df.limit(0)).count() == 0
+    again = mixing.mix(df, targets=goal, topics=F.lit("t"), budget=0.3, rounds=12, drop_text=True)
+    assert "text" not in again.columns and sorted(map(tuple, again.drop("weight").collect()), key=repr) == sorted(map(tuple, out.select(again.drop("weight").columns).collect()), key=repr)
+
+
+def test_mixing_residuals(spark, data):
+    out = corpus = mixing.mix(spark.read.parquet(f"{data}/documents.parquet"), drop_text=True)
+    for dim in ("source", "lang", "topic"):
+        got = mixing.residuals(corpus, dim).collect()
+        assert abs(sum(r.got for r in got) - 1) < 1e-9 and max(r.residual for r in got) < 1e-3, (dim, got)
+    assert mixing.residuals(out.limit(0), "lang").count() == 0
 
 
 def test_bounded_mixing_meets_budget_and_targets_without_weights(spark):
