@@ -1,8 +1,7 @@
-"""Ratcliff-Obershelp similarity and the union of two readings of one field, as vectorised UDFs."""
+"""Ratcliff-Obershelp similarity, which has no built-in form, as a vectorised UDF."""
 
 from __future__ import annotations
 
-import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -10,10 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetlane.functions.text import NULL_WORDS, STOP_WORDS
-
-NEAR = 0.78
-
 
 def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a or "", b or "").ratio()
@@ -29,78 +24,3 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def ratio_possible(a: Column, b: Column, least: float) -> Column:
     """A bound on the ratio from lengths alone; filter by it before the UDF."""
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
-
-
-def _compact(s: str) -> str:
-    return re.sub(r"[^0-9a-z]+", "", s.lower())
-
-
-def _known(s: str) -> bool:
-    return bool(s) and s.lower() not in NULL_WORDS
-
-
-def _weak(s: str) -> bool:
-    return len(s) <= 1 or not re.search(r"[0-9A-Za-z]", s) or bool(re.fullmatch("[a-z]{1,2}", s))
-
-
-def _odd(s: str) -> tuple[int, int, int]:
-    inside = sum(1 for x in re.findall(r"[A-Za-z]+", s) if x[1:] != x[1:].lower() and x != x.upper())
-    return (-len(re.sub(r"[\w\s.,:;'/-]", "", s)) - inside, sum(ch.isalpha() for ch in s), len(s))
-
-
-def _label(s: str) -> tuple[str, str] | None:
-    """(prompt, rest) where a label with a colon, or a question, stands before or after a short answer."""
-    m = re.match(r"(?s)\s*(\d+\s*[.)].*[.?!:])\s+(\S.{0,40})\Z", s)
-    if m:
-        return m[1].strip(), m[2].strip()
-    m = re.match(r"\s*(\S+(?: \S+)??)\s+((?:Name|Today|Date|School|Record)[^:]{0,40}:)\s*\Z", s)
-    if m:
-        return m[2].strip(), m[1].strip()
-    m = re.match(r"\s*([A-Z][^:]{2,40}:)\s*(.*)\Z", s)
-    return (m[1].strip(), m[2].strip()) if m else None
-
-
-def fuse(a: str | None, b: str | None) -> tuple[str, str]:
-    """(text, reason): what two readings say together. a: first reader, b: second reader."""
-    a, b = " ".join((a or "").split()), " ".join((b or "").split())
-    if not _known(a) or not _known(b):
-        return (a if _known(a) else b if _known(b) else ""), "single_source"
-    ca, cb = _compact(a), _compact(b)
-    if ca == cb:
-        return max(a, b, key=_odd), "near_duplicate"
-    if _weak(a) != _weak(b):
-        return (b if _weak(a) else a), "low_signal_source"
-    pa, pb = _label(a), _label(b)
-    if pa and pb and ratio(_compact(pa[0]), _compact(pb[0])) >= NEAR:
-        return (max(pa[0], pb[0], key=_odd) + " " + _tail(pa[1], pb[1])).strip(), "structured_prompt_tail"
-    if pb and len(a) <= 40 and not pa and ratio(_compact(pb[1]), ca) >= 0.4:
-        return f"{pb[0]} {a}", "structured_prompt_tail"
-    mixed = bool(re.search(r"\d", a + b))
-    if not mixed and (ca in cb or cb in ca) and " " not in a + b:
-        return min(a, b, key=len) if abs(len(ca) - len(cb)) <= 1 else max(a, b, key=len), "near_duplicate"
-    if ca in cb or cb in ca:
-        return (b if ca in cb else a), "near_duplicate"
-    similar = ratio(ca, cb)
-    if " " not in a + b and not mixed and similar >= 0.5:
-        return (b if _odd(b)[0] > _odd(a)[0] or (_odd(b)[0] == _odd(a)[0] and len(cb) > len(ca)) else a if _odd(a)[0] > _odd(b)[0] or len(ca) > len(cb) else b), "near_duplicate" if similar >= NEAR else "ambiguous_single_token"
-    if " " not in a + b and mixed and re.search("[A-Za-z]", a) and re.search("[A-Za-z]", b) and similar >= 0.5:
-        return b, "ambiguous_single_token"
-    if not mixed and similar >= NEAR:
-        return max(b, a, key=_odd), "near_duplicate"
-    seen = {w.lower() for w in re.findall(r"\w+", a)}
-    rest = [w for w in b.split() if _compact(w) not in seen and _compact(w) not in STOP_WORDS]
-    return " ".join([a, *rest]), "union"
-
-
-def _tail(x: str, y: str) -> str:
-    if not x or not y:
-        return x or y
-    if _compact(x) == _compact(y):
-        return max(x, y, key=_odd)
-    return x if sum(c.isdigit() for c in x) >= sum(c.isdigit() for c in y) else y
-
-
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("reason", T.StringType())]))
-def fuse_readings(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    got = [fuse(x, y) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame({"text": [g[0] for g in got], "reason": [g[1] for g in got]})

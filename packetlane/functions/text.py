@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # Words that mean "nothing was read", stop words, Likert answers.
 NULL_WORDS = ("null", "none", "n/a", "na", "nil", "undefined", "unknown", "empty", "blank")
-STOP_WORDS = ("a", "an", "and", "are", "for", "in", "is", "of", "on", "or", "the", "to", "was", "what", "with", "your")
+STOP_WORDS = ("the", "of", "to", "that", "what", "your", "name", "date", "record", "id", "school", "teacher", "optional", "question", "is", "again")
 LIKERT = ("strongly agree", "agree", "neutral", "disagree", "strongly disagree")
 FORM_TYPES = ("6pre", "7pre", "8pre", "hpre", "6post", "7post", "8post", "hpost")
 RECORD_ID = "[0-9]{7}[AB]"
@@ -82,9 +82,11 @@ def words_subset(small: Column, large: Column) -> Column:
 
 
 def low_signal(c: Column) -> Column:
-    """Empty, a single character, punctuation only, or one short lower-case token."""
-    t = norm_ws(F.coalesce(c, F.lit("")))
-    return (F.length(t) <= 1) | ~t.rlike("[0-9A-Za-z]") | full_match(t, "[a-z]{1,2}")
+    """Of a canonical label's text: nothing, one letter or digit, punctuation only, or one lower-case word of up to four letters."""
+    t = F.coalesce(c, F.lit(""))
+    small = compact_alnum(t)
+    lower = (F.lower(t) == t) & (F.upper(t) != t)
+    return (F.length(small) <= 1) | ~t.rlike(r"[\p{L}\p{N}]") | ((F.length(small) <= 4) & ~small.rlike("[0-9]") & ~F.contains(t, F.lit(" ")) & lower)
 
 
 def placeholder_only(c: Column) -> Column:
@@ -92,15 +94,25 @@ def placeholder_only(c: Column) -> Column:
 
 
 def structured_id(c: Column) -> Column:
-    """Digits, dates, or short codes that mix letters and digits: not to be merged by similarity."""
-    t = norm_ws(c)
-    return full_match(t, r"[0-9][0-9\-/. ]*") | full_match(t, r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}") | (full_match(t, r"[0-9A-Za-z\-]{4,}") & t.rlike("[0-9]") & t.rlike("[A-Za-z]"))
+    """Nothing, digits in groups, or digits with a letter at one end or both: not to be merged by similarity."""
+    t = norm_ws(F.coalesce(c, F.lit("")))
+    return (t == "") | full_match(t, r"[0-9]+(?:[/-][0-9]+)*[A-Za-z]?") | full_match(t, r"[A-Za-z]?[0-9]+[A-Za-z]?")
 
 
-def placeholder(c: Column, field: Column) -> Column:
-    """Null words, underscores, or an echo of the field's name."""
-    t, f = F.lower(norm_ws(c)), F.lower(norm_ws(field))
-    return placeholder_only(c) | t.isin(*NULL_WORDS) | (t == f) | (t == F.concat(F.lit("name of "), f)) | (t == F.concat(F.lit("<"), f, F.lit(">")))
+# Words that stand for no answer in cleaned fields.
+NO_ANSWER = ("null", "none", "n/a", "na", "unknown", "unreadable", "<normalize>", "normalize")
+
+
+def placeholder(c: Column, field: Column | None = None) -> Column:
+    """Nothing, a word of NO_ANSWER, or an echo of the field's name."""
+    t = F.lower(norm_ws(F.coalesce(c, F.lit(""))))
+    empty = (t == "") | t.isin(*NO_ANSWER)
+    if field is None:
+        return empty
+    name = F.lower(norm_ws(F.coalesce(field, F.lit(""))))
+    spaced = F.regexp_replace(F.regexp_replace(name, "[_-]+", " "), r"\A +| +\z", "")
+    forms = [form for f in (name, spaced) for form in (f, F.concat(F.lit("name of "), f), F.concat(f, F.lit(" name")))]
+    return empty | ((name != "") & t.isin(*forms))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -109,8 +121,8 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 def quality_score(c: Column) -> Column:
     """A struct to compare: fewer odd characters, then more letters, digits and characters."""
-    odd = F.length(F.regexp_replace(c, r"[0-9A-Za-z\s.,:;'\-/]", ""))
-    return F.struct((-odd).alias("odd"), F.length(F.regexp_replace(c, "[^A-Za-z]", "")).alias("letters"), F.length(F.regexp_replace(c, "[^0-9]", "")).alias("digits"), F.length(c).alias("size"))
+    count = lambda pattern: F.length(F.regexp_replace(c, pattern, ""))
+    return F.struct((-count(r"(?U)[\p{L}\p{N}\s.,:/#'()\-_?&]")).alias("odd"), count(r"[^\p{L}]").alias("letters"), count(r"[^\p{Nd}]").alias("digits"), F.length(compact_alnum(c)).alias("size"))
 
 
 def parse_date(c: Column) -> Column:
@@ -118,13 +130,19 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in DATE_FORMATS])
 
 
-def date_signature(c: Column) -> Column:
-    """m/d/y of the first date in a text; two-digit years are of this century; impossible dates are null."""
-    pattern = r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)"
-    part = lambda k: F.regexp_extract(c, pattern, k).try_cast("int")
-    m, d, y = part(1), part(2), part(3)
-    y = F.when(y < 100, y + 2000).otherwise(y)
-    return F.when(m.between(1, 12) & d.between(1, 31), F.concat_ws("/", m, d, y))
+#: A date in running text.
+DATE = r"(?<![0-9])[0-9]{1,2}[/-][0-9]{1,2}[/-](?:[0-9]{2}|[0-9]{4})(?![0-9])"
+
+
+def date_signatures(c: Column) -> Column:
+    """m/d/y of all possible dates of a text, without repeats; two-digit years are of this century."""
+
+    def signature(d: Column) -> Column:
+        p = F.split(d, "[/-]")
+        m, day, y = (p[k].cast("int") for k in range(3))
+        return F.when(m.between(1, 12) & day.between(1, 31), F.concat_ws("/", m, day, F.when(y < 100, y + 2000).otherwise(y)))
+
+    return F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(c, F.lit(DATE), 0), signature)))
 
 
 def parse_number(c: Column) -> Column:
@@ -175,39 +193,10 @@ def coerce_score(score: Column, confidence: Column, label: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(num(score), num(confidence), F.try_element_at(known, F.lower(F.trim(label))), F.lit(1.0))))
 
 
-def detect_grade(c: Column) -> Column:
-    t = F.upper(c)
-    return F.when(t.rlike(r"\b8(?:TH)?\b"), "8").when(t.rlike(r"\b7(?:TH)?\b"), "7").when(t.rlike(r"\b6(?:TH)?\b"), "6").when(t.rlike(r"\bHIGH\b"), "h")
-
-
-def detect_phase(c: Column) -> Column:
-    """pre or post, whichever is named first."""
-    t = F.upper(c)
-    pre, post = F.regexp_instr(t, F.lit(r"\bPRE")), F.regexp_instr(t, F.lit(r"\bPOST"))
-    return F.when((pre > 0) & ((post == 0) | (pre < post)), "pre").when(post > 0, "post")
-
-
-def infer_form_type(c: Column) -> Column:
-    f = F.concat(detect_grade(c), detect_phase(c))
-    return F.when(f.isin(*FORM_TYPES), f)
-
-
 def valid_id(c: Column) -> Column:
     return full_match(c, RECORD_ID)
 
 
-# Letters that readers confuse with digits.
-CONFUSED, MEANT = "OQDILSBGZ", "000115862"
-
-
-def normalize_id(c: Column) -> Column:
-    """The first run of 7 digit-like characters and A or B, with confused letters put right; else the compact text."""
-    t = F.upper(F.regexp_replace(c, "[^0-9A-Za-z]", ""))
-    body = F.regexp_extract(t, f"([0-9{CONFUSED}]{{7}})([AB48])", 1)
-    tail = F.translate(F.regexp_extract(t, f"([0-9{CONFUSED}]{{7}})([AB48])", 2), "48", "AB")
-    return F.when(body != "", F.concat(F.translate(body, CONFUSED, MEANT), tail)).otherwise(t)
-
-
 def id_after_colon(c: Column) -> Column:
     return F.regexp_extract(c, r":\s*([0-9A-Za-z]+)", 1)
 
@@ -226,11 +215,15 @@ def column_number(c: Column) -> Column:
 
 
 def column_letters(n: Column) -> Column:
-    """1.. as A..Z, AA.., up to three letters."""
-    digit = lambda v: F.chr((F.pmod(v, F.lit(26)) + 65).cast("long"))
-    a, b = n - 1, F.floor((n - 1) / 26) - 1
-    c = F.floor(b / 26) - 1
-    return F.concat(F.when((b >= 0) & (c >= 0), digit(c)).otherwise(""), F.when(b >= 0, digit(b)).otherwise(""), digit(a))
+    """1.. as A..Z, AA.., as many letters as a long needs."""
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("out"))
+
+    def step(x: Column, _: Column) -> Column:
+        more = x["rest"] > 0
+        letter = F.chr(F.pmod(x["rest"] - 1, F.lit(26)) + 65)
+        return F.struct(F.when(more, F.floor((x["rest"] - 1) / 26)).otherwise(0).cast("long").alias("rest"), F.when(more, F.concat(letter, x["out"])).otherwise(x["out"]).alias("out"))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda x: x["out"]))
 
 
 def parse_range(c: Column) -> Column:
@@ -294,15 +287,19 @@ def dedupe_halves(c: Column) -> Column:
     return F.when(same, F.array_join(F.slice(w, 1, F.greatest(h, F.lit(1))), " ")).otherwise(norm_ws(c))
 
 
-def clean_candidate(c: Column) -> Column:
-    return dedupe_halves(F.regexp_replace(c, r"(?im)^\s*(?:ocr [ab]|output)\s*:\s*", ""))
+# The printed question of the optional field, as readers see it, the forms and fields that have it, and what may stand around it.
+OPTIONAL_FORMS, OPTIONAL_FIELDS = ("6post", "7post", "8post", "hpost"), ("21", "25", "29")
+OPTIONAL_QUESTION = r"\s*(?:2[159]\s*[.)]\s*)?(?:optional\s+question\s*[:\-–—]?\s*)?(?:(?:what|vvhat|wbat)\s*,?\s*)?(?:if\s+anything\s+)?(?:could\s+have\s+made\s+this\s+experience\s+better\s+for\s+you|could\s+have\s+made\s+this\s+better|would\s+have\s+made\s+this\s+experience\s+better\s+for\s+you)\s*\??\s*[:;\-–—.,]*\s*"
+SEPARATORS = r"[ \t\r\n:\-–—;,.]"
+
+
+def optional_question(form: Column, field: Column) -> Column:
+    return F.lower(norm_ws(form)).isin(*OPTIONAL_FORMS) & norm_ws(field).isin(*OPTIONAL_FIELDS)
 
 
-def strip_question_header(c: Column, rounds: int = 4) -> Column:
-    """Numbered question sentences at the start, again and again, at most `rounds` times."""
-    for _ in range(rounds):
-        c = F.regexp_replace(c, r"\A\s*\d{1,2}\s*[.)]\s*[^?.]*[?.]\s*", "")
-    return norm_ws(c)
+def strip_question_header(c: Column) -> Column:
+    """Without the printed question, however often it stands at the start, and without separators at both ends."""
+    return F.regexp_replace(F.regexp_replace(norm_ws(F.coalesce(c, F.lit(""))), rf"(?i)\A{SEPARATORS}*(?:{OPTIONAL_QUESTION}{SEPARATORS}*)*", ""), rf"{SEPARATORS}+\z", "")
 
 
 def first_nonblank(*cols: Column) -> Column:

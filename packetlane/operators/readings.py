@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlane.functions.fuzzy import fuse_readings
-from packetlane.functions.text import coerce_score, has_evidence, score_label
+from packetlane.functions.text import coerce_score, score_label
+from packetlane.operators.fusion import fuse
 
 ACCEPT = 0.90
 STRATEGIES = ("first_only", "second_only", "fallback", "second_with_first_score", "fusion")
@@ -15,17 +15,14 @@ STRATEGIES = ("first_only", "second_only", "fallback", "second_with_first_score"
 def choose_reading(pairs: DataFrame, strategy: str, accept: float = ACCEPT) -> DataFrame:
     """pairs: columns a_text, a_score, b_text, b_score (a: scored line reader, b: page reader; null if it failed).
 
-    Adds text, score, label and text_source. Only the fusion strategy runs Python, and only on rows where both readers have something to say: the others are split off first.
+    Adds text, score, label and text_source. Only the fusion strategy runs Python, for the similarity of two texts.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy {strategy!r} is none of {STRATEGIES}")
     a, b = F.col("a_text"), F.col("b_text")
     a_score, b_score = coerce_score(F.col("a_score"), F.lit(None), F.lit(None)), coerce_score(F.col("b_score"), F.lit(None), F.lit(None))
     if strategy == "fusion":
-        both = has_evidence(a) & has_evidence(b)
-        one = pairs.where(~both).withColumns({"text": F.when(has_evidence(a), a).otherwise(F.coalesce(b, F.lit(""))), "text_source": F.lit("single_source")})
-        fused = pairs.where(both).withColumn("__f", fuse_readings(a, b)).withColumns({"text": F.col("__f.text"), "text_source": F.col("__f.reason")}).drop("__f")
-        out = one.unionByName(fused).withColumn("score", F.coalesce(F.when(a.isNotNull(), a_score), b_score))
+        out = fuse(pairs, "b_text", "a_text").withColumns({"text": F.col("fused"), "text_source": F.coalesce("reason", F.lit("union")), "score": F.coalesce(F.when(a.isNotNull(), a_score), b_score)}).drop("fused", "reason")
     else:
         first = {"first_only": F.lit(True), "second_only": F.lit(False), "fallback": (a_score > accept) & a.isNotNull() | b.isNull(), "second_with_first_score": b.isNull()}[strategy]
         score = F.when(a.isNotNull(), a_score).otherwise(b_score) if strategy == "second_with_first_score" else F.when(first, a_score).otherwise(b_score)

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetlane.functions import fuzzy, jsonfix
+from packetlane.functions import jsonfix
+from packetlane.functions import header as H
 from packetlane.functions import text as X
 from packetlane.operators import compare, lineage, mapping, normalize, pages, readings, regions, review
 from packetlane.streaming import packets
@@ -105,12 +106,12 @@ def page_gate(spark, d):
     return pages.page_gate(t(spark, d, "conversations"), ["conv_id"])
 
 
-_RANGES = """r AS (SELECT n_nationkey, n_regionkey, length(n_name) AS pages, sum(length(n_name)) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING)::BIGINT AS page_end FROM nation)"""
+_RANGES = """r AS (SELECT o_custkey, o_orderkey, day(o_orderdate) AS pages, sum(day(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::BIGINT AS page_end FROM orders)"""
 
 
 def _ranges(spark, d):
-    n = t(spark, d, "nation").select("n_nationkey", "n_regionkey", F.length("n_name").cast("long").alias("pages"))
-    return pages.page_ranges(n, ["n_regionkey"], "n_nationkey", "pages")
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.day("o_orderdate").cast("long").alias("pages"))
+    return pages.page_ranges(o, ["o_custkey"], "o_orderkey", "pages")
 
 
 @query(f"WITH {_RANGES} SELECT *, page_end - pages + 1 AS page_start FROM r")
@@ -118,9 +119,9 @@ def manifest_ranges(spark, d):
     return _ranges(spark, d)
 
 
-@query(f"WITH {_RANGES} SELECT n_regionkey, n_nationkey, m AS merged_page, m - (page_end - pages) AS source_page FROM (SELECT *, unnest(generate_series(page_end - pages + 1, page_end)) AS m FROM r)")
+@query(f"WITH {_RANGES} SELECT o_custkey, o_orderkey, m AS merged_page, m - (page_end - pages) AS source_page FROM (SELECT *, unnest(generate_series(page_end - pages + 1, page_end)) AS m FROM r)")
 def manifest_pages(spark, d):
-    return pages.manifest_pages(_ranges(spark, d)).select("n_regionkey", "n_nationkey", "merged_page", "source_page")
+    return pages.manifest_pages(_ranges(spark, d)).select("o_custkey", "o_orderkey", "merged_page", "source_page")
 
 
 @query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_size % 5 ORDER BY TRY_CAST(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_size::VARCHAR END AS BIGINT) NULLS LAST, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_size::VARCHAR END, p_partkey) AS rank_last,
@@ -139,7 +140,7 @@ def value_counts(spark, d):
 _BRANDS = "c AS (SELECT p_type, p_brand AS value, count(*) AS n FROM part GROUP BY ALL)"
 
 
-@query(f"WITH {_BRANDS} SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, value) AS rank FROM c WHERE n >= 2 AND NOT regexp_full_match(value, '[0-9][0-9\\-/. ]*') AND NOT (regexp_full_match(value, '[0-9A-Za-z\\-]{{4,}}') AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]'))")
+@query(f"WITH {_BRANDS} SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, value) AS rank FROM c WHERE n >= 2 AND NOT regexp_full_match(value, '[0-9]+([/-][0-9]+)*[A-Za-z]?|[A-Za-z]?[0-9]+[A-Za-z]?')")
 def repeated_canonicals(spark, d):
     c = normalize.value_counts(t(spark, d, "part"), ["p_type"], F.col("p_brand"))
     return normalize.repeated_canonicals(c, ["p_type"]).withColumn("rank", F.col("rank").cast("long"))
@@ -153,28 +154,29 @@ def dominant_value(spark, d):
 
 
 def _names(spark, d):
-    """Names of parts by size group, and each group's ten most frequent types of name as canonicals."""
-    p = t(spark, d, "part").select((F.col("p_size") % 10).alias("g"), F.col("p_type"))
-    counts = normalize.value_counts(p, ["g"], F.col("p_type"))
-    w = Window.partitionBy("g").orderBy(F.desc("n"), "value")
-    return counts, counts.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
-
-
-@query("""WITH c AS (SELECT p_size % 10 AS g, p_type AS value, count(*) AS n FROM part GROUP BY ALL),
-  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, value) AS rank FROM c) WHERE rank <= 10),
-  s AS (SELECT c.g, c.value, k.value AS canonical, k.rank, lower(regexp_replace(c.value, '[^A-Za-z]', '', 'g')) AS a, lower(regexp_replace(k.value, '[^A-Za-z]', '', 'g')) AS b FROM c JOIN k USING (g)),
-  x AS (SELECT *, CASE WHEN length(a) >= 3 AND length(b) >= 3 AND (contains(a, b) OR contains(b, a)) THEN 1.0::DOUBLE ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b), 1) END AS score FROM s)
-  SELECT g, value, canonical, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY g, value ORDER BY score DESC, rank) AS r FROM x WHERE score >= 0.72) WHERE r = 1""")
+    """Names of parts by size group and type, with a few letters misread, and all that repeat as canonicals."""
+    p = t(spark, d, "part")
+    misread = F.when(F.col("p_partkey") % 9 == 0, F.replace("p_name", F.lit("e"), F.lit("c"))).when(F.col("p_partkey") % 25 == 0, F.lit("unknown")).otherwise(F.col("p_name"))
+    counts = normalize.value_counts(p.select((F.col("p_size") % 10).alias("g"), "p_type", misread.alias("v")), ["g", "p_type"], F.col("v"))
+    return counts, normalize.repeated_canonicals(counts, ["g", "p_type"])
+
+
+@query("""WITH c AS (SELECT p_size % 10 AS g, p_type, CASE WHEN p_partkey % 9 = 0 THEN replace(p_name, 'e', 'c') WHEN p_partkey % 25 = 0 THEN 'unknown' ELSE p_name END AS value, count(*) AS n FROM part GROUP BY ALL),
+  k AS (SELECT *, row_number() OVER (PARTITION BY g, p_type ORDER BY n DESC, value) AS rank FROM c WHERE n >= 2 AND lower(value) NOT IN ('unknown', 'null', 'none', 'na')),
+  s AS (SELECT c.g, c.p_type, c.value, k.value AS canonical, k.rank, lower(regexp_replace(c.value, '[^A-Za-z]', '', 'g')) AS a, lower(regexp_replace(k.value, '[^A-Za-z]', '', 'g')) AS b FROM c JOIN k USING (g, p_type)),
+  x AS (SELECT *, 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b), 1) AS score FROM s),
+  y AS (SELECT *, row_number() OVER (PARTITION BY g, p_type, value ORDER BY score DESC, rank) AS r FROM x)
+  SELECT g, p_type, value, canonical, round(score, 6) AS score FROM y WHERE r = 1 AND (score >= 0.72 OR (length(a) >= 3 AND (contains(a, b) OR contains(b, a))))""")
 def cluster_assign_lev(spark, d):
-    counts, top = _names(spark, d)
-    return normalize.assign_clusters(counts, top, ["g"], "levenshtein").withColumn("score", F.round("score", 6))
+    counts, known = _names(spark, d)
+    return normalize.assign_clusters(counts, known, ["g", "p_type"], "levenshtein").withColumn("score", F.round("score", 6))
 
 
 @query()
 def cluster_assign_ratio(spark, d):
     """Ratcliff-Obershelp has no SQL form; tests hold it against difflib."""
-    counts, top = _names(spark, d)
-    return normalize.assign_clusters(counts, top, ["g"], "ratio").withColumn("score", F.round("score", 6))
+    counts, known = _names(spark, d)
+    return normalize.assign_clusters(counts, known, ["g", "p_type"], "ratio").withColumn("score", F.round("score", 6))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_brand = 'Brand#1' THEN 'Brand#11' WHEN p_size % 2 = 0 AND p_brand = 'Brand#2' THEN 'Brand#22' ELSE p_brand END AS normalized,
@@ -220,8 +222,8 @@ def review_dedupe(spark, d):
 def corrections(spark, d):
     o = t(spark, d, "orders")
     own = o.where("o_orderkey % 7 = 0").select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("seq"))
-    text = F.when(F.col("seq") == 0, "first").when(F.col("seq") == 1, F.concat(F.lit("fixed-"), F.col("o_orderkey") % 5)).otherwise(" ")
-    fixes = own.select("o_orderkey", "seq", text.alias("corrected"), F.when(F.col("o_orderkey") % 3 == 0, "cancelled").otherwise("done").alias("status"))
+    text = F.when(F.col("seq") == 0, "first").when(F.col("seq") == 1, F.concat(F.lit("\tfixed-"), F.col("o_orderkey") % 5)).otherwise("\u00a0 ")
+    fixes = own.select("o_orderkey", "seq", text.alias("corrected"), F.when(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, "cancelled").otherwise("Skipped")).otherwise("done").alias("status"))
     return review.apply_corrections(o.select("o_orderkey", "o_orderstatus"), fixes, ["o_orderkey"], "o_orderstatus", "seq").select("o_orderkey", "o_orderstatus", "corrected")
 
 
@@ -378,12 +380,19 @@ def regex_gate(spark, d):
     return t(spark, d, "supplier").select("s_suppkey", readings.regex_gate(attempts, "[0-9]+").alias("value"))
 
 
-@query("""SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS lang, TRY_CAST(regexp_extract(url, '([0-9]+)\\.html', 1) AS BIGINT) AS number,
-  CASE WHEN regexp_matches(url, '8[0-9]*\\.html') THEN '8post' WHEN regexp_matches(url, '[67][0-9]*\\.html') THEN '7pre' END AS form FROM pages""")
+_GRADES = " ".join(rf"WHEN regexp_matches(n, '\b{g}\s*T\s*H\b|\b{g}\s+T\s+G\s*R\s*A\s*D\s*E\b|\b{g}\s*TH\s*GRADE\b') OR (strpos(q, '{g}TH') > 0 AND strpos(q, 'GRADE') > 0 AND abs(strpos(q, '{g}TH') - strpos(q, 'GRADE')) < 18) THEN '{g}'" for g in "876")
+
+
+@query(rf"""WITH h AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN '8th Grade: Post-Assessment' WHEN 1 THEN '7 T H  GRADE pre assess' WHEN 2 THEN 'HIGH fever, post' WHEN 3 THEN 'school (High) PRE-ASSESSMENT, then POST-ASSESSMENT' WHEN 4 THEN '6THgrade post' WHEN 5 THEN url WHEN 6 THEN 'PREFERRED 8TH' WHEN 7 THEN url || ' 7 T GRADE pre-' END AS x FROM pages),
+  m AS (SELECT *, trim(regexp_replace(regexp_replace(upper(x), '[^A-Z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM h), k AS (SELECT *, replace(n, ' ', '') AS q, left(n, 350) AS head, regexp_extract(n, 'PRE[\s\-_]*ASSESS') AS a, regexp_extract(n, 'POST[\s\-_]*ASSESS') AS b FROM m)
+  SELECT page_id, n AS norm, CASE WHEN contains(n, 'HIGH') AND contains(n, 'SCHOOL') THEN 'h' {_GRADES} END AS grade,
+  CASE WHEN a <> '' AND (b = '' OR strpos(n, a) < strpos(n, b)) THEN 'pre' WHEN b <> '' THEN 'post' WHEN contains(head, 'POST') THEN CASE WHEN regexp_matches(head, 'PRE') AND strpos(head, 'PRE') < strpos(head, 'POST') THEN 'pre' ELSE 'post' END WHEN regexp_matches(head, 'PRE') OR contains(head, 'PRE-') THEN 'pre' END AS phase FROM k""")
 def header_classify(spark, d):
-    u = F.col("url")
-    header = F.when(u.rlike(r"8[0-9]*\.html"), "Grade 8 post survey, pre-printed").when(u.rlike(r"[67][0-9]*\.html"), "7th grade PRE / post")
-    return t(spark, d, "pages").select("page_id", F.regexp_extract(u, "/([a-z]{2})/", 1).alias("lang"), F.regexp_extract(u, r"([0-9]+)\.html", 1).try_cast("long").alias("number"), X.infer_form_type(header).alias("form"))
+    k, u = F.col("page_id") % 9, F.col("url")
+    texts = ["8th Grade: Post-Assessment", "7 T H  GRADE pre assess", "HIGH fever, post", "school (High) PRE-ASSESSMENT, then POST-ASSESSMENT", "6THgrade post", u, "PREFERRED 8TH", F.concat(u, F.lit(" 7 T GRADE pre-"))]
+    x = F.coalesce(*[F.when(k == i, v) for i, v in enumerate(texts)])
+    n = F.col("norm")
+    return t(spark, d, "pages").select("page_id", H.normalize_header(x).alias("norm")).select("page_id", "norm", H.detect_grade(n).alias("grade"), H.detect_phase(n).alias("phase"))
 
 
 @query("SELECT page_id, regexp_extract_all(url, '([0-9]+)', 1) AS digits, len(list_distinct(list_transform(regexp_extract_all(url, '([A-Za-z]{2,})', 1), lambda w: lower(w))))::INTEGER AS words FROM pages")
@@ -401,7 +410,7 @@ def html_cleanup(spark, d):
 def label_dates(spark, d):
     o, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
     text = F.when(k == 0, F.date_format(o, "M/d/yyyy")).when(k == 1, F.date_format(o, "yyyy-MM-dd")).otherwise(F.date_format(o, "MM-dd-yyyy"))
-    return t(spark, d, "orders").select("o_orderkey", X.parse_date(text).alias("day"), X.date_signature(F.concat(F.lit("Date: "), F.date_format(o, "M/d/yyyy"))).alias("signature"))
+    return t(spark, d, "orders").select("o_orderkey", X.parse_date(text).alias("day"), F.array_join(X.date_signatures(F.concat(F.lit("Date: "), F.date_format(o, "M/d/yyyy"), F.lit(" or "), F.date_format(o, "MM-dd-yyyy"), F.lit(", not 13/1/2020"))), ";").alias("signature"))
 
 
 @query("SELECT o_orderkey, 'Raw: ' || o_orderstatus || ', pages: ' || o_orderkey || '-' || (o_orderkey + 1) || ', high (0.988)' AS note FROM orders")
@@ -415,9 +424,9 @@ def heatmap_hex(spark, d):
     return t(spark, d, "lineitem").groupBy("l_orderkey", "l_discount").agg(F.count(F.lit(1)).alias("n")).withColumn("argb", X.heat_color(F.col("l_discount") * 10))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 900 < 26 THEN chr((65 + p_partkey % 900)::INTEGER) ELSE chr((64 + (p_partkey % 900) // 26)::INTEGER) || chr((65 + (p_partkey % 900) % 26)::INTEGER) END AS letters, p_partkey % 900 + 1 AS number FROM part WHERE p_partkey % 900 < 702")
+@query("SELECT p_partkey, CASE WHEN p_partkey < 1 THEN NULL WHEN p_partkey <= 26 THEN chr((64 + p_partkey)::INTEGER) WHEN p_partkey <= 702 THEN chr((64 + (p_partkey - 1) // 26)::INTEGER) || chr((65 + (p_partkey - 1) % 26)::INTEGER) WHEN p_partkey <= 18278 THEN chr((65 + (p_partkey - 703) // 676)::INTEGER) || chr((65 + (p_partkey - 703) // 26 % 26)::INTEGER) || chr((65 + (p_partkey - 703) % 26)::INTEGER) ELSE chr((65 + (p_partkey - 18279) // 17576)::INTEGER) || chr((65 + (p_partkey - 18279) // 676 % 26)::INTEGER) || chr((65 + (p_partkey - 18279) // 26 % 26)::INTEGER) || chr((65 + (p_partkey - 18279) % 26)::INTEGER) END AS letters, CASE WHEN p_partkey > 0 THEN p_partkey END AS number FROM part")
 def column_letters(spark, d):
-    p = t(spark, d, "part").where("p_partkey % 900 < 702").select("p_partkey", X.column_letters(F.col("p_partkey") % 900 + 1).alias("letters"))
+    p = t(spark, d, "part").select("p_partkey", X.column_letters(F.col("p_partkey")).alias("letters"))
     return p.withColumn("number", X.column_number(F.col("letters")))
 
 
@@ -427,11 +436,11 @@ def near_dup_docs(spark, d):
     return k.groupBy("k").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).drop("k")
 
 
-@query("SELECT p_partkey, p_name AS text, CASE WHEN p_partkey % 3 = 0 THEN 'single_source' ELSE 'near_duplicate' END AS reason FROM part")
+@query("""SELECT p_partkey, p_name AS text, CASE WHEN p_partkey % 3 = 0 THEN 'single_source' WHEN length(regexp_replace(p_name, '[^0-9A-Za-z]', '', 'g')) >= 5 THEN 'near_duplicate' ELSE 'union' END AS reason FROM part""")
 def fuse_agreeing(spark, d):
-    p = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("a_text"), F.lit(0.5).alias("a_score"), F.when(F.col("p_partkey") % 3 == 0, "null").otherwise(F.lower("p_name")).alias("b_text"), F.lit(None).cast("double").alias("b_score"))
-    got = readings.choose_reading(p, "fusion")
-    return got.select("p_partkey", F.when(F.col("text_source") == "single_source", F.col("text")).otherwise(F.col("a_text")).alias("text"), F.col("text_source").alias("reason"))
+    """Two readings that differ in case only, or of which one says nothing: what fusion gives, as it is."""
+    p = t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "null").otherwise(F.concat(F.lit(" "), F.col("p_name"))).alias("a_text"), F.lit(0.5).alias("a_score"), F.col("p_name").alias("b_text"), F.lit(None).cast("double").alias("b_score"))
+    return readings.choose_reading(p, "fusion").select("p_partkey", "text", F.col("text_source").alias("reason"))
 
 
 @query()
@@ -448,9 +457,9 @@ def reading_fallback(spark, d):
     return readings.choose_reading(p, "fallback").select("event_id", "text", F.col("text_source").alias("source"))
 
 
-@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 60""")
+@query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def contamination(spark, d):
-    """Documents that hold a benchmark text of any length whole; the SQL says so for texts of 60 characters or more only, as all given ones are."""
+    """Documents that hold a benchmark text of any length whole."""
     return compare.containing(t(spark, d, "documents"), t(spark, d, "benchmark"))
 
 
@@ -474,14 +483,6 @@ def text_scalars(spark, d):
     return t(spark, d, "part").select("p_partkey", b.rlike("[0-9]{2}").cast("int").alias("two"), X.compact_alnum(b).alias("compact"), X.alpha_signature(F.col("p_type")).alias("letters"), F.length(F.regexp_replace(b, "[^0-9]", "")).cast("long").alias("digits"))
 
 
-@query("SELECT s_suppkey, substr(s_name, 10, 7) || 'A' AS id, true AS valid FROM supplier")
-def record_ids(spark, d):
-    s = t(spark, d, "supplier")
-    core = F.substring("s_name", 10, 7)
-    noisy = F.concat(F.lit("id: "), F.translate(core, "015", "OIS"), F.lit(" a"))
-    return s.select("s_suppkey", X.normalize_id(noisy).alias("id")).withColumn("valid", X.valid_id(F.col("id")))
-
-
 @query("SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_windows(spark, d):
     return packets.windowed(t(spark, d, "events"), "ts", ["event_type"], "1 day", n=F.count(F.lit(1)), total=F.round(F.sum("value"), 4))
