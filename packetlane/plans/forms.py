@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from packetlane.functions import comments as C
 from packetlane.functions import header as H
 from packetlane.functions import labels as L
+from packetlane.functions import meta as M
 from packetlane.functions import text as X
-from packetlane.operators import normalize, review
+from packetlane.operators import normalize, review, validation, workbook
 from packetlane.plans.catalog import query, t
 
 
@@ -118,3 +120,88 @@ def corrected_rows(spark, d):
     ids = entry(items.where("item_index % 2 = 0"), kind="id", review_ref=null, name=null, page_in_pair=null, corrected="new1 ", status="done", position=F.lit(103))
     fixed, out = review.correct_items(items, rows, by_ref.unionByName(by_name).unionByName(never).unionByName(ids))
     return out.join(fixed.select("item_index", (F.col("id") == "NEW1").alias("corrected_item")), "item_index").select("item_index", "position", "text", "corrected_item")
+
+
+@query("""WITH i AS (SELECT o_custkey AS book, o_orderkey, o_orderstatus AS f, trim(o_orderpriority) AS p, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus IN ('F', 'O')),
+  s AS (SELECT book, f, row_number() OVER (PARTITION BY book ORDER BY first)::DOUBLE AS pos FROM (SELECT book, f, min(o_orderkey) AS first FROM i GROUP BY book, f)),
+  c AS (SELECT i.book, f, pos, CASE f WHEN 'F' THEN k + 3 ELSE k + 2 END AS row, unnest(CASE f WHEN 'F' THEN ['B', 'C', 'D'] ELSE ['A'] END) AS col, unnest(CASE f WHEN 'F' THEN [p, o_orderkey::VARCHAR, 'stamp'] ELSE [upper(p)] END) AS value, unnest(CASE f WHEN 'F' THEN [p || '?', o_orderkey::VARCHAR || '?', 'stamp'] ELSE [upper(p) || '?'] END) AS raw FROM i JOIN s USING (book, f)),
+  h AS (SELECT book, f, pos, 1 AS row, 'A' AS col, 'head' AS value FROM s WHERE f = 'O')
+  SELECT book, CASE f WHEN 'F' THEN 'Done' ELSE 'Open' END AS sheet, pos AS sheet_position, row, col AS "column", value FROM c UNION ALL SELECT book, f || ' (Original)', pos + 0.5, row, col, raw FROM c
+  UNION ALL SELECT book, 'Open', pos, row, col, value FROM h UNION ALL SELECT book, 'O (Original)', pos + 0.5, row, col, value FROM h""")
+def workbook_cells(spark, d):
+    """A book for each customer, with a sheet and its twin for each status that has a sheet."""
+    o = t(spark, d, "orders").select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("item_index"), F.col("o_orderstatus").alias("form_type"), F.explode(F.array(F.struct(F.lit("priority").alias("name"), F.col("o_orderpriority").alias("text")), F.struct(F.lit("total").alias("name"), F.col("o_orderkey").cast("string").alias("text")))).alias("a"))
+    answers = o.select("book", "item_index", "form_type", "a.*", F.lit(0).alias("pos"))
+    entries = spark.createDataFrame([("F", "priority", "B", None, 0), ("F", "total", "C", "number", 1), ("O", "priority", "A", "upper", 0)], "form_type string, name string, column string, transform string, entry_pos int")
+    sheets = spark.createDataFrame([("F", "Done", 4), ("O", "Open", 3)], "form_type string, sheet string, start_row int")
+    stamps = spark.createDataFrame([("F", "D", "stamp"), ("F", "B", "under")], "form_type string, column string, value string")
+    headers = spark.createDataFrame([("O", 1, "A", "head"), ("P", 1, "A", "never")], "form_type string, row int, column string, value string")
+    original = answers.withColumn("text", F.concat("text", F.lit("?")))
+    cells = workbook.fill_workbook(answers, entries, sheets, original=original, stamps=stamps, headers=headers)
+    return cells.select("book", "sheet", F.col("sheet_position").cast("double").alias("sheet_position"), F.col("row").cast("long").alias("row"), "column", "value")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus WHEN l_returnflag = 'A' THEN '''line'' + ''page'' = ''' || l_linestatus || '''' WHEN l_returnflag = 'R' THEN 'line' ELSE 'page' END AS raw,
+  CASE WHEN l_linenumber % 2 = 1 THEN least(1.0, l_discount * 20) END AS score, 'scan_' || l_orderkey || '.pdf' AS file FROM lineitem""")
+def comment_sources(spark, d):
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "mcq").otherwise("Text")
+    flag, s = F.col("l_returnflag"), F.col("l_linestatus")
+    raw = C.comment_raw(kind, s, F.lit(" page "), F.lit("line"), F.when(flag == "A", "paddle_vlm_fusion"), F.when(flag == "R", "paddle").otherwise("vlm"), F.lit(None).cast("string"))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"), C.text_score(kind, F.lit("x"), F.col("l_discount") * 20).alias("score"), C.source_file_name(F.lit(""), F.concat(F.lit("in/scan_"), "l_orderkey", F.lit(".pdf"))).alias("file"))
+
+
+_MAPPED = """r AS (SELECT p_brand AS form, p_partkey AS row, ['direct', 'lookup', 'static', 'multi_column', 'other'][p_size % 5 + 1] AS type, CASE WHEN p_size % 7 = 0 THEN '' ELSE 's' || p_size % 11 END AS source, CASE WHEN p_size % 6 = 0 THEN '' WHEN p_size % 8 = 0 THEN 'A1' ELSE chr((65 + p_partkey % 26)::INTEGER) END AS col, CASE WHEN p_size % 3 = 0 THEN 'twist' ELSE 'upper' END AS transform FROM part)"""
+
+
+@query(f"""WITH {_MAPPED},
+  d AS (SELECT form, row, col FROM r WHERE type IN ('direct', 'lookup', 'static') AND col <> '' UNION ALL SELECT form, row, 'X' FROM r WHERE type = 'multi_column' UNION ALL SELECT form, row, col FROM r WHERE type = 'multi_column' AND col <> '')
+  SELECT form, 'error' AS severity, 'Unknown mapping type: other' AS message, row FROM r WHERE type = 'other'
+  UNION ALL SELECT form, 'error', 'Missing source', row FROM r WHERE type NOT IN ('other', 'static') AND source = ''
+  UNION ALL SELECT form, 'warning', 'Source not found in regions or reserved fields: ' || source, row FROM r WHERE type NOT IN ('other', 'static') AND source IN ('s9', 's10')
+  UNION ALL SELECT form, 'error', 'Missing target column', row FROM r WHERE type IN ('direct', 'lookup', 'static') AND col = ''
+  UNION ALL SELECT form, 'error', 'Invalid column: A1', row FROM r WHERE type IN ('direct', 'lookup', 'static') AND col = 'A1'
+  UNION ALL SELECT form, 'warning', 'Unrecognized transform: twist', row FROM r WHERE type = 'direct' AND transform = 'twist'
+  UNION ALL SELECT form, 'error', 'lookup rows need a map', row FROM r WHERE type = 'lookup' AND transform = 'twist'
+  UNION ALL SELECT form, 'warning', 'multi_column row has no mark', row FROM r WHERE type = 'multi_column'
+  UNION ALL SELECT form, 'error', 'Invalid choice column for b: ' || col, row FROM r WHERE type = 'multi_column' AND col IN ('', 'A1')
+  UNION ALL SELECT form, 'warning', 'Column ' || col || ' is written by rows ' || string_agg(row::VARCHAR, ', ' ORDER BY row), NULL FROM (SELECT DISTINCT form, row, col FROM d) GROUP BY form, col HAVING count(*) > 1
+  UNION ALL SELECT form, 'info', 'Source ' || source || ' is used ' || count(*) || ' times', NULL FROM r WHERE type NOT IN ('other', 'static') GROUP BY form, source HAVING count(*) > 1""")
+def mapping_validation(spark, d):
+    """Each brand is a form's mapping, each part a row of it."""
+    size, k = F.col("p_size"), F.col("p_partkey")
+    column = F.when(size % 6 == 0, "").when(size % 8 == 0, "a1 ").otherwise(F.chr(65 + k % 26))
+    none = F.lit(None).cast("string")
+    twist = size % 3 == 0
+    rows = t(spark, d, "part").select(
+        F.col("p_brand").alias("form"), k.alias("row"), case(size % 5, list(map(F.lit, ("direct", " Lookup", "static", "multi_column"))), F.lit("other")).alias("type"), F.when(size % 7 == 0, none).otherwise(F.concat(F.lit("s"), size % 11)).alias("source"), column.alias("column"),
+        F.when(twist, "Twist").otherwise("upper").alias("transform"), F.when(~twist, F.create_map(F.lit("a"), F.lit("b"))).alias("map"), F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), column).alias("choices"), none.alias("no_answer"), F.lit("").alias("mark"),
+    )
+    known = rows.select("form").distinct().select("form", F.explode(F.array(*[F.lit(f"s{i}") for i in range(9)])).alias("source"))
+    return validation.mapping_issues(rows, ["form"], known).select("form", "severity", "message", "row")
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'postprocess_passes' WHEN 1 THEN 'legacy_llm_passes' WHEN 2 THEN 'legacy_llm_prompt_override' WHEN 3 THEN 'postprocess_passes' ELSE 'none' END AS source,
+  CASE event_id % 6 WHEN 0 THEN 'llm:' || event_type || ':m1,code:x = 1:' WHEN 1 THEN 'llm:' || event_type || ':' WHEN 2 THEN 'llm:' || event_type || ':' ELSE '' END AS steps, CASE event_id % 6 WHEN 0 THEN 'm1' WHEN 1 THEN 'base' WHEN 2 THEN 'base' END AS model FROM events""")
+def region_passes(spark, d):
+    e, k = F.col("event_type"), F.col("event_id") % 6
+    modern = F.concat(F.lit('[{"prompt": "'), e, F.lit('", "model": "m1"}, {"type": "code", "snippet": "x = 1"}, {"type": "code"}, 7, " "]'))
+    entry = lambda when, key, value: F.when(when, F.struct(F.lit(key).alias("key"), value.alias("value")))
+    meta = F.map_from_entries(F.array_compact(F.array(entry(k == 0, "postprocess_passes", modern), entry(k == 1, "llm_passes", F.concat(F.lit('["'), e, F.lit('"]'))), entry(k < 4, "llm_prompt_override", e), entry(k == 3, "postprocess_passes", F.lit('"no list"')))))
+    got = t(spark, d, "events").select("event_id", M.passes(meta).alias("p"))
+    steps = F.array_join(F.transform("p.passes", lambda s: F.concat_ws(":", s["type"], s["body"], F.coalesce(s["model"], F.lit("")))), ",")
+    return got.select("event_id", "p.source", steps.alias("steps"), M.first_model(F.col("p.passes"), F.lit("base"), F.array(F.lit("m1"), F.lit("m2"))).alias("model"))
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN event_type WHEN 2 THEN event_type WHEN 3 THEN '' WHEN 4 THEN 'raw text' WHEN 5 THEN 'fallback' ELSE '' END AS text, event_id % 7 IN (1, 2, 3, 6) AS single, event_id % 5 = 0 AS uid, event_id % 11 = 3 AS echo,
+  CASE WHEN event_id % 3 = 0 THEN 'REVIEW_REQUIRED' WHEN event_id % 3 = 1 THEN 'NO_ACCEPTED_STAGE' WHEN event_id % 2 = 0 THEN 'AUTO_ACCEPTED' ELSE 'ACCEPTED_EMPTY_TEXT' END AS status,
+  CASE event_id % 5 WHEN 0 THEN 'null' WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'unchanged' WHEN 3 THEN 'header_cleanup' ELSE 'other_text' END AS outcome FROM events""")
+def answer_shapes(spark, d):
+    e, i = F.col("event_type"), F.col("event_id")
+    k = i % 7
+    parsed = F.when(k == 1, F.concat(F.lit('{"detected_text": " '), e, F.lit('", "x": 1}'))).when(k == 2, F.concat(F.lit('{"age": "'), e, F.lit('"}'))).when(k == 3, '{"detected_text": null}').when(k == 6, '{"a": "N/A"}').when(k != 0, '{"a": 1, "b": 2}')
+    raw = F.when(k == 4, " raw  text ").otherwise("")
+    uid = F.when(i % 5 == 0, F.concat(F.lit("p1:r"), i, F.lit(":name "))).otherwise(F.concat(F.lit("p1:r"), i))
+    echo = M.echoes_number(F.lit("12"), F.when(i % 11 == 3, " 12").otherwise("13"), F.concat(F.lit("112 3"), e))
+    given = F.when(i % 5 == 3, "Optional question : more").otherwise(F.concat(F.lit(" a  "), e))
+    answer = F.when(i % 5 != 0, F.when(i % 5 == 2, F.concat(F.lit("a "), e)).otherwise("b"))
+    return t(spark, d, "events").select("event_id", M.detected_text(parsed, raw, F.lit("fallback")).alias("text"), F.coalesce(M.single_output(parsed)["found"], F.lit(False)).alias("single"), M.internal_uid(uid).alias("uid"), echo.alias("echo"), M.overall_status(i % 3 == 0, i % 3 == 2, F.when(i % 2 == 0, "x").otherwise(" ")).alias("status"), M.classify_output(given, answer, i % 5 != 1).alias("outcome"))

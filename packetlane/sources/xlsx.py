@@ -1,7 +1,8 @@
-"""Spreadsheets as a Spark data source (format "xlsx"): inline strings, one sheet a file, text cells.
+"""Spreadsheets as a Spark data source (format "xlsx"): inline strings, text cells.
 
 Writing: each task writes one part file of a folder; rows keep their order within the task. Reading: files are
-dealt to tasks, each streams its sheet; a path may be a file, a folder or a glob of a folder that tasks can open.
+dealt to tasks, each streams one sheet (option `sheet`, else the first). A path is a file, a folder or a glob below a
+folder that the driver and all tasks have mounted; books of several sheets are made as bytes by operators.workbook.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>'
-_RELS = '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{kind}" Target="{target}"/></Relationships>'
-_BOOK = '<?xml version="1.0"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>'
+_TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{sheets}</Types>'
+_RELS = '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>'
+_LINK = '<Relationship Id="rId{k}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{kind}" Target="{target}"/>'
+_BOOK = '<?xml version="1.0"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{sheets}</sheets></workbook>'
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def letters(n: int) -> str:
@@ -39,34 +42,83 @@ def number(cell: str) -> int:
     return n
 
 
-def workbook(header: list[str], rows, sheet: str = "Sheet1") -> bytes:
+def _text(v) -> str:
+    return escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v)))
+
+
+def _zipped(sheets) -> bytes:
+    """A file of (name, rows) sheets; rows: (number, [(letters, value)]) in order."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", _TYPES)
-        z.writestr("_rels/.rels", _RELS.format(kind="officeDocument", target="xl/workbook.xml"))
-        z.writestr("xl/workbook.xml", _BOOK.format(name=escape(sheet[:31], {'"': "&quot;"})))
-        z.writestr("xl/_rels/workbook.xml.rels", _RELS.format(kind="worksheet", target="worksheets/sheet1.xml"))
-        with z.open("xl/worksheets/sheet1.xml", "w") as f:
-            f.write(b'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
-            for r, row in enumerate([header, *rows] if isinstance(rows, list) else _chain(header, rows), 1):
-                cells = "".join(f'<c r="{letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v)))}</t></is></c>' for c, v in enumerate(row, 1) if v is not None)
-                f.write(f'<row r="{r}">{cells}</row>'.encode())
-            f.write(b"</sheetData></worksheet>")
+        names = []
+        for k, (name, rows) in enumerate(sheets, 1):
+            names.append(escape(name[:31], {'"': "&quot;"}))
+            with z.open(f"xl/worksheets/sheet{k}.xml", "w") as f:
+                f.write(b'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+                for r, row in rows:
+                    cells = "".join(f'<c r="{c}{r}" t="inlineStr"><is><t xml:space="preserve">{_text(v)}</t></is></c>' for c, v in row if v is not None)
+                    f.write(f'<row r="{r}">{cells}</row>'.encode())
+                f.write(b"</sheetData></worksheet>")
+        part = '<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+        z.writestr("[Content_Types].xml", _TYPES.format(sheets="".join(part.format(k=k) for k in range(1, len(names) + 1))))
+        z.writestr("_rels/.rels", _RELS.format(links=_LINK.format(k=1, kind="officeDocument", target="xl/workbook.xml")))
+        z.writestr("xl/workbook.xml", _BOOK.format(sheets="".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, n in enumerate(names, 1))))
+        z.writestr("xl/_rels/workbook.xml.rels", _RELS.format(links="".join(_LINK.format(k=k, kind="worksheet", target=f"worksheets/sheet{k}.xml") for k in range(1, len(names) + 1))))
     return out.getvalue()
 
 
+def workbook(header: list[str], rows, sheet: str = "Sheet1") -> bytes:
+    """A file of one sheet: a header and rows of values."""
+    lettered = lambda row: [(letters(c), v) for c, v in enumerate(row, 1)]
+    return _zipped([(sheet, ((r, lettered(row)) for r, row in enumerate(_chain(header, rows), 1)))])
+
+
+def book(sheets: list[tuple[str, list[tuple[int, str, str]]]]) -> bytes:
+    """A file of several sheets, each a list of (row, letters, value) in any order."""
+
+    def rows(cells):
+        by_row: dict[int, list] = {}
+        for r, c, v in cells:
+            by_row.setdefault(r, []).append((number(c), c, v))
+        for r in sorted(by_row):
+            yield r, [(c, v) for _, c, v in sorted(by_row[r], key=lambda x: x[0])]
+
+    return _zipped([(name, rows(cells)) for name, cells in sheets])
+
+
 def _chain(header, rows):
     yield header
     yield from rows
 
 
-def cells(path: str):
-    """Rows of the first sheet as lists of text or None."""
+def sheet_parts(z: zipfile.ZipFile) -> dict[str, str]:
+    """The part of the file that holds each sheet, by the sheet's name, in order."""
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.parse(z.open("xl/_rels/workbook.xml.rels")).getroot()}
+    sheets = ElementTree.parse(z.open("xl/workbook.xml")).getroot().iter(NS + "sheet")
+    return {s.get("name"): (t.lstrip("/") if (t := targets[s.get(_R + "id")]).startswith("/") else f"xl/{t}") for s in sheets}
+
+
+def resolved(names: list[str], wanted: str | None) -> str:
+    """The sheet that is meant: by its name, by its name whatever the case and spaces around it, or the first if none is asked for."""
+    if not names:
+        raise ValueError("the workbook has no sheet")
+    if wanted is None:
+        return names[0]
+    alike = [n for n in names if n == wanted] or [n for n in names if n.strip().lower() == wanted.strip().lower()]
+    if not alike:
+        raise ValueError(f"no sheet {wanted!r} among {names}")
+    return alike[0]
+
+
+def cells(path, sheet: str | None = None):
+    """Rows of one sheet as lists of text or None."""
     with zipfile.ZipFile(path) as z:
+        parts = sheet_parts(z)
+        part = parts[resolved(list(parts), sheet)]
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(NS + "t")) for si in ElementTree.parse(z.open("xl/sharedStrings.xml")).getroot()]
-        for _, row in ElementTree.iterparse(z.open("xl/worksheets/sheet1.xml")):
+        for _, row in ElementTree.iterparse(z.open(part)):
             if row.tag == NS + "row":
                 out = []
                 for c in row:
@@ -88,33 +140,36 @@ class XlsxSource(DataSource):
         return sorted(glob.glob(os.path.join(p, "*.xlsx")) if os.path.isdir(p) else glob.glob(p))
 
     def schema(self):
-        header = next(iter(cells(self.files()[0])), [])
+        files = self.files()
+        if not files:
+            raise FileNotFoundError(f"no xlsx file in {self.options['path']!r}")
+        header = next(iter(cells(files[0], self.options.get("sheet"))), [])
         return ", ".join(f"`{(h or letters(k)).replace('`', '')}` string" for k, h in enumerate(header, 1))
 
     def reader(self, schema: StructType):
-        return XlsxReader(self.files(), len(schema.fields))
+        return XlsxReader(self.files(), len(schema.fields), self.options.get("sheet"))
 
     def writer(self, schema: StructType, overwrite: bool):
-        return XlsxWriter(self.options, schema.names)
+        return XlsxWriter(self.options, schema.names, overwrite)
 
 
 class XlsxReader(DataSourceReader):
-    def __init__(self, files, width):
-        self.paths, self.width = files, width
+    def __init__(self, files, width, sheet):
+        self.paths, self.width, self.sheet = files, width, sheet
 
     def partitions(self):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        rows = cells(partition.value)
+        rows = cells(partition.value, self.sheet)
         next(rows, None)
         for r in rows:
             yield tuple((r + [None] * self.width)[: self.width])
 
 
 class XlsxWriter(DataSourceWriter):
-    def __init__(self, options, names):
-        self.path, self.sheet, self.names = options["path"].removeprefix("file:"), options.get("sheet", "Sheet1"), names
+    def __init__(self, options, names, overwrite):
+        self.path, self.sheet, self.names, self.overwrite = options["path"].removeprefix("file:"), options.get("sheet", "Sheet1"), names, overwrite
 
     def write(self, rows):
         os.makedirs(self.path, exist_ok=True)
@@ -126,6 +181,9 @@ class XlsxWriter(DataSourceWriter):
         return message
 
     def commit(self, messages):
+        if self.overwrite:
+            for old in glob.glob(os.path.join(self.path, "*.xlsx")):
+                os.remove(old)
         for m in messages:
             if m is not None:
                 os.replace(m.path + ".tmp", m.path)
