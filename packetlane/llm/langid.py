@@ -2,7 +2,7 @@
 
 A text is the average of embeddings of its hashed subwords (byte 2-, 3- and 4-grams, lower-cased ASCII);
 a linear softmax on top gives the language. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy on at most about FIT_ROWS texts. A fifth of these texts is kept from training
+gradient descent in numpy on at most about FIT_ROWS texts of up to FIT_TEXT bytes. A fifth of these texts is kept from training
 to fit a temperature, so that scores are probabilities, and the score below which a text is rejected.
 
 Cases: null and empty texts, and texts without a letter, are `und` with score 0; texts of any length are
@@ -24,6 +24,8 @@ from packetlane.llm.batches import LOWER, chunks, slices
 from packetlane.llm.sampling import about, crc_mod
 
 FIT_ROWS = 4000
+#: Longer texts (in bytes) are not fitted on, so that what the driver gathers is bounded by FIT_ROWS times this.
+FIT_TEXT = 1 << 16
 BITS = 16
 DIM = 16
 EPOCHS = 8
@@ -115,9 +117,9 @@ def fit(texts: list[str], labels: list[str], kept_back: list[bool], seed: int =
 
 
 def learn(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, held_out_mod: int = 5) -> Model | None:
-    """Fit on at most about fit_rows rows with text and lang whose crc32(key) mod held_out_mod is not 0."""
+    """Fit on at most about fit_rows rows with lang and a text of up to FIT_TEXT bytes whose crc32(key) mod held_out_mod is not 0."""
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].alias("l")).where(F.col("l").isNotNull() & F.col("k").isNotNull() & (crc_mod(F.col("k"), held_out_mod) != 0))
-    got = about(rows, "k", fit_rows).where(F.col("t").isNotNull()).withColumn("back", crc_mod(F.concat(F.lit("back"), F.col("k")), 5) == 0)
+    got = about(rows.where(F.octet_length("t") <= FIT_TEXT), "k", fit_rows).withColumn("back", crc_mod(F.concat(F.lit("back"), F.col("k")), 5) == 0)
     got = sorted(got.collect())
     return fit([r.t for r in got], [r.l for r in got], [r.back for r in got])
 

@@ -179,10 +179,10 @@ def fit(texts: list[str], labels: list[int], kept_back: list[bool], languages: l
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, held_out_mod: int = 3, languages: langid.Model | None = None) -> Model:
-    """Fit on at most about fit_rows labelled rows whose crc32(doc_id) mod held_out_mod is not 1."""
+    """Fit on at most about fit_rows labelled rows (those with texts of over langid.FIT_TEXT bytes left out) whose crc32(doc_id) mod held_out_mod is not 1."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), held_out_mod) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = about(own, "doc_id", fit_rows)
-    got = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").withColumn("back", crc_mod(F.concat(F.lit("back"), F.col("doc_id")), 5) == 0)
+    got = docs.select("doc_id", "text").where(F.octet_length("text") <= langid.FIT_TEXT).join(chosen, "doc_id").withColumn("back", crc_mod(F.concat(F.lit("back"), F.col("doc_id")), 5) == 0)
     got = sorted(got.collect(), key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in got], [int(r.toxic > 0) for r in got], [r.back for r in got], languages)
 

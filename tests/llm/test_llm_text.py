@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -161,6 +162,66 @@ def test_html_without_end_tags(n):
     assert html_text.extract("<article><table><tr><td hidden>A<table><tr><td>B</table><td>C<tr hidden><td>D<tr><td>E</table></article>") == "C\nE"
 
 
+def plain_logits(model, text):
+    """Average of the rows of all grams, one at a time, plus the bias."""
+    data = [b + 32 if 65 <= b <= 90 else b for b in b"\x20" + text.encode() + b"\0" * 4]
+    n, total = len(data), np.zeros(len(model.languages))
+    padded = data + [0] * 4
+    for size in langid.GRAMS:
+        for at in range(n):
+            code = sum(padded[at + j] << (8 * j) for j in range(size))
+            total += model.table[:, (((code + size * 0x51ED) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - langid.BITS)].astype(float)
+    return total / (len(langid.GRAMS) * n) + model.bias
+
+
+def test_language_scores_by_brute_force(docs):
+    rows = [r for r in docs.itertuples() if r.lang and r.text][:60]
+    model = langid.fit([r.text for r in rows], [r.lang for r in rows], [i % 5 == 0 for i in range(len(rows))])
+    held = [r.text[:400] for r in rows[:12]] + ["", "A", "é"]
+    for text, got in zip(held, model.probabilities([t.encode() for t in held]), strict=True):
+        z = plain_logits(model, text) / model.temperature
+        want = [math.exp(v - max(z)) for v in z]
+        assert np.allclose(got, np.array(want) / sum(want), atol=1e-6)
+
+
+def test_toxicity_scores_by_brute_force():
+    """A plain forward pass: every window of every width, the largest value of each filter, one unit on top."""
+    good, bad = "the sun is warm and the sea is calm today", "you are an awful stupid person go away"
+    model = toxicity.fit([good + f" {i}" for i in range(20)] + [bad + f" {i}" for i in range(20)], [0] * 20 + [1] * 20, [i % 4 == 0 for i in range(40)])
+    half = 1 << toxicity.BITS
+
+    def bucket(b):
+        h = int(toxicity.words([b], toxicity.LETTERS)[0][0])
+        return (h >> (64 - toxicity.BITS)) % (half - 1) + 1
+
+    for text in (good, bad, "stupid", "", "one two", bad + " " + good, "1 2 3"):
+        tokens = [w for w in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode())]
+        pairs = [(bucket(w), bucket(w[: toxicity.STEM]) + half) for w in tokens]
+        pooled = []
+        for width, by_offset in zip(toxicity.WIDTHS, model.tables, strict=True):
+            for f in range(toxicity.FILTERS):
+                values = [0.0]  # the window of padding alone
+                for at in range(len(pairs)):
+                    inside = pairs[at : at + width]
+                    values.append(sum(by_offset[j][a][f] + by_offset[j][b][f] for j, (a, b) in enumerate(inside)) + sum(2 * 0.0 for _ in range(width - len(inside))))
+                pooled.append(max(values))
+        z = float(np.maximum(0, np.array(pooled) + model.bias) @ model.out + model.out_bias)
+        z = z + model.offsets[0]
+        want = 1 / (1 + math.exp(-min(40, max(-40, model.slope * z))))
+        assert abs(float(model.scores([text.encode()])[0]) - want) < 1e-4, text
+
+
+def test_toxicity_repeated_rows_and_labels(spark):
+    rows = [(i, ("awful stupid person " if i % 2 else "warm calm sea ") + str(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:10] + [(None, "x"), (None, "x")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (2, None), (None, 1), (999, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
+    assert len(got) == 72 and all(0 <= r.score <= 1 for r in got)
+    assert all(len({r.score for r in got if r.doc_id == i}) == 1 for i in range(10))
+    none = toxicity.learn(docs.limit(0), labels)
+    assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
+
+
 def test_smoothing_and_threshold_by_brute_force():
     r = random.Random(4)
     for n in (1, 2, 3, 9, 40):
