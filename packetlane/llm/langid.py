@@ -35,10 +35,10 @@ REJECT_SHARE = 0.001
 UNKNOWN = "und"
 
 
-def subwords(held: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets at every byte, for each size of gram, and where each text begins. Grams never reach the next text."""
+def subwords(held: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Buckets at every byte, for each size of gram, and where each text begins and ends. A text's grams reach into the gap behind it, never into the next text."""
     gap = b"\0" * 4
-    data = LOWER[np.frombuffer(b"".join(b"\x20" + b + gap for b in held), dtype=np.uint8)].astype(np.uint32)
+    data = LOWER[np.frombuffer(b"".join(b"\x20" + b + gap for b in held) + gap, dtype=np.uint8)].astype(np.uint32)
     n = len(data) - 4
     code = data[:n] | data[1 : n + 1] << 8
     out = []
@@ -47,7 +47,8 @@ def subwords(held: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
             code = code | data[k - 1 : n + k - 1] << np.uint32(8 * (k - 1))
         out.append(((code + np.uint32(k * 0x51ED)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))
     lengths = np.array([len(b) + 5 for b in held])
-    return out, np.cumsum(lengths) - lengths
+    starts = np.cumsum(lengths) - lengths
+    return out, starts, starts + lengths - 4
 
 
 @dataclass
@@ -59,13 +60,13 @@ class Model:
     reject_below: float = 0.0
 
     def logits(self, held: list[bytes]) -> np.ndarray:
-        grams, starts = subwords(held)
-        ends = np.append(starts[1:], len(grams[0]))
+        grams, starts, ends = subwords(held)
+        edges = np.stack([starts, ends], axis=1).ravel()
         out = np.zeros((len(held), len(self.languages)))
         for g in grams:
             for k in range(len(self.languages)):
-                out[:, k] += np.add.reduceat(self.table[k][g], starts, dtype=np.float64)
-        return out / (len(GRAMS) * np.maximum(1, ends - starts))[:, None] + self.bias
+                out[:, k] += np.add.reduceat(self.table[k][g], edges, dtype=np.float64)[::2]
+        return out / (len(GRAMS) * (ends - starts))[:, None] + self.bias
 
     def probabilities(self, held: list[bytes]) -> np.ndarray:
         z = self.logits(held) / self.temperature
@@ -84,8 +85,8 @@ def fit(texts: list[str], labels: list[str], kept_back: list[bool], seed: int =
     w, bias = rng.normal(0, 0.3, (DIM, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     bags = []
     for t in texts:
-        g, _ = subwords([t.encode("utf-8", "surrogatepass")])
-        idx, n = np.unique(np.concatenate(g), return_counts=True)
+        g, _, (end,) = subwords([t.encode("utf-8", "surrogatepass")])
+        idx, n = np.unique(np.concatenate([x[:end] for x in g]), return_counts=True)
         bags.append((idx, (n / n.sum()).astype(np.float32)))
     train = [i for i in range(len(texts)) if not kept_back[i]] or list(range(len(texts)))
     for epoch in range(EPOCHS):

@@ -165,11 +165,10 @@ def test_html_without_end_tags(n):
 def plain_logits(model, text):
     """Average of the rows of all grams, one at a time, plus the bias."""
     data = [b + 32 if 65 <= b <= 90 else b for b in b"\x20" + text.encode() + b"\0" * 4]
-    n, total = len(data), np.zeros(len(model.languages))
-    padded = data + [0] * 4
+    n, total = len(data) - 4, np.zeros(len(model.languages))
     for size in langid.GRAMS:
         for at in range(n):
-            code = sum(padded[at + j] << (8 * j) for j in range(size))
+            code = sum(data[at + j] << (8 * j) for j in range(size))
             total += model.table[:, (((code + size * 0x51ED) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - langid.BITS)].astype(float)
     return total / (len(langid.GRAMS) * n) + model.bias
 
