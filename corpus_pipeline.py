@@ -19,9 +19,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BUDGET = 0.8
 
 
+def _bundled(docs: DataFrame) -> DataFrame:
+    """Other columns than those of documents as one, so that no name of theirs meets a name that a stage adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS]
+    return docs.select(*[c for c in COLUMNS if c in docs.columns], *([F.struct(*rest).alias("__rest")] if rest else []))
+
+
+def _unbundled(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*[F.col(c) if c in COLUMNS else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is not recognised with a calibrated score."""
-    return langid.identify(docs, langid.learn(docs)).where("not rejected").select(docs.columns)
+    return _unbundled(langid.identify(_bundled(docs), langid.learn(docs)).where("not rejected"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +49,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that sources, languages and topics come near their target shares; no weights are kept, so probabilities are bounded. Rows with a null doc_id are drawn by their text."""
     drawn = F.coalesce("sampled", mixing.uniform(F.col("text")) < F.col("probability"))
-    return mixing.mix(docs, budget=BUDGET, bounded=True).where(drawn).select(docs.columns)
+    return _unbundled(mixing.mix(_bundled(docs), budget=BUDGET, bounded=True).where(drawn), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
