@@ -79,3 +79,51 @@ def reading_order() -> list[Column]:
 
 def slice_item(trace: DataFrame, item: int) -> DataFrame:
     return trace.where(F.col("page_index").isin(2 * item, 2 * item + 1))
+
+
+# Names of sources that are no regions.
+RESERVED_SOURCES = ("id", "form_type", "page_odd", "page_even")
+
+
+def merge_pages(odd: DataFrame, even: DataFrame) -> DataFrame:
+    """Rows of both pages of a pair, with the side they come from."""
+    return odd.withColumn("page_in_pair", F.lit("odd")).unionByName(even.withColumn("page_in_pair", F.lit("even")), allowMissingColumns=True)
+
+
+def prefix_slice(trace: DataFrame, name: str, pages: list[int]) -> DataFrame:
+    """Entries p<page>:... of a run's trace that belong to some pages."""
+    return trace.where(F.regexp_extract(F.col(name), r"\Ap([0-9]+):", 1).isin(*[str(p) for p in pages]))
+
+
+def range_slice(cells: DataFrame, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
+    """Cells (row, column as numbers) inside a range, both ends included."""
+    return cells.where(F.col("row").between(*rows) & F.col("column").between(*columns))
+
+
+def source_order(name: str) -> list[Column]:
+    """Reserved sources, then numbers, then numbers with letters, then other names."""
+    c = F.col(name)
+    number = F.regexp_extract(c, r"\A([0-9]+)[A-Za-z]*\z", 1).try_cast("bigint")
+    kind = F.when(c.isin(*RESERVED_SOURCES), -1).when(c.rlike(r"\A[0-9]+\z"), 0).when(number.isNotNull(), 1).otherwise(2)
+    return [kind, F.coalesce(F.when(kind >= 0, number), F.lit(0)), F.lower(c), c]
+
+
+def source_catalog(regions: DataFrame, lenient: bool = False) -> DataFrame:
+    """form_type and source: what mappings of a form may name. regions: form_type, side, name. Without both sides a form has none, unless lenient."""
+    named = regions.select("form_type", "side", F.trim("name").alias("source"))
+    if not lenient:
+        whole = named.groupBy("form_type").agg(F.count_distinct("side").alias("sides")).where("sides >= 2")
+        named = named.join(whole.select("form_type"), "form_type", "left_semi")
+    reserved = named.select("form_type").distinct().select("form_type", F.explode(F.array(*map(F.lit, RESERVED_SOURCES))).alias("source"))
+    return named.where("source <> ''").select("form_type", "source").unionByName(reserved).distinct()
+
+
+def expected_forms(files: DataFrame, path: str = "path") -> DataFrame:
+    """Names of forms from template images' names, without their side."""
+    stem = F.regexp_replace(F.regexp_extract(F.col(path), r"([^/]*)\.png\z", 1), r"(?i)_[ab]\z", "")
+    return files.select(stem.alias("form_type")).where(F.col("form_type").rlike(r"\A[A-Za-z0-9][A-Za-z0-9_\-]*\z")).distinct()
+
+
+def form_types(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct form types of each run, and how many there are."""
+    return pages.where(F.coalesce(F.trim("form_type"), F.lit("")) != "").groupBy(*keys).agg(F.array_sort(F.collect_set(F.trim("form_type"))).alias("form_types")).withColumn("n", F.size("form_types"))

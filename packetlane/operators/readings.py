@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlane.functions.text import coerce_score, score_label
+from packetlane.functions.text import coerce_score, norm_ws, score_label
 from packetlane.operators.fusion import fuse
 
 ACCEPT = 0.90
@@ -62,3 +62,31 @@ def run_passes(c: Column, passes: list[str]) -> Column:
     for name in passes:
         c = PASSES[name](c)
     return c
+
+
+def retry_rounds(rows: DataFrame, attempts: DataFrame, steps: list[str], clear: bool = True) -> DataFrame:
+    """Adds final, matched, cleared and used_step to rows (uid, text, pattern). attempts: uid, step, text.
+
+    A text that fails its pattern is read again, step by step, until it matches; the last reading stands if none does, and
+    is cleared if asked for. Texts without a pattern are final. A row has as many attempts as there are steps, so collecting them is bounded.
+    """
+    order = F.create_map(*[F.lit(x) for k, s in enumerate(steps) for x in (s, k)])
+    place = F.try_element_at(order, F.col("step"))
+    got = attempts.withColumn("place", place).where("place is not null").groupBy("uid", "place").agg(F.max(F.struct("step", "text")).alias("a"))
+    tried = got.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("place", F.col("a.step").alias("step"), norm_ws(F.coalesce("a.text", F.lit(""))).alias("text")))).alias("__tries"))
+    first = F.struct(F.lit(-1).alias("place"), F.lit("first").alias("step"), norm_ws(F.coalesce("text", F.lit(""))).alias("text"))
+    out = rows.join(tried, "uid", "left").withColumn("__tries", F.concat(F.array(first), F.coalesce("__tries", F.array().cast("array<struct<place:int,step:string,text:string>>"))))
+    fits = lambda t: F.rlike(t["text"], F.concat(F.lit(r"\A(?:"), F.col("pattern"), F.lit(r")\z")))
+    free = F.coalesce(F.col("pattern"), F.lit("")) == ""
+    hit = F.when(free, F.get("__tries", F.lit(0))).otherwise(F.try_element_at(F.filter("__tries", fits), F.lit(1)))
+    last = F.try_element_at("__tries", F.lit(-1))
+    out = out.withColumns({"__hit": hit, "__last": last})
+    matched = F.col("__hit").isNotNull()
+    cleared = F.lit(clear) & ~matched & (F.col("__last.text") != "")
+    return out.withColumns({"matched": matched, "cleared": cleared, "used_step": F.coalesce("__hit.step", "__last.step"), "final": F.when(matched, F.col("__hit.text")).when(cleared, "").otherwise(F.col("__last.text"))}).drop("__tries", "__hit", "__last")
+
+
+def retry_counts(done: DataFrame) -> DataFrame:
+    """One row: texts with a pattern, first mismatches, those left, those cleared."""
+    asked = F.coalesce(F.col("pattern"), F.lit("")) != ""
+    return done.agg(F.count_if(asked).alias("rows_with_regex"), F.count_if(asked & (~F.col("matched") | (F.col("used_step") != "first"))).alias("initial_mismatches"), F.count_if(asked & ~F.col("matched")).alias("remaining"), F.count_if("cleared").alias("cleared"))

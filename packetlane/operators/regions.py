@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetlane.functions.text import norm_ws
+
 
 def region_kinds(regions: DataFrame, keys: list[str]) -> DataFrame:
     """Adds question, letter and kind: a number with lettered siblings is mcq, a letter one mcq_choice, all else text."""
@@ -56,3 +58,40 @@ def argmax_choice(scores: DataFrame, keys: list[str], choice: str = "choice", sc
 
 def line_stats(lines: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     return lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("line_count"), F.coalesce(F.min(score), F.lit(0.0)).alias("min_score"), F.coalesce(F.avg(score), F.lit(0.0)).alias("mean_score"))
+
+
+def corner_box(corners: Column) -> Column:
+    """Corners (array of four numbers) as whole numbers x1, y1, x2, y2; null if there are not four or the box is empty."""
+    v = F.transform(corners, lambda x: F.round(x.try_cast("double")).cast("int"))
+    names = ("x1", "y1", "x2", "y2")
+    ok = (F.size(v) == 4) & F.forall(v, lambda x: x.isNotNull()) & (F.get(v, 2) > F.get(v, 0)) & (F.get(v, 3) > F.get(v, 1))
+    return F.when(ok, F.struct(*[F.get(v, k).alias(n) for k, n in enumerate(names)]))
+
+
+def top_rows(height: Column, percent: Column) -> Column:
+    """Rows of an image in its top part of this many percent, one at least."""
+    p = F.greatest(F.lit(0.01), F.least(F.lit(100.0), percent))
+    return F.when(height <= 0, 0).otherwise(F.greatest(F.lit(1), F.least(height, F.bround(height * p / 100).cast("int"))))
+
+
+def named_regions(regions: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Regions with a name, trimmed, other than those dropped (whatever their case), with whole coordinates."""
+    name = F.trim(F.coalesce("name", F.lit("")))
+    kept = regions.withColumn("name", name).where((F.col("name") != "") & ~F.lower("name").isin(*[d.lower() for d in drop] or [""]))
+    return kept.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).cast("int") for c in ("x", "y", "w", "h")})
+
+
+def preview_regions(lines: DataFrame, least: int = 4, longest: int = 80) -> DataFrame:
+    """Lines of text as regions to begin with: named by their text, of a least size."""
+    text = norm_ws(F.coalesce("text", F.lit("")))
+    size = lambda c: F.greatest(F.lit(least), F.coalesce(F.col(c).try_cast("double"), F.lit(float(least))).cast("int"))
+    at = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).cast("int")
+    return lines.where(text != "").withColumns({"name": F.substring(text, 1, longest), "x": at("x"), "y": at("y"), "w": size("w"), "h": size("h")})
+
+
+def inside_root(path: Column, root: str) -> Column:
+    """A path below a root, absolute; null if it leaves the root, names a parent, or is blank."""
+    p = F.replace(F.trim(path), F.lit("\\"), F.lit("/"))
+    base = root.rstrip("/") + "/"
+    full = F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit(base), p))
+    return F.when((p != "") & ~F.array_contains(F.split(p, "/"), "..") & F.startswith(full, F.lit(base)), full)

@@ -10,6 +10,7 @@ TYPES = ("direct", "lookup", "static", "multi_column")
 TRANSFORMS = ("", "none", "upper", "lower", "number", "date")
 RANKS = {"error": 0, "warning": 1, "info": 2}
 COLUMN = "[A-Z]{1,3}"
+OPTIONAL = ("if other, please describe", "if other please describe")
 
 
 def _clean(c: str | Column) -> Column:
@@ -89,7 +90,10 @@ def issue_stats(issues: DataFrame, keys: list[str]) -> DataFrame:
 def required_columns(headers: DataFrame) -> DataFrame:
     """Columns with a header that is not optional. headers: sheet, column, header (text of its cells joined)."""
     text = F.lower(_clean("header"))
-    return headers.where((text != "") & ~F.contains(text, F.lit("optional"))).select("sheet", "column", "header")
+    optional = F.lit(False)
+    for marker in OPTIONAL:
+        optional = optional | F.contains(text, F.lit(marker))
+    return headers.where((text != "") & ~optional).select("sheet", "column", "header")
 
 
 def header_text(cells: DataFrame, last_row: int) -> DataFrame:

@@ -9,7 +9,7 @@ from packetlane.functions import header as H
 from packetlane.functions import labels as L
 from packetlane.functions import meta as M
 from packetlane.functions import text as X
-from packetlane.operators import normalize, review, validation, workbook
+from packetlane.operators import normalize, readings, review, validation, workbook
 from packetlane.plans.catalog import query, t
 
 
@@ -205,3 +205,17 @@ def answer_shapes(spark, d):
     given = F.when(i % 5 == 3, "Optional question : more").otherwise(F.concat(F.lit(" a  "), e))
     answer = F.when(i % 5 != 0, F.when(i % 5 == 2, F.concat(F.lit("a "), e)).otherwise("b"))
     return t(spark, d, "events").select("event_id", M.detected_text(parsed, raw, F.lit("fallback")).alias("text"), F.coalesce(M.single_output(parsed)["found"], F.lit(False)).alias("single"), M.internal_uid(uid).alias("uid"), echo.alias("echo"), M.overall_status(i % 3 == 0, i % 3 == 2, F.when(i % 2 == 0, "x").otherwise(" ")).alias("status"), M.classify_output(given, answer, i % 5 != 1).alias("outcome"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 = 0 THEN 'x y' WHEN l_linenumber % 3 = 0 THEN l_linenumber::VARCHAR WHEN l_orderkey % 2 = 0 THEN l_orderkey::VARCHAR WHEN l_orderkey % 3 = 0 THEN '77' ELSE '' END AS final,
+  CASE WHEN l_linenumber % 5 = 0 OR l_linenumber % 3 = 0 THEN 'first' WHEN l_orderkey % 2 = 0 THEN 'sharp' ELSE 'last' END AS used_step, l_linenumber % 5 = 0 OR l_linenumber % 3 = 0 OR l_orderkey % 2 = 0 OR l_orderkey % 3 = 0 AS matched,
+  NOT (l_linenumber % 5 = 0 OR l_linenumber % 3 = 0 OR l_orderkey % 2 = 0 OR l_orderkey % 3 = 0) AS cleared FROM lineitem""")
+def regex_retries(spark, d):
+    """Texts that fail their pattern are replaced by later readings until one fits."""
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    uid = F.concat_ws(":", o, n, "l_partkey", "l_suppkey").alias("uid")
+    line = t(spark, d, "lineitem").select(o, n, uid)
+    rows = line.select("l_orderkey", "l_linenumber", "uid", F.when(n % 5 == 0, " x  y").when(n % 3 == 0, n.cast("string")).otherwise("none").alias("text"), F.when(n % 5 != 0, "[0-9]+").alias("pattern"))
+    tries = F.array(F.struct(F.lit("sharp").alias("step"), F.when(o % 2 == 0, o.cast("string")).otherwise("no").alias("text")), F.struct(F.lit("last").alias("step"), F.when(o % 3 == 0, " 77").otherwise("bad").alias("text")), F.struct(F.lit("unknown").alias("step"), F.lit("1").alias("text")))
+    attempts = line.select("uid", F.explode(tries).alias("a")).select("uid", "a.*")
+    return readings.retry_rounds(rows, attempts, ["sharp", "last"]).select("l_orderkey", "l_linenumber", "final", "used_step", "matched", "cleared")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlane.functions import meta as M
-from packetlane.operators import normalize, validation, workbook
+from packetlane.operators import normalize, pages, regions, validation, workbook
 from packetlane.sources import xlsx
 
 
@@ -74,7 +74,22 @@ def test_settings(spark):
 
 
 def test_coverage_of_required_columns(spark):
-    cells = spark.createDataFrame([("S", 1, "A", "Id"), ("S", 2, "A", "code"), ("S", 1, "B", "Age (optional)"), ("S", 1, "C", "Name"), ("S", 9, "D", "data")], "sheet string, row int, column string, value string")
+    cells = spark.createDataFrame([("S", 1, "A", "Id"), ("S", 2, "A", "code"), ("S", 1, "B", "Age; if other, please describe"), ("S", 1, "C", "Name"), ("S", 9, "D", "data")], "sheet string, row int, column string, value string")
     required = validation.required_columns(validation.header_text(cells, 3))
     assert {r.column: r.header for r in required.collect()} == {"A": "Id code", "C": "Name"}
     assert tuple(validation.uncovered(required, spark.createDataFrame([("S", "A")], "sheet string, column string")).first()) == ("S", 1, ["C"])
+
+
+def test_small_region_and_page_operators(spark):
+    row = spark.createDataFrame([(["1.4", "2", "5.6", "9"], ["1", "2", "1", "9"], "a/../b", "in/x.png", "/root/other")], "a array<string>, b array<string>, c string, d string, e string")
+    got = row.select(regions.corner_box(F.col("a")).alias("a"), regions.corner_box(F.col("b")).alias("b"), *[regions.inside_root(F.col(k), "/root/run/").alias(k + k) for k in "cde"], regions.top_rows(F.lit(100), F.lit(0.0)).alias("t")).first()
+    assert tuple(got.a) == (1, 2, 6, 9) and got.b is None and (got.cc, got.dd, got.ee, got.t) == (None, "/root/run/in/x.png", None, 1)
+    names = spark.createDataFrame([(n,) for n in ("zeta", "12", "2b", "2", "id", "Alpha", "10a")], "s string")
+    assert [r.s for r in names.orderBy(*pages.source_order("s")).collect()] == ["id", "2", "12", "2b", "10a", "Alpha", "zeta"]
+    parts = spark.createDataFrame([("f", "a", " x "), ("f", "b", ""), ("g", "a", "y")], "form_type string, side string, name string")
+    assert {(r.form_type, r.source) for r in pages.source_catalog(parts).collect()} == {("f", s) for s in ("x", *pages.RESERVED_SOURCES)}
+    assert ("g", "y") in {tuple(r) for r in pages.source_catalog(parts, lenient=True).collect()}
+    trace = spark.createDataFrame([("p1:r2:x",), ("p12:r2:x",), ("q",)], "n string")
+    assert [r.n for r in pages.prefix_slice(trace, "n", [12, 3]).collect()] == ["p12:r2:x"]
+    files = spark.createDataFrame([("t/6pre_A.png",), ("t/6pre_b.png",), ("t/x y.png",), ("t/a.jpg",)], "path string")
+    assert [r.form_type for r in pages.expected_forms(files).collect()] == ["6pre"]
