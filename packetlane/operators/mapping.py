@@ -75,10 +75,18 @@ def fill_cells(answers: DataFrame, entries: DataFrame, keys: list[str]) -> DataF
     return cells.where(value.isNotNull()).groupBy(*keys, "column").agg(F.max_by(value, "entry_pos").alias("value"))
 
 
-def in_ranges(rows: DataFrame, ranges: DataFrame, value: str, low: str, high: str, bucket: int = 16) -> DataFrame:
-    """Range join by buckets: an equi-join on the buckets a range covers, then the exact test."""
-    r = ranges.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))))
-    return rows.withColumn("__b", F.floor(F.col(value) / bucket)).join(r, "__b").where(F.col(value).between(F.col(low), F.col(high))).drop("__b")
+def in_ranges(rows: DataFrame, ranges: DataFrame, value: str, low: str, high: str) -> DataFrame:
+    """Range join: a range stands in the two buckets or fewer of its own size class that it can touch, so wide ranges make no more rows than narrow ones.
+
+    Size classes are powers of two; a row looks into one bucket of each class that ranges have (64 at most), then the exact test decides.
+    """
+    span = F.greatest(F.lit(1.0), F.col(high).cast("double") - F.col(low).cast("double"))
+    sized = ranges.where(F.col(low) <= F.col(high)).withColumn("__c", F.ceil(F.log2(span)).cast("int"))
+    classes = sized.agg(F.coalesce(F.collect_set("__c"), F.array()).alias("__classes"))  # one row
+    bucket = lambda c, k: F.floor(c / F.pow(F.lit(2.0), k))
+    placed = sized.withColumn("__b", F.explode(F.array_distinct(F.array(bucket(F.col(low), F.col("__c")), bucket(F.col(high), F.col("__c"))))))
+    looking = rows.crossJoin(F.broadcast(classes)).withColumn("__c", F.explode("__classes")).withColumn("__b", bucket(F.col(value), F.col("__c"))).drop("__classes")
+    return looking.join(placed, ["__c", "__b"]).where(F.col(value).between(F.col(low), F.col(high))).drop("__b", "__c")
 
 
 def issues(*rules: tuple[DataFrame, str, str, str]) -> DataFrame:

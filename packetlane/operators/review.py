@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlane.functions.text import entry_id, make_ref, valid_id
@@ -26,9 +26,11 @@ def queue(*branches: DataFrame, key: list[str], separator: str = "\0") -> DataFr
 
 def keep_first(rows: DataFrame, key: list[str], order: list[str], only_kind: str | None = None) -> DataFrame:
     """The first row of each key; with only_kind, rows of other kinds all stay."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    return rows.withColumn("__first", first if only_kind is None else first | (F.col("kind") != only_kind)).where("__first").drop("__first")
+    pick = rows if only_kind is None else rows.where(F.col("kind") == only_kind)
+    rest = [c for c in rows.columns if c not in {*key, *order}]
+    first = pick.groupBy(*key).agg(F.min(F.struct(*order, *rest)).alias("__r"))
+    out = first.select(*[c if c in key else F.col(f"__r.{c}").alias(c) for c in rows.columns])
+    return out if only_kind is None else out.unionByName(rows.where(~F.equal_null("kind", F.lit(only_kind))))
 
 
 UNCHANGED = ("skipped", "cancelled")  # fixed values: statuses of corrections that never change anything

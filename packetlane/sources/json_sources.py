@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REGION = "struct<id:string,name:string,x:double,y:double,w:double,h:double,postprocess_passes:array<string>,vlm_query:string,output_regex:string,post_normalize:boolean,post_normalize_mode:string>"
@@ -48,23 +48,28 @@ def mapping_entries(spark: SparkSession, path, sheets: dict[str, str] | None = N
 
 
 def items(spark: SparkSession, path, limit: int | None = None) -> DataFrame:
-    """Items of documents that are {"items": [...]}, an array, or one object; rows that are no objects are skipped."""
+    """Items of documents that are {"items": [...]}, an array, or one object; rows that are no objects are skipped. limit: the first ones by file and place."""
     text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
     kind = F.schema_of_variant("v")
     whole = F.when(F.startswith(kind, F.lit("ARRAY")), F.col("v")).otherwise(F.coalesce(F.try_variant_get("v", "$.items", "variant"), F.try_parse_json(F.concat(F.lit("["), F.to_json("v"), F.lit("]")))))
-    out = text.select("file", whole.alias("v"))
-    out.createOrReplaceTempView("packetlane_items")
-    rows = spark.sql("SELECT file, e.pos AS item_index, e.value AS item FROM packetlane_items, LATERAL variant_explode(v) AS e")
+    parts = spark.tvf.variant_explode(F.col("v").outer())
+    rows = text.select("file", whole.alias("v")).lateralJoin(parts).select("file", F.col("pos").alias("item_index"), F.col("value").alias("item"))
     rows = rows.where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
-    return rows.limit(limit) if limit is not None else rows
+    return rows.orderBy("file", "item_index").limit(limit) if limit is not None else rows
 
 
 def ocr_lines(readings: DataFrame) -> DataFrame:
-    """readings: page, texts, scores, boxes (arrays of [x1, y1, x2, y2]); one row for each line with a box, in reading order of its page."""
+    """readings: page, texts, scores, boxes (arrays of [x1, y1, x2, y2], or of points [[x, y], ...]); one row for each line with a box.
+
+    `place` is the line's place in reading order of its page: by rows from the top, then from the left. Lines of a page are few, so a window orders them.
+    """
     z = readings.select("page", F.posexplode(F.arrays_zip("texts", "scores", "boxes")).alias("pos", "z"))
-    x1, y1, x2, y2 = (F.try_element_at("z.boxes", F.lit(k)) for k in (1, 2, 3, 4))
+    points = "array<array" in dict(readings.dtypes)["boxes"].removeprefix("array<")
+    side = lambda k: F.transform("z.boxes", lambda p: F.get(p, F.lit(k)))
+    ends = [F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(0)), F.array_max(side(1))] if points else [F.try_element_at("z.boxes", F.lit(k)) for k in (1, 2, 3, 4)]
+    x1, y1, x2, y2 = ends
     out = z.select("page", "pos", F.col("z.texts").alias("text"), F.col("z.scores").alias("score"), F.least(x1, x2).alias("x"), F.least(y1, y2).alias("y"), F.abs(x2 - x1).alias("w"), F.abs(y2 - y1).alias("h"))
-    return out.where("w > 0 and h > 0")
+    return out.where("w > 0 and h > 0").withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("y", "x", "pos")))
 
 
 def odd_images(spark: SparkSession, path) -> DataFrame:

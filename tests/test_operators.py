@@ -106,3 +106,18 @@ def test_containing_passages_of_any_length_at_any_place(spark):
     got = [(r.doc_id, r.item_id) for r in compare.containing(docs, items).collect()]
     assert len(got) == len(want) and set(got) == want
     assert compare.containing(docs, items.limit(0)).count() == 0
+
+
+def test_range_join_of_any_width(spark):
+    ranges = [(0, 10**9, "wide"), (5, 5, "point"), (-7, -3, "below"), (100, 131, "some"), (9, 2, "none")]
+    r = spark.createDataFrame(ranges, "low long, high long, name string")
+    values = [-8, -7, -3, 0, 5, 99, 100, 131, 132, 10**9, 10**9 + 1]
+    got = mapping.in_ranges(spark.createDataFrame([(v,) for v in values], "v long"), r, "v", "low", "high")
+    want = sorted((v, n) for v in values for low, high, n in ranges if low <= v <= high)
+    assert sorted((x.v, x.name) for x in got.collect()) == want
+    assert mapping.in_ranges(spark.createDataFrame([(1,)], "v long"), r.limit(0), "v", "low", "high").count() == 0
+
+
+def test_first_of_each_key_of_one_kind(spark):
+    df = spark.createDataFrame([("a", 2, "text", "x"), ("a", 1, "text", "y"), ("a", 3, "mcq", "z"), ("a", 4, "mcq", None), ("b", 1, None, "n")], "k string, o int, kind string, v string")
+    assert sorted((r.k, r.o) for r in review.keep_first(df, ["k"], ["o"], "text").collect()) == [("a", 1), ("a", 3), ("a", 4), ("b", 1)]
