@@ -47,6 +47,8 @@ HELD_KEYS, PART_KEYS = 4 << 20, 1 << 20
 #: Bits of the bitmap of ids whose sets are wanted: 8 MB.
 FILTER_BITS = 1 << 26
 TILE = 512
+#: Classes of equal sets above LARGE rows, and above this part of all rows, reach their rows by a broadcast.
+HOT_CLASSES, LARGE = 10_000, 1000
 #: Documents compared with one centre in one group.
 FAN = 256
 
@@ -286,7 +288,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     signed = written(signatures(texts))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     prints = ["f1", "f2", "n_shingles"]
-    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() * BANDS // PART_KEYS))
+    total = signed.count()
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * BANDS // PART_KEYS))
     reps = full.groupBy(*prints).agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands")).withColumnRenamed("n_shingles", "n")
     members = written(bucket_members(reps, n_parts))
     degree = members.groupBy("doc_id").agg(F.sum("members").alias("degree"))
@@ -315,13 +318,19 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         crowd = written(many.select("doc_id", "label").distinct().join(cluster.select(F.col("id").alias("doc_id"), F.col("component_id").alias("cluster")), "doc_id"))
         more.append(written(tiled(crowd, sets)))
     dropped(split, many, sets)
-    classes = full.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
+    classes = full.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     repeated = full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
     more.append(full.join(repeated, "doc_id", "left_semi").join(classes, prints).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = written(reduce(DataFrame.unionByName, more))
     label = written(label if found.isEmpty() else components(edges.unionByName(found)))
     dropped(edges, found, *more)
-    joined = classes.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select(*prints, F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", *prints).join(joined, prints, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = F.coalesce("component_id", "rep").alias("component_id")
+    joined = written(classes.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select(*prints, found, "copies"))
+    # classes with more than a share of all rows: there can't be more than HOT_CLASSES of them, so their rows need no shuffle
+    hot = F.broadcast(joined.where(F.col("copies") > max(LARGE, total // HOT_CLASSES)).select(*prints, "component_id"))
+    rows = signed.select("doc_id", *prints)
+    counted = rows.where("n_shingles > 0 and doc_id is not null")
+    alone = rows.where("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    others = counted.join(hot, prints, "left_anti").join(joined.select(*prints, "component_id"), prints)
+    out = reduce(DataFrame.unionByName, [alone, counted.join(hot, prints), others])
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

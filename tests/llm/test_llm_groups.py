@@ -50,6 +50,7 @@ def texts():
 @pytest.mark.parametrize("small", [2, 32])
 def test_minhash(spark, texts, small, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", small)  # 2: nearly all buckets go to tiles
+    monkeypatch.setattr(minhash, "LARGE", small)  # and most classes of copies are broadcast
     sets = [words_of(t) for t in texts]
     pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= 75 * len(a | b)]
     want = closure(range(len(texts)), pairs)
