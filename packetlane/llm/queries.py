@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlane.llm import bpe, embeddings, html_text, langid, minhash, mixing, ogg, periods, substrings, tools, toxicity
+from packetlane.llm import bpe, embeddings, html_text, langid, minhash, mixing, ngram, ogg, periods, substrings, tools, toxicity
 from packetlane.llm.sampling import crc_mod
 
 
@@ -71,5 +71,9 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(documents(spark, sf_dir), change=periods.rotated)
 
 
-QUERIES = {"op1_chat_tools": op1_chat_tools, "op2_minhash_dedup": op2_minhash_dedup, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_ogg_media": op6_ogg_media, "op7_embedding_dedup": op7_embedding_dedup, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_html_text": op10_html_text, "op12_periodic_runs": op12_periodic_runs}
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_all(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 5) == 1)
+
+
+QUERIES = {"op1_chat_tools": op1_chat_tools, "op2_minhash_dedup": op2_minhash_dedup, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_ogg_media": op6_ogg_media, "op7_embedding_dedup": op7_embedding_dedup, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_html_text": op10_html_text, "op12_periodic_runs": op12_periodic_runs, "op13_lm_score": op13_lm_score}
 SQL: dict[str, str] = {"op1_chat_tools": tools.SQL, "op9_mixing": mixing.sql()}

@@ -43,6 +43,13 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return out
 
 
+def renamed(table: DataFrame, view: DataFrame) -> DataFrame:
+    """view, for which `dropped` now deletes the written table that it reads."""
+    if table in _PATHS:
+        _PATHS[view] = _PATHS.pop(table)
+    return view
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that `written` made, once nothing that is still to run reads them."""
     for t in tables:
