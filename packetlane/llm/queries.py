@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlane.llm import bpe, embeddings, html_text, langid, minhash, mixing, ngram, ogg, periods, substrings, tools, toxicity
+from packetlane.llm import bpe, embeddings, html_text, langid, minhash, mixing, negatives, ngram, ogg, periods, substrings, tools, toxicity
 from packetlane.llm.sampling import crc_mod
 
 
@@ -67,6 +67,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0, label=label)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(documents(spark, sf_dir), change=periods.rotated)
 
@@ -75,5 +80,5 @@ def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_all(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 5) == 1)
 
 
-QUERIES = {"op1_chat_tools": op1_chat_tools, "op2_minhash_dedup": op2_minhash_dedup, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_ogg_media": op6_ogg_media, "op7_embedding_dedup": op7_embedding_dedup, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_html_text": op10_html_text, "op12_periodic_runs": op12_periodic_runs, "op13_lm_score": op13_lm_score}
-SQL: dict[str, str] = {"op1_chat_tools": tools.SQL, "op9_mixing": mixing.sql()}
+QUERIES = {"op1_chat_tools": op1_chat_tools, "op2_minhash_dedup": op2_minhash_dedup, "op3_toxicity": op3_toxicity, "op4_byte_bpe": op4_byte_bpe, "op5_suffix_dedup": op5_suffix_dedup, "op6_ogg_media": op6_ogg_media, "op7_embedding_dedup": op7_embedding_dedup, "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_html_text": op10_html_text, "op11_hard_negatives": op11_hard_negatives, "op12_periodic_runs": op12_periodic_runs, "op13_lm_score": op13_lm_score}
+SQL: dict[str, str] = {"op1_chat_tools": tools.SQL, "op9_mixing": mixing.sql(), "op11_hard_negatives": negatives.SQL}
