@@ -41,9 +41,9 @@ from packetlane.llm.store import dropped, renamed, shared_folder, written
 
 ORDER = 2
 #: Bytes of training text for each shard; bounds what a task that sums a shard holds.
-SHARD_TEXT = 32 << 20
+SHARD_TEXT = 8 << 20
 #: Tokens after which a task sends its n-grams on, and tokens that are looked up at once.
-HOLD, SEGMENT = 3_000_000, 1_500_000
+HOLD, SEGMENT = 2_000_000, 1_000_000
 #: Files of the model that a worker has mapped at once.
 OPEN = 512
 #: Words that no text can hold: their hashes are constants.
@@ -267,10 +267,11 @@ def level_below(columns: list[np.ndarray], stats: np.ndarray) -> tuple[list[np.n
     count, raw = stats[STATS.index("count")], stats[STATS.index("raw")]
     live = count > 0
     columns, count, raw = [c[live] for c in columns], count[live], raw[live]
-    none, one = np.zeros_like(count), np.ones_like(count)
-    last = np.stack([one, raw, none, none, none, none])
-    first = np.stack([none, none, count, count == 1, count == 2, count > 2]).astype(np.int64)
-    return summed([np.concatenate([a, b]) for a, b in zip(columns[1:], columns[:-1], strict=True)], np.concatenate([last, first], axis=1))
+    # summed apart, so that never more than four sums of all k-grams are held
+    last, told = summed(columns[1:], np.stack([np.ones_like(count), raw]))
+    first, kinds = summed(columns[:-1], np.stack([count, count == 1, count == 2, count > 2]).astype(np.int64))
+    told, kinds = np.pad(told, ((0, 4), (0, 0))), np.pad(kinds, ((2, 0), (0, 0)))
+    return summed([np.concatenate(c) for c in zip(last, first, strict=True)], np.concatenate([told, kinds], axis=1))
 
 
 #: Of a shard: k-grams that count once, twice, three, four times, more than twice; all counts; all occurrences.
