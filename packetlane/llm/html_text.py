@@ -2,15 +2,16 @@
 
 Events of the standard library's streaming parser fill lines, one for each block. A line's text-to-tag
 ratio is the length of its text by the number of tags met since the line before; its score is the logarithm of
-that ratio, raised inside article and main and lowered inside elements whose class, id or role names what is no
-article. Scores are smoothed with a Gaussian kernel and split into two clusters at a threshold found from their
+that ratio, raised inside article and main and lowered a little inside elements whose class, id or role is a name of what is no
+article: a whole name, or one whose parts are all such words or words of layout (`ad-box`, not `related-work`). Scores are smoothed with a Gaussian kernel and split into two clusters at a threshold found from their
 own means; runs of lines above it, without weak lines at their ends, are content.
 
 Clusters then settle the rest by place: an element that holds lines (article, section, div, cell) is content as a whole
 if enough of its text is (SHARE of it; any of it where article or main is marked), and lines between two runs are
 content if the elements around them meet below the body; under the body itself a run takes the heading before it.
-Lowered lines are never drawn in like this. What is never article text by its tag (menus, forms, scripts, styles, asides,
-footers, headers outside articles) and what is hidden gives no lines.
+Named elements are not drawn in like this, but one inside article or main that reads like text (PROSE long lines, few links) and isn't
+named as readers' comments loses its name and counts like any other. What is never article text by its tag (menus, forms, scripts, styles, asides,
+footers, headers outside articles) and what is hidden gives no lines; within a line (a button, a script) it leaves the line whole.
 
 Cases: null, empty and text-free html give an empty text; html of any length is taken whole; unclosed and
 stray tags are tolerated; equal html gives equal text; an empty table gives an empty result; extra columns
@@ -34,6 +35,10 @@ BLOCKS = frozenset("address article blockquote body caption dd details div dl dt
 MARKED = frozenset(("article", "main"))
 #: Words of class, id and role that mark what is not the article.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disclaimer disqus footer hidden masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Those of readers' comments, however long they are.
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
+#: Words of layout that may stand beside them in a name.
+LAYOUT_WORDS = frozenset("area bar block bottom box container inner item left link links list main outer page panel primary right secondary section site slot thread top unit wrap wrapper".split())
 _WORD = re.compile(r"[a-z]+")
 #: Start tags that close an open p.
 CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -43,7 +48,11 @@ HOLDERS = DROPPED | MARKED
 BOXES = frozenset("article body div main section td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What a mark adds to the score of a line, and what a name of ASIDE_WORDS takes off.
-RAISED, LOWERED = 3.0, 10.0
+RAISED, LOWERED = 3.0, 3.0
+#: A named element reads like text if it has so many lines of so many characters, and links in no more than this share of it.
+PROSE, LONG, LINKED = 3, 100, 0.25
+#: Elements that end a line although their text is dropped.
+ENDING = BLOCKS | frozenset("aside dialog footer form head header menu nav title".split())
 #: Of an element's text, what must be content for the whole of it to be.
 SHARE = 0.4
 #: Elements without end tags: a start tag closes the innermost open one of the first set, unless one of the second is open inside it.
@@ -61,6 +70,16 @@ IMPLIED = {
 }
 
 
+def named(names: str) -> int:
+    """Whether one of the names says that an element is no article text: 2 for comments, 1 for others, 0 for none."""
+    kind = 0
+    for name in names.lower().split():
+        parts = _WORD.findall(name)
+        if not ASIDE_WORDS.isdisjoint(parts) and all(w in ASIDE_WORDS or w in LAYOUT_WORDS for w in parts):
+            kind = max(kind, 1 if COMMENT_WORDS.isdisjoint(parts) else 2)
+    return kind
+
+
 class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -75,14 +94,17 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.tags = 0
         self.heading = False
-        self.lines: list[tuple[str, int, int, bool, bool]] = []  # text, tags, box, lowered, heading
+        self.asides: list[bool] = []  # named elements that are in no other: whether they are comments
+        self.links = self.linked = 0  # open links, and characters in links of this line
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []  # text, tags, box, named element or -1, heading, linked characters
 
     def end_line(self):
         s = " ".join("".join(self.text).split())
         self.text.clear()
         if s:
-            self.lines.append((s, self.tags, self.box[-1], self.lowered > 0, self.heading))
+            self.lines.append((s, self.tags, self.box[-1], len(self.asides) - 1 if self.lowered else -1, self.heading, self.linked))
             self.tags = 0
+        self.linked = 0
 
     def last(self, tags) -> int:
         """Place of the innermost open element of these tags, or -1."""
@@ -110,13 +132,18 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.heading = tag in HEADINGS
         d = dict(attrs)
-        named = " ".join(filter(None, (d.get("class"), d.get("id"), d.get("role")))).lower()
+        kind = 0 if tag in ("html", "body") else named(" ".join(filter(None, (d.get("class"), d.get("id"), d.get("role")))))
         drop = (tag in DROPPED and not (tag == "header" and self.places.get("article"))) or "hidden" in d or d.get("aria-hidden") == "true"
-        low = tag not in ("html", "body") and bool(named) and not ASIDE_WORDS.isdisjoint(_WORD.findall(named))
-        if drop and not self.dropped:
+        if drop and not self.dropped and tag in ENDING:
             self.end_line()
         self.dropped += drop
-        self.lowered += low
+        if kind:
+            if not self.lowered:
+                self.end_line()
+                self.asides.append(False)
+            self.asides[-1] |= kind == 2
+        self.lowered += kind > 0
+        self.links += tag == "a"
         box = tag in BOXES and not self.dropped
         if box:
             parent = self.box[-1]
@@ -130,7 +157,7 @@ class Lines(HTMLParser):
             self.holders.append(place)
         if tag in _SCOPE:
             self.scopes.append(place)
-        self.open.append((tag, int(drop), int(low), box))
+        self.open.append((tag, int(drop), int(kind > 0), box))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -148,8 +175,11 @@ class Lines(HTMLParser):
             if not self.dropped:
                 self.end_line()
             self.heading = False
+        if low and self.lowered == 1 and not self.dropped:
+            self.end_line()
         self.dropped -= drop
         self.lowered -= low
+        self.links -= tag == "a"
         if box:
             self.box.pop()
 
@@ -163,6 +193,7 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.dropped:
             self.text.append(data)
+            self.linked += len(data.strip()) if self.links else 0
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -195,20 +226,33 @@ def trimmed(region: np.ndarray, strong: np.ndarray) -> np.ndarray:
     return out
 
 
-def scores(p: Lines) -> np.ndarray:
+def lowered(p: Lines) -> np.ndarray:
+    """Lines of named elements, but for those that read like text in an article; where all are named, none is."""
+    aside = np.array([line[3] for line in p.lines])
+    low = aside >= 0
+    if low.any():
+        size, linked = (np.array([f(line) for line in p.lines], dtype=np.float64)[low] for f in (lambda x: len(x[0]), lambda x: x[5]))
+        inside = np.array([p.inside[line[2]] for line in p.lines])[low]
+        of, n = aside[low], len(p.asides)
+        count = lambda w: np.bincount(of, w, n)
+        text = (count((size >= LONG) & inside) >= PROSE) & (count(linked) <= LINKED * count(size)) & ~np.array(p.asides)
+        low[low] = ~text[of]
+    return low & ~low.all()
+
+
+def scores(p: Lines, low: np.ndarray) -> np.ndarray:
     """Of each line, before smoothing."""
-    return np.array([np.log2(1 + len(s) / max(1, n)) + RAISED * p.inside[box] - LOWERED * low for s, n, box, low, _ in p.lines])
+    return np.array([np.log2(1 + len(line[0]) / max(1, line[1])) + RAISED * p.inside[line[2]] for line in p.lines]) - LOWERED * low
 
 
 def content(p: Lines) -> np.ndarray:
     """Whether each line is part of the main text."""
-    score = scores(p)
+    low = lowered(p)
+    score = scores(p, low)
     smoothed = smooth(score)
     cut = threshold(smoothed)
-    strong = trimmed(smoothed >= cut, score >= cut - 1e-9)
+    strong = trimmed((smoothed >= cut) & ~low, score >= cut - 1e-9)
     box = np.array([line[2] for line in p.lines])
-    low = np.array([line[3] for line in p.lines])
-    low &= not low.all()  # where all is lowered, nothing is
     size = np.array([len(line[0]) for line in p.lines])
     total = np.bincount(box, size * ~low, len(p.boxes))
     held = np.bincount(box, size * strong, len(p.boxes))

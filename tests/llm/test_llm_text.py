@@ -262,6 +262,33 @@ def test_html_names_weigh_and_do_not_rule():
     assert html_text.extract(f"<article>{body}</article><article>{body}</article>") == plain + "\n" + plain
 
 
+@pytest.mark.parametrize("name", ["plain", "related-work", "share-of-market", "hidden-gems", "notice", "promo"])
+def test_html_named_text_in_articles(name):
+    page = lambda name: f'<article><h1>Title</h1><p>{"intro " * 30}</p><section class="{name}">' + "".join(f"<p>{'text ' * 60}{k}</p>" for k in range(20)) + f"</section><p>{'end ' * 40}</p></article>"
+    want = html_text.extract(page("plain"))
+    assert want.count("text") == 1200
+    assert html_text.extract(page(name)) == want
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "respond", "box comments", "site-comments section"])
+def test_html_comments_in_articles(name):
+    got = html_text.extract(f'<article><h1>Title</h1><p>{"intro " * 30}</p><div class="{name}">' + "".join(f"<p>{'reply ' * 60}{k}</p>" for k in range(20)) + "</div></article>")
+    assert "reply" not in got and "intro" in got
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-box", "cookie-banner", "share links", "related", "sidebar_left", "notice"])
+def test_html_small_named_parts(name):
+    links = "".join(f'<p><a href="x">{"word " * 25}</a></p>' for _ in range(5))
+    got = html_text.extract(f'<article><h1>Title</h1><p>{"intro " * 30}</p><div class="{name}">Buy now</div><div class="{name}">{links}</div><p>{"end " * 40}</p></article>')
+    assert got == f"Title\n{'intro ' * 30}".strip() + "\n" + ("end " * 40).strip()
+
+
+def test_html_dropped_within_a_line():
+    assert html_text.extract("<p>Press <button>OK</button> to go on.</p>") == "Press to go on."
+    assert html_text.extract("<p>One <script>x()</script>two <svg><text>no</text></svg>three<span hidden>no</span> four.</p>") == "One two three four."
+    assert html_text.extract("<article><p>Text before it.<form><p>Name</form><p>Text after it.</article>") == "Text before it.\nText after it."
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", PAGE), (4, "v", "<p>" + "x" * 200_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.main_text(df).orderBy("page_id").collect()
