@@ -8,13 +8,17 @@ cannot reach the threshold any more are dropped; what survives is computed in fu
 the original components.
 
 A pair of tiles is compared ROWS rows at a time and checked PAIRS pairs at a time, so a tile of near-equal vectors
-takes no more memory than any other; it sends back counts and a spanning forest of its links, never its list of pairs. Cases: vectors that are null, zero, of another width than most, or that hold null or
+takes no more memory than any other; it sends back counts and a spanning forest of its links, never its list of pairs. Vectors of each width are
+compared among themselves, one width after the other. A vector is divided by its largest component first, so its length neither
+overflows nor vanishes. Cases: vectors that are null, zero, or that hold null or
 non-finite components link with nothing and keep themselves, as do rows with a null id; equal vectors are linked; rows
 repeated under one id are vectors of their own, each comes back and counts as a link of others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,8 +76,16 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
     return i, j
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows in double precision with a largest component of 1 or -1: the same directions, at any magnitude."""
+    v = v.astype(np.float64)
+    # by a power of two first, which loses nothing and keeps the inverse of the smallest numbers finite
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True, initial=0.0))[1])
+    return v / np.abs(v).max(axis=1, keepdims=True, initial=0.0)
+
+
 def _vectors(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
 
 
 def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, tile: int | None = None) -> DataFrame:
@@ -84,11 +96,18 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     good = F.coalesce((F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     every = written(every.select("vec_id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"), F.when(good, F.col("v")).alias("v")))
     usable = every.where("v is not null")
-    widths = usable.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if widths is None:
+    widths = [r["w"] for r in usable.select(F.size("v").alias("w")).distinct().orderBy("w").toLocalIterator()]  # a few kinds of vectors
+    if not widths:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = widths["w"]
-    usable = usable.where(F.size("v") == width)
+    known = [linked(usable.where(F.size("v") == w), w, single, threshold, tile) for w in widths]
+    whole = F.col("v").isNotNull()
+    out = every.select("vec_id", "h1", "h2", whole.alias("whole")).join(reduce(DataFrame.unionByName, known), ["h1", "h2"], "left")
+    component = F.coalesce(F.when(F.col("whole"), F.col("smallest")), "vec_id")
+    return out.select("vec_id", F.coalesce(F.when(F.col("whole"), F.col("n")), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def linked(usable: DataFrame, width: int, single: bool, threshold: float, tile: int | None) -> DataFrame:
+    """h1, h2, n (links of each row) and smallest (least id of its component) of each distinct vector of one width."""
     # equal vectors are one node
     nodes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("v").alias("v"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
@@ -125,7 +144,7 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
         def load(which):
             rows = t.filter(pa.array(side == which))
             read = lambda name, k: np.concatenate([np.zeros(0, dtype=k), *(np.frombuffer(x.as_py(), dtype=k) for x in rows.column(name))])
-            return read("ids", np.int64), read("copies", np.int64), read("v", kind).reshape(-1, width).astype(np.float64)
+            return read("ids", np.int64), read("copies", np.int64), scaled(read("v", kind).reshape(-1, width))
 
         (ia, ma, va), (ib, mb, vb) = load(0), load(1)
         same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
@@ -161,11 +180,9 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     reach = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = written(nodes.select("h1", "h2", "node", "least", "copies").join(links, "node", "left").join(reach.withColumnRenamed("id", "node"), "node", "left").withColumn("component_id", F.coalesce("component_id", "node")))
     least = known.groupBy("component_id").agg(F.min("least").alias("smallest"))
-    known = known.join(least, "component_id").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "smallest")
-    whole = F.coalesce((F.size("v") == width) & F.col("v").isNotNull(), F.lit(False))
-    out = every.select("vec_id", "h1", "h2", whole.alias("whole")).join(known, ["h1", "h2"], "left")
-    component = F.coalesce(F.when(F.col("whole"), F.col("smallest")), "vec_id")
-    return out.select("vec_id", F.coalesce(F.when(F.col("whole"), F.col("n")), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    out = written(known.join(least, "component_id").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "smallest"))
+    dropped(nodes, found, known)
+    return out
 
 
 def principal_axes(usable: DataFrame, width: int) -> np.ndarray:

@@ -290,3 +290,18 @@ def test_long_chains_take_few_rounds(spark):
     ids = sorted({x for e in chain for x in e})
     got = {r.call_id: r.topo_level for r in tools.levels(spark.createDataFrame([(i,) for i in ids], "call_id string"), spark.createDataFrame(chain, "child string, parent string")).collect()}
     assert got == {f"n{i}": i for i in range(70)} | {"join": 70, "after": 71}
+
+
+def test_embeddings_of_any_magnitude_and_width(spark):
+    rows = [(1, [1e200, 0.0, 1e199]), (2, [1e-200, 0.0, 0.0]), (3, [1.0, 0.0, 0.05]), (4, [0.0, 1.0, 0.0]), (5, [5e-324, 0.0, 0.0]), (6, [1.7e308, 1.7e308, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 0.01]), (9, [0.0, 3.0]), (10, [2.0]), (11, [-7.0]), (12, [9e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def cosine(a, b):
+        a, b = ([x / max(map(abs, v)) for x in v] for v in (a, b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    links = [(i, j) for i, a in rows for j, b in rows if i < j and len(a) == len(b) and cosine(a, b) >= 0.9]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in p for p in links) for i, _ in rows}
+    assert {i: r.component_id for i, r in got.items()} == closure([i for i, _ in rows], links)
+    assert len(links) == 8
