@@ -19,10 +19,15 @@ def fenced(c: Column) -> Column:
     return F.when(inside != "", inside).otherwise(c)
 
 
-def parse_jsonish(c: Column) -> Column:
-    """VARIANT of a fenced block, the whole text, or the span from the first brace to the last; else null."""
+def json_part(c: Column) -> Column:
+    """The part of a text that is JSON: a fenced block, the whole text, or the span from the first brace to the last; else null."""
     span = F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1)
-    return F.coalesce(F.try_parse_json(F.trim(fenced(c))), F.try_parse_json(F.trim(c)), F.try_parse_json(F.when(span != "", span)))
+    return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull(), x) for x in (F.trim(c), F.trim(fenced(c)), F.when(span != "", span))])
+
+
+def parse_jsonish(c: Column) -> Column:
+    """VARIANT of the part of a text that is JSON."""
+    return F.parse_json(json_part(c))
 
 
 def malformed_value(c: Column) -> Column:
@@ -32,19 +37,35 @@ def malformed_value(c: Column) -> Column:
     return F.coalesce(*[F.when(t.rlike(p), F.regexp_extract(t, p, 1)) for p in patterns])
 
 
+# Keys of an answer that are no text.
+NOT_TEXT = ("confidence", "confidence_score", "confidence_label", "needs_human_review")
+
+
+def scalars(members: Column) -> Column:
+    """(key, value) of the members of a map of VARIANT, in their order, that are truth values, numbers or texts with more than blanks."""
+    kind = lambda v: F.schema_of_variant(v)
+    text = F.transform(F.map_entries(members), lambda e: F.struct(e["key"].alias("key"), F.when(~kind(e["value"]).rlike(r"\A(?:OBJECT|ARRAY|VOID)"), F.variant_get(e["value"], "$", "string")).alias("value")))
+    return F.filter(text, lambda e: e["value"].rlike(r"(?U)\S"))
+
+
+def first_scalar_of(members: Column) -> Column:
+    """Text of the first scalar of an object: detected_text and text before others, NOT_TEXT never; members in the order of the document."""
+    every = scalars(members)
+    first = lambda wanted: F.try_element_at(F.filter(every, wanted), F.lit(1))["value"]
+    named = [first(lambda e: e["key"] == "detected_text"), first(lambda e: e["key"] == "text")]
+    return F.coalesce(*named, first(lambda e: ~e["key"].isin(*NOT_TEXT)))
+
+
 def first_scalar(c: Column) -> Column:
-    """Text of the first scalar of an object, `text` and `detected_text` before others, confidence keys never."""
-    v = parse_jsonish(c)
-    m = F.from_json(F.to_json(v), "map<string,string>")
-    named = F.coalesce(F.try_element_at(m, F.lit("detected_text")), F.try_element_at(m, F.lit("text")))
-    rest = F.filter(F.map_entries(m), lambda e: ~F.lower(e["key"]).rlike("confidence|score|review") & e["value"].isNotNull() & ~e["value"].rlike(r"\A[\[{]"))
-    return F.coalesce(named, F.try_element_at(rest, F.lit(1))["value"])
+    """Of the object in a text, else null."""
+    return first_scalar_of(F.from_json(F.regexp_extract(json_part(c), r"(?s)\A\s*(\{.*)", 1), "map<string,variant>"))
 
 
 def scalar_text(c: Column) -> Column:
-    """Strict JSON, else repair, else null; null words become empty text."""
-    got = F.coalesce(first_scalar(c), malformed_value(c))
-    return F.when(F.lower(F.trim(got)).isin(*NULL_WORDS), "").otherwise(F.trim(got))
+    """Of the object in a text, empty if it has none, repaired only where no object is found, else null; null words become empty text."""
+    is_object = F.coalesce(F.startswith(json_part(c), F.lit("{")), F.lit(False))
+    got = F.trim(F.when(is_object, F.coalesce(first_scalar(c), F.lit(""))).otherwise(malformed_value(c)))
+    return F.when(F.lower(got).isin(*NULL_WORDS), "").otherwise(got)
 
 
 def conforming(c: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packetlane.functions.text import norm_ws
+from packetlane.functions.jsonfix import first_scalar_of
+from packetlane.functions.text import NULL_WORDS, norm_ws
 
 PASSES = "array<struct<type:string,body:string,model:string>>"
-# What models say for "nothing", and marks of the printed question in a field's text.
-NOTHING = ("null", "none", "n/a", "na", "unknown", "unreadable")
+# Marks of the printed question in a field's text.
 QUESTION_MARKS = ("could have made this experience better for you", "optional question")
 
 
@@ -117,15 +117,15 @@ def detected_text(parsed: Column, raw: Column, fallback: Column) -> Column:
     single = single_output(parsed)
     value = norm_ws(F.coalesce(single["value"], F.lit("")))
     plain = _text(raw)
-    return F.when(parsed.isNull(), "").when(single["found"], F.when(F.lower(value).isin(*NOTHING), "").otherwise(value)).when(plain == "", fallback).otherwise(norm_ws(plain))
+    return F.when(parsed.isNull(), "").when(single["found"], F.when(F.lower(value).isin(*NULL_WORDS), "").otherwise(value)).when(plain == "", fallback).otherwise(norm_ws(plain))
 
 
 def normalize_parsed(parsed: Column) -> Column:
     """An answer's object as a map that always has detected_text, where it has text or any scalar that is not empty."""
-    m = F.when(is_object(parsed), F.from_json(parsed, "map<string,string>"))
-    scalars = F.filter(F.map_values(m), lambda v: v.isNotNull() & (F.trim(v) != "") & ~v.rlike(r"\A[\[{]"))
-    value = F.when(F.map_contains_key(m, "text"), F.try_element_at(m, F.lit("text"))).otherwise(F.try_element_at(scalars, F.lit(1)))
-    add = ~F.map_contains_key(m, "detected_text") & (F.map_contains_key(m, "text") | (F.size(scalars) > 0))
+    object_ = F.when(is_object(parsed), parsed)
+    m = F.from_json(object_, "map<string,string>")
+    value = F.when(F.map_contains_key(m, "text"), F.try_element_at(m, F.lit("text"))).otherwise(first_scalar_of(F.from_json(object_, "map<string,variant>")))
+    add = ~F.map_contains_key(m, "detected_text") & (F.map_contains_key(m, "text") | value.isNotNull())
     return F.coalesce(F.when(add, F.map_concat(m, F.create_map(F.lit("detected_text"), value))).otherwise(m), F.create_map().cast("map<string,string>"))
 
 

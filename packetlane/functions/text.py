@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that mean "nothing was read", stop words, Likert answers.
-NULL_WORDS = ("null", "none", "n/a", "na", "nil", "undefined", "unknown", "empty", "blank")
+# Words that mean "nothing was read", stop words, categorical answers, date formats.
+NULL_WORDS = ("null", "none", "n/a", "na", "unknown", "unreadable")
 STOP_WORDS = ("the", "of", "to", "that", "what", "your", "name", "date", "record", "id", "school", "teacher", "optional", "question", "is", "again")
-LIKERT = ("strongly agree", "agree", "neutral", "disagree", "strongly disagree")
+LIKERT = ("strongly disagree", "disagree", "neither agree nor disagree", "agree", "strongly agree")
+GRADES = ("6th grade", "7th grade", "8th grade", "9th grade", "other grade")
+GENDERS = ("girl", "boy", "non-binary", "unknown/not reported")
 FORM_TYPES = ("6pre", "7pre", "8pre", "hpre", "6post", "7post", "8post", "hpost")
 RECORD_ID = "[0-9]{7}[AB]"
-DATE_FORMATS = ("M/d/yyyy", "yyyy-M-d", "M-d-yyyy")
+DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "yyyy/M/d")
 
 
 def full_match(c: Column, pattern: str) -> Column:
@@ -100,7 +102,7 @@ def structured_id(c: Column) -> Column:
 
 
 # Words that stand for no answer in cleaned fields.
-NO_ANSWER = ("null", "none", "n/a", "na", "unknown", "unreadable", "<normalize>", "normalize")
+NO_ANSWER = (*NULL_WORDS, "<normalize>", "normalize")
 
 
 def placeholder(c: Column, field: Column | None = None) -> Column:
@@ -127,7 +129,7 @@ def quality_score(c: Column) -> Column:
 
 def parse_date(c: Column) -> Column:
     """A date in one of DATE_FORMATS, else null."""
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in DATE_FORMATS])
+    return F.coalesce(*[F.to_date(F.try_to_timestamp(F.trim(c), F.lit(f))) for f in DATE_FORMATS])
 
 
 #: A date in running text.
@@ -145,10 +147,31 @@ def date_signatures(c: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(c, F.lit(DATE), 0), signature)))
 
 
+def _decimal_or_power(scientific: Column, limit: int) -> Column:
+    """Text like 1.250E7 as 12500000 or 1.25e+20: a power of ten only below 1e-4 and from 10 to the power `limit` on."""
+    mantissa, power = F.regexp_replace(scientific, "[eE].*", ""), F.regexp_extract(scientific, r"[eE]([+-]?\d+)", 1).try_cast("int")
+    short = F.regexp_replace(F.regexp_replace(mantissa, r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
+    plain = F.regexp_replace(F.regexp_replace(scientific.try_cast("decimal(38,21)").cast("string"), r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
+    digits = F.abs(power).cast("string")
+    return F.when(power.between(-4, limit - 1), plain).otherwise(F.concat(short, F.when(power < 0, "e-").otherwise("e+"), F.lpad(digits, F.greatest(F.length(digits), F.lit(2)), "0")))
+
+
+def float_text(x: Column) -> Column:
+    """A double as its shortest text: 5.0, 1234567890.5, 1e+16, 1e-05, inf."""
+    t = x.cast("string")
+    plain = _decimal_or_power(t, 16)
+    plain = F.when(plain.rlike(r"\A-?\d+\z"), F.concat(plain, F.lit(".0"))).otherwise(plain)
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(F.contains(t, F.lit("E")), plain).otherwise(t)
+
+
 def parse_number(c: Column) -> Column:
-    """Text of an integer or float as the number's text; anything else as it is."""
-    t = norm_ws(c)
-    return F.when(full_match(t, r"[+-]?\d{1,18}"), t.try_cast("bigint").cast("string")).when(full_match(t, r"[+-]?\d*\.\d*") & t.rlike(r"\d"), t.try_cast("double").cast("string")).otherwise(c)
+    """Text of a whole number or, with a point, of a float as the number's text; anything else as it is."""
+    t = F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    bare = F.regexp_replace(t, "_", "")
+    group = r"\d+(?:_\d+)*"
+    whole = F.regexp_replace(F.regexp_replace(bare, r"\A\+", ""), r"\A(-?)0+(?=\d)", "$1")
+    whole = F.when(whole == "-0", "0").otherwise(whole)
+    return F.when(full_match(t, rf"[+-]?{group}"), whole).when(full_match(t, rf"[+-]?(?:{group}\.(?:{group})?|\.{group})(?:[eE][+-]?{group})?"), float_text(bare.try_cast("double"))).otherwise(c)
 
 
 def preview_number(c: Column) -> Column:
@@ -157,25 +180,29 @@ def preview_number(c: Column) -> Column:
     return F.when(v.isNull() | ~full_match(norm_ws(c), r"[+-]?\d*\.?\d+"), c).when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
 
 
-def normalize_cell(c: Column) -> Column:
-    """For comparisons: null is empty, white space is collapsed, true/false upper-cased, 5.0 equals 5."""
-    t = norm_ws(F.coalesce(c.cast("string"), F.lit("")))
-    return F.when(F.lower(t).isin("true", "false"), F.upper(t)).when(full_match(t, r"-?\d+\.0+"), F.regexp_replace(t, r"\.0+\z", "")).otherwise(t)
+def normalize_cell(c: Column, kind: str = "string") -> Column:
+    """For comparisons, by the type of the column: null is empty, white space of texts is collapsed, truth values are upper-cased, floats have 12 digits at most and no fraction of zeros, times are their days."""
+    if kind == "boolean":
+        text = F.upper(c.cast("string"))
+    elif kind in ("float", "double"):
+        x = c.cast("double")
+        whole = (x == F.floor(x)) & (F.abs(x) < 1e18)
+        text = F.when(F.isnan(x) | (F.abs(x) == float("inf")), float_text(x)).when(whole, x.cast("bigint").cast("string")).otherwise(_decimal_or_power(F.format_string("%.11e", x), 12))
+    elif kind in ("date", "timestamp", "timestamp_ntz"):
+        text = F.date_format(c, "yyyy-MM-dd")
+    else:
+        text = norm_ws(c.cast("string"))
+    return F.coalesce(text, F.lit(""))
 
 
 def categorical_type(c: Column) -> Column:
-    t = F.lower(norm_ws(c))
-    return (
-        F.when(full_match(t, "[a-h]"), "letter")
-        .when(t.isin("yes", "no", "true", "false", "y", "n"), "boolean")
-        .when(t.isin(*LIKERT), "likert")
-        .when(full_match(t, "(?:grade )?[678]|(?:6th|7th|8th)(?: grade)?"), "grade")
-        .when(t.isin("male", "female", "boy", "girl"), "gender")
-    )
+    """letter, boolean, likert, grade or gender, or null for other answers."""
+    t = F.lower(F.trim(c))
+    return F.when(full_match(t, "[a-h]"), "letter").when(t.isin("true", "false"), "boolean").when(t.isin(*LIKERT), "likert").when(t.isin(*GRADES), "grade").when(t.isin(*GENDERS), "gender")
 
 
 def is_text_like(c: Column) -> Column:
-    return c.rlike("[A-Za-z]") & categorical_type(c).isNull()
+    return F.coalesce(c.rlike("[A-Za-z]") & categorical_type(c).isNull(), F.lit(False))
 
 
 def score_label(score: Column) -> Column:
@@ -202,7 +229,9 @@ def id_after_colon(c: Column) -> Column:
 
 
 def id_strict(c: Column) -> Column:
-    return F.regexp_extract(c, r":[^0-9]*([0-9]{7}[AB])(?![0-9A-Za-z])", 1)
+    """The first id as it stands after the first colon, or anywhere in a text without one; else null."""
+    found = F.regexp_extract(F.regexp_replace(c, r"(?s)\A[^:]*:", ""), f"({RECORD_ID})", 1)
+    return F.when(found != "", found)
 
 
 def id_fixed_length(c: Column, n: int = 8) -> Column:
@@ -306,6 +335,14 @@ def first_nonblank(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
 
+# How forms are named in sheets of original answers.
+GRADE_NAMES = {"6": "6th", "7": "7th", "8": "8th", "h": "HS"}
+
+
 def original_sheet_name(c: Column) -> Column:
-    """At most 31 characters, without those a sheet's name may not have."""
-    return F.substring(F.concat(F.substring(F.regexp_replace(c, r"[\[\]:*?/\\]", " "), 1, 20), F.lit(" (Original)")), 1, 31)
+    """Of the sheet that holds a form's answers as they were read: by grade and time for known forms, else the name without what a sheet's name may not have."""
+    form = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    names = F.create_map(*[F.lit(x) for g, n in GRADE_NAMES.items() for k in ("pre", "post") for x in (g + k, f"{n} {k.title()} Data (Original)")])
+    cut = lambda x: F.when(norm_ws(x) == "", "Data").otherwise(norm_ws(x))
+    base = cut(F.substring(cut(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\[\]:*?/\\]", " ")), 1, 20))
+    return F.coalesce(F.try_element_at(names, form), F.concat(base, F.lit(" (Original)")))

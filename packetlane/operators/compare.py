@@ -9,15 +9,15 @@ from packetlane.functions.text import levenshtein_similarity, normalize_cell
 
 
 def melt(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, column, value) with values as text, in one pass over the rows."""
-    return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("m")).select(*keys, "m.column", "m.value")
+    """(keys, column, value) with values as they are compared, each by its column's type, in one pass over the rows."""
+    kinds = dict(df.dtypes)
+    return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), normalize_cell(F.col(c), kinds[c]).alias("value")) for c in columns])).alias("m")).select(*keys, "m.column", "m.value")
 
 
 def cell_pairs(truth: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
-    """Melted cells side by side, from a full outer join."""
+    """Melted cells side by side, from a full outer join; cells of one side only are empty on the other."""
     a, b = truth.withColumnRenamed("value", "truth"), test.withColumnRenamed("value", "test")
-    out = a.join(b, [*keys, "column"], "full_outer")
-    return out.withColumns({"truth": normalize_cell(F.col("truth")), "test": normalize_cell(F.col("test"))})
+    return a.join(b, [*keys, "column"], "full_outer").na.fill("", ["truth", "test"])
 
 
 def cell_metrics(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -19,9 +19,8 @@ def lookup(raw: Column, table: Column, default: Column) -> Column:
 
 
 def entry_value(raw: Column, transform: str | None) -> Column:
-    if transform and transform not in TRANSFORMS:
-        raise ValueError(f"unknown transform {transform!r}")
-    return TRANSFORMS[transform](raw) if transform else raw
+    """Unknown transforms leave the text as it is."""
+    return TRANSFORMS[transform](raw) if transform in TRANSFORMS else raw
 
 
 def _map(d: dict) -> Column:
@@ -36,24 +35,26 @@ def row_cells(entries: list[dict], source: dict[str, Column]) -> dict[str, Colum
     cells: dict[str, Column] = {}
 
     def write(column: str, value: Column):
+        value = strip_control(value)
         cells[column] = F.coalesce(value, cells[column]) if column in cells else value
 
+    none = F.lit(None).cast("string")
     for e in entries:
         kind = e["type"]
-        raw = source.get(e.get("source", ""), F.lit(None).cast("string"))
+        raw = source.get(e.get("source", ""), none)
         if kind == "static":
             write(e["column"], F.lit(str(e["value"])))
         elif kind == "direct":
-            write(e["column"], strip_control(entry_value(raw, e.get("transform"))))
+            write(e["column"], entry_value(raw, e.get("transform")))
         elif kind == "lookup":
-            default = F.lit(e["default"]) if "default" in e else F.lit(None).cast("string")
+            default = F.lit(e["default"]) if "default" in e else none
             write(e["column"], F.when(raw.isNotNull(), lookup(raw, _map(e["map"]), default)))
         elif kind == "multi_column":
-            answer = F.lower(F.trim(raw))
-            for key, column in e["choices"].items():
-                write(column, F.when(answer == key.lower(), F.lit(e.get("mark", "1"))).otherwise(F.lit(e["blank"]) if "blank" in e else F.lit(None).cast("string")))
+            mark, target = F.lit(e.get("mark", "Yes")), chosen(raw, _map(e["choices"]))
+            for column in dict.fromkeys(e["choices"].values()):
+                write(column, F.when(target == column, mark).otherwise(F.lit(e["blank"]) if "blank" in e else none))
             if "no_answer" in e:
-                write(e["no_answer"], F.when(raw.isNull(), F.lit(e.get("mark", "1"))))
+                write(e["no_answer"], F.when(raw.isNull(), mark))
         else:
             raise ValueError(f"unknown mapping type {kind!r}")
     return cells
@@ -64,15 +65,86 @@ def fill_rows(items: DataFrame, keys: list[str], entries: list[dict], source: di
     return items.select(*keys, *[v.alias(k) for k, v in sorted(row_cells(entries, source).items())])
 
 
+#: Columns of a table of entries, beside form_type and entry_pos; those that it lacks are null, a missing type is direct.
+ENTRY = {"type": "string", "column": "string", "source": "string", "transform": "string", "value": "string", "map": "map<string,string>", "default": "string", "choices": "map<string,string>", "mark": "string", "blank": "string", "no_answer": "string"}
+WRITES = "array<struct<column:string,value:string>>"
+# Names that stand for a field of the item, whatever its answers are called.
+ITEM_SOURCES = ("id", "form_type", "page_odd", "page_even")
+
+
+def chosen(raw: Column, choices: Column) -> Column:
+    """The column of an answer: by its lowered text, then by the text as it is; empty columns count as missing."""
+    named = lambda key: F.when(F.try_element_at(choices, key) != "", F.try_element_at(choices, key))
+    return F.coalesce(named(F.lower(F.trim(raw))), named(raw))
+
+
+def entry_writes(e: Column, raw: Column) -> Column:
+    """What one entry of a table writes, in order: an array of column and value. raw: the text of its source, or null."""
+    none = F.array().cast(WRITES)
+    cell = lambda column, value: F.struct(column.alias("column"), strip_control(value).alias("value"))
+    one = lambda column, value: F.when(value.isNotNull() & (F.coalesce(column, F.lit("")) != ""), F.array(cell(column, value))).otherwise(none)
+    kind, transform = F.lower(F.trim(F.coalesce(e["type"], F.lit("direct")))), F.lower(F.trim(e["transform"]))
+    direct = reduce(lambda v, t: F.when(transform == t, TRANSFORMS[t](raw)).otherwise(v), TRANSFORMS, raw)
+    mark = F.coalesce(e["mark"], F.lit("Yes"))
+    blanks = F.when(e["blank"].isNull() | e["choices"].isNull(), none).otherwise(F.transform(F.map_values(e["choices"]), lambda c: cell(c, e["blank"])))
+    marked = F.when(raw.isNull(), one(e["no_answer"], mark)).otherwise(one(chosen(raw, e["choices"]), mark))
+    unknown = F.when(raw.isNull(), none).otherwise(F.raise_error(F.concat(F.lit("unknown mapping type "), kind)).cast(WRITES))
+    sourced = F.when(kind == "direct", one(e["column"], direct)).when(kind == "lookup", F.when(raw.isNull(), none).otherwise(one(e["column"], lookup(raw, e["map"], e["default"]))))
+    sourced = sourced.when(kind == "multi_column", F.concat(blanks, marked)).otherwise(unknown)
+    return F.when(kind == "static", one(e["column"], e["value"])).when(F.coalesce(e["source"], F.lit("")) == "", none).otherwise(sourced)
+
+
+def item_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each item: keys, form_type, its item-level fields and a map of its answers' texts.
+
+    The first answer of a name counts. A blank one is missing, but an answer of kind `text` is then an empty text. One exchange, by item.
+    """
+    form = norm_ws(F.coalesce("form_type", F.lit("")))
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    text = trimmed(F.coalesce("text", F.lit("")))
+    kind = F.lower(F.trim("kind")) if "kind" in answers.columns else F.lit("")
+    level = [c for c in ITEM_SOURCES if c in answers.columns and c not in (*keys, "form_type")]
+    rows = answers.withColumn("form_type", form).select(*keys, "form_type", *level, "pos", trimmed(F.col("name")).alias("name"), F.when((text != "") | F.coalesce(kind == "text", F.lit(False)), text).alias("text"))
+    first = rows.repartition(*keys, "form_type").groupBy(*keys, "form_type", "name").agg(F.min(F.struct("pos", "text")).alias("a"), *[F.max(c).alias(c) for c in level])
+    texts = F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "a.text"))))  # as many as an item has fields
+    return first.groupBy(*keys, "form_type").agg(texts.alias("answers"), *[F.max(c).cast("string").alias(c) for c in level])
+
+
+def form_entries(entries: DataFrame) -> DataFrame:
+    """form_type and its entries in order, one row for each form."""
+    entries = entries.withColumnRenamed("name", "source") if "source" not in entries.columns else entries
+    columns = [(F.col(c) if c in entries.columns else F.lit(None)).cast(t).alias(c) for c, t in ENTRY.items()]
+    rows = entries.select("form_type", F.struct(F.col("entry_pos").cast("long").alias("entry_pos"), *columns).alias("e"))
+    placed = F.array_sort(F.collect_list("e"), lambda x, y: F.when(x["entry_pos"] < y["entry_pos"], -1).when(x["entry_pos"] > y["entry_pos"], 1).otherwise(0))
+    return rows.groupBy("form_type").agg(placed.alias("entries"))
+
+
+def item_writes(items: DataFrame, entries: DataFrame) -> DataFrame:
+    """items of `item_answers` with what all entries of their form write, in order. Forms are few, items many: no exchange of items where Spark finds the entries small."""
+    has = set(items.columns)
+
+    def writes(e: Column) -> Column:
+        raw = F.try_element_at("answers", e["source"])
+        for c in ITEM_SOURCES:
+            raw = F.when(e["source"] == c, F.trim(c) if c in has else F.lit(None).cast("string")).otherwise(raw)
+        return entry_writes(e, raw)
+
+    out = items.join(form_entries(entries), "form_type", "left")
+    return out.withColumn("writes", F.coalesce(F.flatten(F.transform("entries", writes)), F.array().cast(WRITES))).drop("entries")
+
+
+def last_writes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, column and value from rows with `writes`: later writes of a cell stand."""
+    flat = rows.select(*keys, F.posexplode("writes").alias("turn", "w"))
+    return flat.groupBy(*keys, F.col("w.column").alias("column")).agg(F.max_by("w.value", "turn").alias("value"))
+
+
 def fill_cells(answers: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
-    """The same from long tables: answers (keys, form_type, name, text, pos) and entries (form_type, name, column, transform, entry_pos).
+    """keys, column and value from long tables. answers: keys, form_type, name, text, pos, and kind, id, page_odd, page_even where it has them.
 
-    The first answer of a name counts; the last entry of a column counts.
+    entries: form_type, entry_pos, source (or name) and those of ENTRY. Cells are grouped in the partitions that items are in.
     """
-    first = answers.groupBy(*keys, "form_type", F.trim("name").alias("name")).agg(F.min(F.struct("pos", "text")).alias("a")).select(*keys, "form_type", "name", norm_ws(F.col("a.text")).alias("raw"))
-    cells = first.join(entries, ["form_type", "name"])
-    value = reduce(lambda v, t: F.when(F.col("transform") == t, TRANSFORMS[t](F.col("raw"))).otherwise(v), TRANSFORMS, F.col("raw"))
-    return cells.where(value.isNotNull()).groupBy(*keys, "column").agg(F.max_by(value, "entry_pos").alias("value"))
+    return last_writes(item_writes(item_answers(answers, keys), entries), [*keys, "form_type"]).drop("form_type")
 
 
 def in_ranges(rows: DataFrame, ranges: DataFrame, value: str, low: str, high: str) -> DataFrame:

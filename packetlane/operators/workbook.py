@@ -1,6 +1,6 @@
 """Workbooks of a run: cells of all its sheets as one long table, and files made of them.
 
-A book is what one run fills; a sheet has at most ROWS rows by its format, so what is grouped by book and form stays bounded.
+A book is what one run fills; a sheet has ROWS rows at most by its format, and one with more is an error, so what is grouped by book and form stays bounded.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetlane.functions.text import column_letters, column_number, norm_ws, original_sheet_name
-from packetlane.operators.mapping import fill_cells
+from packetlane.operators.mapping import WRITES, item_answers, item_writes, last_writes
 from packetlane.sources.xlsx import book
 
 #: Rows of a sheet, by its format.
@@ -18,46 +18,54 @@ ROWS = 1_048_576
 KEYS = ["book", "item_index"]
 
 
-def item_rows(answers: DataFrame, sheets: DataFrame) -> DataFrame:
-    """book, item_index, form_type, sheet, sheet_position, row. Items without a form, or of a form without a sheet, have none.
+def sheet_items(items: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Adds sheet, row and sheet_position to items (book, item_index, variant, form_type). Items without a form, or of a form without a sheet, go.
 
-    sheets: form_type, sheet, start_row. Sheets stand in the order of the first item of their forms.
+    sheets: form_type, sheet, start_row. A form's sheet stands where its first item is among the items of its book, its twin (variant 1) half a place behind.
     """
-    items = answers.withColumn("form_type", norm_ws(F.col("form_type"))).where("form_type <> ''").select(*KEYS, "form_type").distinct().join(sheets.select("form_type", "sheet", "start_row"), "form_type")
-    turn = F.row_number().over(Window.partitionBy("book", "form_type").orderBy("item_index"))
-    numbered = items.withColumn("row", F.col("start_row") + turn - 1)
-    first = items.groupBy("book", "form_type").agg(F.min("item_index").alias("first"))
-    place = first.withColumn("sheet_position", F.row_number().over(Window.partitionBy("book").orderBy("first"))).drop("first")
-    return numbered.join(place, ["book", "form_type"]).drop("start_row")
+    of = Window.partitionBy("book", "form_type", "variant")
+    placed = items.where("form_type <> ''").join(sheets.select("form_type", "sheet", "start_row"), "form_type")
+    row = F.col("start_row") + F.row_number().over(of.orderBy("item_index")) - 1
+    placed = placed.withColumn("row", F.when(row <= ROWS, row).otherwise(F.raise_error(F.concat(F.lit("more than a sheet's rows in "), F.col("sheet")))))
+    position = F.min("item_index").over(of) + F.col("variant") / 2
+    return placed.withColumns({"sheet_position": position, "sheet": F.when(F.col("variant") == 1, original_sheet_name(F.col("form_type"))).otherwise(F.col("sheet"))})
 
 
-def sheet_cells(answers: DataFrame, entries: DataFrame, rows: DataFrame, stamps: DataFrame | None = None) -> DataFrame:
-    """book, sheet, sheet_position, row, column, value. stamps: form_type, column, value of the row that every data row starts from."""
-    filled = fill_cells(answers.withColumn("form_type", norm_ws(F.col("form_type"))), entries, KEYS).join(rows, KEYS)
-    keys = ["book", "sheet", "sheet_position", "row", "column"]
-    if stamps is None:
-        return filled.select(*keys, "value")
-    under = rows.join(stamps.withColumnRenamed("value", "stamp"), "form_type").select(*keys, "stamp")
-    return filled.select(*keys, "value").join(under, keys, "full_outer").select(*keys, F.coalesce("value", "stamp").alias("value"))
+def fill_workbook(answers: DataFrame, entries: DataFrame, sheets: DataFrame, *, original: DataFrame | None = None, stamps: DataFrame | None = None, headers: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """All cells of a run's books: book, sheet, sheet_position, row, column, value. answers: book, item_index and those of `mapping.fill_cells`; entries as there.
 
-
-def fill_workbook(answers: DataFrame, entries: DataFrame, sheets: DataFrame, *, original: DataFrame | None = None, stamps: DataFrame | None = None, headers: DataFrame | None = None) -> DataFrame:
-    """All cells of a run's books. answers: book, item_index, form_type, name, text, pos; entries as in `mapping.fill_cells`.
-
-    original: answers as they were read; each form then has a second sheet behind the first, in the same rows. headers: form_type, row, column, value of cells above the data.
+    original: answers as they were read; each form that was filled then has a second sheet behind the first. stamps: form_type, column, value of the row that
+    every data row starts from. headers: form_type, row, column, value of cells above the data. hidden: form_type, column of columns
+    that are never written. Answers of both sheets go through together: one exchange by item, one by sheet.
     """
-    rows = item_rows(answers, sheets)
-    out = sheet_cells(answers, entries, rows, stamps)
-    named = rows.select("book", "form_type", "sheet", "sheet_position").distinct()
-    twins = None
+    every = answers.withColumn("variant", F.lit(0))
     if original is not None:
-        again = item_rows(original, sheets).withColumn("sheet", original_sheet_name(F.col("form_type")))
-        out = out.unionByName(sheet_cells(original, entries, again, stamps).withColumn("sheet_position", F.col("sheet_position") + 0.5))
-        twins = again.select("book", "form_type", "sheet", (F.col("sheet_position") + 0.5).alias("sheet_position")).distinct()
+        every = every.unionByName(original.withColumn("variant", F.lit(1)), allowMissingColumns=True)
+    items = sheet_items(item_answers(every, [*KEYS, "variant"]), sheets)
+    if original is not None:  # a twin has a sheet to stand behind
+        main = F.max(F.when(F.col("variant") == 0, 1)).over(Window.partitionBy("book", "form_type"))
+        first = F.min(F.when(F.col("variant") == 0, F.col("item_index"))).over(Window.partitionBy("book", "form_type"))
+        items = items.withColumns({"__main": main, "sheet_position": first + F.col("variant") / 2}).where("__main = 1").drop("__main")
+    rows = item_writes(items, entries)
+    if hidden is not None:
+        closed = hidden.groupBy("form_type").agg(F.collect_set("column").alias("closed"))
+        rows = rows.join(closed, "form_type", "left").withColumn("writes", F.filter("writes", lambda w: ~F.array_contains(F.coalesce("closed", F.array().cast("array<string>")), w["column"]))).drop("closed")
+    if stamps is not None:
+        under = stamps.groupBy("form_type").agg(F.collect_list(F.struct("column", "value")).cast(WRITES).alias("under"))
+        rows = rows.join(under, "form_type", "left").withColumn("writes", F.concat(F.coalesce("under", F.array().cast(WRITES)), "writes")).drop("under")
+    keys = ["book", "form_type", "variant", "sheet", "sheet_position", "row"]
     if headers is not None:
-        every = named if twins is None else named.unionByName(twins)
-        out = out.unionByName(every.join(headers, "form_type").select("book", "sheet", "sheet_position", "row", "column", "value"))
-    return out
+        # the first row of a sheet brings its headers
+        above = headers.groupBy("form_type").agg(F.collect_list(F.struct(F.col("row").cast("long").alias("row"), "column", "value")).alias("above"))
+        of_first = F.when(F.row_number().over(Window.partitionBy("book", "form_type", "variant").orderBy("row")) == 1, F.col("above"))
+        rows = rows.join(above, "form_type", "left").withColumn("above", of_first)
+        own = F.transform("writes", lambda w: F.struct(F.col("row").cast("long").alias("row"), w["column"].alias("column"), w["value"].alias("value")))
+        wide = rows.withColumn("all", F.concat(F.coalesce("above", F.array().cast("array<struct<row:bigint,column:string,value:string>>")), own))
+        flat = wide.select(*[k for k in keys if k != "row"], F.posexplode("all").alias("turn", "w"))
+        cells = flat.groupBy(*[k for k in keys if k != "row"], F.col("w.row").alias("row"), F.col("w.column").alias("column")).agg(F.max_by("w.value", "turn").alias("value"))
+    else:
+        cells = last_writes(rows, keys)
+    return cells.select("book", "sheet", "sheet_position", "row", "column", "value")
 
 
 def hide_columns(cells: DataFrame, hidden: DataFrame) -> DataFrame:

@@ -233,18 +233,25 @@ def low_confidence(spark, d):
     return t(spark, d, "events").select("event_id", review.needs_review(flag, F.col("value")).alias("pending"))
 
 
-_CELLS = """a AS (SELECT o_orderkey, unnest(['status', 'priority', 'cust']) AS col, unnest([o_orderstatus, o_orderpriority, o_custkey::VARCHAR]) AS truth FROM orders WHERE o_orderkey % 11 <> 0),
-  b AS (SELECT o_orderkey, unnest(['status', 'priority', 'cust']) AS col, unnest([CASE WHEN o_orderkey % 5 = 0 THEN 'F' ELSE o_orderstatus END, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderpriority END, o_custkey::VARCHAR || '.0']) AS test FROM orders WHERE o_orderkey % 13 <> 0),
-  p AS (SELECT coalesce(a.col, b.col) AS col, coalesce(truth, '') AS truth, coalesce(regexp_replace(test, '\\.0+$', ''), '') AS test FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey AND a.col = b.col),
+_CELLS = r"""a AS (SELECT o_orderkey AS k, unnest(['status', 'priority', 'cust', 'price', 'day']) AS col, unnest([o_orderstatus, trim(o_orderpriority), o_custkey::VARCHAR, printf('%.2f', o_totalprice), strftime(o_orderdate, '%Y-%m-%d')]) AS truth FROM orders),
+  b AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, unnest(['status', 'priority', 'cust', 'price', 'day']) AS col,
+    unnest([CASE WHEN o_orderkey % 5 = 0 THEN 'F' ELSE o_orderstatus END, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE trim(o_orderpriority) END, o_custkey::VARCHAR, printf('%.2f', o_totalprice), CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END]) AS test FROM orders),
+  p AS (SELECT coalesce(a.col, b.col) AS col, coalesce(CASE WHEN coalesce(a.col, b.col) = 'price' THEN regexp_replace(truth, '\.?0+$', '') ELSE truth END, '') AS truth, coalesce(CASE WHEN coalesce(a.col, b.col) = 'price' THEN regexp_replace(test, '\.?0+$', '') ELSE test END, '') AS test FROM a FULL JOIN b ON a.k = b.k AND a.col = b.col),
   m AS (SELECT col, count(*) AS compared, count(*) FILTER (truth = test) AS exact, count(*) FILTER (truth <> '' AND test = '') AS miss, count(*) FILTER (truth = '' AND test <> '') AS overfill, count(*) FILTER (truth <> '') AS nonempty FROM p GROUP BY col)"""
 
 
+def _sides(spark, d):
+    """Truth and test with the types of their cells: the test has other keys for some rows, so both sides have rows of their own."""
+    k = F.col("o_orderkey")
+    base = t(spark, d, "orders").select(k.alias("k"), F.col("o_orderstatus").alias("status"), F.concat(F.lit(" "), "o_orderpriority").alias("priority"), F.col("o_custkey").cast("double").alias("cust"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderdate").alias("day"))
+    k = F.col("k")
+    test = base.withColumns({"status": F.when(k % 5 == 0, "F").otherwise(F.col("status")), "priority": F.when(k % 4 == 0, " ").otherwise(F.col("priority")), "day": F.when(k % 7 != 0, F.col("day").cast("timestamp"))})
+    return base, test.withColumn("k", F.when(k % 13 == 0, -k).otherwise(k))
+
+
 def _cells(spark, d):
-    o = t(spark, d, "orders")
-    base = o.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_custkey").cast("string").alias("cust"))
-    test = base.withColumns({"status": F.when(F.col("o_orderkey") % 5 == 0, "F").otherwise(F.col("status")), "priority": F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(F.col("priority")), "cust": F.concat("cust", F.lit(".0"))})
-    cols = ["status", "priority", "cust"]
-    return compare.cell_pairs(compare.melt(base.where("o_orderkey % 11 <> 0"), ["o_orderkey"], cols), compare.melt(test.where("o_orderkey % 13 <> 0"), ["o_orderkey"], cols), ["o_orderkey"])
+    cols = ["status", "priority", "cust", "price", "day"]
+    return compare.cell_pairs(*[compare.melt(x, ["k"], cols) for x in _sides(spark, d)], ["k"])
 
 
 @query(f"WITH {_CELLS} SELECT *, round(exact / compared, 6) AS accuracy FROM m")
@@ -276,11 +283,17 @@ def text_similarity(spark, d):
     return t(spark, d, "part").groupBy((F.col("p_size") % 10).alias("g")).agg(F.round(F.avg(X.levenshtein_similarity(F.lower("p_name"), F.lower("p_type"))), 6).alias("similarity"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH v AS (SELECT unnest([l_returnflag, l_linestatus, CASE WHEN l_linenumber % 2 = 0 THEN 'Yes' ELSE 'Agree' END, l_linenumber::VARCHAR]) AS v FROM lineitem)
-  SELECT v AS value, CASE WHEN regexp_full_match(lower(v), '[a-h]') THEN 'letter' WHEN lower(v) IN ('yes', 'no', 'true', 'false', 'y', 'n') THEN 'boolean' WHEN lower(v) = 'agree' THEN 'likert' WHEN lower(v) IN ('6', '7', '8') THEN 'grade' END AS kind, count(*) AS n FROM v GROUP BY ALL""")
+_ANSWERS = ("b", "I", "true", "Yes", "strongly agree", "Neither agree nor disagree", "neutral", "9th Grade", "7th", "Other grade", "Non-Binary", "male", "unknown/not reported", "12", " ", "Maury")
+
+
+@query(f"""WITH v AS (SELECT unnest([l_returnflag, l_linestatus, {list(_ANSWERS)!r}[l_partkey % 16 + 1]]) AS v FROM lineitem), n AS (SELECT v, count(*) AS n, lower(trim(v)) AS low FROM v GROUP BY v),
+  k AS (SELECT v, n, CASE WHEN length(low) = 1 AND low BETWEEN 'a' AND 'h' THEN 'letter' WHEN low IN ('true', 'false') THEN 'boolean' WHEN low IN ('strongly disagree', 'disagree', 'neither agree nor disagree', 'agree', 'strongly agree') THEN 'likert'
+    WHEN low IN ('6th grade', '7th grade', '8th grade', '9th grade', 'other grade') THEN 'grade' WHEN low IN ('girl', 'boy', 'non-binary', 'unknown/not reported') THEN 'gender' END AS kind FROM n)
+  SELECT v AS value, kind, kind IS NULL AND regexp_matches(v, '[A-Za-z]') AS text_like, n FROM k""")
 def categorical_types(spark, d):
-    v = F.explode(F.array("l_returnflag", "l_linestatus", F.when(F.col("l_linenumber") % 2 == 0, "Yes").otherwise("Agree"), F.col("l_linenumber").cast("string")))
-    return t(spark, d, "lineitem").select(v.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n")).select("value", X.categorical_type(F.col("value")).alias("kind"), "n")
+    v = F.explode(F.array("l_returnflag", "l_linestatus", F.array(*map(F.lit, _ANSWERS))[(F.col("l_partkey") % 16).cast("int")]))
+    counted = t(spark, d, "lineitem").select(v.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("value", X.categorical_type(F.col("value")).alias("kind"), X.is_text_like(F.col("value")).alias("text_like"), "n")
 
 
 @query("""WITH f AS (SELECT l_orderkey, min((l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS m, count(*) AS hits FROM lineitem GROUP BY 1)
@@ -383,14 +396,14 @@ def regex_gate(spark, d):
 _GRADES = " ".join(rf"WHEN regexp_matches(n, '\b{g}\s*T\s*H\b|\b{g}\s+T\s+G\s*R\s*A\s*D\s*E\b|\b{g}\s*TH\s*GRADE\b') OR (strpos(q, '{g}TH') > 0 AND strpos(q, 'GRADE') > 0 AND abs(strpos(q, '{g}TH') - strpos(q, 'GRADE')) < 18) THEN '{g}'" for g in "876")
 
 
-@query(rf"""WITH h AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN '8th Grade: Post-Assessment' WHEN 1 THEN '7 T H  GRADE pre assess' WHEN 2 THEN 'HIGH fever, post' WHEN 3 THEN 'school (High) PRE-ASSESSMENT, then POST-ASSESSMENT' WHEN 4 THEN '6THgrade post' WHEN 5 THEN url WHEN 6 THEN 'PREFERRED 8TH' WHEN 7 THEN url || ' 7 T GRADE pre-' END AS x FROM pages),
+@query(rf"""WITH h AS (SELECT page_id, CASE page_id % 11 WHEN 0 THEN '8th Grade: Post-Assessment' WHEN 1 THEN '7 T H  GRADE pre assess' WHEN 2 THEN 'HIGH fever, post' WHEN 3 THEN 'school (High) PRE-ASSESSMENT, then POST-ASSESSMENT' WHEN 4 THEN '6THgrade post' WHEN 5 THEN url WHEN 6 THEN 'PREFERRED 8TH' WHEN 7 THEN url || ' 7 T GRADE pre-' WHEN 9 THEN 'PRE then POST' WHEN 10 THEN 'PREFER POST' END AS x FROM pages),
   m AS (SELECT *, trim(regexp_replace(regexp_replace(upper(x), '[^A-Z0-9\s\-]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM h), k AS (SELECT *, replace(n, ' ', '') AS q, left(n, 350) AS head, regexp_extract(n, 'PRE[\s\-_]*ASSESS') AS a, regexp_extract(n, 'POST[\s\-_]*ASSESS') AS b FROM m)
   SELECT page_id, n AS norm, CASE WHEN contains(n, 'HIGH') AND contains(n, 'SCHOOL') THEN 'h' {_GRADES} END AS grade,
-  CASE WHEN a <> '' AND (b = '' OR strpos(n, a) < strpos(n, b)) THEN 'pre' WHEN b <> '' THEN 'post' WHEN contains(head, 'POST') THEN CASE WHEN regexp_matches(head, 'PRE') AND strpos(head, 'PRE') < strpos(head, 'POST') THEN 'pre' ELSE 'post' END WHEN regexp_matches(head, 'PRE') OR contains(head, 'PRE-') THEN 'pre' END AS phase FROM k""")
+  CASE WHEN a <> '' AND (b = '' OR strpos(n, a) < strpos(n, b)) THEN 'pre' WHEN b <> '' THEN 'post' WHEN contains(head, 'POST') THEN CASE WHEN regexp_matches(head, '\bPRE\b') AND strpos(head, 'PRE') < strpos(head, 'POST') THEN 'pre' ELSE 'post' END WHEN regexp_matches(head, '\bPRE\b') OR contains(head, 'PRE-') THEN 'pre' END AS phase FROM k""")
 def header_classify(spark, d):
-    k, u = F.col("page_id") % 9, F.col("url")
-    texts = ["8th Grade: Post-Assessment", "7 T H  GRADE pre assess", "HIGH fever, post", "school (High) PRE-ASSESSMENT, then POST-ASSESSMENT", "6THgrade post", u, "PREFERRED 8TH", F.concat(u, F.lit(" 7 T GRADE pre-"))]
-    x = F.coalesce(*[F.when(k == i, v) for i, v in enumerate(texts)])
+    k, u = F.col("page_id") % 11, F.col("url")
+    texts = ["8th Grade: Post-Assessment", "7 T H  GRADE pre assess", "HIGH fever, post", "school (High) PRE-ASSESSMENT, then POST-ASSESSMENT", "6THgrade post", u, "PREFERRED 8TH", F.concat(u, F.lit(" 7 T GRADE pre-")), None, "PRE then POST", "PREFER POST"]
+    x = F.coalesce(*[F.when(k == i, v) for i, v in enumerate(texts) if v is not None])
     n = F.col("norm")
     return t(spark, d, "pages").select("page_id", H.normalize_header(x).alias("norm")).select("page_id", "norm", H.detect_grade(n).alias("grade"), H.detect_phase(n).alias("phase"))
 
@@ -406,10 +419,10 @@ def html_cleanup(spark, d):
     return t(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("raw"), F.length(clean).cast("long").alias("clean"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, month(o_orderdate) || '/' || day(o_orderdate) || '/' || year(o_orderdate) AS signature FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 3 THEN CAST(o_orderdate AS DATE) END AS day, month(o_orderdate) || '/' || day(o_orderdate) || '/' || year(o_orderdate) AS signature FROM orders")
 def label_dates(spark, d):
-    o, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
-    text = F.when(k == 0, F.date_format(o, "M/d/yyyy")).when(k == 1, F.date_format(o, "yyyy-MM-dd")).otherwise(F.date_format(o, "MM-dd-yyyy"))
+    o, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    text = F.coalesce(*[F.when(k == i, F.concat(F.lit(" "), F.date_format(o, f))) for i, f in enumerate(("M/d/yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "MM-dd-yyyy"))], F.lit("13/45/2020"))
     return t(spark, d, "orders").select("o_orderkey", X.parse_date(text).alias("day"), F.array_join(X.date_signatures(F.concat(F.lit("Date: "), F.date_format(o, "M/d/yyyy"), F.lit(" or "), F.date_format(o, "MM-dd-yyyy"), F.lit(", not 13/1/2020"))), ";").alias("signature"))
 
 
@@ -537,6 +550,42 @@ def slice_item(spark, d):
     return pages.slice_item(t(spark, d, "conversations").withColumn("page_index", F.col("turn")), 2).select("conv_id", "turn", "role")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice / 400000 >= 0.85 THEN 'high' WHEN o_totalprice / 400000 >= 0.5 THEN 'medium' ELSE 'low' END AS label, substr(o_orderpriority, 1, 20) || ' (Original)' AS sheet FROM orders""")
+_FORM_NAMES = ("7pre", " HPOST ", "8post", "6th", "a[b]:c*d?e/f\\\\g", "", "a name of more than twenty letters", "6prepost")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice / 400000 >= 0.85 THEN 'high' WHEN o_totalprice / 400000 >= 0.5 THEN 'medium' ELSE 'low' END AS label,
+  ['7th Pre Data (Original)', 'HS Post Data (Original)', '8th Post Data (Original)', '6th (Original)', 'a b c d e f g (Original)', 'Data (Original)', 'a name of more than (Original)', '6prepost (Original)'][o_orderkey % 8 + 1] AS sheet FROM orders""")
 def score_labels(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", X.score_label(F.col("o_totalprice") / 400000).alias("label"), X.original_sheet_name(F.col("o_orderpriority")).alias("sheet"))
+    form = F.array(*map(F.lit, _FORM_NAMES))[(F.col("o_orderkey") % 8).cast("int")]
+    return t(spark, d, "orders").select("o_orderkey", X.score_label(F.col("o_totalprice") / 400000).alias("label"), X.original_sheet_name(form).alias("sheet"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN CASE WHEN o_totalprice = floor(o_totalprice) THEN printf('%.1f', o_totalprice) ELSE rtrim(printf('%.2f', o_totalprice), '0') END WHEN 2 THEN o_orderkey || '000000000.5' WHEN 3 THEN o_orderkey || '12345678901234567890' WHEN 4 THEN o_orderpriority ELSE '0.5' END AS number,
+  CASE o_orderkey % 6 WHEN 0 THEN o_custkey || '' WHEN 1 THEN '5.0' WHEN 2 THEN 'true' ELSE 'a b' END AS text, (o_orderkey % 2 = 0)::VARCHAR.upper() AS truth,
+  CASE o_orderkey % 3 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN o_custkey || '.123456'[:greatest(1, 13 - length(o_custkey::VARCHAR))] ELSE '1e-05' END AS float,
+  CASE WHEN o_orderkey % 4 < 3 THEN lpad(o_custkey::VARCHAR, 7, '0') || 'A' END AS id FROM orders""")
+def typed_cells(spark, d):
+    """Numbers as texts, cells by their type, ids where a text has them."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    price = F.regexp_replace(F.format_string("%.2f", F.col("o_totalprice").cast("double")), r"\A0+|0+\z", "")
+    number = F.coalesce(*[F.when(k % 6 == i, v) for i, v in enumerate([F.concat(F.lit("+00"), c), F.concat(price, F.lit("0")), F.concat(k, F.lit("0_0000_0000.50")), F.concat(F.lit(" "), k, F.lit("12345678901234567890 ")), F.col("o_orderpriority")])], F.lit("5.0e-1"))
+    text = F.coalesce(*[F.when(k % 6 == i, v) for i, v in enumerate([c, F.lit(" 5.0"), F.lit("true")])], F.lit("a \t b "))
+    float_ = F.when(k % 3 == 0, F.col("o_custkey").cast("double")).when(k % 3 == 1, F.col("o_custkey") + F.lit(0.123456)).otherwise(F.lit(0.00001))
+    seven = F.concat(F.lpad(c, 7, "0"), F.lit("A"))
+    id_ = F.coalesce(*[F.when(k % 4 == i, v) for i, v in enumerate([seven, F.concat(F.lit("Record: 12 "), seven), F.concat(F.lit("7654321B: x"), seven, F.lit("x 1234567B"))])], F.concat(seven, F.lit(":")))
+    return t(spark, d, "orders").select("o_orderkey", X.parse_number(number).alias("number"), X.normalize_cell(text).alias("text"), X.normalize_cell(k % 2 == 0, "boolean").alias("truth"), X.normalize_cell(float_, "double").alias("float"), X.id_strict(id_).alias("id"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN o_orderstatus WHEN 2 THEN 'p' WHEN 3 THEN o_orderpriority WHEN 4 THEN 'true' ELSE '' END AS value FROM orders""")
+def answer_scalars(spark, d):
+    """The first scalar of answers with several members: order, blanks, nested values, keys that are no text."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    answer = F.coalesce(*[F.when(k % 7 == i, v) for i, v in enumerate([
+        F.concat(F.lit('{"zeta": "'), c, F.lit('", "alpha": "2"}')),
+        F.concat(F.lit('{"detected_text": " ", "text": null, "a": {"b": 1}, "c": [2], "b": "'), "o_orderstatus", F.lit('"}')),
+        F.lit('{"confidence": 0.9, "previewed": "p", "needs_human_review": true}'),
+        F.concat(F.lit('```json\n{"b": "{no object}", "text": "'), "o_orderpriority", F.lit('"}\n```')),
+        F.lit('text before {"a": true, "b": 3} and after'),
+        F.lit('{"text": "Unreadable"}'),
+    ])], F.lit('{"confidence_label": "high"}'))
+    return t(spark, d, "orders").select("o_orderkey", jsonfix.scalar_text(answer).alias("value"))

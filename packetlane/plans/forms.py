@@ -123,7 +123,7 @@ def corrected_rows(spark, d):
 
 
 @query("""WITH i AS (SELECT o_custkey AS book, o_orderkey, o_orderstatus AS f, trim(o_orderpriority) AS p, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus IN ('F', 'O')),
-  s AS (SELECT book, f, row_number() OVER (PARTITION BY book ORDER BY first)::DOUBLE AS pos FROM (SELECT book, f, min(o_orderkey) AS first FROM i GROUP BY book, f)),
+  s AS (SELECT book, f, min(o_orderkey)::DOUBLE AS pos FROM i GROUP BY book, f),
   c AS (SELECT i.book, f, pos, CASE f WHEN 'F' THEN k + 3 ELSE k + 2 END AS row, unnest(CASE f WHEN 'F' THEN ['B', 'C', 'D'] ELSE ['A'] END) AS col, unnest(CASE f WHEN 'F' THEN [p, o_orderkey::VARCHAR, 'stamp'] ELSE [upper(p)] END) AS value, unnest(CASE f WHEN 'F' THEN [p || '?', o_orderkey::VARCHAR || '?', 'stamp'] ELSE [upper(p) || '?'] END) AS raw FROM i JOIN s USING (book, f)),
   h AS (SELECT book, f, pos, 1 AS row, 'A' AS col, 'head' AS value FROM s WHERE f = 'O')
   SELECT book, CASE f WHEN 'F' THEN 'Done' ELSE 'Open' END AS sheet, pos AS sheet_position, row, col AS "column", value FROM c UNION ALL SELECT book, f || ' (Original)', pos + 0.5, row, col, raw FROM c
@@ -141,6 +141,47 @@ def workbook_cells(spark, d):
     return cells.select("book", "sheet", F.col("sheet_position").cast("double").alias("sheet_position"), F.col("row").cast("long").alias("row"), "column", "value")
 
 
+_WRITTEN = """i AS (SELECT c_nationkey AS book, c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN '7pre' WHEN 1 THEN '8post' ELSE ' none' END AS form, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END AS seg,
+    CASE c_custkey % 5 WHEN 0 THEN ' BUILDING ' WHEN 1 THEN 'Machinery' WHEN 2 THEN ' ' ELSE 'other' END AS answer, round(c_acctbal)::BIGINT AS bal, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'id' || c_custkey END AS id FROM customer),
+  n AS (SELECT *, row_number() OVER (PARTITION BY book, form ORDER BY k) + CASE form WHEN '7pre' THEN 3 ELSE 1 END AS row, min(k) OVER (PARTITION BY book, form)::DOUBLE AS pos FROM i WHERE form <> ' none'),
+  w AS (SELECT book, form, pos, row, k, unnest(CASE form WHEN '7pre' THEN [(-1, 'G', 'stamp'), (-1, 'A', 'under'), (0, 'A', CASE WHEN id IS NOT NULL THEN id END), (1, 'B', CASE WHEN seg <> '' THEN lower(seg) ELSE '' END),
+      (2, 'C', CASE trim(lower(seg)) WHEN 'building' THEN 'B' WHEN 'machinery' THEN 'raw' WHEN '' THEN 'other' ELSE 'other' END), (3, 'D', 'No'), (3, 'E', 'No'), (4, CASE trim(lower(answer)) WHEN 'building' THEN 'D' WHEN 'machinery' THEN 'E' WHEN '' THEN 'F' END, 'x'), (5, 'G', CASE WHEN k % 2 = 0 THEN bal::VARCHAR END)]
+    ELSE [(0, 'A', '2026'), (1, 'A', CASE WHEN seg <> '' THEN seg END), (2, 'B', CASE trim(answer) WHEN 'Machinery' THEN 'Yes' END), (3, 'C', form)] END) AS w FROM n),
+  h AS (SELECT DISTINCT book, form, pos, 1 AS row, 'A' AS col, 'head' AS value FROM n WHERE form = '7pre'),
+  c AS (SELECT book, form, pos, row, w[2] AS col, arg_max(w[3], w[1]) AS value FROM w WHERE w[2] IS NOT NULL AND w[3] IS NOT NULL GROUP BY ALL UNION ALL SELECT * FROM h)"""
+
+
+@query(f"""WITH {_WRITTEN} SELECT book, CASE form WHEN '7pre' THEN 'Seven' ELSE 'Eight' END AS sheet, pos AS sheet_position, row, col AS "column", value FROM c
+  UNION ALL SELECT book, '7th Pre Data (Original)', pos + 0.5, row, col, value FROM c WHERE form = '7pre'""")
+def workbook_types(spark, d):
+    """Sheets by entries of every type: later writes over earlier ones, blanks, no answer, item fields, a stamp row, a column that is never written."""
+    k = F.col("c_custkey")
+    form = case(k % 3, [F.lit("7pre"), F.lit(" 8post ")], F.lit(" "))
+    field = lambda name, kind, text, pos=0: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), text.alias("text"), F.lit(pos).alias("pos"))
+    segment = F.when(k % 7 != 0, F.concat(F.lit("  "), "c_mktsegment")).otherwise(" ")
+    answer = case(k % 5, [F.lit(" BUILDING "), F.lit("Machinery"), F.lit(" ")], F.lit("other"))
+    balance = F.when(k % 2 == 0, F.round("c_acctbal").cast("bigint").cast("string"))
+    fields = F.array(field(" seg ", "Text", segment), field("seg", "text", F.lit("late"), 1), field("mcq", "mcq", answer), field("bal", "mcq", balance), field("seg2", "mcq", segment), field("id", "text", F.lit("never")))
+    answers = t(spark, d, "customer").select(F.col("c_nationkey").alias("book"), k.alias("item_index"), form.alias("form_type"), F.when(k % 11 != 0, F.concat(F.lit("id"), k)).alias("id"), F.inline(fields))
+    e = lambda form, pos, type_, **given: (form, pos, type_, *[given.get(c) for c in ("column", "source", "transform", "value", "map", "default", "choices", "mark", "blank", "no_answer")])
+    seven, eight = "7pre", "8post"
+    entries = spark.createDataFrame([
+        e(seven, 0, "direct", column="A", source="id"), e(seven, 1, "Direct", column="B", source="seg", transform="lower"),
+        e(seven, 2, "lookup", column="C", source="seg", map={"building": "B", "machinery": "", "MACHINERY": "raw"}, default="other"),
+        e(seven, 3, "multi_column", source="mcq", choices={"building": "D", "machinery": "E"}, mark="x", blank="No", no_answer="F"),
+        e(seven, 5, "direct", column="G", source="bal", transform="number"), e(seven, 6, "direct", column="H", source="seg"), e(seven, 7, "other", source="nothing"),
+        e(eight, 0, "static", column="A", value="20\x0726"), e(eight, 1, "direct", column="A", source="seg2", transform="unknown"),
+        e(eight, 2, "multi_column", source="mcq", choices={"Machinery": "B", "Building": "B", "other": ""}), e(eight, 3, "direct", column="C", source="form_type"),
+    ], "form_type string, entry_pos int, type string, column string, source string, transform string, value string, map map<string,string>, default string, choices map<string,string>, mark string, blank string, no_answer string")
+    sheets = spark.createDataFrame([(seven, "Seven", 4), (eight, "Eight", 2)], "form_type string, sheet string, start_row int")
+    stamps = spark.createDataFrame([(seven, "G", "stamp"), (seven, "A", "under")], "form_type string, column string, value string")
+    headers = spark.createDataFrame([(seven, 1, "A", "head"), ("6pre", 1, "A", "never")], "form_type string, row int, column string, value string")
+    hidden = spark.createDataFrame([(seven, "H")], "form_type string, column string")
+    original = answers.where(F.trim("form_type") == seven)
+    cells = workbook.fill_workbook(answers, entries, sheets, original=original, stamps=stamps, headers=headers, hidden=hidden)
+    return cells.select("book", "sheet", F.col("sheet_position").cast("double").alias("sheet_position"), F.col("row").cast("long").alias("row"), "column", "value")
+
+
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus WHEN l_returnflag = 'A' THEN '''line'' + ''page'' = ''' || l_linestatus || '''' WHEN l_returnflag = 'R' THEN 'line' ELSE 'page' END AS raw,
   CASE WHEN l_linenumber % 2 = 1 THEN least(1.0, l_discount * 20) END AS score, 'scan_' || l_orderkey || '.pdf' AS file FROM lineitem""")
 def comment_sources(spark, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from packetlane.operators.pages import reading_order
+
 REGION = "struct<id:string,name:string,x:double,y:double,w:double,h:double,postprocess_passes:array<string>,vlm_query:string,output_regex:string,post_normalize:boolean,post_normalize_mode:string>"
 SCHEMA = f"image_path string, image_name string, image_width int, image_height int, rois array<{REGION}>"
 MANIFEST = "version int, merged_pdf_path string, sources array<struct<source_index:int,source_file_name:string,stored_pdf_path:string,page_count:int,merged_page_start:int,merged_page_end:int>>, pages array<struct<merged_page:string,source_index:int,source_file_name:string,source_pdf_path:string,source_page:string>>"
@@ -61,7 +63,7 @@ def items(spark: SparkSession, path, limit: int | None = None) -> DataFrame:
 def ocr_lines(readings: DataFrame) -> DataFrame:
     """readings: page, texts, scores, boxes (arrays of [x1, y1, x2, y2], or of points [[x, y], ...]); one row for each line with a box.
 
-    `place` is the line's place in reading order of its page: by rows from the top, then from the left. Lines of a page are few, so a window orders them.
+    `place` is the line's place in reading order of its page: by lines of 8 pixels from the top, then from the left. Lines of a page are few, so a window orders them.
     """
     z = readings.select("page", F.posexplode(F.arrays_zip("texts", "scores", "boxes")).alias("pos", "z"))
     points = "array<array" in dict(readings.dtypes)["boxes"].removeprefix("array<")
@@ -69,7 +71,7 @@ def ocr_lines(readings: DataFrame) -> DataFrame:
     ends = [F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(0)), F.array_max(side(1))] if points else [F.try_element_at("z.boxes", F.lit(k)) for k in (1, 2, 3, 4)]
     x1, y1, x2, y2 = ends
     out = z.select("page", "pos", F.col("z.texts").alias("text"), F.col("z.scores").alias("score"), F.least(x1, x2).alias("x"), F.least(y1, y2).alias("y"), F.abs(x2 - x1).alias("w"), F.abs(y2 - y1).alias("h"))
-    return out.where("w > 0 and h > 0").withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("y", "x", "pos")))
+    return out.where("w > 0 and h > 0").withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy(*reading_order(), "pos")))
 
 
 def odd_images(spark: SparkSession, path) -> DataFrame:

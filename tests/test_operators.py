@@ -71,16 +71,24 @@ def test_mapping_entries(spark):
         {"type": "direct", "source": "unknown", "column": "F"},
         {"type": "static", "column": "G", "value": "=1+1"},
     ]
+    wide = mapping.fill_rows(df, ["id"], [{"type": "multi_column", "source": "q", "choices": {"Yes": "A", "YES": "B"}}, {"type": "direct", "source": "n", "column": "C", "transform": "none such"}, {"type": "static", "column": "D", "value": "a\x01b"}], source)
+    assert rows(wide, "id") == [(1, "Yes", None, "", "ab"), (2, None, None, "7", "ab")]
     assert rows(mapping.fill_rows(df, ["id"], entries, source), "id") == [(1, "x", None, None, "raw", "", None, "=1+1"), (2, None, None, "x", None, "7", None, "=1+1")]
 
 
 def test_compare(spark):
     a = spark.createDataFrame([(1, "x", "c"), (1, "5", "d"), (2, "y", "c")], "k int, value string, column string")
-    b = spark.createDataFrame([(1, "x", "c"), (1, "5.0", "d"), (3, "z", "c")], "k int, value string, column string")
+    b = spark.createDataFrame([(1, "x", "c"), (1, "5", "d"), (3, "z", "c")], "k int, value string, column string")
     m = compare.cell_metrics(compare.cell_pairs(a, b, ["k"])).first()
     assert (m.compared, m.exact, m.miss, m.overfill) == (4, 2, 1, 1)
 
 
+def test_melt_by_type(spark):
+    row = spark.sql("SELECT 1 AS k, 5.0D AS a, 0.1D + 0.2D AS b, 1e20D AS c, 1.5e-7D AS d, true AS e, ' 5.0  x ' AS f, DATE'2024-02-01' AS g, TIMESTAMP'2024-02-01 10:00:00' AS h, CAST(NULL AS DOUBLE) AS i, 5 AS j, 123456789012345.5D AS l")
+    got = {r.column: r.value for r in compare.melt(row, ["k"], [c for c in row.columns if c != "k"]).collect()}
+    assert got == {"a": "5", "b": "0.3", "c": "1e+20", "d": "1.5e-07", "e": "TRUE", "f": "5.0 x", "g": "2024-02-01", "h": "2024-02-01", "i": "", "j": "5", "l": "1.23456789012e+14"}
+
+
 def test_strategies(spark):
     p = spark.createDataFrame([(1, "a", 0.95, "b"), (2, "a", 0.5, "b"), (3, None, None, "b"), (4, "a", 0.5, None)], "id int, a_text string, a_score double, b_text string").withColumn("b_score", F.lit(None).cast("double"))
     pick = lambda s: [r.text for r in readings.choose_reading(p, s).orderBy("id").collect()]

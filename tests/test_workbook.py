@@ -35,6 +35,31 @@ def test_overwrite_and_empty_folder(spark, tmp_path):
         spark.read.format("xlsx").load(str(tmp_path / "none")).count()
 
 
+def test_sheets_of_any_entries(spark, monkeypatch):
+    answers = spark.createDataFrame([("x", 1, "f", "q", "a", 0), ("x", 2, "f", "q", None, 0)], "book string, item_index int, form_type string, name string, text string, pos int")
+    sheets = spark.createDataFrame([("f", "F", 2)], "form_type string, sheet string, start_row int")
+    entries = spark.createDataFrame([("f", 0, "strange", "q", "A")], "form_type string, entry_pos int, type string, source string, column string")
+    with pytest.raises(Exception, match="unknown mapping type strange"):
+        workbook.fill_workbook(answers, entries, sheets).collect()
+    direct = entries.withColumn("type", F.lit("direct"))
+    assert [tuple(r) for r in workbook.fill_workbook(answers, direct, sheets).collect()] == [("x", "F", 1.0, 2, "A", "a")]
+    asked = answers.withColumn("kind", F.lit("text"))
+    assert sorted(tuple(r)[3:] for r in workbook.fill_workbook(asked, direct, sheets).collect()) == [(2, "A", "a"), (3, "A", "")]
+    # answers as read, of a form that has no sheet otherwise, make none
+    assert workbook.fill_workbook(answers.where("false"), direct, sheets, original=answers).count() == 0
+    monkeypatch.setattr(workbook, "ROWS", 2)
+    with pytest.raises(Exception, match="more than a sheet's rows in F"):
+        workbook.fill_workbook(asked, direct, sheets).collect()
+
+
+def test_workbook_plan(spark, data):
+    from packetlane.plans import forms
+
+    plan = forms.workbook_types(spark, str(data))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 16
+    assert plan.count("customer.parquet") <= 2 * 2
+
+
 def test_hidden_columns_and_bounds(spark):
     cells = spark.createDataFrame([("S", 1, "A", "x"), ("S", 9, "AB", " "), ("S", 5, "AB", "y"), ("S", 2, "B", "1234567A")], "sheet string, row int, column string, value string")
     hidden = spark.createDataFrame([("S", "AA", "AC"), ("S", "A", None), ("T", "B", "B")], "sheet string, first string, last string")
