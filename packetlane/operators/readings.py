@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlane.functions.text import coerce_score, norm_ws, score_label
+from packetlane.functions.jsonfix import fenced
+from packetlane.functions.meta import echoes_number, internal_uid, is_object, meta_present, passes, select_model
+from packetlane.functions.text import NULL_WORDS, coerce_score, norm_ws, score_label
 from packetlane.operators.fusion import fuse
 
 ACCEPT = 0.90
@@ -64,6 +66,90 @@ def run_passes(c: Column, passes: list[str]) -> Column:
     return c
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def answer_json(c: Column) -> Column:
+    """The JSON text of an answer: of its fenced block or all of it, from the first brace on if it isn't JSON as a whole; {} if there is none. What follows a complete value is ignored."""
+
+    def found(text: Column) -> Column:
+        scalar = text.rlike(r"""\A(?:null|true|false|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|"(?:[^"\\]|\\.)*")\z""")
+        part = F.when(scalar, text).otherwise(F.regexp_extract(text, r"(?s)([{\[].*)", 1))
+        return let(part, lambda x: F.when(F.try_parse_json(F.when(x != "", x)).isNotNull(), x).otherwise("{}"))
+
+    return let(F.regexp_replace(fenced(F.coalesce(c, F.lit(""))), r"(?U)\A\s+|\s+\z", ""), found)
+
+
+def answer_value(parsed: Column) -> Column:
+    """ok and text of an answer's JSON: null, or an object whose detected_text or only value is a scalar or null. Null words are empty."""
+
+    def members(m: Column) -> Column:
+        text, typed = m["text"], m["typed"]
+        key = F.when(F.map_contains_key(text, "detected_text"), "detected_text").when(F.size(text) == 1, F.get(F.map_keys(text), F.lit(0)))
+        return let(key, lambda k: F.struct(k.alias("key"), F.try_element_at(text, k).alias("text"), F.coalesce(F.schema_of_variant(F.try_element_at(typed, k)), F.lit("VOID")).alias("kind")))
+
+    def value(x: Column) -> Column:
+        text = norm_ws(F.when(x["kind"] == "BOOLEAN", F.initcap(x["text"])).when(x["kind"] != "VOID", x["text"]))
+        text = let(text, lambda v: F.when(v.isNull() | F.lower(v).isin(*NULL_WORDS), "").otherwise(v))
+        return F.struct(F.coalesce(x["key"].isNotNull() & ~x["kind"].rlike(r"\A(?:OBJECT|ARRAY)"), F.lit(False)).alias("ok"), text.alias("text"))
+
+    maps = lambda x: F.struct(*[F.from_json(F.when(is_object(x), x), f"map<string,{t}>").alias(n) for n, t in (("text", "string"), ("typed", "variant"))])
+    return let(parsed, lambda x: F.when(x == "null", F.struct(F.lit(True).alias("ok"), F.lit("").alias("text"))).otherwise(let(let(maps(x), members), value)))
+
+
+TRIES = "array<struct<attempt:int,raw:string>>"
+TRACE = "array<struct<pass:int,type:string,model:string,input:string,result:string,attempts:int,parsed_ok:boolean,rejection:string>>"
+
+
+def attempt_result(value: Column, raw: Column, name: Column, text: Column, pattern: Column) -> Column:
+    """value, ok and rejection of one answer: answers of another shape leave the value, answers that can't be true empty it."""
+
+    def guarded(x: Column) -> Column:
+        off = (pattern != "") & (x["text"] != "") & ~F.rlike(x["text"], F.concat(F.lit(r"\A(?:"), pattern, F.lit(r")\z")))
+        reason = F.when(internal_uid(x["text"]), "internal_uid").when(echoes_number(x["text"], name, text), "numeric_roi_name_echo").when(off, "output_regex_mismatch")
+        return let(reason, lambda r: F.struct(F.when(r.isNotNull(), "").otherwise(x["text"]).alias("value"), x["ok"].alias("ok"), r.alias("rejection")))
+
+    return let(let(answer_value(answer_json(raw)), lambda g: F.struct(F.when(g["ok"], g["text"]).otherwise(value).alias("text"), g["ok"].alias("ok"))), guarded)
+
+
+def postprocess(rows: DataFrame, responses: DataFrame, *, reruns: int = 3, fallback_model: str | None = None, supported: tuple[str, ...] = ()) -> DataFrame:
+    """Adds result, pass_source and trace to rows (uid, name, text, meta): every row goes through its own list of passes, each from what the one before left.
+
+    meta: a map of settings as `meta.passes` reads them. A code pass names one of PASSES; unknown names leave the text. A model pass takes the
+    answers that responses (uid, pass, attempt, raw; both from 1) have for it, in order, until one has the shape asked for, reruns + 1 at most.
+    A row's answers are as many as its passes and attempts, so they come as one array; the passes are a fold over it, all within the row.
+    """
+    given = responses.groupBy("uid", "pass").agg(F.array_sort(F.collect_list(F.struct(F.col("attempt").cast("int").alias("attempt"), "raw"))).alias("tries"))
+    given = given.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pass").cast("int").alias("pass"), "tries"))).alias("__given"))
+    pattern = norm_ws(F.coalesce(meta_present(F.col("meta"), "output_regex", "ocr_output_regex"), F.lit("")))
+    roi = F.coalesce(*[F.when(norm_ws(F.try_element_at("meta", F.lit(k))) != "", norm_ws(F.try_element_at("meta", F.lit(k)))) for k in ("roi_name", "name")], F.col("name"))
+    wide = rows.join(given, "uid", "left").withColumns({"__text": norm_ws(F.coalesce("text", F.lit(""))), "__p": passes(F.col("meta")), "__pattern": pattern, "__roi": roi})
+    models = F.array(*map(F.lit, supported)).cast("array<string>")
+    none = F.lit(None).cast("string")
+
+    def step(state: Column, p: Column) -> Column:
+        value, n = state["value"], F.size(state["trace"]) + 1
+        start = F.struct(value.alias("value"), F.lit(False).alias("ok"), none.alias("rejection"), F.lit(0).alias("attempts"))
+
+        def tried(a: Column, r: Column) -> Column:
+            more = lambda got: F.struct(got["value"].alias("value"), got["ok"].alias("ok"), got["rejection"].alias("rejection"), (a["attempts"] + 1).alias("attempts"))
+            return F.when(a["ok"], a).otherwise(let(attempt_result(a["value"], r["raw"], F.col("__roi"), F.col("__text"), F.col("__pattern")), more))
+
+        tries = F.slice(F.coalesce(F.try_element_at("__given", n), F.array().cast(TRIES)), 1, reruns + 1)
+        coded = F.struct(F.coalesce(*[F.when(p["body"] == k, norm_ws(f(value))) for k, f in PASSES.items()], value).alias("value"), p["body"].isin(*PASSES).alias("ok"), none.alias("rejection"), F.lit(0).alias("attempts"))
+        code = p["type"] == "code"
+        model = F.when(~code, select_model(p["model"], F.lit(fallback_model).cast("string"), models)["selected"])
+        made = F.when(code, coded).otherwise(F.aggregate(tries, start, tried))
+        row = lambda x: F.struct(n.alias("pass"), p["type"].alias("type"), model.alias("model"), value.alias("input"), x["value"].alias("result"), x["attempts"].alias("attempts"), x["ok"].alias("parsed_ok"), x["rejection"].alias("rejection"))
+        return let(let(made, row), lambda x: F.struct(x["result"].alias("value"), F.concat(state["trace"], F.array(x)).cast(TRACE).alias("trace")))
+
+    first = F.struct(F.col("__text").alias("value"), F.array().cast(TRACE).alias("trace"))
+    out = wide.withColumn("__end", F.aggregate(F.col("__p.passes"), first, step))
+    return out.withColumns({"result": F.col("__end.value"), "pass_source": F.col("__p.source"), "trace": F.col("__end.trace")}).drop("__given", "__text", "__p", "__pattern", "__roi", "__end")
+
+
 def retry_rounds(rows: DataFrame, attempts: DataFrame, steps: list[str], clear: bool = True) -> DataFrame:
     """Adds final, matched, cleared and used_step to rows (uid, text, pattern). attempts: uid, step, text.
 

@@ -260,3 +260,32 @@ def regex_retries(spark, d):
     tries = F.array(F.struct(F.lit("sharp").alias("step"), F.when(o % 2 == 0, o.cast("string")).otherwise("no").alias("text")), F.struct(F.lit("last").alias("step"), F.when(o % 3 == 0, " 77").otherwise("bad").alias("text")), F.struct(F.lit("unknown").alias("step"), F.lit("1").alias("text")))
     attempts = line.select("uid", F.explode(tries).alias("a")).select("uid", "a.*")
     return readings.retry_rounds(rows, attempts, ["sharp", "last"]).select("l_orderkey", "l_linenumber", "final", "used_step", "matched", "cleared")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 9 AS g, c_name AS n, c_mktsegment AS s FROM customer)
+  SELECT k AS c_custkey, CASE g WHEN 0 THEN regexp_replace(n, '[^0-9]', '', 'g') WHEN 1 THEN s WHEN 2 THEN CASE WHEN k % 2 = 0 THEN n ELSE '' END WHEN 3 THEN '' WHEN 4 THEN '' WHEN 5 THEN 'true' WHEN 6 THEN '' WHEN 7 THEN n ELSE '7' END AS result,
+    CASE g WHEN 6 THEN 'legacy_llm_prompt_override' WHEN 7 THEN 'none' WHEN 8 THEN 'legacy_llm_passes' ELSE 'postprocess_passes' END AS pass_source,
+    CASE g WHEN 0 THEN 'code:0:true:,code:0:true:' WHEN 1 THEN 'm1:1:true:' WHEN 2 THEN CASE WHEN k % 2 = 0 THEN 'm0:4:false:' ELSE 'm0:2:true:' END WHEN 3 THEN 'm0:1:true:numeric_roi_name_echo' WHEN 4 THEN 'm0:1:true:output_regex_mismatch,m0:0:false:'
+      WHEN 5 THEN 'code:0:false:,m0:1:true:,code:0:true:' WHEN 6 THEN 'm0:1:true:internal_uid' WHEN 7 THEN '' ELSE 'm0:1:true:' END AS trace FROM c""")
+def text_passes(spark, d):
+    """Each customer's text through passes of its own: named steps, models that answer in several shapes, retries, rejected answers."""
+    k, n = F.col("c_custkey"), F.col("c_name")
+    g = k % 9
+    llm, step = '{"type": "llm", "prompt": "p"}', '{"type": "code", "code": "%s"}'
+    lists = [f'[{step % "upper"}, {step % "digits"}]', '[{"type": "llm", "prompt": "p", "model": "m1"}]', f"[{llm}]", f"[{llm}]", f"[{llm}, {llm}]", f'[{step % "no such"}, {llm}, {step % "lower"}]']
+    settings = F.map_from_entries(F.array_compact(F.array(
+        F.when(g < 6, F.struct(F.lit("postprocess_passes").alias("key"), case(g, list(map(F.lit, lists))).alias("value"))),
+        F.when(g == 6, F.struct(F.lit("llm_prompt_override").alias("key"), F.lit("fix it").alias("value"))),
+        F.when(g == 8, F.struct(F.lit("llm_passes").alias("key"), F.lit('["fix it"]').alias("value"))),
+        F.when(g == 4, F.struct(F.lit("output_regex").alias("key"), F.lit("[A-Z]+").alias("value"))),
+        F.when(g.isin(3, 8), F.struct(F.lit("roi_name").alias("key"), F.lit("7").alias("value"))),
+    )))
+    rows = t(spark, d, "customer").select(k.alias("uid"), F.lit("field").alias("name"), F.when(g == 8, F.concat(n, F.lit(" 7 "))).otherwise(F.concat(F.lit("  "), n)).alias("text"), settings.alias("meta"))
+    tried = lambda p, a, raw: F.struct(F.lit(p).alias("pass"), F.lit(a).alias("attempt"), raw.alias("raw"))
+    answer = case(g, [F.lit(None).cast("string"), F.concat(F.lit('Here: {"date": "  '), "c_mktsegment", F.lit(' "} and {"more": 1}')), F.lit("no json"), F.lit('{"detected_text": 7}'), F.lit('{"detected_text": "abc"}'), F.lit('```json\n{"x": true}\n```'), F.lit('{"detected_text": "p1:r2:x"}'), F.lit('{"never": "asked"}')], F.lit('{"a": 1, "detected_text": "7"}'))
+    again = F.when((g == 2) & (k % 2 == 1), "null").otherwise('{"a": 1, "b": 2}')
+    tries = F.array(tried(2, 1, F.when(g == 5, answer)), tried(1, 1, answer), *[tried(1, a, again) for a in (2, 3, 4, 5)], tried(9, 1, answer))
+    responses = t(spark, d, "customer").select(k.alias("uid"), F.inline(tries)).where("raw is not null")
+    out = readings.postprocess(rows, responses, fallback_model="m0", supported=("m0", "m1"))
+    told = F.array_join(F.transform("trace", lambda x: F.concat_ws(":", F.coalesce(x["model"], x["type"]), x["attempts"], x["parsed_ok"], F.coalesce(x["rejection"], F.lit("")))), ",")
+    return out.select(F.col("uid").alias("c_custkey"), "result", "pass_source", told.alias("trace"))
