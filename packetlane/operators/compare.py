@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetlane.functions.text import levenshtein_similarity, normalize_cell
+from packetlane.functions.text import categorical_type, is_text_like, levenshtein_similarity, normalize_cell, valid_id
 
 
 def melt(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -64,6 +66,100 @@ def first_hit(left: DataFrame, right: DataFrame, key: str, order: list[str], col
     return left.join(h.select(key, *[F.col(f"f.v_{c}").alias(c) for c in columns], "hits"), key, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
+def sheet_rows(sheets: DataFrame, columns: list[str], id_column: str, place: list[str]) -> DataFrame:
+    """place (of a row: its sheet's position, its row), id (upper case, empty if none) and cells, normalised by the types of their columns."""
+    kinds = dict(sheets.dtypes)
+    cell = lambda c: normalize_cell(F.col(c), kinds[c])
+    return sheets.select(F.struct(*place).alias("place"), F.upper(cell(id_column)).alias("id"), F.array(*[cell(c) for c in columns]).alias("cells"))
+
+
+def matched_rows(truth: DataFrame, test: DataFrame) -> DataFrame:
+    """Rows of the test that have an id, each with the first row of that id on any sheet of the truth and the number of such rows (null and 0: none).
+
+    Both are rows of `sheet_rows`. The truth is one row for each id before it meets the test, so a frequent id is one row of each task.
+    """
+    first = truth.where("id <> ''").groupBy("id").agg(F.min_by("cells", "place").alias("truth"), F.count(F.lit(1)).alias("hits"))
+    return test.where("id <> ''").join(first, "id", "left").select("id", F.col("id").alias("truth_id"), "place", "truth", F.col("cells").alias("test"), F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def aligned_rows(truth: DataFrame, test: DataFrame) -> DataFrame:
+    """The same for rows at the same place: every row of the test that has an id, whatever the truth's id is there."""
+    other = truth.select("place", F.col("id").alias("truth_id"), F.col("cells").alias("truth"))
+    return test.where("id <> ''").join(other, "place", "left").select("id", F.coalesce("truth_id", F.lit("")).alias("truth_id"), "place", F.coalesce("truth", F.transform("cells", lambda _: F.lit(""))).alias("truth"), F.col("cells").alias("test"), F.lit(1).alias("hits"))
+
+
+def compared_cells(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """place, column, truth, test, kind of all cells of compared rows with a value on either side."""
+    cells = F.explode(F.arrays_zip(F.array(*map(F.lit, columns)).alias("column"), F.col("truth").alias("truth"), F.col("test").alias("test")))
+    flat = rows.where("hits > 0").select("place", cells.alias("c")).select("place", "c.*").where("truth <> '' or test <> ''")
+    return flat.withColumn("kind", F.coalesce(categorical_type(F.col("truth")), categorical_type(F.col("test"))))
+
+
+def cell_report(cells: DataFrame) -> DataFrame:
+    """scope (all, column, type), name and counts: one pass over the cells, by grouping sets."""
+    t, s = F.col("truth"), F.col("test")
+    same, like = F.lower(t) == F.lower(s), is_text_like(t) | is_text_like(s)
+    flags = cells.select("column", "kind", (t == s).alias("exact"), (s == "").alias("miss"), (t == "").alias("overfill"), same.alias("same"), like.alias("like"), F.when(like, levenshtein_similarity(F.lower(t), F.lower(s))).alias("similarity"))
+    known = F.col("kind").isNotNull()
+    out = flags.groupingSets([["column"], ["kind"], []], "column", "kind").agg(
+        F.grouping_id().alias("g"),
+        F.count(F.lit(1)).alias("compared"),
+        F.count_if("exact").alias("exact"),
+        F.count_if("miss").alias("miss"),
+        F.count_if("overfill").alias("overfill"),
+        F.count_if(known).alias("categorical"),
+        F.count_if(known & F.col("same")).alias("categorical_exact"),
+        F.count_if("like").alias("text_like"),
+        F.count_if(F.col("like") & F.col("same")).alias("text_exact"),
+        F.sum("similarity").alias("similarity"),
+    )
+    scope = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "column").otherwise("type")
+    out = out.withColumns({"scope": scope, "name": F.coalesce(F.when(F.col("g") == 1, F.col("column")).when(F.col("g") == 2, F.col("kind")), F.lit("")), "accuracy": F.try_divide("exact", "compared"), "similarity": F.try_divide("similarity", "text_like")})
+    return out.where("g <> 2 or kind is not null").drop("column", "kind", "g")
+
+
+def mismatch_examples(cells: DataFrame, k: int = 3) -> DataFrame:
+    """column, rank, place, truth, test of the first k cells of each column that differ. Each task keeps its own first ones only."""
+    order = Window.partitionBy("column").orderBy("place")
+    return cells.where("truth <> test").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("column", "rank", "place", "truth", "test")
+
+
+def letter_confusions(cells: DataFrame, k: int = 10) -> DataFrame:
+    """truth, test and n of the k most frequent differing answers by letter; ties in the order of the texts."""
+    low = cells.where("kind = 'letter' and truth <> '' and test <> '' and lower(truth) <> lower(test)").select(F.lower("truth").alias("truth"), F.lower("test").alias("test"))
+    return low.groupBy("truth", "test").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "truth", "test").limit(k)
+
+
+def id_report(truth: DataFrame, test: DataFrame) -> DataFrame:
+    """One row on ids of all sheets of the truth and of the test, from counts by id: found, precision by rows, recall by ids, repeats, formats."""
+    a, b = (x.where("id <> ''").groupBy("id").agg(F.count(F.lit(1)).alias(n)) for x, n in ((truth, "a"), (test, "b")))
+    m = a.join(b, "id", "full_outer").select("id", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"), valid_id(F.col("id")).cast("int").alias("valid"))
+    a, b, more = F.col("a"), F.col("b"), lambda c: F.greatest(F.lit(0), c - 1)
+    hit = (a > 0) & (b > 0)
+    of = lambda when, x: F.coalesce(F.sum(F.when(when, x)), F.lit(0))
+    one = m.agg(
+        of(a > 0, a).alias("truth_rows"), of(b > 0, b).alias("test_rows"), of(hit, b).alias("found"), F.count_if(hit).alias("unique_found"), F.count_if(a > 0).alias("truth_ids"), F.count_if(b > 0).alias("test_ids"),
+        F.count_if(a > 1).alias("truth_ids_repeated"), of(a > 0, more(a)).alias("truth_duplicates"), of(hit, more(b)).alias("test_duplicates"), of(a > 0, a * F.col("valid")).alias("truth_valid"), of(hit, b * F.col("valid")).alias("test_valid"),
+    )
+    one = one.withColumns({"not_found": F.col("test_rows") - F.col("found"), "precision": F.try_divide("found", "test_rows"), "recall": F.try_divide("unique_found", "truth_ids"), "truth_valid_rate": F.try_divide("truth_valid", "truth_rows"), "test_valid_rate": F.try_divide("test_valid", "found")})
+    return one.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+
+
+def report(truth: DataFrame, test: DataFrame, columns: list[str], *, by_id: bool = True) -> DataFrame:
+    """All metrics of a comparison as one long table: scope, name, metric, value. truth, test: rows of `sheet_rows`; by_id: found on any sheet of the truth, else aligned by place."""
+    cells = compared_cells(matched_rows(truth, test) if by_id else aligned_rows(truth, test), columns)
+    counted = cell_report(cells)
+
+    def long(df: DataFrame, scope: Column, name: Column) -> DataFrame:
+        names = [c for c in df.columns if c not in ("scope", "name")]
+        rows = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names]))
+        return df.select(scope.alias("scope"), name.alias("name"), rows.alias("m")).select("scope", "name", "m.*")
+
+    macro = counted.where("scope = 'column'").agg(F.avg("accuracy").alias("macro_accuracy"))
+    parts = [long(counted, F.col("scope"), F.col("name")), long(macro, F.lit("all"), F.lit("")), long(id_report(truth, test), F.lit("ids"), F.lit(""))]
+    return reduce(DataFrame.unionByName, parts).where("value is not null")
+
+
 _SPACE, _OTHER = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 HEAD = 60
 

@@ -9,7 +9,7 @@ from packetlane.functions import header as H
 from packetlane.functions import labels as L
 from packetlane.functions import meta as M
 from packetlane.functions import text as X
-from packetlane.operators import normalize, readings, review, validation, workbook
+from packetlane.operators import compare, normalize, readings, review, validation, workbook
 from packetlane.plans.catalog import query, t
 
 
@@ -289,3 +289,52 @@ def text_passes(spark, d):
     out = readings.postprocess(rows, responses, fallback_model="m0", supported=("m0", "m1"))
     told = F.array_join(F.transform("trace", lambda x: F.concat_ws(":", F.coalesce(x["model"], x["type"]), x["attempts"], x["parsed_ok"], F.coalesce(x["rejection"], F.lit("")))), ",")
     return out.select(F.col("uid").alias("c_custkey"), "result", "pass_source", told.alias("trace"))
+
+
+_LIKERT = ("Agree", "strongly  disagree", "TRUE", "7th Grade", "girl", "")
+_REPORT = f"""o AS (SELECT o_orderkey AS k, o_orderstatus AS st, trim(o_orderpriority) AS pr, {list(_LIKERT)!r}[o_orderkey % 6 + 1] AS li FROM orders),
+  a AS (SELECT CASE st WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS sheet, k AS row, CASE WHEN k % 23 = 0 THEN '' ELSE lpad((CASE WHEN k % 19 = 0 THEN k + 1 ELSE k END)::VARCHAR, 7, '0') || 'A' END AS id, chr((97 + k % 10)::INTEGER) AS mcq, regexp_replace(li, ' +', ' ', 'g') AS likert, pr AS text FROM o),
+  b AS (SELECT k AS row, CASE WHEN k % 29 = 0 THEN '' WHEN k % 13 = 0 THEN 'X' || k WHEN k % 31 = 0 THEN '0000001A' ELSE lpad(k::VARCHAR, 7, '0') || 'A' END AS id, CASE WHEN k % 5 = 0 THEN chr((97 + (k + 1) % 10)::INTEGER) WHEN k % 5 = 1 THEN chr((65 + k % 10)::INTEGER) ELSE chr((97 + k % 10)::INTEGER) END AS mcq,
+    CASE WHEN k % 4 = 0 THEN '' ELSE regexp_replace(li, ' +', ' ', 'g') END AS likert, CASE WHEN k % 7 = 0 THEN st WHEN k % 7 = 1 THEN '' ELSE lower(pr) END AS text FROM o),
+  f AS (SELECT id, arg_min([mcq, likert, text], (sheet, row)) AS c, count(*) AS hits FROM a WHERE id <> '' GROUP BY id),
+  m AS (SELECT b.row, unnest(['mcq', 'likert', 'text']) AS col, unnest(f.c) AS t, unnest([b.mcq, b.likert, b.text]) AS p FROM b JOIN f USING (id) WHERE b.id <> ''),
+  x AS (SELECT *, lower(t) AS lt, lower(p) AS lp FROM m WHERE t <> '' OR p <> ''),
+  v AS (SELECT lower(u) AS u, CASE WHEN regexp_full_match(lower(u), '[a-h]') THEN 'letter' WHEN lower(u) IN ('true', 'false') THEN 'boolean' WHEN lower(u) IN ('agree', 'strongly disagree') THEN 'likert' WHEN lower(u) = '7th grade' THEN 'grade' WHEN lower(u) = 'girl' THEN 'gender' END AS kind, u <> '' AND regexp_matches(u, '[A-Za-z]') AS letters FROM (SELECT DISTINCT unnest([lower(t), lower(p)]) AS u FROM x)),
+  y AS (SELECT x.*, coalesce(vt.kind, vp.kind) AS kind, (vt.kind IS NULL AND vt.letters) OR (vp.kind IS NULL AND vp.letters) AS lk FROM x JOIN v vt ON vt.u = lt JOIN v vp ON vp.u = lp)"""
+_COUNTS = """count(*) AS compared, count(*) FILTER (t = p) AS exact, count(*) FILTER (p = '') AS miss, count(*) FILTER (t = '') AS overfill, count(kind) AS categorical, count(kind) FILTER (lt = lp) AS categorical_exact, count(*) FILTER (lk) AS text_like, count(*) FILTER (lk AND lt = lp) AS text_exact,
+  avg(1 - levenshtein(lt, lp)::DOUBLE / greatest(length(lt), length(lp), 1)) FILTER (lk) AS similarity, count(*) FILTER (t = p) / count(*) AS accuracy"""
+_COUNTED = ("compared", "exact", "miss", "overfill", "categorical", "categorical_exact", "text_like", "text_exact", "similarity", "accuracy")
+_IDS = ("truth_rows", "test_rows", "found", "unique_found", "truth_ids", "test_ids", "truth_ids_repeated", "truth_duplicates", "test_duplicates", "truth_valid", "test_valid", "not_found", "precision", "recall", "truth_valid_rate", "test_valid_rate", "f1")
+
+
+def _sheets(spark, d):
+    k, st, pr = F.col("o_orderkey"), F.col("o_orderstatus"), F.trim("o_orderpriority")
+    letter = lambda n, base: F.chr((n % 10 + base).cast("int"))
+    o, li = t(spark, d, "orders"), F.array(*map(F.lit, _LIKERT))[(k % 6).cast("int")]
+    seven = lambda n: F.concat(F.lpad(n.cast("string"), 7, "0"), F.lit("a"))
+    truth = o.select(F.when(st == "F", 1).when(st == "O", 2).otherwise(3).alias("sheet"), k.alias("row"), F.when(k % 23 != 0, seven(F.when(k % 19 == 0, k + 1).otherwise(k))).alias("id"), letter(k, 97).alias("mcq"), li.alias("likert"), pr.alias("text"))
+    test = o.select(F.lit(1).alias("sheet"), k.alias("row"), F.when(k % 29 == 0, " ").when(k % 13 == 0, F.concat(F.lit("x"), k)).when(k % 31 == 0, "0000001A").otherwise(seven(k)).alias("id"), F.when(k % 5 == 0, letter(k + 1, 97)).when(k % 5 == 1, letter(k, 65)).otherwise(letter(k, 97)).alias("mcq"), F.when(k % 4 != 0, li).alias("likert"), F.when(k % 7 == 0, st).when(k % 7 == 1, "").otherwise(F.lower(pr)).alias("text"))
+    columns = ["mcq", "likert", "text"]
+    return (*[compare.sheet_rows(x, columns, "id", ["sheet", "row"]) for x in (truth, test)], columns)
+
+
+@query(f"""WITH {_REPORT}, c AS (SELECT 'all' AS scope, '' AS name, {_COUNTS} FROM y UNION ALL SELECT 'column', col, {_COUNTS} FROM y GROUP BY col UNION ALL SELECT 'type', kind, {_COUNTS} FROM y WHERE kind IS NOT NULL GROUP BY kind),
+  i AS (SELECT coalesce(a, 0) AS a, coalesce(b, 0) AS b, regexp_full_match(id, '[0-9]{{7}}[AB]')::INTEGER AS valid FROM (SELECT id, count(*) AS a FROM a WHERE id <> '' GROUP BY 1) FULL JOIN (SELECT upper(id) AS id, count(*) AS b FROM b WHERE id <> '' GROUP BY 1) USING (id)),
+  j AS (SELECT sum(a) AS truth_rows, sum(b) AS test_rows, sum(b) FILTER (a > 0) AS found, count(*) FILTER (a > 0 AND b > 0) AS unique_found, count(*) FILTER (a > 0) AS truth_ids, count(*) FILTER (b > 0) AS test_ids, count(*) FILTER (a > 1) AS truth_ids_repeated, sum(greatest(0, a - 1)) AS truth_duplicates, sum(greatest(0, b - 1)) FILTER (a > 0) AS test_duplicates, sum(a * valid) AS truth_valid, sum(b * valid) FILTER (a > 0) AS test_valid FROM i),
+  k AS (SELECT *, test_rows - found AS not_found, found / test_rows AS precision, unique_found / truth_ids AS recall, truth_valid / truth_rows AS truth_valid_rate, test_valid / found AS test_valid_rate FROM j), l AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM k),
+  z AS ({" UNION ALL ".join(f"SELECT scope, name, '{m}' AS metric, {m}::DOUBLE AS value FROM c" for m in _COUNTED)} UNION ALL {" UNION ALL ".join(f"SELECT 'ids', '', '{m}', {m}::DOUBLE FROM l" for m in _IDS)} UNION ALL SELECT 'all', '', 'macro_accuracy', avg(accuracy) FROM c WHERE scope = 'column')
+  SELECT scope, name, metric, round(value, 6) AS value FROM z WHERE value IS NOT NULL""")
+def compare_report(spark, d):
+    """Every metric of a comparison with all sheets of the truth, by id."""
+    truth, test, columns = _sheets(spark, d)
+    return compare.report(truth, test, columns).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {_REPORT}, e AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY row) AS rank FROM y WHERE t <> p), c AS (SELECT lt, lp, count(*) AS n FROM y WHERE kind = 'letter' AND t <> '' AND p <> '' AND lt <> lp GROUP BY ALL ORDER BY n DESC, lt, lp LIMIT 10)
+  SELECT col AS "column", rank::BIGINT AS rank, row AS "row", t AS truth, p AS test FROM e WHERE rank <= 3 UNION ALL SELECT 'letter', n, NULL, lt, lp FROM c""")
+def compare_examples(spark, d):
+    """The first differing cells of each column, and the most frequent confusions of letters."""
+    truth, test, columns = _sheets(spark, d)
+    cells = compare.compared_cells(compare.matched_rows(truth, test), columns)
+    first = compare.mismatch_examples(cells).select("column", F.col("rank").cast("long").alias("rank"), F.col("place.row").alias("row"), "truth", "test")
+    return first.unionByName(compare.letter_confusions(cells).select(F.lit("letter").alias("column"), F.col("n").alias("rank"), F.lit(None).cast("long").alias("row"), "truth", "test"))
