@@ -9,7 +9,7 @@ from packetlane.functions import header as H
 from packetlane.functions import labels as L
 from packetlane.functions import meta as M
 from packetlane.functions import text as X
-from packetlane.operators import compare, normalize, readings, review, validation, workbook
+from packetlane.operators import compare, lineage, normalize, readings, review, validation, workbook
 from packetlane.plans.catalog import query, t
 
 
@@ -338,3 +338,65 @@ def compare_examples(spark, d):
     cells = compare.compared_cells(compare.matched_rows(truth, test), columns)
     first = compare.mismatch_examples(cells).select("column", F.col("rank").cast("long").alias("rank"), F.col("place.row").alias("row"), "truth", "test")
     return first.unionByName(compare.letter_confusions(cells).select(F.lit("letter").alias("column"), F.col("n").alias("rank"), F.lit(None).cast("long").alias("row"), "truth", "test"))
+
+
+_GRAPH = """r AS (SELECT p_brand AS form, p_partkey AS row, ['direct', 'lookup', 'static', 'multi_column', 'other'][p_size % 5 + 1] AS type, CASE WHEN p_size % 7 = 0 THEN '' WHEN p_size % 7 = 1 THEN 'id' ELSE 's' || p_size % 11 END AS source, CASE WHEN p_size % 6 = 0 THEN '' ELSE chr((65 + p_partkey % 26)::INTEGER) END AS col FROM part),
+  s AS (SELECT form, 's' || i AS source, 'roi:' || side || ':s' || i AS id FROM (SELECT DISTINCT p_brand AS form FROM part), (SELECT unnest(range(9)) AS i), (SELECT unnest(['a', 'b']) AS side) WHERE side = 'a' OR i % 3 = 0),
+  k AS (SELECT form, chr((65 + i)::INTEGER) AS col FROM (SELECT DISTINCT p_brand AS form FROM part WHERE p_brand <> 'Brand#11'), (SELECT unnest(range(20)) AS i)),
+  d AS (SELECT form, row, col, '' AS choice FROM r WHERE type IN ('direct', 'lookup', 'static') AND col <> '' UNION ALL SELECT form, row, 'X', 'a' FROM r WHERE type = 'multi_column' UNION ALL SELECT form, row, col, 'b' FROM r WHERE type = 'multi_column' AND col <> ''),
+  e AS (SELECT form, 'static:' || row AS source, 'map:' || row AS target, row FROM r WHERE type = 'static' UNION ALL SELECT form, 'virtual:id', 'map:' || row, row FROM r WHERE type <> 'static' AND source = 'id' UNION ALL SELECT r.form, s.id, 'map:' || row, row FROM r JOIN s ON r.form = s.form AND r.source = s.source WHERE type <> 'static'),
+  x AS (SELECT e.form, e.source, d.col, row, d.choice FROM e JOIN d USING (form, row))"""
+
+
+def _mapping(spark, d):
+    size, k = F.col("p_size"), F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    column = F.when(size % 6 == 0, " ").otherwise(F.chr(97 + k % 26))
+    rows = t(spark, d, "part").select(F.col("p_brand").alias("form"), k.alias("row"), case(size % 5, list(map(F.lit, ("direct", " Lookup", "static", "multi_column"))), F.lit("other")).alias("type"), F.when(size % 7 == 0, none).when(size % 7 == 1, "id").otherwise(F.concat(F.lit("s"), size % 11)).alias("source"), column.alias("column"), F.create_map(F.lit("a"), F.lit("x"), F.lit("b"), column).alias("choices"), none.alias("no_answer"))
+    forms = rows.select("form").distinct()
+    region = F.explode(F.array(*[F.struct(F.lit(f"s{i}").alias("source"), F.lit(f"roi:{side}:s{i}").alias("id")) for i in range(9) for side in ("a", "b") if side == "a" or i % 3 == 0]))
+    sources = forms.select("form", region.alias("r")).select("form", "r.*")
+    columns = forms.where("form <> 'Brand#11'").select("form", F.explode(F.array(*[F.lit(chr(65 + i)) for i in range(20)])).alias("column"))
+    return rows, sources, columns
+
+
+@query(f"""WITH {_GRAPH} SELECT form, source AS "from", 'cell:' || col AS "to", row, choice FROM x""")
+def lineage_direct(spark, d):
+    """Regions, fields and values of each form, and the columns that they fill."""
+    rows, sources, _ = _mapping(spark, d)
+    edges = lineage.direct_edges(lineage.mapping_graph(rows, ["form"], sources), ["form"])
+    return edges.select("form", F.col("source").alias("from"), F.concat(F.lit("cell:"), "column").alias("to"), "row", "choice")
+
+
+@query(f"""WITH {_GRAPH}, n AS (SELECT form, id, 'region' AS kind FROM s UNION ALL SELECT form, 'virtual:' || f, 'item_field' FROM (SELECT DISTINCT form FROM r), (SELECT unnest(['id', 'form_type', 'page_odd', 'page_even']) AS f) UNION ALL SELECT form, 'static:' || row, 'static' FROM r WHERE type = 'static' UNION ALL SELECT form, 'map:' || row, 'mapping' FROM r UNION ALL SELECT form, 'col:' || col, 'column' FROM (SELECT form, col FROM d UNION SELECT form, col FROM k)),
+  m AS (SELECT form, source AS id FROM e UNION SELECT form, 'col:' || col FROM d)
+  SELECT form, id, kind, kind IN ('static', 'mapping') OR m.id IS NOT NULL AS mapped FROM n LEFT JOIN m USING (form, id)""")
+def lineage_nodes(spark, d):
+    rows, sources, columns = _mapping(spark, d)
+    return lineage.graph_nodes(rows, ["form"], sources, columns, lineage.mapping_graph(rows, ["form"], sources))
+
+
+@query(f"""WITH {_GRAPH} SELECT form, 'error' AS severity, 'unknown_mapping_type' AS code, row, 'type other of row ' || row || ' is unknown' AS message FROM r WHERE type = 'other'
+  UNION ALL SELECT form, 'error', 'missing_source', row, 'row ' || row || ' names a source that no region has: ' || source FROM r WHERE type <> 'static' AND source NOT IN ('', 'id') AND NOT EXISTS (SELECT 1 FROM s WHERE s.form = r.form AND s.source = r.source)
+  UNION ALL SELECT form, 'error', 'missing_source_field', row, 'row ' || row || ' names no source' FROM r WHERE type <> 'static' AND source = ''
+  UNION ALL SELECT form, 'warning', 'missing_destination', row, 'row ' || row || ' names no column' FROM r WHERE type = 'other' OR type IN ('direct', 'lookup') AND col = ''
+  UNION ALL SELECT form, 'error', 'missing_column', row, 'row ' || row || ' writes to a column that the sheet lacks: ' || col FROM d WHERE form <> 'Brand#11' AND NOT EXISTS (SELECT 1 FROM k WHERE k.form = d.form AND k.col = d.col)""")
+def lineage_issues(spark, d):
+    rows, sources, columns = _mapping(spark, d)
+    return lineage.graph_issues(rows, ["form"], sources, columns)
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS source, 'o' || o_orderkey AS target FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || p_partkey, p_brand FROM part UNION SELECT 'p' || p_partkey, 'p' || p_partkey // 3 FROM part WHERE p_partkey % 50 = 0 AND p_partkey // 3 > 0),
+  r(source, target) AS (SELECT source, target FROM e WHERE source LIKE 'c%' UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source WHERE r.target LIKE 'o%' OR r.target LIKE 'p%') SELECT source, target FROM r WHERE target LIKE 'Brand%'""")
+def lineage_reach(spark, d):
+    """From customers to brands, over orders and parts, some of which lead to other parts."""
+    o, li, p = t(spark, d, "orders"), t(spark, d, "lineitem"), t(spark, d, "part")
+    name = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    third = F.floor(F.col("p_partkey") / 3)
+    edge = lineage.edges(
+        o.select(name("c", "o_custkey").alias("source"), name("o", "o_orderkey").alias("target")),
+        li.select(name("o", "l_orderkey").alias("source"), name("p", "l_partkey").alias("target")),
+        p.select(name("p", "p_partkey").alias("source"), F.col("p_brand").alias("target")),
+        p.where((F.col("p_partkey") % 50 == 0) & (third > 0)).select(name("p", "p_partkey").alias("source"), F.concat(F.lit("p"), third.cast("string")).alias("target")),
+    )
+    return lineage.contracted(edge, F.substring("node", 1, 1).isin("o", "p")).where("source like 'c%'")
