@@ -1,59 +1,5 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables, as in the rest of the library."""
 
-from __future__ import annotations
+from packetlane.store import dropped, renamed, shared_folder, shuffles_freed, written
 
-import uuid
-import weakref
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Frees a job's shuffle files when the job ends: what it made is in a table by then.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only in local mode, where it may be unset, a folder below the warehouse."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not got and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return got or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/packetlane-checkpoints"
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession):
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """df, computed once, written as Parquet and read again: lineage ends there and no executor's loss undoes it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/packetlane-{uuid.uuid4().hex}"
-    w = df.write.partitionBy(partition_by) if partition_by else df.write
-    with shuffles_freed(spark):
-        w.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def renamed(table: DataFrame, view: DataFrame) -> DataFrame:
-    """view, for which `dropped` now deletes the written table that it reads."""
-    if table in _PATHS:
-        _PATHS[view] = _PATHS.pop(table)
-    return view
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that `written` made, once nothing that is still to run reads them."""
-    for t in tables:
-        path = _PATHS.pop(t, None)
-        if path is not None:
-            hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+__all__ = ["dropped", "renamed", "shared_folder", "shuffles_freed", "written"]
