@@ -9,7 +9,7 @@ from packetlane.functions import header as H
 from packetlane.functions import labels as L
 from packetlane.functions import meta as M
 from packetlane.functions import text as X
-from packetlane.operators import compare, lineage, normalize, readings, review, validation, workbook
+from packetlane.operators import compare, grid, lineage, normalize, readings, review, validation, workbook
 from packetlane.plans.catalog import query, t
 
 
@@ -400,3 +400,46 @@ def lineage_reach(spark, d):
         p.where((F.col("p_partkey") % 50 == 0) & (third > 0)).select(name("p", "p_partkey").alias("source"), F.concat(F.lit("p"), third.cast("string")).alias("target")),
     )
     return lineage.contracted(edge, F.substring("node", 1, 1).isin("o", "p")).where("source like 'c%'")
+
+
+_SHEET = """l AS (SELECT l_suppkey AS sheet, l_orderkey AS k, l_linenumber AS n, l_quantity::INTEGER AS q, l_returnflag AS f, l_linestatus || l_partkey AS m, l_partkey AS pk FROM lineitem),
+  c AS (SELECT sheet, (n - 1) % 4 + 1 AS row, q AS col, max(m) AS text FROM l GROUP BY ALL),
+  g AS (SELECT sheet, k * 1000000 + n * 100000 + pk % 100000 AS pos, 1 + k % 3 AS row1, q AS col1, 1 + k % 3 + n % 3 AS row2, q + (k % 5) * (n % 4) AS col2, k || ':' || n || ':' || pk AS range FROM l WHERE n IN (2, 3))"""
+
+
+def _sheet(spark, d):
+    li = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("n"), F.col("l_quantity").cast("int").alias("q"), F.col("l_returnflag").alias("f"), F.concat("l_linestatus", F.col("l_partkey").cast("string")).alias("m"), F.col("l_partkey").alias("pk"))
+    cells = li.groupBy("sheet", ((F.col("n") - 1) % 4 + 1).cast("int").alias("row"), F.col("q").alias("col")).agg(F.max("m").alias("text"))
+    k, n, q = F.col("k"), F.col("n"), F.col("q")
+    third = (1 + k % 3).cast("int")
+    merges = li.where(n.isin(2, 3)).select("sheet", (k * 1000000 + n * 100000 + F.col("pk") % 100000).alias("pos"), third.alias("row1"), q.alias("col1"), (third + n % 3).alias("row2"), (q + (k % 5) * (n % 4)).cast("int").alias("col2"), F.concat(k, F.lit(":"), n, F.lit(":"), "pk").alias("range"))
+    return li, cells, merges
+
+
+@query(f"WITH {_SHEET} SELECT c.sheet, c.row, c.col, pos, range FROM c JOIN g ON c.sheet = g.sheet AND c.row BETWEEN row1 AND row2 AND c.col BETWEEN col1 AND col2")
+def box_join(spark, d):
+    """Cells of each sheet and the ranges that hold them."""
+    _, cells, merges = _sheet(spark, d)
+    return grid.in_boxes(cells, merges, ["sheet"]).select("sheet", "row", "col", "pos", "range")
+
+
+@query(f"""WITH {_SHEET}, s AS (SELECT g.sheet, unnest(range(g.row1, g.row2 + 1)) AS row, g.row1, g.col1, g.col2, c.text FROM g LEFT JOIN c ON c.sheet = g.sheet AND c.row = g.row1 AND c.col = g.col1), u AS (SELECT sheet, row, unnest(range(col1, col2 + 1)) AS col, row1, col1, text FROM s),
+  v AS (SELECT sheet, row, col, arg_min(coalesce(text, '-'), (row1, col1)) AS text FROM u GROUP BY ALL), w AS (SELECT coalesce(c.sheet, v.sheet) AS sheet, coalesce(c.row, v.row) AS row, coalesce(c.col, v.col) AS col, CASE WHEN v.text IS NULL THEN c.text ELSE nullif(v.text, '-') END AS text FROM c FULL JOIN v ON c.sheet = v.sheet AND c.row = v.row AND c.col = v.col)
+  SELECT sheet, row::INTEGER AS row, col::INTEGER AS col, text FROM w WHERE text IS NOT NULL""")
+def merged_cover(spark, d):
+    """Texts spread over merged ranges."""
+    _, cells, merges = _sheet(spark, d)
+    return grid.merged_cover(cells, merges, ["sheet"])
+
+
+@query(f"""WITH {_SHEET}, p AS (SELECT DISTINCT sheet, col FROM c), m AS (SELECT DISTINCT sheet, q AS col FROM l WHERE k % 200 = 1 AND sheet % 4 <> 0), z AS (SELECT * FROM m UNION SELECT p.* FROM p JOIN m ON p.sheet = m.sheet AND abs(p.col - m.col) = 1 UNION SELECT * FROM p WHERE sheet NOT IN (SELECT sheet FROM m)),
+  b AS (SELECT g.sheet, pos, range, row1, least(row2, 2) AS row2, z.col, min(z.col) OVER w AS start, count(*) OVER w AS colspan FROM g JOIN z ON g.sheet = z.sheet AND z.col BETWEEN col1 AND col2 WHERE row1 IN (1, 2) WINDOW w AS (PARTITION BY g.sheet, pos)),
+  x AS (SELECT sheet, col, r AS row, pos, range, CASE WHEN col = start THEN colspan END AS colspan, CASE WHEN col = start THEN row2 - row1 + 1 END AS rowspan, col <> start AS hidden FROM b, (SELECT unnest([1, 2]) AS r) WHERE r BETWEEN row1 AND row2 AND (col <> start OR r = row1)),
+  i AS (SELECT sheet, col, row, max(pos) AS pos FROM x GROUP BY ALL)
+  SELECT z.sheet, z.col, r.row, coalesce(c.text, '') AS value, CASE r.row WHEN 4 THEN 'data' ELSE 'header' END AS kind, r.row = 4 AND m.col IS NOT NULL AS mapped, x.range, x.colspan, x.rowspan, coalesce(x.hidden, false) AS hidden
+  FROM z CROSS JOIN (SELECT unnest([1, 2, 4]) AS row) r LEFT JOIN c ON c.sheet = z.sheet AND c.col = z.col AND c.row = r.row LEFT JOIN m ON m.sheet = z.sheet AND m.col = z.col LEFT JOIN i ON i.sheet = z.sheet AND i.col = z.col AND i.row = r.row LEFT JOIN x ON x.sheet = i.sheet AND x.col = i.col AND x.row = i.row AND x.pos = i.pos""")
+def sheet_grid(spark, d):
+    """Visible columns of each sheet with headers, merged ranges and what a mapping fills."""
+    li, cells, merges = _sheet(spark, d)
+    mapped = li.where("k % 200 = 1 and sheet % 4 <> 0").select("sheet", F.col("q").alias("col")).distinct()
+    return grid.sheet_grid(cells.select("sheet", "col").distinct(), mapped, cells, merges, ["sheet"])

@@ -46,19 +46,26 @@ def _text(v) -> str:
     return escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(v)))
 
 
-def _zipped(sheets) -> bytes:
-    """A file of (name, rows) sheets; rows: (number, [(letters, value)]) in order."""
+def _zipped(sheets, structures: dict | None = None) -> bytes:
+    """A file of (name, rows) sheets; rows: (number, [(letters, value)]) in order. structures: by sheet, columns as (first, last, width, hidden) by number and merged ranges like A1:B2."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         names = []
         for k, (name, rows) in enumerate(sheets, 1):
             names.append(escape(name[:31], {'"': "&quot;"}))
             with z.open(f"xl/worksheets/sheet{k}.xml", "w") as f:
-                f.write(b'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+                columns, merged = (structures or {}).get(name, ((), ()))
+                f.write(b'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">')
+                if columns:
+                    f.write(("<cols>" + "".join(f'<col min="{a}" max="{b}"' + ("" if w is None else f' width="{w}" customWidth="1"') + (' hidden="1"' if h else "") + "/>" for a, b, w, h in columns) + "</cols>").encode())
+                f.write(b"<sheetData>")
                 for r, row in rows:
                     cells = "".join(f'<c r="{c}{r}" t="inlineStr"><is><t xml:space="preserve">{_text(v)}</t></is></c>' for c, v in row if v is not None)
                     f.write(f'<row r="{r}">{cells}</row>'.encode())
-                f.write(b"</sheetData></worksheet>")
+                f.write(b"</sheetData>")
+                if merged:
+                    f.write((f'<mergeCells count="{len(merged)}">' + "".join(f'<mergeCell ref="{m}"/>' for m in merged) + "</mergeCells>").encode())
+                f.write(b"</worksheet>")
         part = '<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
         z.writestr("[Content_Types].xml", _TYPES.format(sheets="".join(part.format(k=k) for k in range(1, len(names) + 1))))
         z.writestr("_rels/.rels", _RELS.format(links=_LINK.format(k=1, kind="officeDocument", target="xl/workbook.xml")))
@@ -73,7 +80,7 @@ def workbook(header: list[str], rows, sheet: str = "Sheet1") -> bytes:
     return _zipped([(sheet, ((r, lettered(row)) for r, row in enumerate(_chain(header, rows), 1)))])
 
 
-def book(sheets: list[tuple[str, list[tuple[int, str, str]]]]) -> bytes:
+def book(sheets: list[tuple[str, list[tuple[int, str, str]]]], structures: dict | None = None) -> bytes:
     """A file of several sheets, each a list of (row, letters, value) in any order."""
 
     def rows(cells):
@@ -83,7 +90,7 @@ def book(sheets: list[tuple[str, list[tuple[int, str, str]]]]) -> bytes:
         for r in sorted(by_row):
             yield r, [(c, v) for _, c, v in sorted(by_row[r], key=lambda x: x[0])]
 
-    return _zipped([(name, rows(cells)) for name, cells in sheets])
+    return _zipped([(name, rows(cells)) for name, cells in sheets], structures)
 
 
 def _chain(header, rows):
@@ -130,6 +137,67 @@ def cells(path, sheet: str | None = None):
                 row.clear()
 
 
+STRUCTURE = "file string, sheet string, sheet_position int, kind string, row1 int, col1 int, row2 int, col2 int, text string, width double, hidden boolean"
+
+
+def structure(path):
+    """All sheets' columns, cells and merged ranges, in the order of the file: (sheet, its place, kind, row1, col1, row2, col2, text, width, hidden).
+
+    Rows are read one after the other; a sheet's cells are never held together.
+    """
+    with zipfile.ZipFile(path) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            for _, si in ElementTree.iterparse(z.open("xl/sharedStrings.xml")):
+                if si.tag == NS + "si":
+                    shared.append("".join(t.text or "" for t in si.iter(NS + "t")))
+                    si.clear()
+        for place, (name, part) in enumerate(sheet_parts(z).items(), 1):
+            for _, e in ElementTree.iterparse(z.open(part)):
+                if e.tag == NS + "col":
+                    width = e.get("width")
+                    yield name, place, "column", None, int(e.get("min")), None, int(e.get("max")), None, None if width is None else float(width), e.get("hidden") in ("1", "true") or width is not None and float(width) == 0
+                elif e.tag == NS + "mergeCell":
+                    first, _, last = e.get("ref").partition(":")
+                    (c1, r1), (c2, r2) = ((number(x), int(re.search(r"[0-9]+", x)[0])) for x in (first, last or first))
+                    yield name, place, "merge", r1, c1, r2, c2, e.get("ref"), None, None
+                elif e.tag == NS + "row":
+                    r = int(e.get("r"))
+                    for k, c in enumerate(e, 1):
+                        v, kind = c.find(NS + "v"), c.get("t")
+                        text = "".join(t.text or "" for t in c.iter(NS + "t")) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text
+                        if text is not None:
+                            col = number(c.get("r", letters(k)))
+                            yield name, place, "cell", r, col, r, col, text, None, None
+                    e.clear()
+
+
+class XlsxStructure(DataSource):
+    """Format "xlsx_structure": what `structure` gives of each file, one task a file."""
+
+    @classmethod
+    def name(cls):
+        return "xlsx_structure"
+
+    def schema(self):
+        return STRUCTURE
+
+    def reader(self, schema: StructType):
+        return StructureReader(XlsxSource(self.options).files())
+
+
+class StructureReader(DataSourceReader):
+    def __init__(self, files):
+        self.paths = files
+
+    def partitions(self):
+        return [InputPartition(p) for p in self.paths]
+
+    def read(self, partition):
+        for row in structure(partition.value):
+            yield (os.path.basename(partition.value), *row)
+
+
 class XlsxSource(DataSource):
     @classmethod
     def name(cls):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlane.functions import meta as M
-from packetlane.operators import normalize, pages, regions, validation, workbook
+from packetlane.operators import grid, normalize, pages, regions, validation, workbook
 from packetlane.sources import xlsx
 
 
@@ -60,6 +60,27 @@ def test_workbook_plan(spark, data):
     assert plan.count("customer.parquet") <= 2 * 2
 
 
+def test_structure_of_files(spark, tmp_path):
+    sheets = [("One", [(1, "A", "top"), (2, "A", "left"), (2, "B", "right"), (4, "A", "<5>"), (4, "C", "z")]), ("Two", [(1, "B", "x")])]
+    (tmp_path / "b.xlsx").write_bytes(xlsx.book(sheets, {"One": ([(1, 2, 12.5, False), (3, 4, None, True)], ["A1:B1", "C1:D3"])}))
+    spark.dataSource.register(xlsx.XlsxStructure)
+    got = spark.read.format("xlsx_structure").load(str(tmp_path))
+    assert {(r.sheet, r.row1, r.col1, r.text) for r in got.where("kind = 'cell'").collect()} == {(s, r, xlsx.number(c), v) for s, cells in sheets for r, c, v in cells}
+    assert sorted(tuple(r) for r in got.where("kind = 'merge'").select("sheet", "row1", "col1", "row2", "col2", "text").collect()) == [("One", 1, 1, 1, 2, "A1:B1"), ("One", 1, 3, 3, 4, "C1:D3")]
+    assert sorted((r.col1, r.col2, r.width, r.hidden) for r in got.where("kind = 'column'").collect()) == [(1, 2, 12.5, False), (3, 4, None, True)]
+    part = lambda kind, *c: got.where(f"kind = '{kind}'").select("sheet", *c)
+    cells = part("cell", F.col("row1").alias("row"), F.col("col1").alias("col"), "text")
+    columns = grid.sheet_columns(cells, part("merge", "row1", "col1", "row2", "col2"), part("column", "col1", "col2", "width", "hidden"), ["sheet"]).where("sheet = 'One'")
+    assert [tuple(r)[2:] for r in columns.orderBy("col").collect()] == [("A", ["top", "left"], "<5>", 12.5, False), ("B", ["top", "right"], None, 12.5, False), ("C", [], "z", None, True), ("D", [], None, None, True)]
+    shared = tmp_path / "s.xlsx"
+    with zipfile.ZipFile(tmp_path / "b.xlsx") as a, zipfile.ZipFile(shared, "w") as z:
+        for n in a.namelist():
+            body = a.read(n)
+            z.writestr(n, body.replace(b'<c r="A1" t="inlineStr"><is><t xml:space="preserve">top</t></is></c>', b'<c r="A1" t="s"><v>1</v></c>'))
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>no</t></si><si><r><t>to</t></r><r><t>p!</t></r></si></sst>')
+    assert next(x for x in xlsx.structure(shared) if x[2] == "cell")[7] == "top!"
+
+
 def test_hidden_columns_and_bounds(spark):
     cells = spark.createDataFrame([("S", 1, "A", "x"), ("S", 9, "AB", " "), ("S", 5, "AB", "y"), ("S", 2, "B", "1234567A")], "sheet string, row int, column string, value string")
     hidden = spark.createDataFrame([("S", "AA", "AC"), ("S", "A", None), ("T", "B", "B")], "sheet string, first string, last string")
