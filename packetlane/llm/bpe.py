@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from packetlane.llm.batches import encoded
 
-#: Pieces and pairs kept in memory by a worker; beyond that the memo starts anew.
-MEMO = 400_000
+#: Pieces and pairs kept in memory by a task; beyond that the memo starts anew. Longer pieces are not kept.
+MEMO, PIECE_BYTES = 400_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,7 +40,7 @@ class Codec:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[str, int, bytes]] = {}
+        self.pieces: dict[str, tuple[str, int, bytes]] = {}  # ids as text, their number, the bytes that they decode to
         self.automaton = ahocorasick.Automaton()
         self.prefixes: dict[int, int | None] = {}
         for token, rank in self.ranks.items():
@@ -111,17 +111,24 @@ class Codec:
                 return chain
             at, token = end, longest[end]
 
-    def piece(self, s: str) -> tuple[str, int, list[int]]:
+    def piece(self, s: str) -> tuple[str, int, bytes]:
         got = self.pieces.get(s)
         if got is None:
-            if len(self.pieces) >= MEMO:
-                self.pieces.clear()
-            ids = self.encode_piece(encoded(s))
-            got = self.pieces[s] = (",".join(map(str, ids)), len(ids), ids)
+            raw = encoded(s)
+            ids = self.encode_piece(raw)
+            got = (",".join(map(str, ids)), len(ids), self.decode(ids))
+            if len(raw) <= PIECE_BYTES:
+                if len(self.pieces) >= MEMO:
+                    self.pieces.clear()
+                self.pieces[s] = got
         return got
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.pairs.clear()
+
     def encode(self, text: str | None) -> list[int]:
-        return [i for s in self.find(text or "") for i in self.piece(s)[2]]
+        return [int(i) for s in self.find(text or "") for i in self.piece(s)[0].split(",")]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -151,13 +158,14 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, *, text: str = "text
             counts, hashes, decoded, lists = [], [], [], []
             for t in b.column(rest.index(text)).to_pylist():
                 parts = [known.get(s) or piece(s) for s in find(t or "")]
-                all_ids = [i for p in parts for i in p[2]]
-                counts.append(len(all_ids))
-                hashes.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(c.decode(all_ids)).hexdigest())
+                all_ids = ",".join([p[0] for p in parts])
+                counts.append(sum([p[1] for p in parts]))
+                hashes.append(hashlib.sha256(all_ids.encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
                 if ids:
-                    lists.append(all_ids)
+                    lists.append([int(i) for i in all_ids.split(",") if i])
             out = [pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())] + [pa.array(lists, pa.list_(pa.int32()))] * ids
             yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*rest, *new])
+        c.forget()  # the worker goes on to other tasks
 
     return source.mapInArrow(run, schema)

@@ -57,6 +57,19 @@ def test_bpe_odd_rows(spark):
     assert bpe.encode_decode(empty(spark), *tokenizer()).count() == 0
 
 
+def test_bpe_long_pieces_and_memo(spark, monkeypatch):
+    import tiktoken
+
+    c = bpe.codec(*tokenizer())
+    plain = tiktoken.Encoding("own", pat_str=tokenizer()[1], mergeable_ranks=c.ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "MEMO", 3)
+    texts = ["ab" * 20_000, "один" * 3000, "a b c d e f a b c", "=" * 5000 + "x"]
+    assert [c.encode(t) for t in texts] == [plain.encode_ordinary(t) for t in texts]
+    assert all(len(s.encode()) <= bpe.PIECE_BYTES for s in c.pieces) and len(c.pieces) <= 3
+    got = bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *tokenizer(), ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {k: plain.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
 def test_ogg_checksum():
     def slow(data):
         c = 0
