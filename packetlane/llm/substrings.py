@@ -45,7 +45,7 @@ HOT = 2000
 #: Groups that the strings of hot anchors are dealt to before equal ones meet.
 SALTS = 16
 #: Bytes of text for one part; its anchors and shared pieces fit in a task's memory several times over.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Bytes of text whose anchors are computed at once.
 CHUNK = 1 << 20
 #: Distinct pieces of this many bytes are transformed at once.
