@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,33 +94,3 @@ def objects_in(text: str) -> list[tuple[int, int]]:
 def json_blocks(s: pd.Series) -> pd.Series:
     """All complete objects of a text."""
     return s.map(lambda t: None if t is None else [t[a:b] for a, b in objects_in(t)])
-
-
-def stop_of(text: str, least: int = 3) -> tuple[str, int] | None:
-    """(mode, end) if a growing text may stop: a complete object, the same object again, or a repeated tail."""
-    spans = objects_in(text)
-
-    def canonical(a, b):
-        try:
-            return json.dumps(json.loads(text[a:b]), sort_keys=True)
-        except ValueError:
-            return text[a:b]
-
-    if len(spans) > 1 and len({canonical(*s) for s in spans}) == 1:
-        return "repeated_identical_json", spans[0][1]
-    if spans:
-        return "complete_json", spans[0][1]
-    for size in range(4, len(text) // least + 1):
-        unit = text[-size:]
-        k = 1
-        while text.endswith(unit * (k + 1)):
-            k += 1
-        if k >= least and re.search(r"\w", unit):
-            return "repeated_tail", len(text) - size * (k - 1)
-    return None
-
-
-@F.pandas_udf(T.StructType([T.StructField("mode", T.StringType()), T.StructField("kept", T.StringType())]))
-def stream_stop(s: pd.Series) -> pd.DataFrame:
-    got = [stop_of(t) if t else None for t in s]
-    return pd.DataFrame({"mode": [g and g[0] for g in got], "kept": [t[: g[1]] if g else t for g, t in zip(got, s, strict=True)]})

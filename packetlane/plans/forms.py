@@ -8,9 +8,11 @@ from packetlane.functions import comments as C
 from packetlane.functions import header as H
 from packetlane.functions import labels as L
 from packetlane.functions import meta as M
+from packetlane.functions import scanner
 from packetlane.functions import text as X
 from packetlane.operators import compare, grid, lineage, normalize, readings, review, validation, workbook
 from packetlane.plans.catalog import query, t
+from packetlane.streaming import packets
 
 
 def case(k, values, otherwise=None):
@@ -443,3 +445,24 @@ def sheet_grid(spark, d):
     li, cells, merges = _sheet(spark, d)
     mapped = li.where("k % 200 = 1 and sheet % 4 <> 0").select("sheet", F.col("q").alias("col")).distinct()
     return grid.sheet_grid(cells.select("sheet", "col").distinct(), mapped, cells, merges, ["sheet"])
+
+
+@query("""WITH e AS (SELECT user_id, arg_min(props, (ts, event_id)) AS first, arg_min(event_id, (ts, event_id)) AS id FROM events GROUP BY 1)
+  SELECT user_id::VARCHAR AS request, CASE user_id % 3 WHEN 2 THEN 'malformed_json_object' ELSE 'json_object' END AS mode, CASE user_id % 3 WHEN 0 THEN first WHEN 1 THEN 'note { ' || first ELSE '{"id" "' || id || '"}' END AS kept, CASE user_id % 3 WHEN 1 THEN 3 WHEN 0 THEN 2 ELSE 1 END AS chunks FROM e""")
+def stopped_answers(spark, d):
+    """Each user's events as an answer in pieces, cut where its first object is complete, or broken beyond repair by more text."""
+    e = t(spark, d, "events").groupBy("user_id").agg(F.min(F.struct("ts", "event_id", "props")).alias("e")).select("user_id", "e.*")
+    piece = lambda n, text: F.struct(F.lit(n).alias("seq"), text.alias("text"))
+    k, p = F.col("user_id") % 3, F.col("props")
+    halves = [F.substring(p, 1, 4), F.concat(F.expr("substring(props, 5)"), F.lit(' and {"k": "more"}'))]
+    parts = F.when(k == 0, F.array(*map(piece, (0, 1), halves))).when(k == 1, F.array(piece(2, halves[1]), piece(0, F.lit("note { ")), piece(1, halves[0]))).otherwise(F.array(piece(1, F.lit("} late")), piece(0, F.concat(F.lit('{"id" "'), F.col("event_id"), F.lit('"} {')))))
+    return packets.stopped(e.select(F.col("user_id").alias("request"), F.inline(parts))).select("request", "mode", "kept", "chunks")
+
+
+@query("""SELECT o_orderkey, pos, value FROM (SELECT o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN [(0, o_custkey::VARCHAR), (1, 'b')] WHEN 1 THEN [(0, o_orderstatus)] WHEN 2 THEN [(0, 'True')] ELSE [] END) AS b, b[1]::INTEGER AS pos, b[2] AS value FROM orders)""")
+def json_blocks(spark, d):
+    """Objects with any text in orders' notes, as a lateral table function."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    note = case(k, [F.concat(F.lit('a {"n": '), c, F.lit('} }{ {"confidence": 1, "z": "b"} {')), F.concat(F.lit('{"x": {"y": "'), "o_orderstatus", F.lit('"}, "e": " ", "l": [{}]}')), F.lit('{"q": "}{", "text": true} {"never')], F.lit("{ no } {1}"))
+    rows = t(spark, d, "orders").select("o_orderkey", note.alias("note"))
+    return rows.lateralJoin(scanner.JsonBlocks(F.col("note").outer())).select("o_orderkey", "pos", "value")

@@ -3,7 +3,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from packetlane.functions import fuzzy, jsonfix
+from packetlane.functions import fuzzy, jsonfix, scanner
 from packetlane.functions import header as H
 from packetlane.functions import labels as L
 from packetlane.functions import text as X
@@ -188,8 +188,9 @@ def test_preserves_source(spark):
 
 
 def test_stream_stop():
-    assert jsonfix.stop_of('```json\n{"a": 1}')[0] == "complete_json"
-    assert jsonfix.stop_of('{"a": 1}{"a":1}{"a": 1}') == ("repeated_identical_json", 8)
-    mode, end = jsonfix.stop_of("start " + "again " * 3)
-    assert (mode, ("start " + "again " * 3)[:end]) == ("repeated_tail", "start again ")
-    assert jsonfix.stop_of("nothing yet") is None
+    stop = lambda t: scanner.StreamScanner().feed(t)
+    assert stop('```json\n{"a": 1}')["mode"] == "json_object"
+    assert stop('{"a": 1}{"a":1}{"a": 1}')["end"] == 8
+    text = "start " + "and once again the same words " * 3
+    assert (stop(text)["mode"], text[: stop(text)["end"]]) == ("repeated_tail", "start and once again the same words")
+    assert stop("nothing yet") is stop("short " * 9) is None

@@ -1,11 +1,14 @@
 import json
+import random
+import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packetlane.functions import marks
-from packetlane.sources import json_sources, xlsx
+from packetlane.functions import marks, scanner
+from packetlane.sources import json_sources, ndjson, xlsx
 from packetlane.streaming import packets
 
 
@@ -61,6 +64,18 @@ def run(spark, tmp_path, out, mode, name):
     return sorted(map(str, spark.table(name).collect()))
 
 
+def until(spark, name, n, most=60):
+    """Rows of a memory sink once there are n: queries with timers run empty batches for ever, so there is no end to wait for."""
+    began = time.time()
+    while spark.table(name).count() < n and time.time() - began < most:
+        time.sleep(0.3)
+    return spark.table(name).collect()
+
+
+def started(out, tmp_path, name):
+    return out.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+
+
 def test_windows_batch_equals_stream(spark, tmp_path, data):
     e = spark.read.parquet(f"{data}/events.parquet").select("ts", "event_type", "value")
     plan = lambda df: packets.windowed(df, "ts", ["event_type"], "1 day", n=F.count(F.lit(1)), total=F.round(F.sum("value"), 6))
@@ -68,10 +83,79 @@ def test_windows_batch_equals_stream(spark, tmp_path, data):
     assert packets.sessions(e, "ts", ["event_type"], "1 hour").agg(F.sum("n")).first()[0] == e.count()
 
 
-def test_early_stop_state(spark, tmp_path):
-    rows = [("a", 0, '{"x"'), ("a", 1, ": 1} tail"), ("b", 0, "not yet"), ("a", 2, "{}")]
-    df = spark.createDataFrame(rows, "request string, seq int, text string")
-    assert run(spark, tmp_path, packets.early_stop(stream(spark, tmp_path, df)), "append", "s") == ["Row(request='a', mode='complete_json', kept='{\"x\": 1}')"]
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set(packets.STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.unset(packets.STORE)
+
+
+def test_early_stop_state(rocks, tmp_path):
+    """Every cut into chunks, in any order over batches, gives what one pass over the whole text gives."""
+    r = random.Random(6)
+    texts = {"a": 'x {"k": "v"} tail {"k": "w"}', "b": "not yet", "c": '{"Record ID: "8011576A"} more', "d": "one and the same words again " * 4, "e": '{"o": {"n": [1, "}"]}} {"t": "é"}!'}
+    rows = []
+    for k, t in texts.items():
+        cuts = sorted({0, len(t), *(r.randrange(len(t)) for _ in range(5))})
+        rows += [(k, n, t[x:y], n == len(cuts) - 2 and k == "b") for n, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    r.shuffle(rows)
+    schema = "request string, seq int, text string, last boolean"
+    for n in range(3):
+        rocks.createDataFrame([*rows[n::3], rows[0]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    chunks = rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = started(packets.early_stop(chunks).drop("chunks"), tmp_path, "s")
+    got = sorted(map(str, until(rocks, "s", 5)))
+    q.stop()
+    whole = rocks.createDataFrame([(k, 0, t, k == "b") for k, t in texts.items()], schema)
+    assert got == sorted(map(str, packets.stopped(whole).drop("chunks").collect()))
+    assert [x.split("'")[3] for x in got] == ["json_object", "end", "malformed_json_object", "repeated_tail", "malformed_json_object"]
+
+
+def test_chunks_of_growing_files(rocks, tmp_path):
+    rocks.dataSource.register(ndjson.NdjsonChunks)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    line = lambda **x: json.dumps(x) + "\n"
+    (folder / "a.ndjson").write_text(line(request="r", response='{"k": ') + "no json\n[1]\n" + line(request="s", response="open") + '{"request": "r", "resp')
+    chunks = rocks.readStream.format("ndjson_chunks").load(str(folder))
+    q = started(packets.early_stop(chunks, idle_ms=6000), tmp_path, "n")
+    with (folder / "a.ndjson").open("a") as f:
+        f.write('onse": "\\"v\\"}"}\n')
+    assert [tuple(x) for x in until(rocks, "n", 1)] == [("r", "json_object", "json_completion", '{"k": "v"}', 2)]
+    (folder / "b.ndjson").write_text(line(request="t", response="x", done=True))
+    got = until(rocks, "n", 3)
+    q.stop()
+    assert sorted(tuple(x)[:4] for x in got)[1:] == [("s", "idle", None, "open"), ("t", "end", None, "x")]
+
+
+def test_scanner_against_plain_decoding():
+    bits = ["{", "}", "[", "]", '"a"', '"b{"', '"\\""', '"\\u00e9"', '"\\x"', ":", ",", "1", "-0.5e3", "01", "true", "nul", "NaN", " ", "\n", "text", '"x', '{"a": 1}', '{"a":{"b":"c"}}', '{"e": ""}', "\\", "-"]
+    r, decoder = random.Random(1), json.JSONDecoder()
+    for _ in range(3000):
+        s, want = "".join(r.choices(bits, k=r.randrange(1, 14))), []
+        for start in (m.start() for m in re.finditer(r"\{", s)):
+            try:
+                obj, end = decoder.raw_decode(s[start:])
+            except ValueError:
+                continue
+            if scanner.first_value(obj) is not None:
+                want.append((start, start + end, obj))
+        assert repr(scanner.text_blocks(s)) == repr(want)
+        cut, scan, got = 0, scanner.StreamScanner(), None
+        while cut < len(s) and not got:
+            n = r.randrange(1, 6)
+            got = scan.feed(s[cut : cut + n])
+            cut, scan = cut + n, scanner.StreamScanner(json.loads(json.dumps(scan.dump())))
+        assert got == scanner.StreamScanner().feed(s)
+
+
+def test_blocks_as_a_table(spark):
+    spark.udtf.register("json_blocks", scanner.JsonBlocks)
+    df = spark.createDataFrame([(1, 'a {"x": {"y": "v"}} {"t": 5, "s": ""}'), (2, None), (3, "{")], "id int, text string")
+    got = df.lateralJoin(scanner.JsonBlocks(F.col("text").outer())).select("id", "pos", "start", "end", "value", "canonical").collect()
+    assert [tuple(x) for x in got] == [(1, 0, 8, 18, "v", '{"y":"v"}'), (1, 1, 20, 37, "5", '{"s":"","t":5}')]
+    row = spark.createDataFrame([("x",)], "a string").select(scanner.json_from_text(F.lit('{"Record ID" "80A"}')).alias("r"), scanner.json_from_text(F.lit('{"b": 2}')).alias("o")).first()
+    assert (json.loads(row.r), json.loads(row.o)) == ({"detected_text": "80A"}, {"b": 2, "detected_text": 2})
 
 
 def test_marks(spark):
