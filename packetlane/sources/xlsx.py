@@ -1,6 +1,7 @@
 """Spreadsheets as a Spark data source (format "xlsx"): inline strings, text cells.
 
-Writing: each task writes one part file of a folder; rows keep their order within the task. Reading: files are
+Writing: each task writes one part file of a folder; rows keep their order within the task. A manifest, put in its place as a whole, names the files that
+count: until then readers see the old ones, from then on the new ones, whenever a driver or task is lost; old files go last. Reading: files are
 dealt to tasks, each streams one sheet (option `sheet`, else the first). A path is a file, a folder or a glob below a
 folder that the driver and all tasks have mounted; books of several sheets are made as bytes by operators.workbook.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import glob
 import io
+import json
 import os
 import re
 import uuid
@@ -198,6 +200,25 @@ class StructureReader(DataSourceReader):
             yield (os.path.basename(partition.value), *row)
 
 
+MANIFEST = "_committed.json"
+
+
+def committed(folder: str) -> list[str]:
+    """Names of the files of a folder that count: those of its manifest, or all if it has none."""
+    path = os.path.join(folder, MANIFEST)
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            return sorted(json.load(f))
+    return sorted(map(os.path.basename, glob.glob(os.path.join(folder, "*.xlsx"))))
+
+
+def commit_files(folder: str, names: list[str]) -> None:
+    draft = os.path.join(folder, f"{MANIFEST}.{uuid.uuid4().hex}")
+    with open(draft, "w", encoding="utf-8") as f:
+        json.dump(sorted(names), f)
+    os.replace(draft, os.path.join(folder, MANIFEST))
+
+
 class XlsxSource(DataSource):
     @classmethod
     def name(cls):
@@ -205,7 +226,7 @@ class XlsxSource(DataSource):
 
     def files(self):
         p = self.options["path"].removeprefix("file:")
-        return sorted(glob.glob(os.path.join(p, "*.xlsx")) if os.path.isdir(p) else glob.glob(p))
+        return [os.path.join(p, n) for n in committed(p)] if os.path.isdir(p) else sorted(glob.glob(p))
 
     def schema(self):
         files = self.files()
@@ -249,12 +270,17 @@ class XlsxWriter(DataSourceWriter):
         return message
 
     def commit(self, messages):
-        if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "*.xlsx")):
-                os.remove(old)
-        for m in messages:
-            if m is not None:
-                os.replace(m.path + ".tmp", m.path)
+        os.makedirs(self.path, exist_ok=True)
+        old = committed(self.path)
+        commit_files(self.path, old)  # a folder without a manifest keeps what it has while new files take their names
+        new = [m.path for m in messages if m is not None]
+        for path in new:
+            os.replace(path + ".tmp", path)
+        names = [os.path.basename(p) for p in new]
+        commit_files(self.path, names if self.overwrite else [*old, *names])
+        for name in old if self.overwrite else []:
+            if os.path.exists(os.path.join(self.path, name)):
+                os.remove(os.path.join(self.path, name))
 
     def abort(self, messages):
         for m in messages:

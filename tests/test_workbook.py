@@ -1,4 +1,5 @@
 import io
+import os
 import zipfile
 
 import pytest
@@ -60,6 +61,29 @@ def test_workbook_plan(spark, data):
     assert plan.count("customer.parquet") <= 2 * 2
 
 
+def test_commit_leaves_the_old_or_the_new(tmp_path, monkeypatch):
+    folder = str(tmp_path / "out")
+    seen = lambda: sorted(r[0] for f in xlsx.XlsxSource({"path": folder}).files() for r in list(xlsx.cells(f))[1:])
+    writer = lambda overwrite: xlsx.XlsxWriter({"path": folder}, ["k"], overwrite)
+    writer(False).commit([writer(False).write([("old",)])])
+    lost = writer(True).write([("lost",)])  # an attempt that never commits
+    assert seen() == ["old"]
+    new = [writer(True).write([(v,)]) for v in ("new", "newer")]
+    for broken in ("replace", "remove"):
+
+        def stop(*a, real=getattr(os, broken)):
+            if "part-" in str(a[-1]):
+                raise KeyboardInterrupt
+            return real(*a)
+
+        with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+            m.setattr(xlsx.os, broken, stop)
+            writer(True).commit(new)
+        assert seen() == (["old"] if broken == "replace" else ["new", "newer"])
+    writer(False).abort([lost])
+    assert not [n for n in os.listdir(folder) if n.endswith(".tmp")]
+
+
 def test_structure_of_files(spark, tmp_path):
     sheets = [("One", [(1, "A", "top"), (2, "A", "left"), (2, "B", "right"), (4, "A", "<5>"), (4, "C", "z")]), ("Two", [(1, "B", "x")])]
     (tmp_path / "b.xlsx").write_bytes(xlsx.book(sheets, {"One": ([(1, 2, 12.5, False), (3, 4, None, True)], ["A1:B1", "C1:D3"])}))
