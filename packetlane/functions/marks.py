@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from pyspark.sql import types as T
 #: A pixel counts by its darkness beyond the printed template to this power.
 POWER = 3.0
 FILLED = 0.15
+# Labels of choices, and how the weight of a pixel grows from the middle of a region to its edge.
+LABELS = "abcdefgh"
+MIDDLE, EDGE, REACH, FALLOFF = 0.0, 1.0, 0.3, 2.0
 
 
 def image(data: bytes, width: int, height: int) -> np.ndarray:
@@ -58,3 +63,84 @@ def adaptive_threshold(crop: np.ndarray, radius: int = 7, offset: float = 10.0)
     k = 2 * radius + 1
     mean = (s[k:, k:] - s[:-k, k:] - s[k:, :-k] + s[:-k, :-k]) / k**2
     return np.where(crop > mean - offset, 255, 0).astype(np.uint8)
+
+
+def darkness(crop: np.ndarray) -> np.ndarray:
+    """0 for white to 1 for black."""
+    return 1.0 - crop.astype(np.float64) / 255.0
+
+
+def blurred(field: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur, six sigmas wide, with the field mirrored at its borders (which are not repeated)."""
+    if sigma <= 0 or not field.size:
+        return field
+    r = (round(sigma * 6) | 1) // 2
+    kernel = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
+    kernel /= kernel.sum()
+    for axis in (0, 1):
+        n = field.shape[axis]
+        p = np.pad(field, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="reflect" if n > 1 else "edge")
+        cut = [slice(None), slice(None)]
+        out = np.zeros_like(field)
+        for k, weight in enumerate(kernel):
+            cut[axis] = slice(k, k + n)
+            out += weight * p[tuple(cut)]
+        field = out
+    return field
+
+
+def resized(crop: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear, with the middles of pixels as places and whole levels as values."""
+    h, w = crop.shape
+    if (h, w) == (height, width):
+        return crop
+    y, x = (np.clip((np.arange(n) + 0.5) * m / n - 0.5, 0, m - 1) for n, m in ((height, h), (width, w)))
+    y0, x0 = np.minimum(y.astype(int), max(h - 2, 0)), np.minimum(x.astype(int), max(w - 2, 0))
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = (y - y0)[:, None], (x - x0)[None]
+    c = crop.astype(np.float64)
+    top, low = (c[r][:, x0] * (1 - fx) + c[r][:, x1] * fx for r in (y0, y1))
+    return np.clip(np.rint(top * (1 - fy) + low * fy), 0, 255).astype(np.uint8)
+
+
+def edge_weights(height: int, width: int) -> np.ndarray:
+    """0 in the middle of a region, 1 from REACH of the way to its corners on."""
+    y, x = (np.arange(n) - (n - 1) / 2 for n in (height, width))
+    far = np.hypot(*((n - 1) / 2 for n in (height, width))) or 1.0
+    near = np.clip(np.hypot(y[:, None], x[None]) / far / REACH, 0, 1)
+    return MIDDLE + (EDGE - MIDDLE) * near**FALLOFF
+
+
+@lru_cache(maxsize=8)
+def _printed(pixels: bytes, width: int, height: int, to_width: int, to_height: int, sigma: float, suppress: float) -> tuple[np.ndarray, np.ndarray]:
+    """Darkness of a template at a page's size, and the weight that printed pixels leave to what is drawn on them."""
+    dark = blurred(darkness(resized(image(pixels, width, height), to_height, to_width)), sigma)
+    return dark, np.exp(-suppress * dark)
+
+
+def whole(data: bytes | None, width, height) -> bool:
+    """Whether the bytes hold an image of this size."""
+    return data is not None and not pd.isna(width) and not pd.isna(height) and min(width, height) > 0 and len(data) >= int(width) * int(height)
+
+
+def added_marks(page: np.ndarray, template: tuple[bytes, int, int], boxes: list, eps: float, suppress: float, power: float, sigma: float) -> list[float]:
+    """For each box (x1, y1, x2, y2) the darkness that was added to the printed template, summed over its pixels; 0 for an empty box.
+
+    Sums are taken over the pixels themselves: differences of running sums would turn exact zeros into tiny scores.
+    """
+    h, w = page.shape
+    printed, weight = _printed(*template, w, h, sigma, suppress)
+    added = weight * np.clip(blurred(darkness(page), sigma) - printed - eps, 0, 1) ** power
+    return [float(added[y1:y2, x1:x2].sum()) if x2 > x1 and y2 > y1 else 0.0 for x1, y1, x2, y2 in boxes]
+
+
+def flat_and_graduated(page: np.ndarray, boxes: list) -> list[tuple[float, float]]:
+    """For each box (x, y, w, h) inside the page its mean darkness, by a table of running sums, and the mean weighed towards its edge."""
+    sums = np.zeros((page.shape[0] + 1, page.shape[1] + 1), dtype=np.int64)
+    np.cumsum(np.cumsum(255 - page.astype(np.int64), axis=0), axis=1, out=sums[1:, 1:])
+    out = []
+    for x, y, w, h in boxes:
+        total = sums[y + h, x + w] - sums[y, x + w] - sums[y + h, x] + sums[y, x]
+        graded = (edge_weights(h, w) * darkness(page[y : y + h, x : x + w])).mean()
+        out.append((int(total) / (255 * w * h), float(graded)))
+    return out

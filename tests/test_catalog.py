@@ -1,7 +1,7 @@
 import pytest
 from oracle import same_rows
 
-from packetlane.plans import catalog, forms  # noqa: F401 - forms adds its queries to the catalogue
+from packetlane.plans import catalog, forms, scans  # noqa: F401 - forms and scans add their queries to the catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
