@@ -1,7 +1,7 @@
 """Page headers: form type and record id from noisy text, and the shapes in which answers about headers come.
 
-Column functions that stay in the JVM. Null in, null out. Full-width forms of ASCII count as ASCII; other
-compatibility forms of Unicode count as noise.
+Column functions that stay in the JVM. Null in, null out. Compatibility forms of Unicode (full-width, raised, circled,
+ligatures) count as what they stand for.
 """
 
 from __future__ import annotations
@@ -16,14 +16,17 @@ CONFUSED, MEANT = "OQDILSBG", "00011586"
 CONFUSED_OUTSIDE, MEANT_OUTSIDE = "OQDILSG", "0001156"
 #: How far from the start a bare PRE or POST counts, and how far GRADE may stand from the grade in run-together text.
 HEAD, NEAR = 350, 18
-_WIDE = "".join(chr(0xFEE0 + k) for k in range(0x21, 0x7F))
-_ASCII = "".join(map(chr, range(0x21, 0x7F)))
+
+
+def nfkc(c: Column) -> Column:
+    """Unicode normalisation form KC, by the Unicode library that Spark itself ships; plain ASCII is left alone."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
 
 
 def normalize_header(c: Column) -> Column:
-    """Upper case, with everything but letters, digits and hyphens as single spaces."""
-    plain = F.upper(F.translate(F.translate(c, _WIDE, _ASCII), "　", " "))
-    return norm_ws(F.regexp_replace(plain, r"(?U)[^A-Z0-9\s\-]", " "))
+    """Upper case of form KC, with everything but letters, digits and hyphens as single spaces."""
+    return norm_ws(F.regexp_replace(F.upper(nfkc(c)), r"(?U)[^A-Z0-9\s\-]", " "))
 
 
 def _let(c: Column, use) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from packetlane.operators import marks
+from packetlane.functions import header as H
+from packetlane.operators import marks, reuse
 from packetlane.plans.catalog import query, t
+from packetlane.sources import versions
+from packetlane.store import shared_folder
 
 _REGIONS = [
     ("7", "a", "1", "a", 0, 0, 4, 4), ("7", "a", "1", "b", 5, 0, 4, 4), ("7", "a", "1", "c", 10, 1, 9, 4), ("7", "a", "2", "a", 0, 8, 3, 3), ("7", "a", "2", "b", 8, 8, 3, 3),
@@ -58,3 +63,40 @@ def filled_marks(spark, d):
     asked = regions.select("form_type", "side", "name").union(spark.createDataFrame([("7", "a", "5h"), ("9", "b", "1a")], "form_type string, side string, name string"))
     got = marks.filled_marks(_pages(spark, d), regions, asked, thresholds={"a": 0.5, "b": 0.55})
     return got.select("c_custkey", "name", F.round("flat", 6).alias("flat"), F.round("graduated", 6).alias("graduated"), "filled")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '8TH GRADE PRE-ASSESSMENT ' || o_custkey WHEN 1 THEN '7TH FIFI PRE-ASSESS' WHEN 2 THEN '6 TH 2IV POST' WHEN 3 THEN 'T GRADE HIGH SCHOOL POST' ELSE o_orderstatus END AS norm,
+  CASE o_orderkey % 5 WHEN 0 THEN '8pre' WHEN 1 THEN '7pre' WHEN 2 THEN '6post' WHEN 3 THEN 'hpost' END AS form_type FROM orders""")
+def header_compat(spark, d):
+    """Headers in raised, circled, full-width and ligature letters, combining marks and Roman numerals."""
+    k, n = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    wide = F.translate(n, "0123456789", "０１２３４５６７８９")
+    x = F.when(k == 0, F.concat(F.lit("8ᵗʰ ｇｒａｄｅ　ⓟⓡⓔ－assessment "), wide)).when(k == 1, "⑦ᵀᴴ ﬁﬁ pre-assess").when(k == 2, "６ 𝐭𝐡 ²Ⅳ post").when(k == 3, "T\u0301 e\u0301 Grade ℌigh school post").otherwise(F.col("o_orderstatus"))
+    return t(spark, d, "orders").select("o_orderkey", H.normalize_header(x).alias("norm"), H.infer_form_type(x).alias("form_type"))
+
+
+@query("""SELECT o_orderkey, 'CUSTOMER ' || o_custkey AS made, o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS reused FROM orders""")
+def reuse_results(spark, d):
+    """What a first run made of the texts of open orders is read by a second one over all orders; other parameters share nothing with it."""
+    folder = f"{shared_folder(spark)}/packetlane-reuse-{uuid.uuid4().hex}"
+    make = lambda new: new.select(reuse.KEY, F.upper("text").alias("made"))
+    orders = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.concat(F.lit("customer "), "o_custkey").alias("text"))
+    reuse.reused(orders.where("o_orderstatus = 'P'"), "text", {"mode": "upper", "block": 31}, make, folder)
+    reuse.reused(orders, "text", {"mode": "lower", "block": 31}, make, folder)
+    return reuse.reused(orders, "text", {"block": 31, "mode": "upper"}, make, folder).select("o_orderkey", "made", "reused")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n, to_json({'name': 'f' || l_linenumber, 'text': CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag END})::VARCHAR AS b FROM lineitem),
+  p AS (SELECT k, n // 4 AS part, string_agg(b, ',' ORDER BY n) AS items FROM i GROUP BY 1, 2), c AS (SELECT k, count(*) AS n FROM i GROUP BY 1)
+  SELECT o_orderkey AS run, coalesce(part, 0)::BIGINT AS part, CASE WHEN coalesce(part, 0) = 0 THEN '{"run":' || o_orderkey || ',"status":"' || o_orderstatus || '","item_count":' || coalesce(c.n, 0) ELSE '{"run":' || o_orderkey || ',"part":' || part END || ',"items":[' || coalesce(items, '') || ']' || CASE WHEN coalesce(part, 0) = 0 AND o_orderkey % 3 = 0 THEN ',"human_review":{"open":' || o_custkey || '}' ELSE '' END || '}' AS document
+  FROM orders LEFT JOIN p ON p.k = o_orderkey LEFT JOIN c ON c.k = o_orderkey""")
+def recognition_documents(spark, d):
+    """Documents of orders in parts of four items, written as a set, replaced by it once more and read from the current one."""
+    k, n = F.col("o_orderkey"), F.col("l_linenumber")
+    runs = t(spark, d, "orders").select(k.alias("run"), F.col("o_orderstatus").alias("status"), F.when(k % 3 == 0, F.concat(F.lit('{"open":'), "o_custkey", F.lit("}"))).alias("human_review"))
+    items = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.struct(n, "l_partkey", "l_suppkey").alias("place"), F.concat(F.lit("f"), n).alias("name"), F.when(n % 3 != 0, F.col("l_returnflag")).alias("text"), F.lit("x").alias("_pass"))
+    documents = versions.recognition_documents(runs, items, "run", "place", ("human_review",), part_items=4)
+    folder = f"{shared_folder(spark)}/packetlane-documents-{uuid.uuid4().hex}"
+    versions.commit(documents.select("run", F.lit(0).cast("long").alias("part"), F.lit("").alias("document")), folder, "20260101", "parquet")
+    versions.commit(documents, folder, "20260102", "parquet")
+    return versions.read(spark, folder)

@@ -21,6 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return got or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/packetlane-checkpoints"
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop path and the file system that holds it, local or remote."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = file_system(spark, path)
+    return fs.exists(p)
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession):
     before = spark.conf.get(CLEANUP)
@@ -55,5 +66,5 @@ def dropped(*tables: DataFrame) -> None:
     for t in tables:
         path = _PATHS.pop(t, None)
         if path is not None:
-            hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+            p, fs = file_system(t.sparkSession, path)
+            fs.delete(p, True)

@@ -1,12 +1,18 @@
-"""Marks on pages, against plain loops over pixels."""
+"""Marks on pages against plain loops over pixels; headers against unicodedata; kept results; sinks that change as a whole."""
 
+import json
 import math
+import unicodedata
+from random import Random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from packetlane.functions import header as H
 from packetlane.functions import marks as M
-from packetlane.operators import marks
+from packetlane.operators import marks, reuse
+from packetlane.sources import versions
 
 PAGE = "id int, form_type string, side string, pixels binary, width int, height int"
 REGION = "form_type string, side string, name string, question string, letter string, x double, y double, w double, h double, image_width int, image_height int"
@@ -81,3 +87,65 @@ def test_filled(spark, graduated):
         crop = page[y : y + h, x : x + w]
         assert got[1, name]["flat"] == pytest.approx(float(np.mean((255 - crop.astype(float)) / 255)))
         assert got[1, name]["filled"] == (got[1, name]["graduated" if graduated else "flat"] >= 0.15)
+
+
+def test_compatibility_forms(spark):
+    """All single code points that this Python knows, and runs of letters and marks that compose."""
+    known = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    rng = Random(1)
+    pool = known[0x41:0x5B] + [chr(c) for c in [*range(0x300, 0x345), *range(0x1100, 0x1113), *range(0x1161, 0x1176), 0xFB01, 0x2168, 0x1D57, 0x1E9B]]
+    texts = [*known, *["".join(rng.choices(pool, k=6)) for _ in range(5000)], "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, x string").repartition(8).select("k", "x", H.nfkc(F.col("x")).alias("n")).collect()
+    assert [r["x"] for r in rows if r["n"] != (None if r["x"] is None else unicodedata.normalize("NFKC", r["x"]))] == []
+
+
+def test_second_run_computes_nothing(spark, tmp_path):
+    seen = []
+
+    def make(new):
+        seen.append(sorted(bytes(r["c"]) for r in new.collect()))
+        return new.select(reuse.KEY, F.length("c").alias("n"))
+
+    rows = spark.createDataFrame([(1, b"aa"), (2, b"b"), (3, b"aa"), (4, None), (5, b"")], "id int, c binary")
+    run = lambda df, **p: {r["id"]: (r["n"], r["reused"]) for r in reuse.reused(df, "c", p, make, f"{tmp_path}/kept").collect()}
+    assert run(rows, size=1, mode="x") == {1: (2, False), 2: (1, False), 3: (2, False), 4: (None, False), 5: (0, False)}
+    assert run(rows, mode="x", size=1) == {1: (2, True), 2: (1, True), 3: (2, True), 4: (None, False), 5: (0, True)}
+    assert run(rows.where("id = 2"), mode="y", size=1) == {2: (1, False)}
+    more = rows.union(spark.createDataFrame([(6, b"new")], rows.schema))
+    assert run(more, size=1, mode="x")[6] == (3, False)
+    assert run(rows.limit(0), size=3) == {}
+    assert seen == [[b"", b"aa", b"b"], [], [b"b"], [b"new"], []]
+
+
+def test_sets_change_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    one, two = spark.range(3).selectExpr("id", "id % 2 AS g"), spark.range(10, 12).selectExpr("id", "id % 2 AS g")
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, path)
+    first = versions.commit(one, path, "20260101", partition_by=("g",))
+
+    @F.udf("long")
+    def breaks(x):
+        raise ValueError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        versions.commit(two.withColumn("id", breaks("id")), path, "20260102")
+    assert sorted(r["id"] for r in versions.read(spark, path).collect()) == [0, 1, 2]
+    second = versions.commit(two, path, "20260103")
+    assert sorted(r["id"] for r in versions.read(spark, path).collect()) == [10, 11]
+    assert sorted(r["id"] for r in versions.read(spark, path, first).collect()) == [0, 1, 2]
+    assert versions.sets(spark, path) == [first, second]
+    third = versions.commit(one.limit(0), path, "20260104")
+    assert versions.vacuum(spark, path, keep=1) == [first] and versions.sets(spark, path) == [second, third]
+    assert versions.read(spark, path).count() == 0
+
+
+def test_documents(spark):
+    runs = spark.createDataFrame([("r", "p.pdf", '{"n":1}', None), ("e", None, None, "[2]")], "pdf_stem string, pdf_path string, post_normalize string, human_review string")
+    items = spark.createDataFrame([("r", k, f"n{k}", None if k == 2 else 'a"b', 1) for k in (3, 1, 2)], "pdf_stem string, k int, name string, text string, _pass int")
+    got = {(r["pdf_stem"], r["part"]): json.loads(r["document"]) for r in versions.recognition_documents(runs, items, "pdf_stem", "k", ("post_normalize", "human_review"), part_items=2).collect()}
+    assert got == {
+        ("r", 0): {"pdf_stem": "r", "pdf_path": "p.pdf", "item_count": 3, "items": [{"name": "n1", "text": 'a"b'}, {"name": "n2", "text": None}], "post_normalize": {"n": 1}},
+        ("r", 1): {"pdf_stem": "r", "part": 1, "items": [{"name": "n3", "text": 'a"b'}]},
+        ("e", 0): {"pdf_stem": "e", "item_count": 0, "items": [], "human_review": [2]},
+    }
