@@ -173,3 +173,28 @@ def label_norm(c: Column) -> Column:
     """high, medium or low; what is none of them is low."""
     t = F.lower(_text(c))
     return F.when(t.isin("high", "medium"), t).otherwise("low")
+
+
+# What a reader's note about itself holds when it was not sure.
+DOUBTS = ("legibility_issues", "ambiguities", "missing_regions")
+DOUBT_WORDS = ("unclear", "illegible", "ambiguous", "cropped", "cut off", "partial", "blur", "faint", "uncertain")
+
+
+def uncertain(parsed: Column) -> Column:
+    """Whether the `self_evaluation` of an answer (JSON text) names a doubt: a list with any text or a text, or a reason with a word of doubt."""
+    said = F.get_json_object(parsed, "$.self_evaluation")
+
+    def doubt(name: str) -> Column:
+        value = F.get_json_object(said, f"$.{name}")
+        listed = F.from_json(F.when(F.startswith(value, F.lit("[")), value), "array<string>")
+        filled = F.exists(listed, lambda x: F.trim(F.coalesce(x, F.lit("null"))) != "")
+        # numbers, booleans and objects are no doubts; texts come without their quotes, so the type tells
+        text = F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(said), f"$.{name}", "variant")) == "STRING", F.lit(False))
+        return F.coalesce(filled & ~text, F.lit(False)) | (text & (F.trim(F.coalesce(value, F.lit(""))) != ""))
+
+    reason = F.lower(F.coalesce(F.get_json_object(said, "$.reason_for_confidence"), F.lit("")))
+    held = [doubt(n) for n in DOUBTS] + [F.contains(reason, F.lit(w)) for w in DOUBT_WORDS]
+    found = held[0]
+    for h in held[1:]:
+        found = found | h
+    return F.coalesce(F.startswith(said, F.lit("{")) & found, F.lit(False))
