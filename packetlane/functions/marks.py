@@ -70,16 +70,12 @@ def darkness(crop: np.ndarray) -> np.ndarray:
     return 1.0 - crop.astype(np.float64) / 255.0
 
 
-def blurred(field: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian blur, six sigmas wide, with the field mirrored at its borders (which are not repeated)."""
-    if sigma <= 0 or not field.size:
-        return field
-    r = (round(sigma * 6) | 1) // 2
-    kernel = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma**2))
-    kernel /= kernel.sum()
+def convolved(field: np.ndarray, kernel: np.ndarray, border: str) -> np.ndarray:
+    """The same odd kernel along both axes; beyond its borders the field is mirrored without them ("reflect") or goes on ("edge")."""
+    r = len(kernel) // 2
     for axis in (0, 1):
         n = field.shape[axis]
-        p = np.pad(field, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="reflect" if n > 1 else "edge")
+        p = np.pad(field, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode=border if n > 1 else "edge")
         cut = [slice(None), slice(None)]
         out = np.zeros_like(field)
         for k, weight in enumerate(kernel):
@@ -89,6 +85,16 @@ def blurred(field: np.ndarray, sigma: float) -> np.ndarray:
     return field
 
 
+def gaussian(width: int, sigma: float) -> np.ndarray:
+    kernel = np.exp(-((np.arange(width) - width // 2) ** 2) / (2 * sigma**2))
+    return kernel / kernel.sum()
+
+
+def blurred(field: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur, six sigmas wide, with the field mirrored at its borders (which are not repeated)."""
+    return convolved(field, gaussian(round(sigma * 6) | 1, sigma), "reflect") if sigma > 0 and field.size else field
+
+
 def resized(crop: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear, with the middles of pixels as places and whole levels as values."""
     h, w = crop.shape

@@ -100,3 +100,15 @@ def recognition_documents(spark, d):
     versions.commit(documents.select("run", F.lit(0).cast("long").alias("part"), F.lit("").alias("document")), folder, "20260101", "parquet")
     versions.commit(documents, folder, "20260102", "parquet")
     return versions.read(spark, folder)
+
+
+@query(f"""WITH {_PAGE}, v AS (SELECT c_custkey, y, x, {_PIXEL.format(key="c_custkey")} AS v FROM p, g WHERE NOT missing), b AS (SELECT c_custkey, quantile_cont(v::DOUBLE, 0.01) AS lo, quantile_cont(v::DOUBLE, 0.99) AS hi FROM v GROUP BY 1),
+  s AS (SELECT c_custkey, y, x, floor(greatest(0, least(255, (v - lo) / (hi - lo) * 255)))::BIGINT AS v FROM v JOIN b USING (c_custkey))
+  SELECT p.c_custkey, sum(v * (y * 16 + x + 1))::BIGINT AS weighed, min(v) AS darkest, max(v) AS lightest FROM p LEFT JOIN s ON s.c_custkey = p.c_custkey GROUP BY 1""")
+def page_contrast(spark, d):
+    """Pages with the levels between their outer percentiles stretched; missing pages stay missing."""
+    got = marks.clean_pages(_pages(spark, d), clip=None, block=None)
+    level = F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: F.conv(F.hex(F.substring("pixels", k, F.lit(1))), 16, 10).cast("long"))
+    v = F.when(F.col("pixels").isNotNull(), level)
+    weighed = F.aggregate(F.transform("v", lambda x, k: x * (k + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.withColumn("v", v).select("c_custkey", weighed.alias("weighed"), F.array_min("v").alias("darkest"), F.array_max("v").alias("lightest"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlane.functions import header as H
+from packetlane.functions import imaging
 from packetlane.functions import marks as M
 from packetlane.operators import marks, reuse
 from packetlane.sources import versions
@@ -149,3 +150,79 @@ def test_documents(spark):
         ("r", 1): {"pdf_stem": "r", "part": 1, "items": [{"name": "n3", "text": 'a"b'}]},
         ("e", 0): {"pdf_stem": "e", "item_count": 0, "items": [], "human_review": [2]},
     }
+
+
+def lines(h=300, w=400):
+    """A page with broken lines of dark bars."""
+    rng = np.random.default_rng(5)
+    page = np.full((h, w), 240, np.uint8)
+    for y in range(40, h - 40, 16):
+        for x in range(60, w - 60, 20):
+            page[y : y + 6, x : x + int(rng.integers(6, 17))] = 30
+    return page
+
+
+@pytest.mark.parametrize("degrees", [-7.3, -2.15, 0.0, 0.4, 1.0, 5.6])
+def test_skew(degrees):
+    turned = imaging.turned(lines(), degrees)
+    found = imaging.skew(turned)
+    assert abs(found - degrees) <= 0.2
+    assert abs(imaging.skew(imaging.turned(turned, -found))) <= 0.2
+
+
+def test_skew_of_plain_pages():
+    assert imaging.skew(np.full((50, 50), 255, np.uint8)) == 0 and imaging.skew(np.zeros((20, 20), np.uint8)) == 0
+    assert np.array_equal(imaging.turned(lines(), 0), lines())
+
+
+@pytest.mark.parametrize(("h", "w", "clip", "tiles"), [(32, 40, 2.0, 4), (33, 41, 2.0, 4), (64, 64, 40.0, 2), (24, 24, 0, 2)])
+def test_equalized_against_loops(h, w, clip, tiles):
+    page = np.random.default_rng(3).normal(120, 30, (h, w)).clip(0, 255).astype(np.uint8)
+    th, tw = math.ceil(h / tiles), math.ceil(w / tiles)
+
+    def at(y, x):
+        return int(page[y if y < h else 2 * (h - 1) - y, x if x < w else 2 * (w - 1) - x])
+
+    tables = {}
+    for a in range(tiles):
+        for b in range(tiles):
+            n = [0] * 256
+            for y in range(a * th, (a + 1) * th):
+                for x in range(b * tw, (b + 1) * tw):
+                    n[at(y, x)] += 1
+            if clip:
+                limit = max(int(clip * th * tw / 256), 1)
+                over = sum(max(c - limit, 0) for c in n)
+                n = [min(c, limit) + over // 256 for c in n]
+                left, k = over % 256, 0
+                step = max(256 // left, 1) if left else 1
+                while left and k < 256:
+                    n[k] += 1
+                    left, k = left - 1, k + step
+            tables[a, b] = [min(255, round(sum(n[: k + 1]) * (255 / (th * tw)))) for k in range(256)]
+    for y in range(0, h, 3):
+        for x in range(0, w, 3):
+            fy, fx = y / th - 0.5, x / tw - 0.5
+            a, b = math.floor(fy), math.floor(fx)
+            inside = lambda k: min(max(k, 0), tiles - 1)
+            want = sum((fy - a if i else 1 - fy + a) * (fx - b if j else 1 - fx + b) * tables[inside(a + i), inside(b + j)][int(page[y, x])] for i in (0, 1) for j in (0, 1))
+            assert abs(int(imaging.equalized(page, clip, tiles)[y, x]) - want) <= 0.5 + 1e-9
+
+
+def test_binarized_and_contrast():
+    page = np.full((40, 40), 200, np.uint8)
+    page[10:14, 10:14] = 20
+    out = imaging.binarized(page, block=10)
+    assert (out[10:14, 10:14] == 0).all() and out[30, 30] == 255 and set(np.unique(out)) == {0, 255}
+    assert imaging.contrast(np.full((3, 3), 7, np.uint8)).tolist() == [[7] * 3] * 3
+    ramp = np.arange(256, dtype=np.uint8).reshape(16, 16)
+    assert np.array_equal(imaging.contrast(ramp, 0, 100), ramp) and imaging.contrast(ramp, 0, 100, 2.0)[8, 0] == int((128 / 255) ** 2 * 255)
+
+
+def test_clean_pages(spark):
+    page = imaging.turned(lines(), 2.0)
+    rows = [(1, page.tobytes(), 400, 300), (2, None, 1, 1), (3, b"x", 5, 5), (4, lines().tobytes(), 400, 300)]
+    got = {r["id"]: r for r in marks.clean_pages(spark.createDataFrame(rows, "id int, pixels binary, width int, height int"), deskew=True).collect()}
+    assert abs(got[1]["skew"] - 2) <= 0.2 and got[4]["skew"] == 0 and (got[2]["skew"], got[2]["pixels"]) == (None, None) and bytes(got[3]["pixels"]) == b"x"
+    upright = np.frombuffer(got[1]["pixels"], np.uint8).reshape(300, 400)
+    assert set(np.unique(upright)) == {0, 255} and abs(imaging.skew(upright)) <= 0.2
