@@ -1,7 +1,7 @@
 import pytest
 from oracle import same_rows
 
-from packetlane.plans import catalog, drafts, forms, scans  # noqa: F401 - the other three add their queries to the catalogue
+from packetlane.plans import analysis, catalog, drafts, forms, scans  # noqa: F401 - the others add their queries to the catalogue
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
