@@ -23,7 +23,7 @@ def _text(c: Column) -> Column:
 
 
 def _object(c: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(c)), F.lit("OBJECT")), F.lit(False))
+    return F.coalesce(F.startswith(F.ltrim(c), F.lit("{")) & F.try_parse_json(c).isNotNull(), F.lit(False))
 
 
 def proposed_entries(answers: DataFrame, answer: str = "answer") -> DataFrame:
@@ -93,7 +93,7 @@ def preview_comment(comment: Column, kind: Column, source: Column, raw: Column,
     empty = lambda c: F.coalesce(c, F.lit(""))
     fixed = [F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in [("{value}", empty(value)), ("{raw}", empty(raw)), ("{source}", source), ("{type}", empty(kind)), *[(k, F.lit(v)) for k, v in DROP_INS.items()]]]
     filled = F.aggregate(F.concat(own, F.array(*fixed)), F.when(whole, named).otherwise(empty(comment)), lambda text, p: F.replace(text, p["k"], empty(p["v"])))
-    return F.trim(filled)
+    return F.when(F.contains(comment, F.lit("{")), F.trim(filled)).otherwise(F.trim(empty(comment)))
 
 
 def preview_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
