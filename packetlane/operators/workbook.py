@@ -31,21 +31,38 @@ def sheet_items(items: DataFrame, sheets: DataFrame) -> DataFrame:
     return placed.withColumns({"sheet_position": position, "sheet": F.when(F.col("variant") == 1, original_sheet_name(F.col("form_type"))).otherwise(F.col("sheet"))})
 
 
-def fill_workbook(answers: DataFrame, entries: DataFrame, sheets: DataFrame, *, original: DataFrame | None = None, stamps: DataFrame | None = None, headers: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
+def sheet_places(answers: DataFrame, sheets: DataFrame) -> DataFrame:
+    """book, form_type and place: the number of a form's sheet in its book, from 1, in the order of the first items of forms (then by form).
+
+    Only firsts of forms go on from the scan and are counted by book; a book has as many as there are forms with a sheet.
+    """
+    forms = answers.select("book", "item_index", norm_ws(F.coalesce("form_type", F.lit(""))).alias("form_type")).where("form_type <> ''")
+    first = forms.join(sheets.select("form_type").distinct(), "form_type", "left_semi").groupBy("book", "form_type").agg(F.min("item_index").alias("first"))
+    return first.select("book", "form_type", F.row_number().over(Window.partitionBy("book").orderBy(F.asc_nulls_last("first"), "form_type")).alias("place"))
+
+
+def fill_workbook(answers: DataFrame, entries: DataFrame, sheets: DataFrame, *, original: DataFrame | None = None, stamps: DataFrame | None = None, headers: DataFrame | None = None, hidden: DataFrame | None = None, numbered: bool = False) -> DataFrame:
     """All cells of a run's books: book, sheet, sheet_position, row, column, value. answers: book, item_index and those of `mapping.fill_cells`; entries as there.
 
     original: answers as they were read; each form that was filled then has a second sheet behind the first. stamps: form_type, column, value of the row that
     every data row starts from. headers: form_type, row, column, value of cells above the data. hidden: form_type, column of columns
-    that are never written. Answers of both sheets go through together: one exchange by item, one by sheet.
+    that are never written. numbered: sheet_position counts the sheets of a book from 1, in place of the first item of each, which joins the items with
+    their sheets' numbers. Answers of both sheets go through together: one exchange by item, one by sheet.
     """
     every = answers.withColumn("variant", F.lit(0))
     if original is not None:
         every = every.unionByName(original.withColumn("variant", F.lit(1)), allowMissingColumns=True)
-    items = sheet_items(item_answers(every, [*KEYS, "variant"]), sheets)
-    if original is not None:  # a twin has a sheet to stand behind
-        main = F.max(F.when(F.col("variant") == 0, 1)).over(Window.partitionBy("book", "form_type"))
-        first = F.min(F.when(F.col("variant") == 0, F.col("item_index"))).over(Window.partitionBy("book", "form_type"))
-        items = items.withColumns({"__main": main, "sheet_position": first + F.col("variant") / 2}).where("__main = 1").drop("__main")
+    items = item_answers(every, [*KEYS, "variant"])
+    if numbered:  # only forms with a main sheet have a place
+        places = sheet_places(answers, sheets).select(F.col("book").alias("__book"), F.col("form_type").alias("__form"), "place")
+        of_sheet = F.col("book").eqNullSafe(F.col("__book")) & (F.col("form_type") == F.col("__form"))  # a book without a name keeps its sheets
+        items = sheet_items(items.join(places, of_sheet).drop("__book", "__form"), sheets).withColumn("sheet_position", F.col("place") + F.col("variant") / 2).drop("place")
+    else:
+        items = sheet_items(items, sheets)
+        if original is not None:  # a twin has a sheet to stand behind
+            main = F.max(F.when(F.col("variant") == 0, 1)).over(Window.partitionBy("book", "form_type"))
+            first = F.min(F.when(F.col("variant") == 0, F.col("item_index"))).over(Window.partitionBy("book", "form_type"))
+            items = items.withColumns({"__main": main, "sheet_position": first + F.col("variant") / 2}).where("__main = 1").drop("__main")
     rows = item_writes(items, entries)
     if hidden is not None:
         closed = hidden.groupBy("form_type").agg(F.collect_set("column").alias("closed"))

@@ -125,7 +125,7 @@ def corrected_rows(spark, d):
 
 
 @query("""WITH i AS (SELECT o_custkey AS book, o_orderkey, o_orderstatus AS f, trim(o_orderpriority) AS p, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus IN ('F', 'O')),
-  s AS (SELECT book, f, min(o_orderkey)::DOUBLE AS pos FROM i GROUP BY book, f),
+  s AS (SELECT book, f, row_number() OVER (PARTITION BY book ORDER BY first, f)::DOUBLE AS pos FROM (SELECT book, f, min(o_orderkey) AS first FROM i GROUP BY book, f)),
   c AS (SELECT i.book, f, pos, CASE f WHEN 'F' THEN k + 3 ELSE k + 2 END AS row, unnest(CASE f WHEN 'F' THEN ['B', 'C', 'D'] ELSE ['A'] END) AS col, unnest(CASE f WHEN 'F' THEN [p, o_orderkey::VARCHAR, 'stamp'] ELSE [upper(p)] END) AS value, unnest(CASE f WHEN 'F' THEN [p || '?', o_orderkey::VARCHAR || '?', 'stamp'] ELSE [upper(p) || '?'] END) AS raw FROM i JOIN s USING (book, f)),
   h AS (SELECT book, f, pos, 1 AS row, 'A' AS col, 'head' AS value FROM s WHERE f = 'O')
   SELECT book, CASE f WHEN 'F' THEN 'Done' ELSE 'Open' END AS sheet, pos AS sheet_position, row, col AS "column", value FROM c UNION ALL SELECT book, f || ' (Original)', pos + 0.5, row, col, raw FROM c
@@ -139,7 +139,7 @@ def workbook_cells(spark, d):
     stamps = spark.createDataFrame([("F", "D", "stamp"), ("F", "B", "under")], "form_type string, column string, value string")
     headers = spark.createDataFrame([("O", 1, "A", "head"), ("P", 1, "A", "never")], "form_type string, row int, column string, value string")
     original = answers.withColumn("text", F.concat("text", F.lit("?")))
-    cells = workbook.fill_workbook(answers, entries, sheets, original=original, stamps=stamps, headers=headers)
+    cells = workbook.fill_workbook(answers, entries, sheets, original=original, stamps=stamps, headers=headers, numbered=True)
     return cells.select("book", "sheet", F.col("sheet_position").cast("double").alias("sheet_position"), F.col("row").cast("long").alias("row"), "column", "value")
 
 

@@ -3,10 +3,12 @@ import os
 import zipfile
 
 import pytest
+from oracle import same_rows
 from pyspark.sql import functions as F
 
 from packetlane.functions import meta as M
 from packetlane.operators import grid, normalize, pages, regions, validation, workbook
+from packetlane.plans import catalog, forms
 from packetlane.sources import xlsx
 
 
@@ -53,6 +55,24 @@ def test_sheets_of_any_entries(spark, monkeypatch):
         workbook.fill_workbook(asked, direct, sheets).collect()
 
 
+def test_sheets_are_numbered_in_their_book(spark, tmp_path):
+    # a status without a sheet takes no number; a book with one sheet, one with equal first orders, one with keys beyond exact doubles, one without a name
+    orders = [(5, 1, "F"), (3, 1, "O"), (1, 1, "P"), (9, 1, "O"), (7, 2, "F"), (8, 3, "O"), (8, 3, "F"), (2**60 + 1, 4, "F"), (2**60, 4, "O"), (4, 5, "P"), (-2, 6, "O"), (-3, 6, "F")]
+    table = spark.createDataFrame([(*o, "1-URGENT") for o in orders], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    table.toPandas().to_parquet(tmp_path / "orders.parquet")
+    df = forms.workbook_cells(spark, str(tmp_path))
+    done, open_ = ("Done", "F (Original)"), ("Open", "O (Original)")
+    books = {1: [open_, done], 2: [done], 3: [done, open_], 4: [open_, done], 6: [done, open_]}
+    want = {(b, name, place + half / 2) for b, pairs in books.items() for place, pair in enumerate(pairs, 1) for half, name in enumerate(pair)}
+    assert {tuple(r) for r in df.select("book", "sheet", "sheet_position").collect()} == want
+    same_rows(df, catalog.SQL["workbook_cells"], tmp_path)
+    answers = spark.createDataFrame([(None, 7, " g ", "q", "a", 0), (None, 2, "f", "q", "b", 0)], "book string, item_index int, form_type string, name string, text string, pos int")
+    sheets = spark.createDataFrame([("f", "F", 2), ("g", "G", 2)], "form_type string, sheet string, start_row int")
+    entries = spark.createDataFrame([("f", 0, "q", "A"), ("g", 0, "q", "A")], "form_type string, entry_pos int, source string, column string")
+    filled = workbook.fill_workbook(answers, entries, sheets, original=answers, numbered=True)
+    assert sorted(tuple(r)[1:] for r in filled.collect()) == [("F", 1.0, 2, "A", "b"), ("G", 2.0, 2, "A", "a"), ("f (Original)", 1.5, 2, "A", "b"), ("g (Original)", 2.5, 2, "A", "a")]
+
+
 def test_workbook_plan(spark, data):
     from packetlane.plans import forms
 
