@@ -36,23 +36,46 @@ def dangling(edge: DataFrame, node: DataFrame) -> DataFrame:
 def contracted(edge: DataFrame, middle: Column) -> DataFrame:
     """(source, target) of nodes that aren't middle ones and that a path leads through, from one to the other, over middle nodes only.
 
-    middle: a condition on `node`. Paths double in length each round: those that end in a middle node are joined with those that start
-    there, so a chain of n middle nodes takes log2(n) rounds; circles among them end when a round finds nothing new.
+    middle: a condition on `node`. Only middle nodes that middle nodes lead to and from take part in rounds, and what is kept there are the ends
+    that they reach and the pairs of a power of two of steps, not all pairs between: a chain of n middle nodes takes log2(n) rounds of at
+    most n pairs; circles end when a round finds nothing new. All other edges are joined once.
     """
-    nodes_ = edge.select(F.explode(F.array("source", "target")).alias("node")).distinct().select("node", F.coalesce(middle, F.lit(False)).alias("m"))
-    marked = edge.select("source", "target").distinct().join(nodes_.select(F.col("node").alias("source"), F.col("m").alias("from_middle")), "source").join(nodes_.select(F.col("node").alias("target"), F.col("m").alias("to_middle")), "target")
-    paths = written(marked.select("source", "target", "from_middle", "to_middle"))
-    n = paths.count()
+    is_middle = F.coalesce(middle, F.lit(False))
+    first = edge.where("source is not null and target is not null").select("source", "target", F.col("source").alias("node")).select("source", "target", is_middle.alias("from_middle"), F.col("target").alias("node"))
+    marked = written(first.select("source", "target", "from_middle", is_middle.alias("to_middle")))
+    pairs = lambda condition: marked.where(condition).select("source", "target")
+    direct, entering = pairs("not from_middle and not to_middle"), pairs("not from_middle and to_middle")
+    inner, leaving = pairs("from_middle and to_middle"), pairs("from_middle and not to_middle")
+
+    passed = inner.select(F.inline(F.array(F.struct(F.col("source").alias("node"), F.lit(1).alias("way")), F.struct(F.col("target").alias("node"), F.lit(2).alias("way")))))
+    passed = written(passed.groupBy("node").agg(F.bit_or("way").alias("way")).where("way = 3").select("node"))
+    steps = written(inner.join(passed.select(F.col("node").alias("source")), "source", "left_semi").distinct())
+    ends = steps.select(F.explode(F.array("source", "target")).alias("source")).distinct()
+    reached = written(leaving.join(ends, "source", "left_semi").distinct())
+    dropped(passed)
+    n = reached.count()
     while True:
-        left = paths.where("to_middle").select("source", F.col("target").alias("via"), "from_middle")
-        right = paths.where("from_middle").select(F.col("source").alias("via"), "target", "to_middle")
-        longer = left.join(right, "via").select("source", "target", "from_middle", "to_middle")
-        more = written(paths.unionByName(longer).distinct())
-        dropped(paths)
-        paths, before = more, n
-        n = paths.count()
+        more = written(reached.unionByName(_joined(steps, reached)).distinct())
+        dropped(reached)
+        reached, before = more, n
+        n = reached.count()
         if n == before:
-            return paths.where("not from_middle and not to_middle").select("source", "target")
+            break
+        longer = written(_joined(steps, steps).distinct())
+        dropped(steps)
+        steps = longer
+    dropped(steps)
+
+    over_inner = written(_joined(inner, leaving.unionByName(reached)).distinct())
+    dropped(reached)
+    out = written(direct.unionByName(_joined(entering, leaving.unionByName(over_inner))).distinct())
+    dropped(marked, over_inner)
+    return out
+
+
+def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(source, target) of a pair on the left and one on the right that goes on where it ends."""
+    return left.select("source", F.col("target").alias("via")).join(right.select(F.col("source").alias("via"), "target"), "via").select("source", "target")
 
 
 def mapping_graph(rows: DataFrame, keys: list[str], sources: DataFrame) -> DataFrame:

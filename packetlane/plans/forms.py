@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetlane.functions import comments as C
@@ -395,12 +398,13 @@ def lineage_reach(spark, d):
     o, li, p = t(spark, d, "orders"), t(spark, d, "lineitem"), t(spark, d, "part")
     name = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
     third = F.floor(F.col("p_partkey") / 3)
-    edge = lineage.edges(
+    tables = [
         o.select(name("c", "o_custkey").alias("source"), name("o", "o_orderkey").alias("target")),
         li.select(name("o", "l_orderkey").alias("source"), name("p", "l_partkey").alias("target")),
         p.select(name("p", "p_partkey").alias("source"), F.col("p_brand").alias("target")),
         p.where((F.col("p_partkey") % 50 == 0) & (third > 0)).select(name("p", "p_partkey").alias("source"), F.concat(F.lit("p"), third.cast("string")).alias("target")),
-    )
+    ]
+    edge = reduce(DataFrame.unionByName, tables)
     return lineage.contracted(edge, F.substring("node", 1, 1).isin("o", "p")).where("source like 'c%'")
 
 
