@@ -7,12 +7,14 @@ from random import Random
 
 import numpy as np
 import pytest
+from oracle import same_rows
 from pyspark.sql import functions as F
 
 from packetlane.functions import header as H
 from packetlane.functions import imaging
 from packetlane.functions import marks as M
 from packetlane.operators import marks, reuse
+from packetlane.plans import catalog, scans  # noqa: F401 - scans adds its queries to the catalogue
 from packetlane.sources import versions
 
 PAGE = "id int, form_type string, side string, pixels binary, width int, height int"
@@ -226,3 +228,18 @@ def test_clean_pages(spark):
     assert abs(got[1]["skew"] - 2) <= 0.2 and got[4]["skew"] == 0 and (got[2]["skew"], got[2]["pixels"]) == (None, None) and bytes(got[3]["pixels"]) == b"x"
     upright = np.frombuffer(got[1]["pixels"], np.uint8).reshape(300, 400)
     assert set(np.unique(upright)) == {0, 255} and abs(imaging.skew(upright)) <= 0.2
+
+
+def test_contrast_as_its_sql(spark, tmp_path):
+    """Pages with pixels whose stretched level is a whole number, which the last bit of a percentile decides."""
+    keys = (18372, 18976, 19813, 40431, 41197, 170466, 175076, 348989, 353261, 367167, 501679, 510206)
+    spark.createDataFrame([(k, k % 25) for k in keys], "c_custkey long, c_nationkey int").coalesce(1).toPandas().to_parquet(tmp_path / "customer.parquet")
+    same_rows(catalog.QUERIES["page_contrast"](spark, str(tmp_path)), catalog.SQL["page_contrast"], tmp_path)
+
+
+def test_percentile():
+    page = np.array([[9, 3], [7, 3]], np.uint8)
+    assert [imaging.percentile(page, p) for p in (0, 20, 50, 75, 100)] == [3, 3, 5, 7.5, 9]
+    assert imaging.percentile(np.array([[4]], np.uint8), 99) == 4
+    many = np.random.default_rng(4).integers(0, 256, (31, 17)).astype(np.uint8)
+    assert all(imaging.percentile(many, p) == pytest.approx(np.percentile(many, p), abs=1e-12) for p in (0, 1, 2.5, 50, 99, 100))
